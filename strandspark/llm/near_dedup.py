@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,21 +78,23 @@ def _signed(width: int, bands: int, rows: int):
     def run(batches):
         for batch in batches:
             data, offsets = utf8(batch.column(1))
-            n, one, two, keys = [], [], [], []
+            n, one, two, own = [], [], [], []
             for s in shingle_sets(data, offsets, width):
                 n.append(len(s))
-                if len(s) == 0:
-                    one.append(None), two.append(None), keys.append(None)
-                    continue
-                one.append(int(mix64(s).sum().astype(np.int64)))
-                two.append(int(mix64(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum().astype(np.int64)))
-                own = signature(s, bands * rows).reshape(bands, rows).astype(np.uint64)
-                key = salt.copy()
-                for k in range(rows):
-                    key = mix64(key * _ODD[1] + own[:, k])
-                keys.append(key.view(np.int64))
+                if len(s):
+                    one.append(int(mix64(s).sum().astype(np.int64)))
+                    two.append(int(mix64(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum().astype(np.int64)))
+                    own.append(signature(s, bands * rows))
+            own = np.array(own, np.uint64).reshape(len(own), bands, rows)
+            keys = np.repeat(salt[None], len(own), axis=0)
+            for k in range(rows):
+                keys = mix64(keys * _ODD[1] + own[:, :, k])
+            at = pa.array(np.where(np.array(n) > 0, np.cumsum(np.array(n) > 0) - 1, -1)) if n else pa.array([], pa.int64())
+            at = pc.if_else(pc.greater_equal(at, 0), at, None)
+            keys = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * bands), pa.array(keys.reshape(-1).view(np.int64)))
+            one, two, keys = pa.array(one, pa.int64()).take(at), pa.array(two, pa.int64()).take(at), keys.take(at)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
+                [batch.column(0), pa.array(n, pa.int64()), one, two, keys],
                 ["doc_id", "n_shingles", "set_a", "set_b", "bands"],
             )
 
