@@ -5,8 +5,10 @@ by k, gives coordinate k of the signature. Bands of coordinates name buckets. Do
 their smallest doc_id first, so a large group of copies costs one row from there on.
 
 Within a bucket, candidate links go from one leader to all others, are confirmed on the full sets, and join components.
-Buckets that still hold several components get other leaders; what is left after a few rounds is compared in full
-between components (never inside one), so no link that changes a component is lost and no group is expanded to all pairs.
+What a bucket then still holds of different components is compared too, never inside a component. Where that would be
+many pairs, in a large group of documents that are alike but not enough, an exact prefix filter stands in for the bucket:
+two sets as similar as asked share one of their rarest shingles, and early enough that the rest can make up the similarity. So no link that changes a component is lost, and no
+group is expanded to all its pairs.
 """
 
 from __future__ import annotations
@@ -101,6 +103,17 @@ def _signed(width: int, bands: int, rows: int):
     return run
 
 
+def _sets(width: int):
+    def run(batches):
+        for batch in batches:
+            sets = [s.view(np.int64) for s in shingle_sets(*utf8(batch.column(1)), width)]
+            offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["node", "shingles"])
+
+    return run
+
+
 def _agreeing(width: int, percent: int):
     """Pairs of texts whose sets have 100 * intersection >= percent * union, by the full sets."""
 
@@ -142,12 +155,12 @@ def components(edges: DataFrame) -> DataFrame:
     return labels if labels is not None else edges.sparkSession.createDataFrame([], "node long, component long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 28, rows: int = 5, leader_rounds: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 32, rows: int = 6) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text, ...).
 
     Two documents are linked if the Jaccard similarity of their sets of ``width``-word shingles is at least
-    ``percent`` / 100; component_id is the smallest doc_id that links reach, ``kept`` marks it. With 28 bands of 5
-    coordinates a pair at 0.8 is missed with probability 1.5e-5, at 0.85 with 8e-8. Null or empty texts and texts
+    ``percent`` / 100; component_id is the smallest doc_id that links reach, ``kept`` marks it. With 32 bands of 6
+    coordinates a pair at 0.8 is missed with probability 6e-5, at 0.85 with 3e-7. Null or empty texts and texts
     without words have an empty set and stay alone; a null doc_id has a null component and is kept. Rows that share a
     doc_id count as one document. Repeated texts collapse before any comparison. Other columns are ignored.
     """
@@ -166,29 +179,41 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
         return written(pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_agreeing(width, percent), "a long, b long"), "links")
 
     near = lambda x, y: (F.least(x, y) * 100 >= F.greatest(x, y) * percent)  # noqa: E731  what the sizes alone allow
-    links, labels = None, None
-    for turn in range(leader_rounds + 1):
-        held = members.withColumn("component", F.col("node"))
-        if labels is not None:
-            held = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            mixed = held.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("key")
-            held = written(held.join(mixed, "key", "left_semi"), "held")
-            if held.isEmpty():
-                break
-            counted = held.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc"))
-            across, rest = counted.agg(F.sum((F.col("c") * F.col("c") - F.col("cc")) / 2), F.sum("c")).first()
-            if across <= 4 * rest or turn == leader_rounds:
-                a, b = (held.select("key", F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("component").alias(f"c_{x}")) for x in "ab")
-                pairs = a.join(b, (a.key == b.key) & (F.col("c_a") < F.col("c_b")) & near("n_a", "n_b")).select("a", "b").distinct()
-                links = links.unionByName(confirmed(pairs))
-                labels = components(links)
-                break
-        order = F.struct(F.xxhash64("node", F.lit(turn)).alias("turn"), "node", "n", "component") if turn else F.struct("node", "n", "component")
-        leaders = held.groupBy("key").agg(F.min(order).alias("leader")).select("key", F.col("leader.node").alias("a"), F.col("leader.n").alias("n_a"), F.col("leader.component").alias("c_a"))
-        pairs = held.join(leaders, "key").where((F.col("component") != F.col("c_a")) & near("n", "n_a")).select("a", F.col("node").alias("b")).distinct()
-        found = confirmed(pairs)
-        links = found if links is None else links.unionByName(found)
-        labels = components(links)
+    leaders = members.groupBy("key").agg(F.min(F.struct("node", "n")).alias("leader")).select("key", F.col("leader.node").alias("a"), F.col("leader.n").alias("n_a"))
+    links = confirmed(members.join(leaders, "key").where((F.col("node") != F.col("a")) & near("n", "n_a")).select("a", F.col("node").alias("b")).distinct())
+    labels = components(links)
+
+    def mixed(rows: DataFrame) -> DataFrame:
+        """(key, main, c, cross) of the keys with several components: the largest, how many rows, how many pairs across."""
+        own = rows.groupBy("key", "component").agg(F.count("*").alias("c"))
+        every = own.groupBy("key").agg(F.max(F.struct("c", "component")).alias("main"), F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc"))
+        return every.where("c * c > cc").select("key", F.col("main.component").alias("main"), "c", ((F.col("c") * F.col("c") - F.col("cc")) / 2).alias("cross"))
+
+    def across(rows: DataFrame) -> DataFrame:
+        """Pairs of rows (key, main, node, n, component, rest) with one key and different components, each pair once.
+
+        ``rest``: how many shingles two documents can share at most if this key is the rarest that they share.
+        """
+        a, b = (rows.select("key", "main", F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("component").alias(f"c_{x}"), F.col("rest").alias(f"rest_{x}")) for x in "ab")
+        b = b.drop("main")
+        once = (F.col("c_b") == F.col("main")) | (F.col("c_a") < F.col("c_b"))
+        enough = F.least("rest_a", "rest_b") * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
+        return a.where("c_a <> main").join(b, (a.key == b.key) & (F.col("c_a") != F.col("c_b")) & once & near("n_a", "n_b") & enough).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    held = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")).withColumn("rest", F.col("n"))
+    held = written(held.join(mixed(held), "key"), "held")
+    many = F.col("cross") > 2 * F.col("c")
+    pairs = [across(held.where(~many))]
+    tangled = written(held.where(many).select("node", "n", "component").distinct(), "tangled")
+    if not tangled.isEmpty():
+        each = their.join(tangled, their.doc_id == tangled.node, "left_semi").mapInArrow(_sets(width), "node long, shingles array<long>")
+        each = written(each.select("node", F.explode("shingles").alias("key")), "shingles")
+        ordered = each.join(each.groupBy("key").agg(F.count("*").alias("had")), "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("had", "key"))).alias("rarest"))
+        prefix = ordered.join(tangled, "node").withColumn("rarest", F.expr(f"slice(rarest, 1, int(n - ceil(n * {percent} / 100) + 1))"))
+        prefix = written(prefix.select("node", "n", "component", F.posexplode("rarest.key").alias("at", "key")).withColumn("rest", F.col("n") - F.col("at")).drop("at"), "prefixes")
+        pairs.append(across(prefix.join(mixed(prefix), "key")))
+    links = links.unionByName(confirmed(pairs[0] if len(pairs) == 1 else pairs[0].unionByName(pairs[1]).distinct()))
+    labels = components(links)
 
     rep = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component_id"))
     out = signed.drop("bands").join(rep, ["set_a", "set_b"], "left")
