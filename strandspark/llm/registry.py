@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, near_dedup, secrets, toxicity
+from . import bpe, decontaminate, near_dedup, secrets, toxicity
 
 QUERIES = {
     "op1_near_dedup": near_dedup.query,
     "op6_toxicity": toxicity.query,
     "op7_bpe": bpe.query,
+    "op9_decontaminate": decontaminate.query,
     "op10_secrets": secrets.query,
 }
 
