@@ -18,10 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import slices, table, utf8
-from .subwords import PRETOKEN, Chunked, Vocabulary, vocabulary
+from .subwords import MARKS, PRETOKEN, Chunked, Vocabulary, vocabulary
 
 _NEVER = np.int64(1 << 60)
-_MARKS = frozenset('.,;:!?|')
 
 
 def merged(words: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
@@ -79,7 +78,7 @@ def pretokens(chunk: str) -> list[str]:
     word = chunk[1:] if chunk[:1] == " " else chunk
     if word.isalpha():
         return [chunk]
-    if word[-1:] in _MARKS and word[:-1].isalpha():
+    if word[-1:] in MARKS and word[:-1].isalpha():
         return [chunk[:-1], chunk[-1]]
     return PRETOKEN.findall(chunk)
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, near_dedup, secrets, toxicity
+from . import bpe, decontaminate, fingerprints, near_dedup, secrets, shards, token_files, toxicity
 
 QUERIES = {
     "op1_near_dedup": near_dedup.query,
+    "op2_shards": shards.query,
+    "op5_token_files": token_files.query,
     "op6_toxicity": toxicity.query,
     "op7_bpe": bpe.query,
+    "op8_fingerprints": fingerprints.query,
     "op9_decontaminate": decontaminate.query,
     "op10_secrets": secrets.query,
 }

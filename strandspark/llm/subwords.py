@@ -22,6 +22,10 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in printable else chr(next(others)) for b in range(256)]
 
 
+#: Marks that are a pre-token of their own after a word.
+MARKS = frozenset(".,;:!?|")
+
+
 class Vocabulary:
     """A byte-level BPE vocabulary file: ids of single bytes, merges by pair, bytes of each id, added tokens."""
 
@@ -117,10 +121,16 @@ class Chunked:
                 chunks.update(own)
         if len(self.after_space) + len(self.whole) > self.limit:
             self.after_space, self.whole = {}, {}
-        new = [p for p in seen if p not in self.after_space and p not in odd]
-        self.after_space.update(zip(new, self.encode([" " + p for p in new]), strict=True))
+        known = self.after_space
+        new = [p for p in seen if p not in known and p not in odd]
+        # A word before one mark is two pre-tokens, and the word is often known.
+        marked = [p for p in new if p[-1] in MARKS and p[:-1].isalpha()]
+        chunks.update(p[-1] for p in marked)
+        new = list({*new}.difference(marked).union(b for b in {p[:-1] for p in marked} if b not in known))
+        known.update(zip(new, self.encode([" " + p for p in new]), strict=True))
         new = [c for c in chunks if c not in self.whole]
         self.whole.update(zip(new, self.encode(new), strict=True))
+        known.update((p, known[p[:-1]] + self.whole[p[-1]]) for p in marked)
         after, whole, out = self.after_space.__getitem__, self.whole.__getitem__, []
         for segments in cut:
             got = []
