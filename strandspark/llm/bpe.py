@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table, utf8
+from .common import batched, slices, table, utf8
 from .subwords import MARKS, PRETOKEN, Chunked, Vocabulary, vocabulary
 
 _NEVER = np.int64(1 << 60)
@@ -163,17 +163,17 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     Whole texts of any length; null and empty texts have no ids. Strings of added tokens in a text become their ids, as
     in the library. One row for each row, repeated or not; other columns are ignored.
     """
-    return _texts(docs).mapInArrow(_encoded(path), "doc_id long, ids array<int>")
+    return batched(_texts(docs)).mapInArrow(_encoded(path), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """(doc_id, text) of rows (doc_id, ids): bytes that aren't UTF-8 become U+FFFD, null ids a null text, null entries nothing."""
-    return encoded.select("doc_id", F.col("ids").cast("array<int>").alias("ids")).mapInArrow(_decoded(path), "doc_id long, text string")
+    return batched(encoded.select("doc_id", F.col("ids").cast("array<int>").alias("ids"))).mapInArrow(_decoded(path), "doc_id long, text string")
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row of ``docs``: texts encoded, then decoded again."""
-    return _texts(docs).mapInArrow(_round_trip(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return batched(_texts(docs)).mapInArrow(_round_trip(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

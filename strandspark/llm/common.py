@@ -39,6 +39,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def batched(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """``df`` as it is, in a session that hands Python at most ``rows`` rows at once: whole texts can be long.
+
+    The session's own number stays where it is smaller.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= rows:
+        conf.set(key, rows)
+    return df
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column, nulls as empty, and the offsets of its rows."""
     if isinstance(column, pa.ChunkedArray):
@@ -52,7 +63,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def slices(offsets: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Ranges of rows with about ``most`` bytes each, so that work arrays stay small; a longer row is a range of its own."""
     row, rows = 0, len(offsets) - 1
     while row < rows:

@@ -1,6 +1,6 @@
 """Document fingerprints by content-defined chunking with normalised gear-hash boundaries.
 
-A gear hash of the last 32 bytes marks boundaries; before the usual chunk size a stricter condition holds than after it, so
+A gear hash of the last 16 bytes marks boundaries; before the usual chunk size a stricter condition holds than after it, so
 sizes gather around it. An insertion or a deletion moves only the boundaries near it: the digests of all other chunks stay.
 A fingerprint is the set of chunk digests with the bytes that each covers, and what part of these bytes another fingerprint
 has too is the containment of one text in the other.
@@ -18,19 +18,21 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, slices, table, utf8, written
+from .common import batched, mix64, slices, table, utf8, written
 
-LEAST, USUAL, MOST = 12, 32, 128
+LEAST, USUAL, MOST = 8, 24, 96
 _GEAR = (mix64(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
-#: Top bits that must be zero: six before the usual size, four after it.
-_STRICT, _LOOSE = np.uint32(0xFC000000), np.uint32(0xF0000000)
+#: Top bits that must be zero: five before the usual size, three after it.
+_STRICT, _LOOSE = np.uint32(0xF8000000), np.uint32(0xE0000000)
+#: The bytes that a hash depends on: each step shifts by two bits, and after 16 a byte has left the 32.
+REACH = 16
 
 
 def gear(data: np.ndarray) -> np.ndarray:
-    """At each byte the hash of the last 32: each step shifts by one bit and adds the byte's value. By doubling."""
+    """At each byte the hash of the last 16: each step shifts by two bits and adds the byte's value. By doubling."""
     h = _GEAR[data]
-    for k in (1, 2, 4, 8, 16):
-        h[k:] += h[:-k] << np.uint32(k)
+    for k in (1, 2, 4, 8):
+        h[k:] += h[:-k] << np.uint32(2 * k)
     return h
 
 
@@ -50,8 +52,8 @@ def chunks(data: np.ndarray, offsets: np.ndarray) -> Iterator[list[tuple[int, in
             out = []
             start = a
             while start < b:
-                # Hashes within 31 bytes of the start of the text depend on what lies before it: none of them counts.
-                low, usual, high = max(start + LEAST, a + 32), start + USUAL, start + MOST
+                # Hashes near the start of the text depend on what lies before it: none of them counts.
+                low, usual, high = max(start + LEAST, a + REACH), start + USUAL, start + MOST
                 while loose[k] < low:
                     k += 1
                 j = k
@@ -65,11 +67,11 @@ def chunks(data: np.ndarray, offsets: np.ndarray) -> Iterator[list[tuple[int, in
 
 def digests(raw: bytes, spans: list[tuple[int, int]]) -> dict[str, int]:
     """The bytes that each digest covers, repeats added up."""
-    out: dict[str, int] = {}
     digest = xxhash.xxh3_64_hexdigest
-    for a, b in spans:
-        key = digest(raw[a:b])[:10]
-        out[key] = out.get(key, 0) + b - a
+    keys = [digest(raw[a:b])[:10] for a, b in spans]
+    out = dict.fromkeys(keys, 0)
+    for key, (a, b) in zip(keys, spans, strict=True):
+        out[key] += b - a
     return out
 
 
@@ -106,7 +108,9 @@ def _compared(batches):
         for t, f in zip(texts, following, strict=True):
             k = len(t) // 3
             edited.append((t[: len(t) - k] + f[:k]).encode())
-        own, changed, nxt = _prints([r[1] for r in rows]), _prints(edited), _prints([r[2] for r in rows])
+        distinct = list(dict.fromkeys(x for r in rows for x in r[1:]))
+        known = dict(zip(distinct, _prints(distinct), strict=True))
+        own, changed, nxt = [known[r[1]] for r in rows], _prints(edited), [known[r[2]] for r in rows]
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([r[0] for r in rows], pa.int64()),
@@ -166,13 +170,13 @@ def fingerprinted(docs: DataFrame, rows_each: int = 10_000) -> DataFrame:
     first = slim.groupBy("bucket").agg(F.min(order).alias("first")).select("bucket", "first.*").collect()
     first = sorted(((r["bucket"], r["no"], r["down"], r["h"]) for r in first), key=lambda r: r[0])
     if not first:
-        return slim.mapInArrow(_compared_columns, _SCHEMA)
+        return batched(slim).mapInArrow(_compared_columns, _SCHEMA)
     moved = docs.sparkSession.createDataFrame([(b, first[k - 1][0], n, d, h) for k, (b, n, d, h) in enumerate(first)], "bucket long, before long, no boolean, down long, h long")
     keyed = slim.withColumn("order", order).select("bucket", "doc_id", "text", "order.*")
     heads = keyed.join(F.broadcast(moved), (keyed.bucket == moved.bucket) & (keyed.h == moved.h) & keyed.down.eqNullSafe(moved.down)).select(moved.before.alias("bucket"), "doc_id", "text").groupBy("bucket").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
     both = keyed.select("bucket", "doc_id", "text", F.lit(False).alias("extra"), "no", "down", "h").unionByName(heads.select("bucket", "doc_id", "text", F.lit(True).alias("extra"), F.lit(True).alias("no"), F.lit(None).cast("long").alias("down"), F.lit(None).cast("long").alias("h")))
     dealt = both.repartition(parts, "bucket").sortWithinPartitions("bucket", "extra", "no", "down", "h", "text")
-    return dealt.select("bucket", "doc_id", "text", "extra").mapInArrow(_compared, _SCHEMA)
+    return batched(dealt.select("bucket", "doc_id", "text", "extra")).mapInArrow(_compared, _SCHEMA)
 
 
 _SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

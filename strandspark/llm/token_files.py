@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import strings
-from .common import shared_dir, table, utf8, written
+from .common import batched, shared_dir, table, utf8, written
 from .subwords import Chunked
 
 MAGIC = b"TIDS1"
@@ -145,7 +145,7 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = 0, text_bytes:
         if waiting:
             yield flush()
 
-    return written(dealt.mapInArrow(run, "file string, n_docs long, n_tokens long, part long, number long"), "manifest")
+    return written(batched(dealt).mapInArrow(run, "file string, n_docs long, n_tokens long, part long, number long"), "manifest")
 
 
 def _size(path: str) -> int:
@@ -175,7 +175,7 @@ def read(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
                 ids = pa.array(reader.entries[:, 0], pa.int64(), mask=reader.entries[:, 0] == -(1 << 63))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(before + np.cumsum(n) - n, pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return files.join(starts, "file").select("content", "before").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return batched(files.join(starts, "file").select("content", "before"), 8).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hashed, mix64, slices, spans, table, utf8
+from .common import batched, hashed, mix64, slices, spans, table, utf8
 
 BUCKETS = 1 << 18
 LENGTHS = (3, 4, 5)
@@ -230,7 +230,7 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
     """
     weights = docs.sparkSession.sparkContext.broadcast(model.weights)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(_scored(weights, model.bias), "doc_id long, score double")
+    return batched(texts).mapInArrow(_scored(weights, model.bias), "doc_id long, score double")
 
 
 def held_out() -> Column:
@@ -247,7 +247,7 @@ def accepted(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame
         for batch in batches:
             yield batch.filter(pa.array(own.scores(*utf8(batch.column(column))) < threshold, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return batched(docs).mapInArrow(run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
