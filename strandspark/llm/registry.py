@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, fingerprints, near_dedup, secrets, shards, token_files, toxicity
+from . import bpe, decontaminate, fingerprints, html_text, near_dedup, secrets, shards, token_counts, token_files, toxicity
 
 QUERIES = {
     "op1_near_dedup": near_dedup.query,
     "op2_shards": shards.query,
+    "op3_token_counts": token_counts.query,
+    "op4_html_text": html_text.query,
     "op5_token_files": token_files.query,
     "op6_toxicity": toxicity.query,
     "op7_bpe": bpe.query,
