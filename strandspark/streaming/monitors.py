@@ -8,20 +8,20 @@ from pyspark.sql import functions as F
 
 def latest(df: DataFrame, by: list[str], value: str, every: str) -> DataFrame:
     """(window_start, *by, last): the last value of each poll."""
-    return df.groupBy(F.window("ts", every).alias("w"), *by).agg(F.max_by(value, "ts").alias("last")).select(F.col("w.start").alias("window_start"), *by, "last")
+    return df.groupBy(F.window("ts", every).alias("_window"), *by).agg(F.max_by(value, "ts").alias("last")).select(F.col("_window.start").alias("window_start"), *by, "last")
 
 
 def samples(df: DataFrame, by: list[str], value: str, every: str, late: str = "10 minutes") -> DataFrame:
     """(window_start, *by, n, mean, most) of tumbling windows; rows later than ``late`` don't count in a stream."""
     df = df.withWatermark("ts", late) if df.isStreaming else df
-    out = df.groupBy(F.window("ts", every).alias("w"), *by).agg(F.count(value).alias("n"), F.when(F.count(value) >= 2, F.round(F.avg(value), 4)).alias("mean"), F.max(value).alias("most"))
-    return out.select(F.col("w.start").alias("window_start"), *by, "n", "mean", "most")
+    out = df.groupBy(F.window("ts", every).alias("_window"), *by).agg(F.count(value).alias("n"), F.when(F.count(value) >= 2, F.round(F.avg(value), 4)).alias("mean"), F.max(value).alias("most"))
+    return out.select(F.col("_window.start").alias("window_start"), *by, "n", "mean", "most")
 
 
 def sessions(df: DataFrame, worker: str, silence: str, late: str = "10 minutes") -> DataFrame:
     """(worker, first, last, beats): a worker counts as lost once it was silent for ``silence``; then a session ends."""
     df = df.withWatermark("ts", late) if df.isStreaming else df
-    out = df.groupBy(worker, F.session_window("ts", silence).alias("w")).agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count("*").alias("beats"))
+    out = df.groupBy(worker, F.session_window("ts", silence).alias("_window")).agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count("*").alias("beats"))
     return out.select(worker, "first", "last", "beats")
 
 
