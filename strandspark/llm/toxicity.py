@@ -1,8 +1,8 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A word is the mean of the vectors of its character n-grams and of the whole word, so misspellings that were never seen
-share most of a known word's vectors. A window of consecutive words is the mean of its words' vectors, a linear softmax
-gives its two classes, and a text scores as its most toxic window: one insult isn't averaged away by a long text. Both
+share most of a known word's vectors. A window of consecutive words is the mean of its words' vectors (repeats and
+places past the end of a text count as nothing), a linear softmax gives its two classes, and a text scores as its most toxic window: one insult isn't averaged away by a long text. Both
 the vectors and the softmax are learned at once, from labelled texts.
 
 Only the difference of the two logits matters for a score, and it is a mean over words; so scoring needs one number a word.
@@ -75,9 +75,26 @@ def _windows(rows: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     return rows[:-1][doc] + step * (window // 2), doc
 
 
-def _means(x: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+def _sums(x: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
     sums = np.append(0, np.cumsum(x, dtype=np.float64))
-    return (sums[stops] - sums[starts]) / (stops - starts)
+    return sums[stops] - sums[starts]
+
+
+def _grouped(hashes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, group, fresh): where each distinct word is first, which one each word is, and whether it is new here.
+
+    A word that its row has within the last ``WINDOW`` words isn't new: repeats of one word add nothing to a window.
+    """
+    order = np.argsort(hashes, kind="stable")
+    sorted_hashes = hashes[order]
+    begins = np.ones(len(order), bool)
+    np.not_equal(sorted_hashes[1:], sorted_hashes[:-1], out=begins[1:])
+    group = np.empty(len(order), np.int64)
+    group[order] = np.cumsum(begins) - 1
+    row = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
+    fresh = np.ones(len(order), bool)
+    fresh[order[1:]] = begins[1:] | (np.diff(order) >= WINDOW) | (row[order[1:]] != row[order[:-1]])
+    return order[begins], group, fresh
 
 
 class Model:
@@ -85,14 +102,13 @@ class Model:
 
     def __init__(self, weights: np.ndarray, bias: float):
         self.weights, self.bias = weights.astype(np.float32), float(bias)
-        self.known: dict[int, float] = {}
 
-    def word_scores(self, part, starts, ends, hashes) -> np.ndarray:
-        first, at = np.unique(hashes, return_index=True)[1], np.unique(hashes, return_inverse=True)[1]
-        buckets, offsets = grams(part, starts[first], ends[first], hashes[first])
+    def word_scores(self, part, starts, ends, hashes, rows) -> np.ndarray:
+        first, group, fresh = _grouped(hashes, rows)
         if not len(first):
             return np.zeros(0)
-        return (np.add.reduceat(self.weights[buckets], offsets[:-1]) / np.diff(offsets))[at]
+        buckets, offsets = grams(part, starts[first], ends[first], hashes[first])
+        return (np.add.reduceat(self.weights[buckets], offsets[:-1]) / np.diff(offsets))[group] * fresh
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """The score of each row; texts without words have that of the bias alone."""
@@ -102,7 +118,7 @@ class Model:
             begin, doc = _windows(rows, WINDOW)
             if len(doc):
                 stop = np.minimum(begin + WINDOW, rows[1:][doc])
-                np.maximum.at(logit, doc, _means(self.word_scores(part, starts, ends, hashes), begin, stop))
+                np.maximum.at(logit, doc, _sums(self.word_scores(part, starts, ends, hashes, rows), begin, stop) / WINDOW)
             logit[np.isinf(logit)] = 0
             out.append(1 / (1 + np.exp(-np.clip(logit + self.bias, -60, 60))))
         return np.concatenate(out) if out else np.zeros(0)
@@ -124,14 +140,19 @@ def train(texts: list[str], labels: list[int], dimension: int = 4, rounds: int =
     In texts labelled 0 every window counts as clean; without both labels there is nothing to learn and the score is
     the share of label 1.
     """
-    y = np.array(labels, np.float64)
+    once: dict[str, int] = {}  # copies of a text would make its other words look telling
+    for text, label in zip(texts, labels, strict=True):
+        once[text] = max(label, once.get(text, 0))
+    texts, y = list(once), np.array(list(once.values()), np.float64)
     if len(y) == 0 or y.min() == y.max():
         return Model(np.zeros(BUCKETS), -6.0 if len(y) == 0 or y.max() == 0 else 6.0)
     data, offsets = utf8(pa.array(texts, pa.string()))
-    ids, all_rows, known, parts = [], [np.zeros(1, np.int64)], {}, []
+    ids, counted, all_rows, known = [], [], [np.zeros(1, np.int64)], {}
     sizes, buckets = [], []
     for part, starts, ends, hashes, rows in words(data, offsets):
-        distinct, first, at = np.unique(hashes, return_index=True, return_inverse=True)
+        first, at, fresh = _grouped(hashes, rows)
+        distinct = hashes[first]
+        counted.append(fresh)
         new = np.array([h not in known for h in distinct.tolist()], bool)
         for h in distinct[new].tolist():
             known[h] = len(known)
@@ -140,7 +161,7 @@ def train(texts: list[str], labels: list[int], dimension: int = 4, rounds: int =
             buckets.append(b), sizes.append(np.diff(o))
         ids.append(np.array([known[h] for h in distinct.tolist()], np.int64)[at] if len(distinct) else np.zeros(0, np.int64))
         all_rows.append(rows[1:] + all_rows[-1][-1])
-    token, rows = np.concatenate(ids), np.concatenate(all_rows)
+    token, counted, rows = np.concatenate(ids), np.concatenate(counted), np.concatenate(all_rows)
     if not known:
         return Model(np.zeros(BUCKETS), float(np.log(y.mean() / (1 - y.mean()))))
     gram, size = np.concatenate(buckets), np.concatenate(sizes).astype(np.float64)
@@ -172,14 +193,13 @@ def train(texts: list[str], labels: list[int], dimension: int = 4, rounds: int =
     for turn in range(1, rounds + 1):
         flat = vectors @ softmax
         word = np.bincount(owner, flat[gram], minlength=len(size)) / size
-        logit = _means(word[token], begin, stop) + bias
+        logit = _sums(word[token] * counted, begin, stop) / WINDOW + bias
         p = 1 / (1 + np.exp(-np.clip(logit, -60, 60)))
         # All windows of a text count alike at first; in the end the most toxic one does.
         sharp = np.exp(np.minimum(8.0, 12.0 * turn / rounds) * (logit - np.maximum.reduceat(logit, first_window)[own]))
         g = (p - toxic) * weight * sharp / np.add.reduceat(sharp, first_window)[own]
-        per = g / (stop - begin)
-        change = np.bincount(begin, per, len(token) + 1) - np.bincount(stop, per, len(token) + 1)
-        on_word = np.bincount(token, np.cumsum(change)[:-1], minlength=len(size)) / size
+        change = np.bincount(begin, g, len(token) + 1) - np.bincount(stop, g, len(token) + 1)
+        on_word = np.bincount(token, np.cumsum(change)[:-1] * counted, minlength=len(size)) / size / WINDOW
         on_flat = np.bincount(gram, on_word[owner], minlength=BUCKETS) + decay * flat
         gradients = (on_flat[:, None] * softmax, vectors.T @ on_flat, np.array([g.sum()]))
         current = [vectors, softmax, np.array([bias])]
