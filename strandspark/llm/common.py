@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,6 +40,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def sampled(df: DataFrame, key: str, most: int) -> DataFrame:
+    """At most ``most`` rows of ``df``, those with the smallest hashes of ``key``: a bounded sample that no partitioning changes.
+
+    Keys are chosen first, without their rows, so that tasks send nothing but keys to choose from.
+    """
+    chosen = df.select(key).where(F.col(key).isNotNull()).distinct().orderBy(F.xxhash64(key), key).limit(most)
+    return df.join(F.broadcast(chosen), key, "left_semi").orderBy(F.xxhash64(key), key).limit(most)
+
+
 def batched(df: DataFrame, rows: int = 1000) -> DataFrame:
     """``df`` as it is, in a session that hands Python at most ``rows`` rows at once: whole texts can be long.
 

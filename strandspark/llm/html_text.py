@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batched, table
+from .common import batched, sampled, table
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
@@ -303,7 +303,7 @@ def _examples(batches):
 
 def learned(pages: DataFrame, sample: int = 300) -> np.ndarray:
     """Classifier weights from the blocks of ``sample`` pages, those with the smallest hashes of page_id: the bound of the sample."""
-    chosen = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html")).orderBy(F.xxhash64("page_id"), "page_id").limit(sample)
+    chosen = sampled(pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html")), "page_id", sample)
     rows = batched(chosen.select("html")).mapInArrow(_examples, "x array<double>, y int").collect()
     return train(np.array([r["x"] for r in rows], np.float64).reshape(len(rows), FEATURES), np.array([r["y"] for r in rows], np.float64))
 

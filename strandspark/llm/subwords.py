@@ -72,11 +72,13 @@ class Chunked:
 
     A space after a character that isn't white space, or before one, begins a pre-token. Texts are cut at these spaces
     alone, so the ids of the chunks in a row are those of the text. ``encode`` gives the ids of chunks as little-endian
-    unsigned 32-bit integers; its results are remembered, at most ``limit`` of them at a time.
+    unsigned 32-bit integers; its results are remembered, about ``limit`` of them at a time. ``spaced``, if given, does the same
+    for chunks that are a space and one of its arguments, which have no space.
     """
 
-    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], added: dict[str, int], limit: int = 600_000):
+    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], added: dict[str, int], limit: int = 600_000, spaced: Callable[[list[str]], Iterable[bytes]] | None = None):
         self.encode, self.limit = encode, limit
+        self.spaced = spaced or (lambda parts: encode([" " + p for p in parts]))
         self.added = [(token, np.uint32(i).tobytes()) for token, i in added.items()]
         self.after_space: dict[str, bytes] = {}
         self.whole: dict[str, bytes] = {}
@@ -102,7 +104,10 @@ class Chunked:
             for parts in segments:
                 if not isinstance(parts, bytes):
                     seen.update(parts[1:])
-        odd = {p for p in seen if not p or p[0] in SPACE}
+        if len(self.after_space) + len(self.whole) > self.limit:
+            self.after_space, self.whole = {}, {}
+        unknown = seen.difference(self.after_space)
+        odd = {p for p in unknown if not p or p[0] in SPACE}  # never remembered
         chunks = set()
         for segments in cut:
             for k, parts in enumerate(segments):
@@ -119,15 +124,13 @@ class Chunked:
                         own[-1] += " " + p
                 segments[k] = tuple(own)
                 chunks.update(own)
-        if len(self.after_space) + len(self.whole) > self.limit:
-            self.after_space, self.whole = {}, {}
         known = self.after_space
-        new = [p for p in seen if p not in known and p not in odd]
+        unknown -= odd
         # A word before one mark is two pre-tokens, and the word is often known.
-        marked = [p for p in new if p[-1] in MARKS and p[:-1].isalpha()]
+        marked = [p for p in unknown if p[-1] in MARKS and p[:-1].isalpha()]
         chunks.update(p[-1] for p in marked)
-        new = list({*new}.difference(marked).union(b for b in {p[:-1] for p in marked} if b not in known))
-        known.update(zip(new, self.encode([" " + p for p in new]), strict=True))
+        new = list(unknown.difference(marked).union({p[:-1] for p in marked}.difference(known)))
+        known.update(zip(new, self.spaced(new), strict=True))
         new = [c for c in chunks if c not in self.whole]
         self.whole.update(zip(new, self.encode(new), strict=True))
         known.update((p, known[p[:-1]] + self.whole[p[-1]]) for p in marked)

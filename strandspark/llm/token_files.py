@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import strings
-from .common import batched, shared_dir, table, utf8, written
-from .subwords import Chunked
+from .common import batched, sampled, shared_dir, table, utf8, written
+from .subwords import Chunked, vocabulary
 
 MAGIC = b"TIDS1"
 _HEAD, _TAIL = struct.Struct("<5s32sB"), struct.Struct("<QQ")
@@ -47,7 +47,19 @@ def library(path: str) -> Chunked:
     def encode(chunks: list[str]):
         return (np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False))
 
-    return Chunked(encode, added)
+    v = vocabulary(path)
+    begins = np.append(v.bytes, 0)[v.starts] == 32
+    begins &= v.lengths > 0
+
+    def spaced(parts: list[str]):
+        """Many chunks in one text: a chunk's first id is the only one whose bytes begin with its space."""
+        texts = [" " + " ".join(parts[k : k + 500]) for k in range(0, len(parts), 500)]
+        for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            ids = np.array(e.ids, "<u4")
+            flat, starts = ids.tobytes(), (4 * np.flatnonzero(begins[ids])).tolist()
+            yield from (flat[a:b] for a, b in zip(starts, [*starts[1:], len(flat)], strict=True))
+
+    return Chunked(encode, added, spaced=spaced)
 
 
 def packed(documents: list[tuple[int, bytes]], dictionary: bytes, width: int) -> bytes:
@@ -89,7 +101,7 @@ def trained_dictionary(docs: DataFrame, path: str, sample: int = 500, size: int
 
     The sample and the size bound it. It changes how small the files are, never what they hold.
     """
-    rows = docs.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(F.coalesce("text", F.lit("")).alias("text")).collect()
+    rows = sampled(docs.select("doc_id", "text"), "doc_id", sample).select(F.coalesce("text", F.lit("")).alias("text")).collect()
     parts = [np.frombuffer(i, "<u4").astype(f"<u{width}").tobytes() for i in library(path).ids([r["text"] for r in rows])]
     parts = [p[k : k + 4096] for p in parts for k in range(0, len(p), 4096)]
     try:
