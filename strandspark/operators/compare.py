@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.symbols import column_of, difference_class, row_of, similarity
+from .arrays import points
 from .sequences import CHUNK, chunks
 
 
@@ -31,17 +34,41 @@ def joined_chunks(a: DataFrame, b: DataFrame, key: str, text: str, size: int = C
     return both.select(F.col(key).alias("pair"), "start", F.substring("a", F.lit(1), n).alias("a"), F.substring("b", F.lit(1), n).alias("b"))
 
 
-def _unequal(a: Column, b: Column) -> Column:
-    """Places (from 0) where two pieces of one length differ, with both symbols; nothing is taken apart where they are equal."""
-    each = F.transform(F.arrays_zip(F.split(a, "").alias("a"), F.split(b, "").alias("b")), lambda s, k: F.struct(k.alias("at"), s["a"].alias("a"), s["b"].alias("b")))
-    return F.when(a != b, F.filter(each, lambda s: s["a"] != s["b"])).otherwise(F.filter(each, lambda _: F.lit(False)))
+def _located(batches):
+    """Pieces (pair, start, a, b) that differ: the places where they do, with both symbols."""
+    for batch in batches:
+        found: list[list] = [[], [], [], []]
+        for row, (start, a, b) in enumerate(zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True)):
+            x, y = points(a), points(b)
+            at = np.flatnonzero(x != y)
+            found[0].append(np.full(len(at), row))
+            found[1].append(at + start)
+            found[2] += map(chr, x[at].tolist())
+            found[3] += map(chr, y[at].tolist())
+        rows, places = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in found[:2])
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(places, pa.int64()), pa.array(found[2], pa.string()), pa.array(found[3], pa.string())], ["pair", "pos", "a", "b"])
+
+
+def _tallied(batches):
+    """Pieces (pair, start, a, b) that differ: how often, and where first."""
+    for batch in batches:
+        n, first = [], []
+        for start, a, b in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+            unequal = points(a) != points(b)
+            n.append(int(unequal.sum()))
+            first.append(start + int(unequal.argmax()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(first, pa.int64())], ["pair", "n", "first"])
+
+
+def _unlike(pieces: DataFrame) -> DataFrame:
+    return pieces.where("a <> b").select("pair", "start", "a", "b")
 
 
 def differences(pieces: DataFrame, width: int = 80) -> DataFrame:
-    """(pair, pos, row, col, a, b, kind) of every differing position: pos from 0, row and col from 1."""
-    unequal = pieces.where("a <> b").select("pair", "start", F.explode(_unequal(F.col("a"), F.col("b"))).alias("d"))
-    pos = F.col("start") + F.col("d.at")
-    return unequal.select("pair", pos.cast("long").alias("pos"), row_of(pos, width).alias("row"), column_of(pos, width).alias("col"), F.col("d.a").alias("a"), F.col("d.b").alias("b"), difference_class(F.col("d.a"), F.col("d.b")).alias("kind"))
+    """(pair, pos, row, col, a, b, kind) of every differing position: pos from 0, row and col from 1. Equal pieces are skipped."""
+    found = _unlike(pieces).mapInArrow(_located, f"pair {pieces.schema['pair'].dataType.simpleString()}, pos long, a string, b string")
+    pos = F.col("pos")
+    return found.select("pair", "pos", row_of(pos, width).alias("row"), column_of(pos, width).alias("col"), "a", "b", difference_class(F.col("a"), F.col("b")).alias("kind"))
 
 
 def first_differences(found: DataFrame, k: int | None = 1000) -> DataFrame:
@@ -53,9 +80,8 @@ def first_differences(found: DataFrame, k: int | None = 1000) -> DataFrame:
 
 def summary(pairs: DataFrame, size: int = CHUNK) -> DataFrame:
     """One row for each pair: compared, equal, differences, first_pos, similarity_pct, length_a, length_b, offset."""
-    pieces = paired_chunks(pairs, size).where("a <> b")
-    d = _unequal(F.col("a"), F.col("b"))
-    found = pieces.select("pair", "start", d.alias("d")).groupBy("pair").agg(F.sum(F.size("d")).alias("differences"), F.min(F.when(F.size("d") > 0, F.col("start") + F.col("d")[0]["at"])).alias("first_pos"))
+    tallied = _unlike(paired_chunks(pairs, size)).mapInArrow(_tallied, f"pair {pairs.schema['pair'].dataType.simpleString()}, n long, first long")
+    found = tallied.groupBy("pair").agg(F.sum("n").alias("differences"), F.min("first").alias("first_pos"))
     sizes = pairs.select("pair", F.coalesce(F.length("text_a"), F.lit(0)).cast("long").alias("length_a"), F.coalesce(F.length("text_b"), F.lit(0)).cast("long").alias("length_b"))
     out = sizes.join(found, "pair", "left").withColumn("compared", F.least("length_a", "length_b")).withColumn("differences", F.coalesce("differences", F.lit(0)))
     return out.select("pair", "compared", (F.col("compared") - F.col("differences")).alias("equal"), "differences", "first_pos", similarity(F.col("differences"), F.col("compared")).alias("similarity_pct"), "length_a", "length_b", (F.col("length_a") - F.col("length_b")).alias("offset"))

@@ -7,7 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.symbols import AMBIGUOUS, BASES, IGNORED, UNKNOWN, byte_name, either, occurrences, symbol_class
+from ..functions.symbols import AMBIGUOUS, BASES, IGNORED, UNKNOWN, byte_name, either, symbol_class
+from .arrays import rows_of_bytes
 
 
 def _bins(keys: int):
@@ -49,18 +50,45 @@ def significant(histogram: DataFrame) -> DataFrame:
     return histogram.where(~F.col("byte").isin(*IGNORED))
 
 
-def symbol_counts(text: Column) -> dict[str, Column]:
-    """Sums for an aggregation: each base, unknown, bases, ambiguous, invalid. No shuffle of symbols, generated code only."""
-    each = {c.lower(): F.sum(occurrences(text, either(c))) for c in BASES}
-    bases, ambiguous, unknown = occurrences(text, either(BASES)), occurrences(text, either(AMBIGUOUS)), occurrences(text, either(UNKNOWN))
-    invalid = F.octet_length(text) - bases - ambiguous - unknown - occurrences(text, "\n\r")
-    return {f"n_{k}": v for k, v in each.items()} | {"n_unknown": F.sum(unknown), "n_bases": F.sum(bases), "n_ambiguous": F.sum(ambiguous), "n_invalid": F.sum(invalid.cast("long"))}
+COUNTED = ("n_a", "n_c", "n_g", "n_t", "n_unknown", "n_ambiguous", "n_invalid")
+
+
+def _classes() -> np.ndarray:
+    """The place in COUNTED of each byte value; one more for those that mean nothing."""
+    place = np.full(256, 6, np.int64)
+    for k, letters in enumerate([*BASES, UNKNOWN, AMBIGUOUS]):
+        place[[ord(c) for c in either(letters)]] = k
+    place[list(IGNORED)] = 7
+    return place
+
+
+def _counted(keys: int):
+    place = _classes()
+
+    def run(batches):
+        for batch in batches:
+            parts = []
+            for row, end, raw, offsets in rows_of_bytes(batch.column(keys)):
+                owner = np.repeat(np.arange(end - row) * 8, np.diff(offsets))
+                parts.append(np.bincount(owner + place[raw], minlength=8 * (end - row)).reshape(-1, 8))
+            counts = np.concatenate(parts) if parts else np.zeros((0, 8), np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:keys], *(pa.array(counts[:, k], pa.int64()) for k in range(7))], [*batch.schema.names[:keys], *COUNTED])
+
+    return run
+
+
+def symbol_counts(df: DataFrame, text: str = "text", by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, n_a, n_c, n_g, n_t, n_unknown, n_ambiguous, n_invalid) of each row, counted in one pass over its bytes."""
+    slim = df.select(*by, F.col(text).cast("binary").alias("_raw"))
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema if f.name in by] + [f"{c} long" for c in COUNTED])
+    return slim.mapInArrow(_counted(len(by)), schema)
 
 
 def nucleotide_count(df: DataFrame, text: str = "text", by: tuple[str, ...] = ()) -> DataFrame:
-    """One row for each group with the counts of ``symbol_counts``; nulls count nothing."""
-    counts = [F.coalesce(v, F.lit(0)).alias(k) for k, v in symbol_counts(F.col(text)).items()]
-    return df.groupBy(*by).agg(*counts)
+    """One row for each group with the sums of ``symbol_counts`` and n_bases; nulls count nothing. Only counts are shuffled."""
+    sums = {c: F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTED}
+    out = symbol_counts(df, text, by).groupBy(*by).agg(*sums.values())
+    return out.withColumn("n_bases", F.col("n_a") + F.col("n_c") + F.col("n_g") + F.col("n_t"))
 
 
 def ambiguous_detail(histogram: DataFrame) -> DataFrame:

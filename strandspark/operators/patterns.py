@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.symbols import folded, occurrences, overlapping
+from ..functions.symbols import folded, overlapping
+from .arrays import points
 
 
 def complement(pattern: str) -> str:
@@ -38,20 +41,38 @@ def pattern_positions(df: DataFrame, key: str, text: str, pattern: str, k: int)
     return df.where(t.contains(pattern)).select(key, F.explode(F.slice(places, 1, k).cast("array<long>")).alias("pos"))
 
 
+def _windowed(width: int, step: int):
+    def run(batches):
+        for batch in batches:
+            found: list[list[np.ndarray]] = [[] for _ in range(6)]
+            for row, text in enumerate(batch.column(1).to_pylist()):
+                t = points(text)
+                if len(t) < width:
+                    continue
+                is_c, is_g = (t == 67) | (t == 99), (t == 71) | (t == 103)
+                base = is_c | is_g | np.isin(t, (65, 97, 84, 116))
+                starts = np.arange(0, len(t) - width + 1, step)
+                total = lambda x, n=width, s=starts: (c := np.append(0, np.cumsum(x)))[s + n] - c[s]
+                pairs = total(np.append(is_c[:-1] & is_g[1:], False), width - 1)
+                for k, x in enumerate((np.full(len(starts), row), starts, total(is_c), total(is_g), pairs, total(base) == width)):
+                    found[k].append(x)
+            if found[0]:
+                columns = [np.concatenate(x) for x in found]
+                arrays = [batch.column(0).take(pa.array(columns[0])), *(pa.array(x, pa.int64()) for x in columns[1:5]), pa.array(columns[5], pa.bool_())]
+                yield pa.RecordBatch.from_arrays(arrays, [batch.schema.names[0], "start", "n_c", "n_g", "n_cg", "evaluable"])
+
+    return run
+
+
 def windows(df: DataFrame, key: str, text: str, width: int, step: int) -> DataFrame:
     """(key, start, n_c, n_g, n_cg, gc, obs_exp, evaluable, label) of windows of ``width`` symbols every ``step``.
 
     A window with anything but bases isn't evaluable. It is a zone if more than half of it is C or G and the pair CG is more
-    than 0.6 times as frequent as C and G would make it by chance. Texts shorter than a window have none.
+    than 0.6 times as frequent as C and G would make it by chance. Texts shorter than a window have none. Sums of windows are
+    differences of running sums over the text.
     """
-    n = F.length(text)
-    starts = F.when(n >= width, F.sequence(F.lit(0), n - width, F.lit(step))).otherwise(F.array().cast("array<int>"))
-    # Windows leave explode() ready-made, so that each is cut once however often it is used below.
-    cut = df.select(key, folded(F.col(text)).alias("_t"), starts.alias("_starts"))
-    pieces = F.transform("_starts", lambda k: F.struct(k.cast("long").alias("start"), F.substring(F.col("_t"), k + 1, F.lit(width)).alias("w")))
-    cut = cut.select(key, F.explode(pieces).alias("_p")).select(key, "_p.start", F.col("_p.w").alias("_w"))
-    w = F.col("_w")
-    counted = cut.select(key, "start", occurrences(w, "C").alias("n_c"), occurrences(w, "G").alias("n_g"), ((F.length(w) - F.length(F.replace(w, F.lit("CG"), F.lit("")))) / 2).cast("long").alias("n_cg"), (occurrences(w, "ACGT") == width).alias("evaluable"))
+    slim = df.select(key, F.col(text).cast("string").alias("_t"))
+    counted = slim.mapInArrow(_windowed(width, step), f"`{key}` {df.schema[key].dataType.simpleString()}, start long, n_c long, n_g long, n_cg long, evaluable boolean")
     gc = F.round((F.col("n_c") + F.col("n_g")) / width, 6)
     ratio = F.when((F.col("n_c") > 0) & (F.col("n_g") > 0), F.round(F.col("n_cg") * width / (F.col("n_c") * F.col("n_g")), 6)).otherwise(0.0)
     out = counted.withColumn("gc", gc).withColumn("obs_exp", ratio)

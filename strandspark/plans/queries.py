@@ -119,7 +119,7 @@ def fasta_counts(spark, d):
 
 def fasta_chunks(spark, d):
     chunks = fasta.sequence_chunks(_fasta(spark, d), 4096)
-    return chunks.agg(F.sum(F.length("bases")).alias("symbols"), F.sum(composition.occurrences(F.col("bases"), "ACGTacgt")).alias("bases"))
+    return chunks.agg(F.sum(F.length("bases")).alias("symbols"), F.sum(symbols.occurrences(F.col("bases"), "ACGTacgt")).alias("bases"))
 
 
 def _diffs(spark, d):
