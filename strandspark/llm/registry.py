@@ -17,4 +17,14 @@ QUERIES = {
     "op10_secrets": secrets.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_near_dedup": """with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as ws from documents),
+ s as (select doc_id, case when len(ws) = 0 then [] when len(ws) < 3 then [array_to_string(ws, ' ')] else list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) end as sh from w),
+ n as (select doc_id, cast(len(sh) as bigint) as n from s),
+ u as (select doc_id, unnest(sh) as g from s),
+ c as (select x.doc_id as a, y.doc_id as b, count(*) as c from u x join u y on x.g = y.g and x.doc_id < y.doc_id group by 1, 2),
+ e as (select a, b from c join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
+ linked as (select a, b from e union select b, a from e),
+ reached(a, b) as (select doc_id, doc_id from n union select r.a, l.b from reached r join linked l on r.b = l.a)
+ select n.doc_id, n.n as n_shingles, min(b) as component_id, min(b) = n.doc_id as kept from n join reached on a = n.doc_id group by n.doc_id, n.n""",
+}
