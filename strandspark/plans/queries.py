@@ -204,6 +204,8 @@ QUERIES = {
     "overlap_seconds": lambda s, d: intervals.overlap(intervals.union(_log(s, d).where("event_type = 'click'"), ["user_id"]), intervals.union(_log(s, d).where("event_type = 'view'"), ["user_id"]), ["user_id"], 86_400_000_000),
     "distribution_share": lambda s, d: composition.shares(_log(s, d), ["event_type"], "units"),
     "adaptive_ration": lambda s, d: intervals.rations(_log(s, d).withColumn("seconds", (F.col("end") - F.col("start")) / 1e9), ["user_id"], ["start", "event_id"], "units", "seconds").select("event_id", "ration"),
+    "instant_speed": lambda s, d: _log(s, d).select("event_id", F.round(measurement.rate(F.col("units"), (F.col("end") - F.col("start")) / 1e9), 6).alias("speed")),
+    "proportional_share": lambda s, d: intervals.shared_out(_log(s, d).groupBy("event_type").agg(F.sum("units").alias("speed")), 1000.0),
     "ema_speed": lambda s, d: intervals.smoothed(_log(s, d), ["user_id"], ["start", "event_id"], "units", 0.5).select("user_id", F.round("ema", 4).alias("ema")),
     "idle_time": lambda s, d: intervals.idle_at_end(_log(s, d), "user_id"),
     "speedup": lambda s, d: measurement.speedups(_runs(s, d), ["size"], "config", "time", "O"),
@@ -281,6 +283,8 @@ ORACLES = {
  select a.user_id, cast(sum(least(a.e, b.e) - greatest(a.s, b.s)) as bigint) as overlap from u a join u b on a.user_id = b.user_id and a.event_type = 'click' and b.event_type = 'view' and a.s < b.e and b.s < a.e group by 1""",
     "distribution_share": f"select event_type, cast(sum(units) as bigint) as total, round(100 * sum(units) / (sum(sum(units)) over ())::double, 6) as pct from ({LOG}) group by 1",
     "adaptive_ration": f"""select event_id, cast(coalesce(case when s > 0 then greatest(1, least(32, floor(u / s * 0.25))) when s is not null then 1 end, 1) as int) as ration from (select event_id, lag(units) over w as u, lag(("end" - start) / 1e9::double) over w as s from ({LOG}) window w as (partition by user_id order by start, event_id))""",
+    "instant_speed": f"""select event_id, case when "end" > start then round(units / (("end" - start) / 1e9::double), 6) else 0.0::double end as speed from ({LOG})""",
+    "proportional_share": f"select event_type, cast(sum(units) as bigint) as speed, round(1000.0::double * sum(units) / (sum(sum(units)) over ())::double, 6) as part from ({LOG}) group by 1",
     "idle_time": f"""select user_id, (select max("end") from ({LOG})) - max("end") as idle from ({LOG}) group by 1""",
     "speedup": f"select size, config, time, round(max(case when config = 'O' then time end) over (partition by size) / time::double, 6) as speedup from ({RUNS})",
     "best_config": f"select size, arg_min(config, time) as best, min(time) as time from ({RUNS}) group by 1",
