@@ -101,7 +101,7 @@ def test_token_file_of_one_document():
 def test_token_files_of_nothing(spark, tmp_path):
     folder = f"file://{tmp_path}/none"
     manifest = token_files.write(docs(spark, []), PATH, folder)
-    assert manifest.count() == 0
+    assert manifest.count() == 0 and token_files.read(spark, folder, manifest).count() == 0
 
 
 def test_token_counts(spark):
