@@ -34,11 +34,20 @@ def pattern_totals(counts: DataFrame, by: str) -> DataFrame:
 
 def pattern_positions(df: DataFrame, key: str, text: str, pattern: str, k: int) -> DataFrame:
     """(key, pos): the first ``k`` positions (from 0) of a pattern without N in each text, overlapping ones too."""
-    t, n = folded(F.col(text)), len(pattern)
-    parts = F.split(t, "")
-    last = F.length(t) - n
-    places = F.when(last >= 0, F.filter(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(parts, i + 1, F.lit(n)), "") == pattern))
-    return df.where(t.contains(pattern)).select(key, F.explode(F.slice(places, 1, k).cast("array<long>")).alias("pos"))
+    t = folded(F.col(text))
+
+    def run(batches):
+        for batch in batches:
+            rows, places = [], []
+            for row, whole in enumerate(batch.column(1).to_pylist()):
+                at, found = whole.find(pattern), 0
+                while at >= 0 and found < k:
+                    rows.append(row)
+                    places.append(at)
+                    at, found = whole.find(pattern, at + 1), found + 1
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(places, pa.int64())], [batch.schema.names[0], "pos"])
+
+    return df.where(t.contains(pattern)).select(key, t.alias("_t")).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, pos long")
 
 
 def _windowed(width: int, step: int):

@@ -12,7 +12,7 @@ from ..operators import compare, composition, generators, intervals, measurement
 from ..sources import fasta
 from ..streaming import monitors
 
-PATTERNS = ["TTA", "GAT", "CAN", "TATA"]
+PATTERNS = ["ATA", "GAT", "CAN", "AATT"]
 EXPECTED_LANG = "en"
 ACCENTS = {"la": "là", "ou": "où", "es": "és", "de": "dé"}
 
@@ -191,7 +191,7 @@ QUERIES = {
     # patterns
     "pattern_count": lambda s, d: patterns.pattern_counts(_docs(s, d), "text", PATTERNS, ("lang",)),
     "pattern_totals": lambda s, d: patterns.pattern_totals(patterns.pattern_counts(_docs(s, d), "text", PATTERNS, ("lang",)), "lang"),
-    "pattern_positions": lambda s, d: patterns.pattern_positions(_docs(s, d), "doc_id", "text", "TTA", 3),
+    "pattern_positions": lambda s, d: patterns.pattern_positions(_docs(s, d), "doc_id", "text", "GAT", 3),
     "reverse_complement": lambda s, d: _docs(s, d).select("doc_id", symbols.reverse_complement(F.col("text")).alias("reversed")),
     "cpg_windows": _zones,
     "zone_density": lambda s, d: patterns.zone_density(_zones(s, d), "doc_id"),
@@ -273,7 +273,7 @@ ORACLES = {
     "unpaired_a": f"{PAIRED} select * from a where rec not in (select rec_a from p)",
     "unpaired_b": f"{PAIRED} select * from b where rec not in (select rec_b from p)",
     "pairing_summary": f"{PAIRED} select criterion, count(*) as pairs, cast(sum(length) as bigint) as covered from p group by 1 union all select 'alone_a', count(*), cast(coalesce(sum(length), 0) as bigint) from a where rec not in (select rec_a from p) union all select 'alone_b', count(*), cast(coalesce(sum(length), 0) as bigint) from b where rec not in (select rec_b from p)",
-    "pattern_positions": f"select doc_id, cast(pos as bigint) as pos from (select doc_id, pos, row_number() over (partition by doc_id order by pos) as n from (select doc_id, i as pos from (select doc_id, t, unnest(range(0, length(t) - 2)) as i, unnest(string_split(t, '')[1:length(t) - 2]) || unnest(string_split(t, '')[2:length(t) - 1]) || unnest(string_split(t, '')[3:length(t)]) as w from (select doc_id, {FOLD} as t from documents)) where w = 'TTA')) where n <= 3",
+    "pattern_positions": f"select doc_id, cast(pos as bigint) as pos from (select doc_id, pos, row_number() over (partition by doc_id order by pos) as n from (select doc_id, i as pos from (select doc_id, t, unnest(range(0, length(t) - 2)) as i, unnest(string_split(t, '')[1:length(t) - 2]) || unnest(string_split(t, '')[2:length(t) - 1]) || unnest(string_split(t, '')[3:length(t)]) as w from (select doc_id, {FOLD} as t from documents)) where w = 'GAT')) where n <= 3",
     "reverse_complement": "select doc_id, reverse(translate(text, 'ACGTacgt', 'TGCAtgca')) as reversed from documents",
     "cpg_windows": ZONES,
     "zone_density": f"select doc_id, count(*) filter (where evaluable) as evaluated, count(*) filter (where not evaluable) as not_evaluable, count(*) filter (where label = 'zone') as zones from ({ZONES}) group by 1",

@@ -64,6 +64,7 @@ def test_patterns(spark):
     df = spark.createDataFrame([("r", "aaaacgt"), ("s", ""), ("s", None)], "rec string, text string")
     got = {(r["rec"], r["pattern"], r["strand"]): r["n"] for r in patterns.pattern_counts(df, "text", ["AA", "ANG", "ACGT"], ("rec",)).collect()}
     assert got["r", "AA", "+"] == 3 and got["r", "ANG", "+"] == 1 and got["r", "ACGT", "+"] == got["r", "ACGT", "-"] == 1 and got["s", "AA", "+"] == 0
+    assert sorted(r["pos"] for r in patterns.pattern_positions(df, "rec", "text", "AA", 2).collect()) == [0, 1]
     assert patterns.windows(df, "rec", "text", 8, 4).count() == 0
     w = patterns.windows(spark.createDataFrame([("r", "CGCGCGCGNA")], "rec string, text string"), "rec", "text", 8, 2).orderBy("start").collect()
     assert [x["label"] for x in w] == ["zone", "not_evaluable"]
