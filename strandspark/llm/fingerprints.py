@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batched, mix64, slices, table, utf8, written
+from .common import batched, mix64, slices, table, utf8
 
 LEAST, USUAL, MOST = 8, 24, 96
 _GEAR = (mix64(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
