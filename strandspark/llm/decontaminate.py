@@ -4,13 +4,17 @@ Texts and benchmark items are sequences of words (ASCII lower case, without punc
 of fixed length copies the word under it at each step and moves on or stays by a random bit of step and word; two sequences
 with few edits give walks that differ in few places. The words at a few sampled steps are the key of a window. Keys of
 item-sized windows, from every word of the texts and of the items, are compared for several independent walks, and every
-agreement is confirmed by the exact edit distance between the item and the text around it.
+agreement is confirmed by the exact edit distance between the item and the text around it. How many walks an item gets
+follows from a target recall at the edits allowed for its length. What they miss is caught exactly: an item cut into one
+piece more than its allowed edits has a piece without an edit, so runs of words that equal a piece are candidates too.
 
 Walks that meet at a step stay together, so the keys of all windows of a batch come from one backward pass over the steps.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,8 +28,10 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Items with fewer words are too short to tell a leak from chance and are never reported.
 LEAST_WORDS = 5
-#: Windows have the size of the shortest items of a class; longer items than these are covered by several windows.
-LONGEST = 16
+#: Words of a window, for items under 16 words and for all others: an item has several windows, and edits miss some of them.
+WINDOWS = (4, 8)
+#: More walks than these are never made; only edits far above the default ask for them.
+MOST_WALKS = 64
 
 
 def symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -65,42 +71,104 @@ class Walk:
         return key
 
 
+@lru_cache(maxsize=64)
+def repetitions(bits: int, edits: float, sampled: int, recall: float, trials: int = 300) -> int:
+    """How many walks find a share of ``recall`` of the items of every length with ``bits`` bits, at all edits allowed for it.
+
+    Counted on random items and edits, with the walks that an index makes. Items of 64 words and more have so many windows
+    that the number for 32 to 63 words holds for them.
+    """
+    bits = min(bits, 6)
+    size = WINDOWS[bits > 4]
+    rng = np.random.default_rng([bits, trials])
+    most = 0
+    for n in range(max(LEAST_WORDS, 1 << (bits - 1)), 1 << bits):
+        own, text = rng.integers(1, 1 << 62, (trials, n), dtype=np.uint64), []
+        for words in own.tolist():
+            for kind in rng.integers(3, size=int(n * edits)).tolist():  # replace, insert, delete
+                at = int(rng.integers(len(words) + (kind == 1)))
+                words[at : at + (kind != 1)] = [] if kind == 2 else [int(rng.integers(1, 1 << 62))]
+            text.append(words)
+        gap = rng.integers(1, 1 << 62, (trials, 3 * size), dtype=np.uint64)
+        rows = np.repeat(np.arange(trials), [len(t) + 3 * size for t in text])
+        long = np.concatenate([np.concatenate([np.array(t, np.uint64), g]) for t, g in zip(text, gap, strict=True)])
+        found, turn = np.zeros(trials, bool), 0
+        while found.mean() < recall and turn < MOST_WALKS:
+            walk = Walk(size, turn, sampled)
+            mine = walk.keys(np.concatenate([own, np.zeros((trials, walk.steps), np.uint64)], axis=1).ravel()).reshape(trials, -1)[:, : n - size + 1]
+            place = np.repeat(np.arange(trials), mine.shape[1])
+            both = np.intersect1d(mine.ravel() | place.astype(np.uint64) << np.uint64(32), walk.keys(long) | rows.astype(np.uint64) << np.uint64(32))
+            found[(both >> np.uint64(32)).astype(np.int64)] = True
+            turn += 1
+        most = max(most, turn)
+    return most
+
+
+def run_keys(sequence: np.ndarray, size: int) -> np.ndarray:
+    """The 32-bit key of the ``size`` words that begin at each place of ``sequence``."""
+    key = np.zeros(max(0, len(sequence) - size + 1), np.uint64)
+    for j in range(size):
+        key = (key + sequence[j : j + len(key)]) * np.uint64(0x9E3779B97F4A7C15)
+    return (mix64(key) >> np.uint64(32)).astype(np.uint32)
+
+
+class Table:
+    """Keys of places of items, in order, and a bit map of them."""
+
+    def __init__(self, keys: list[np.ndarray], item: list[int], offset: list[np.ndarray]):
+        own = np.concatenate(keys)
+        order = np.argsort(own, kind="stable")
+        self.keys = own[order]
+        self.item = np.repeat(np.array(item), [len(k) for k in keys])[order]
+        self.offset = np.concatenate(offset)[order]
+        self.seen = np.zeros(1 << max(16, (64 * len(own)).bit_length()), bool)
+        self.seen[own & np.uint32(len(self.seen) - 1)] = True
+
+    def met(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place, item, where the item would begin) for each place of ``own`` with a key of the table."""
+        at = np.flatnonzero(self.seen[own & np.uint32(len(self.seen) - 1)])
+        first, last = np.searchsorted(self.keys, own[at], "left"), np.searchsorted(self.keys, own[at], "right")
+        many = last - first
+        flat = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        place = np.repeat(at, many)
+        return place, self.item[flat], place - self.offset[flat]
+
+
 class Index:
     """The keys of all windows of a bounded block of benchmark items, and what confirms a candidate."""
 
-    def __init__(self, items: list[tuple[int, str]], edits: float = 0.2, walks: int = 4, sampled: int = 4):
+    def __init__(self, items: list[tuple[int, str]], edits: float = 0.2, recall: float = 0.95, sampled: int = 4):
         data, offsets = utf8(pa.array([t for _, t in items], pa.string()))
         sequence, rows = symbols(data, offsets)
         self.ids, self.words, self.masks = [], [], []
         self.edits = edits
-        sizes: dict[int, list[int]] = {}
+        walks: dict[tuple[int, int], list[int]] = {}
+        pieces: dict[int, list[tuple[int, int]]] = {}
         for k, (i, _) in enumerate(items):
             own = sequence[rows[k] : rows[k + 1]]
-            if i is not None and len(own) >= LEAST_WORDS:
-                sizes.setdefault(min(LONGEST, 1 << (len(own).bit_length() - 1)), []).append(len(self.ids))
+            n = len(own)
+            if i is not None and n >= LEAST_WORDS:
+                bits = n.bit_length()
+                for turn in range(repetitions(min(bits, 6), edits, sampled, recall)):
+                    walks.setdefault((WINDOWS[bits > 4], turn), []).append(len(self.ids))
+                cuts = np.linspace(0, n, min(n, int(n * edits) + 1) + 1).astype(int).tolist()
+                for a, b in zip(cuts, cuts[1:]):
+                    pieces.setdefault(b - a, []).append((len(self.ids), a))
                 self.ids.append(i)
                 self.words.append(own)
                 masks: dict[int, int] = {}
                 for j, w in enumerate(own.tolist()):
                     masks[w] = masks.get(w, 0) | 1 << j
                 self.masks.append(masks)
-        self.tables = []
-        for size, members in sorted(sizes.items()):
-            for turn in range(walks):
-                walk = Walk(size, turn, sampled)
-                keys, item, offset = [], [], []
-                for k in members:
-                    own = self.words[k]
-                    many = len(own) - size + 1
-                    keys.append(walk.keys(np.append(own, np.zeros(walk.steps, np.uint64)))[:many])
-                    item.append(np.full(many, k))
-                    offset.append(np.arange(many))
-                keys = np.concatenate(keys)
-                order = np.argsort(keys, kind="stable")
-                bits = max(16, (64 * len(keys)).bit_length())
-                seen = np.zeros(1 << bits, bool)
-                seen[keys & np.uint32((1 << bits) - 1)] = True
-                self.tables.append((walk, keys[order], np.concatenate(item)[order], np.concatenate(offset)[order], seen))
+        self.lengths = np.array([len(w) for w in self.words], np.int64)
+        self.walks, self.pieces = [], []
+        for (size, turn), members in sorted(walks.items()):
+            walk = Walk(size, turn, sampled)
+            keys = [walk.keys(np.append(self.words[k], np.zeros(walk.steps, np.uint64)))[: len(self.words[k]) - size + 1] for k in members]
+            self.walks.append((walk, Table(keys, members, [np.arange(len(k)) for k in keys])))
+        for size, places in sorted(pieces.items()):
+            keys = [run_keys(self.words[k][a : a + size], size) for k, a in places]
+            self.pieces.append((size, Table(keys, [k for k, _ in places], [np.array([a]) for _, a in places])))
 
     def distance(self, k: int, text: list[int]) -> int:
         """The least number of words to insert, delete or replace that turn item ``k`` into some part of ``text``."""
@@ -125,25 +193,21 @@ class Index:
         """(row, item_id, distance, n_words, start) for each item within its allowed edits of some part of a row."""
         for row, end in slices(offsets, 1 << 18):
             sequence, rows = symbols(data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row])
-            found = []
-            for walk, keys, item, offset, seen in self.tables:
-                own = walk.keys(np.append(sequence, np.zeros(walk.steps, np.uint64)))[: len(sequence)]
-                at = np.flatnonzero(seen[own & np.uint32(len(seen) - 1)])
-                first, last = np.searchsorted(keys, own[at], "left"), np.searchsorted(keys, own[at], "right")
-                many = last - first
-                if many.sum():
-                    flat = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
-                    found.append(np.stack([np.repeat(np.searchsorted(rows, at, "right") - 1, many), item[flat], np.repeat(at, many) - offset[flat]]))
-            if not found:
+            met = [table.met(walk.keys(np.append(sequence, np.zeros(walk.steps, np.uint64)))[: len(sequence)]) for walk, table in self.walks]
+            met += [table.met(run_keys(sequence, size)) for size, table in self.pieces]
+            if not sum(len(m[0]) for m in met):
                 continue
+            place, item, begins = (np.concatenate(c) for c in zip(*met, strict=True))
+            text_of, mosts = np.searchsorted(rows, place, "right") - 1, (self.lengths * self.edits).astype(np.int64)
+            order = np.lexsort((begins, item, text_of))
+            found = np.stack([text_of, item, begins // (mosts[item] + 1), begins])[:, order]
+            first = np.ones(len(order), bool)
+            first[1:] = (found[:3, 1:] != found[:3, :-1]).any(axis=0)
             best: dict[tuple[int, int], tuple[int, int]] = {}
-            tried: set[tuple[int, int, int]] = set()
-            for k, i, begin in np.unique(np.concatenate(found, axis=1), axis=1).T.tolist():
-                n = len(self.words[i])
-                most = int(n * self.edits)
-                if (k, i, begin // (most + 1)) in tried or best.get((k, i), (1,))[0] == 0:
+            for k, i, _, begin in found[:, first].T.tolist():
+                if best.get((k, i), (1,))[0] == 0:
                     continue
-                tried.add((k, i, begin // (most + 1)))
+                n, most = len(self.words[i]), int(mosts[i])
                 low, high = max(int(rows[k]), begin - 2 * most - 1), min(int(rows[k + 1]), begin + n + 2 * most + 1)
                 text = sequence[low:high].tolist()
                 if sum(map(self.masks[i].__contains__, text)) < n - most:

@@ -177,6 +177,25 @@ def test_leaks(spark):
     assert decontaminate.leaks(df, bench.where("false")).count() == 0
 
 
+def test_leaks_at_all_allowed_edits():
+    r = random.Random(13)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    items, texts = [], []
+    for k, n in enumerate(n for n in (5, 8, 9, 10, 15, 16, 17, 20, 40) for _ in range(60)):
+        items.append((k, " ".join(word() for _ in range(n))))
+        words = items[-1][1].split()
+        for _ in range(n // 5):
+            kind, at = r.choice(["replace", "insert", "delete"]), r.randrange(len(words))
+            words[at : at + (kind != "insert")] = [] if kind == "delete" else [word()]
+        texts.append(" ".join([word() for _ in range(r.randrange(40))] + words + [word() for _ in range(r.randrange(40))]))
+    index = decontaminate.Index(items)
+    data = utf8(pa.array(texts))
+    assert {(k, i) for k, i, *_ in index.leaks(*data)} == {(k, k) for k in range(len(texts))}
+    index.pieces = []  # what walks find by themselves
+    got = [k for k, *_ in index.leaks(*data)]
+    assert min(sum(k // 60 == c for k in got) for c in range(9)) >= 0.9 * 60
+
+
 def test_edit_distance_is_exact():
     r = random.Random(8)
 
