@@ -15,6 +15,7 @@ from __future__ import annotations
 import html
 import re
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +35,42 @@ INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "dat
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}} | {t: {"p"} for t in ("p", "div", "article", "section", "header", "footer", "nav", "aside", "main", "ul", "ol", "dl", "table", "form", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "hr", "figure", "address", "fieldset")}
 BOILERPLATE = {"nav", "footer", "aside", "form", "header", "menu", "dialog", "button", "fieldset"}
 CONTENT = {"article", "main"}
-BAD_NAME = re.compile(r"(?:^|[^a-z])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|cookies?\w*|consent|notices?|popup|modal|nav\w*|menu\w*|breadcrumbs?|foot\w*|header|masthead|side\w*|widget\w*|related|recommend\w*|share|social|comment\w*|disqus|repl(?:y|ies)|respond|subscri\w*|newsletter|sign\w*|login|search|form|toolbar|pagination|pager|copyright|legal|disclaimer|alert|hidden|skip|tags?|rail|teaser\w*)(?:$|[^a-z])")
+#: Parts of a class token or id that tell boilerplate.
+BAD_NAME = re.compile(r"ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|cookies?\w*|consent|notices?|popup|modal|nav\w*|menu\w*|breadcrumbs?|foot\w*|header|masthead|side\w*|widget\w*|related|recommend\w*|share|social|comment\w*|disqus|repl(?:y|ies)|respond|subscri\w*|newsletter|sign\w*|login|search|form|toolbar|pagination|pager|copyright|legal|disclaimer|alert|hidden|skip|tags?|rail|teaser\w*")
 GOOD_NAME = re.compile(r"(?:^|[^a-z])(?:article\w*|content\w*|post|entry|story|main|body|text|prose|chapter)(?:$|[^a-z])")
+#: Tokens that name nothing but content: they hold against bad names of the elements around.
+OWN_NAME = re.compile(r"(?:article|content|post|entry|story|main|prose|chapter)s?(?:[-_](?:article|content|post|entry|story|main|body|text))*")
+#: Parts of tokens that tell a page's layout or state (has-sidebar, comments-open), not what the element is.
+STATE = {"has", "no", "not", "with", "without", "layout", "open", "opened", "closed", "enabled", "disabled", "allowed"}
+#: Tokens that tell a page's subjects (tag-politics), unless they end in what a list of such is called.
+SUBJECT = re.compile(r"(?:tag|category|cat|term|topic|author)[-_](?!.*(?:list|cloud|links?|menu|nav|bar|box|widget)$).+")
+#: What can be in the head; any other start tag ends it.
+HEAD = {"html", "head", "title", "meta", "link", "base", "style", "script", "noscript", "template", "basefont", "bgsound", "noframes"}
 FEATURES = 14
 
 
+@lru_cache(maxsize=1 << 14)
+def told_by(names: str) -> int:
+    """-1 where a token of a class, id or the like names boilerplate, else 1 where one names nothing but content, else 0."""
+    tokens = names.split()
+    for token in tokens:
+        parts = re.split("[^a-z]+", token)
+        if not SUBJECT.fullmatch(token) and STATE.isdisjoint(parts) and any(map(BAD_NAME.fullmatch, parts)):
+            return -1
+    return int(any(map(OWN_NAME.fullmatch, tokens)))
+
+
+def under_bad_name(path: tuple, hidden: bool = False) -> bool:
+    """Whether the innermost element whose name tells says boilerplate; an article or main element without bad name says content."""
+    for _, t, n in reversed(path):
+        told = told_by(n)
+        if told < 0:
+            return True
+        if told > 0 or (t in CONTENT and not hidden):
+            return False
+    return False
+
+
 @dataclass
 class Block:
     """A run of text between block-level tags."""
@@ -107,7 +139,7 @@ def blocks(page: str) -> list[tuple[str, tuple, float]]:
             continue
         if name == "head":
             head = True
-        elif name == "body":
+        elif name not in HEAD:
             head = False
         if name == "br":
             add(" ")
@@ -129,7 +161,8 @@ def blocks(page: str) -> list[tuple[str, tuple, float]]:
                         break
         if m[0].endswith("/>"):
             continue
-        names = " ".join(x for a in _ATTRIBUTE.finditer(m[3]) if a[1].lower() in ("class", "id", "role", "aria-label", "itemprop", "hidden") for x in (a[2] or a[3] or a[4] or "",)).lower()
+        # Names of the whole page tell its layout.
+        names = "" if name in ("html", "body") else " ".join(x for a in _ATTRIBUTE.finditer(m[3]) if a[1].lower() in ("class", "id", "role", "aria-label", "itemprop", "hidden") for x in (a[2] or a[3] or a[4] or "",)).lower()
         number += 1
         stack.append((number, name, names))
         links += name == "a"
@@ -147,7 +180,7 @@ def features(page: list[tuple[str, tuple, float]], hidden: bool = False) -> np.n
         last = path[-1][1] if path else ""
         inside = False  # the innermost element that tells says content
         for _, t, n in reversed(path):
-            if (t in BOILERPLATE and not hidden) or BAD_NAME.search(n):
+            if (t in BOILERPLATE and not hidden) or told_by(n) < 0:
                 break
             if (t in CONTENT and not hidden) or GOOD_NAME.search(n):
                 inside = True
@@ -156,7 +189,7 @@ def features(page: list[tuple[str, tuple, float]], hidden: bool = False) -> np.n
             1,
             inside,
             any(t in BOILERPLATE for t in tags),
-            any(BAD_NAME.search(n) is not None for n in names),
+            under_bad_name(path, hidden),
             any(GOOD_NAME.search(n) is not None for n in names),
             linked,
             linked > 0.5,
@@ -172,10 +205,10 @@ def features(page: list[tuple[str, tuple, float]], hidden: bool = False) -> np.n
 
 
 def semantic_labels(page: list[tuple[str, tuple, float]]) -> list[int]:
-    """1 in an article or main element, 0 in an element or under a name of boilerplate, -1 where neither is told."""
+    """1 in an article or main element, 0 in an element of boilerplate or where the innermost telling name says so, -1 where neither is told."""
     out = []
     for _, path, _ in page:
-        bad = any(e[1] in BOILERPLATE or (e[2] and BAD_NAME.search(e[2])) for e in path)
+        bad = any(e[1] in BOILERPLATE for e in path) or under_bad_name(path)
         out.append(0 if bad else 1 if any(e[1] in CONTENT for e in path) else -1)
     return out
 

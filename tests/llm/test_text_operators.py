@@ -302,6 +302,26 @@ def test_html(spark, small):
     assert [got[k]["text"] for k in (2, 3, 5)] == ["", "", ""] and all(r["n_chars"] == len(r["text"]) for r in got.values())
 
 
+def test_html_names_of_layout_and_subjects(spark, small):
+    weights = html_text.learned(spark.read.parquet(f"{small}/pages.parquet"))
+    short, long = "Ten words are in this short paragraph of an article.", "A paragraph with many more words, " * 8 + "ends here."
+    text = f"<h1>Title of it</h1><p>{short}</p><p>{long}</p>"
+    expected = f"Title of it {short} {long}"
+    for page in (
+        f"<body><article class='post category-news tag-politics'>{text}</article></body>",
+        f"<body class='home has-sidebar'><nav><a href=x>Home</a></nav><article>{text}</article></body>",
+        f"<body><div class='layout-with-sidebar'><main>{text}</main><div class='sidebar widget-area'><p>Other texts</p></div></div></body>",
+        f"<div class='wrap no-sidebar comments-open'><article>{text}</article><div class='tag-list'><a href=y>politics</a></div></div>",
+        f"<div id=sidebar-page><div class='entry-content'>{text}</div></div>",
+        f"<html><head><meta charset=utf-8><title>no</title><article>{text}</article>",
+    ):
+        assert html_text.main_text(page, weights) == expected
+        assert 0 not in [label for (t, _, _), label in zip(html_text.blocks(page), html_text.semantic_labels(html_text.blocks(page)), strict=True) if t in expected]
+    for name in ("ad", "cookie-notice", "site-footer", "post-tags", "comment-body", "tag-cloud", "widget-content", "wp-block-search", "sidebar1"):
+        page = f"<main><p>{long}</p><div class='{name}'><p>{long.upper()}</p></div></main>"
+        assert html_text.main_text(page, weights) == long
+
+
 def test_minimum_cut_against_all_labellings():
     r = random.Random(0)
     for _ in range(150):
