@@ -252,6 +252,33 @@ def test_network_finds_unlabelled_secrets():
     assert np.mean((net.scores(x[400:]) >= net.threshold) == y[400:]) > 0.95
 
 
+def test_network_scores_every_candidate_to_its_end():
+    r = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    key = lambda signs, n: "".join(r.choice(signs) for _ in range(n))
+    words = ["international", "development", "understanding", "infrastructure", "documentation", "administration", "configuration"]
+    path = lambda n: "/".join(r.choice(words) for _ in range(n))
+    rows = [key(letters + "0123456789", r.choice([12, 16, 24, 32])) if k % 2 else path(r.choice([1, 2, 3, 9])) for k in range(1000)]
+    seen, labels = [], []
+    for part, own, _, (k, s, e) in secrets.found(*utf8(pa.array([f"here is {x} as text" for x in rows]))):
+        seen.append(secrets.windows(part, own, k, s, e))
+        labels += [i % 2 for i in k.tolist()]
+    net = secrets.train(np.concatenate(seen), np.array(labels))
+    net.threshold = 0.5
+
+    def share(texts):
+        return np.mean([any(kind == 3 for kind, _, _ in places) for _, places in secrets._places(*utf8(pa.array(texts)), net)])
+
+    assert share([f"here is {key(letters, 16)} as text" for _ in range(100)]) > 0.9
+    assert share([f"here is {path(9)}/{key(letters + '0123456789', 24)} as text" for _ in range(100)]) > 0.9
+    assert share([f"here is {path(9)} as text" for _ in range(100)]) < 0.1
+    part, own, _, (k, s, e) = next(secrets.found(*utf8(pa.array(["x" * 12, "y" * 44, "z" * 45, "w" * 200, "a" * 60 + "." + "b" * 12 + "-c"]))))
+    whose, low, high = secrets.pieces(part, own, s, e)
+    assert ((high - low <= secrets.INSIDE) & (s[whose] <= low) & (high <= e[whose])).all()
+    for c in range(len(s)):
+        assert set(range(s[c], e[c])) == {b for w, a, z in zip(whose, low, high, strict=True) if w == c for b in range(a, z)}
+
+
 # op8
 
 
