@@ -1,6 +1,8 @@
 """Benchmark decontamination: a CGK random walk turns edit distance into Hamming distance, bit sampling finds candidates.
 
-Texts and benchmark items are sequences of words (ASCII lower case, without punctuation). From every word of a text a walk
+Texts and benchmark items are sequences of words (ASCII lower case, without punctuation); in scripts that are written without
+spaces (Chinese, Japanese, Thai, Lao, Khmer, Burmese, Tibetan) each character is a word. Items of under five words are found
+by exact match of all their words. From every word of a text a walk
 of fixed length copies the word under it at each step and moves on or stays by a random bit of step and word; two sequences
 with few edits give walks that differ in few places. The words at a few sampled steps are the key of a window. Keys of
 item-sized windows, from every word of the texts and of the items, are compared for several independent walks, and every
@@ -26,7 +28,7 @@ _GAP = np.ones(256, bool)
 _GAP[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-#: Items with fewer words are too short to tell a leak from chance and are never reported.
+#: Items with fewer words are too short to tell an edited leak from chance: all their words must be there, as they are.
 LEAST_WORDS = 5
 #: Words of a window, for items under 16 words and for all others: an item has several windows, and edits miss some of them.
 WINDOWS = (4, 8)
@@ -34,10 +36,41 @@ WINDOWS = (4, 8)
 MOST_WALKS = 64
 
 
+#: Code points, first and last, of letters that are written without spaces, and of their punctuation.
+_SPACELESS = [(0x0E01, 0x0EFF), (0x0F40, 0x0FBC), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3021, 0x3029), (0x3031, 0x3035), (0x3041, 0x30FA), (0x30FC, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA9E0, 0xA9FF), (0xAA60, 0xAA7F), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1B000, 0x1B16F), (0x20000, 0x3FFFF)]
+_MARKS = [(0x0E2F, 0x0E2F), (0x0E4F, 0x0E4F), (0x0E5A, 0x0E5B), (0x104A, 0x104F), (0x17D4, 0x17DA), (0x3000, 0x3004), (0x3008, 0x3020), (0x3030, 0x3030), (0x30FB, 0x30FB), (0xFF01, 0xFF0F), (0xFF1A, 0xFF20), (0xFF3B, 0xFF40), (0xFF5B, 0xFF65), (0x0F0B, 0x0F14)]
+
+
+def _within(points: np.ndarray, ranges: list[tuple[int, int]]) -> np.ndarray:
+    out = np.zeros(len(points), bool)
+    for low, high in ranges:
+        out |= (points >= low) & (points <= high)
+    return out
+
+
 def symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of a range of rows, and the offsets of the rows in them."""
     part = _LOWER[data]
-    starts, ends, rows = spans(_GAP[part], offsets)
+    gap = _GAP[part]
+    starts, ends, rows = spans(gap, offsets)
+    # Letters without spaces have three bytes from E0 (Thai) on, or four; most texts have none.
+    wide = np.flatnonzero(part >= 0xE0)
+    if len(wide):
+        padded = np.append(part, np.zeros(3, np.uint8)).astype(np.int64)
+        lead, b, c, d = (padded[wide + k] for k in range(4))
+        points = np.where(lead < 0xF0, (lead & 15) << 12 | (b & 63) << 6 | c & 63, (lead & 7) << 18 | (b & 63) << 12 | (c & 63) << 6 | d & 63)
+        size = np.where(lead < 0xF0, 3, 4)
+        mark = _within(points, _MARKS)
+        alone = _within(points, _SPACELESS) & ~mark
+        if mark.any() or alone.any():
+            for k in range(4):
+                gap[wide[mark & (size > k)] + k] = True
+            starts, ends, _ = spans(gap, offsets)
+            # Words are cut before and after each of these letters.
+            cuts = np.concatenate([wide[alone], (wide + size)[alone]])
+            starts = np.union1d(starts, cuts[~np.append(gap, True)[cuts]])
+            ends = np.union1d(ends, cuts[~np.append(True, gap)[cuts]])
+            rows = np.searchsorted(starts, offsets)
     return hashed(part, starts, ends), rows
 
 
@@ -147,11 +180,12 @@ class Index:
         for k, (i, _) in enumerate(items):
             own = sequence[rows[k] : rows[k + 1]]
             n = len(own)
-            if i is not None and n >= LEAST_WORDS:
+            if i is not None and n:
                 bits = n.bit_length()
-                for turn in range(repetitions(min(bits, 6), edits, sampled, recall)):
+                most = int(n * edits) if n >= LEAST_WORDS else 0
+                for turn in range(repetitions(min(bits, 6), edits, sampled, recall) if n >= LEAST_WORDS else 0):
                     walks.setdefault((WINDOWS[bits > 4], turn), []).append(len(self.ids))
-                cuts = np.linspace(0, n, min(n, int(n * edits) + 1) + 1).astype(int).tolist()
+                cuts = np.linspace(0, n, min(n, most + 1) + 1).astype(int).tolist()
                 for a, b in zip(cuts, cuts[1:]):
                     pieces.setdefault(b - a, []).append((len(self.ids), a))
                 self.ids.append(i)
@@ -160,7 +194,8 @@ class Index:
                 for j, w in enumerate(own.tolist()):
                     masks[w] = masks.get(w, 0) | 1 << j
                 self.masks.append(masks)
-        self.lengths = np.array([len(w) for w in self.words], np.int64)
+        lengths = np.array([len(w) for w in self.words], np.int64)
+        self.mosts = np.where(lengths < LEAST_WORDS, 0, (lengths * edits).astype(np.int64))
         self.walks, self.pieces = [], []
         for (size, turn), members in sorted(walks.items()):
             walk = Walk(size, turn, sampled)
@@ -198,7 +233,7 @@ class Index:
             if not sum(len(m[0]) for m in met):
                 continue
             place, item, begins = (np.concatenate(c) for c in zip(*met, strict=True))
-            text_of, mosts = np.searchsorted(rows, place, "right") - 1, (self.lengths * self.edits).astype(np.int64)
+            text_of, mosts = np.searchsorted(rows, place, "right") - 1, self.mosts
             order = np.lexsort((begins, item, text_of))
             found = np.stack([text_of, item, begins // (mosts[item] + 1), begins])[:, order]
             first = np.ones(len(order), bool)
@@ -231,7 +266,8 @@ def leaks(docs: DataFrame, items: DataFrame, edits: float = 0.2) -> DataFrame:
 
     An item leaks if at most ``edits`` of its words must be inserted, deleted or replaced to turn it into some part of
     the text; distance is that number and start_word about where the part begins. Whole texts, at every word. Null or
-    empty texts hold no leak, null item_ids or texts and items under five words name none; repeated rows are searched
+    empty texts hold no leak, null item_ids or texts and items without words name none; items
+    under five words leak where all their words stand in a row; repeated rows are searched
     alike, and other columns are ignored.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -196,6 +196,20 @@ def test_leaks_at_all_allowed_edits():
     assert min(sum(k // 60 == c for k in got) for c in range(9)) >= 0.9 * 60
 
 
+def test_leaks_of_short_items_and_without_spaces():
+    items = ["two words", "", "光合作用是植物利用阳光的过程。它发生在叶绿体中。", "ภาษาไทยไม่มีช่องว่าง", "水曜日", "日本 の首都は東京です"]
+    texts = [
+        "Here are two words.", "two other words", "前文光合作用是植物利用日光的过程，它发生在叶绿体中后文", "光合作用是动物的故事",
+        "xภาษาไทยไม่มีช่องว่างค", "次の水曜日です", "水x曜日", "Tokyo日本の首都は東京です", "naïve two–words", None, "",
+    ]
+    index = decontaminate.Index(list(enumerate(items)))
+    got = {(k, i) for k, i, *_ in index.leaks(*utf8(pa.array(texts)))}
+    assert got == {(0, 0), (2, 2), (4, 3), (5, 4), (7, 5)}, got
+    for text, words in (("ab漢字cd", 4), ("漢", 1), ("漢。字", 2), ("é漢 ü", 3), ("한국어 문장", 2), ("𠀀𠀁a", 3), ("a b", 2)):
+        sequence, rows = decontaminate.symbols(*utf8(pa.array(["x", text, "漢y"])))
+        assert rows.tolist() == [0, 1, 1 + words, 3 + words] and len(sequence) == 3 + words
+
+
 def test_edit_distance_is_exact():
     r = random.Random(8)
 
