@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,20 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir`` of the session.
-
-    Where it is unset (tests), a local session gets a temporary folder; on a cluster that is an error.
-    """
-    sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if folder:
-        return folder.rstrip("/")
-    if not sc.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return sc.getCheckpointDir().rstrip("/")
+from ..sources.folders import shared as shared_dir
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -49,15 +35,18 @@ def sampled(df: DataFrame, key: str, most: int) -> DataFrame:
     return df.join(F.broadcast(chosen), key, "left_semi").orderBy(F.xxhash64(key), key).limit(most)
 
 
-def batched(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """``df`` as it is, in a session that hands Python at most ``rows`` rows at once: whole texts can be long.
+def parts(batches: Iterable[pa.RecordBatch], *columns: int, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in batches with about ``most`` bytes in these text columns; a longer row is one of its own.
 
-    The session's own number stays where it is smaller.
+    Spark bounds what it hands to Python at once by spark.sql.execution.arrow.maxBytesPerBatch; work arrays and results are
+    larger than texts, so they are made for a part at a time. No setting of the session is changed.
     """
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key)) <= rows:
-        conf.set(key, rows)
-    return df
+    for batch in batches:
+        size = np.ones(batch.num_rows, np.int64)
+        for k in columns:
+            size += pc.fill_null(pc.binary_length(batch.column(k)), 0).to_numpy(zero_copy_only=False)
+        for row, end in slices(np.append(0, np.cumsum(size)), most):
+            yield batch.slice(row, end - row)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

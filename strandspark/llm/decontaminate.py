@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batched, hashed, mix64, slices, spans, table, utf8
+from .common import hashed, mix64, parts, slices, spans, table, utf8
 
 _GAP = np.ones(256, bool)
 _GAP[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -276,13 +276,13 @@ def leaks(docs: DataFrame, items: DataFrame, edits: float = 0.2) -> DataFrame:
         sent = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches, sent=sent):
-            for batch in batches:
+            for batch in parts(batches, 1):
                 hits = list(sent.value.leaks(*utf8(batch.column(1))))
                 columns = list(zip(*hits, strict=True)) or [()] * 5
                 ids = batch.column(0).take(pa.array(columns[0], pa.int64()))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int32()), pa.array(columns[4], pa.int64())], ["doc_id", "item_id", "distance", "n_words", "start_word"])
 
-        own = batched(texts).mapInArrow(run, schema)
+        own = texts.mapInArrow(run, schema)
         out = own if out is None else out.unionByName(own)
     return out
 
@@ -294,12 +294,12 @@ def decontaminated(docs: DataFrame, items: DataFrame, edits: float = 0.2) -> Dat
         sent = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches, sent=sent):
-            for batch in batches:
+            for batch in parts(batches, column):
                 keep = np.ones(batch.num_rows, bool)
                 keep[[hit[0] for hit in sent.value.leaks(*utf8(batch.column(column)))]] = False
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
-        docs = batched(docs).mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(run, docs.schema)
     return docs
 
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batched, mix64, slices, table, utf8
+from .common import mix64, slices, table, utf8
 
 LEAST, USUAL, MOST = 8, 24, 96
 _GEAR = (mix64(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
@@ -170,13 +170,13 @@ def fingerprinted(docs: DataFrame, rows_each: int = 10_000) -> DataFrame:
     first = slim.groupBy("bucket").agg(F.min(order).alias("first")).select("bucket", "first.*").collect()
     first = sorted(((r["bucket"], r["no"], r["down"], r["h"]) for r in first), key=lambda r: r[0])
     if not first:
-        return batched(slim).mapInArrow(_compared_columns, _SCHEMA)
+        return slim.mapInArrow(_compared_columns, _SCHEMA)
     moved = docs.sparkSession.createDataFrame([(b, first[k - 1][0], n, d, h) for k, (b, n, d, h) in enumerate(first)], "bucket long, before long, no boolean, down long, h long")
     keyed = slim.withColumn("order", order).select("bucket", "doc_id", "text", "order.*")
     heads = keyed.join(F.broadcast(moved), (keyed.bucket == moved.bucket) & (keyed.h == moved.h) & keyed.down.eqNullSafe(moved.down)).select(moved.before.alias("bucket"), "doc_id", "text").groupBy("bucket").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
     both = keyed.select("bucket", "doc_id", "text", F.lit(False).alias("extra"), "no", "down", "h").unionByName(heads.select("bucket", "doc_id", "text", F.lit(True).alias("extra"), F.lit(True).alias("no"), F.lit(None).cast("long").alias("down"), F.lit(None).cast("long").alias("h")))
     dealt = both.repartition(parts, "bucket").sortWithinPartitions("bucket", "extra", "no", "down", "h", "text")
-    return batched(dealt.select("bucket", "doc_id", "text", "extra")).mapInArrow(_compared, _SCHEMA)
+    return dealt.select("bucket", "doc_id", "text", "extra").mapInArrow(_compared, _SCHEMA)
 
 
 _SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

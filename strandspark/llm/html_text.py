@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batched, sampled, table
+from .common import parts, sampled, table
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
@@ -322,7 +322,7 @@ def main_text(page: str, weights: np.ndarray, near: float = 0.4, kin: float = 0.
 
 
 def _examples(batches):
-    for batch in batches:
+    for batch in parts(batches, 0):
         x, y = [], []
         for page in batch.column(0).to_pylist():
             found = blocks(page or "")
@@ -337,7 +337,7 @@ def _examples(batches):
 def learned(pages: DataFrame, sample: int = 300) -> np.ndarray:
     """Classifier weights from the blocks of ``sample`` pages, those with the smallest hashes of page_id: the bound of the sample."""
     chosen = sampled(pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html")), "page_id", sample)
-    rows = batched(chosen.select("html")).mapInArrow(_examples, "x array<double>, y int").collect()
+    rows = chosen.select("html").mapInArrow(_examples, "x array<double>, y int").collect()
     return train(np.array([r["x"] for r in rows], np.float64).reshape(len(rows), FEATURES), np.array([r["y"] for r in rows], np.float64))
 
 
@@ -349,11 +349,12 @@ def extracted(pages: DataFrame, weights: np.ndarray) -> DataFrame:
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches, 2):
             text = [main_text(page or "", weights) for page in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return batched(pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))).mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    slim = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    return slim.mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

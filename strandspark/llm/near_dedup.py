@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batched, hashed, mix64, slices, spans, table, utf8, written
+from .common import hashed, mix64, parts, slices, spans, table, utf8, written
 
 #: Space, tab, line feed, vertical tab, form feed, carriage return: what ends a word.
 _GAP = np.zeros(256, bool)
@@ -78,7 +78,7 @@ def _signed(width: int, bands: int, rows: int):
     salt = mix64(np.arange(1, bands + 1, dtype=np.uint64))
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches, 1):
             data, offsets = utf8(batch.column(1))
             n, one, two, own = [], [], [], []
             for s in shingle_sets(data, offsets, width):
@@ -105,7 +105,7 @@ def _signed(width: int, bands: int, rows: int):
 
 def _sets(width: int):
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches, 1):
             sets = [s.view(np.int64) for s in shingle_sets(*utf8(batch.column(1)), width)]
             offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
             flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
@@ -118,7 +118,7 @@ def _agreeing(width: int, percent: int):
     """Pairs of texts whose sets have 100 * intersection >= percent * union, by the full sets."""
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches, 2, 3):
             sets = [list(shingle_sets(*utf8(batch.column(k)), width)) for k in (2, 3)]
             keep = []
             for a, b in zip(*sets, strict=True):
@@ -165,7 +165,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     doc_id count as one document. Repeated texts collapse before any comparison. Other columns are ignored.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = written(batched(texts).mapInArrow(_signed(width, bands, rows), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"), "signatures")
+    signed = written(texts.mapInArrow(_signed(width, bands, rows), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"), "signatures")
     named = signed.where("set_a is not null and doc_id is not null")
     classes = written(named.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
     keyed = named.join(classes.select(F.col("rep").alias("doc_id"), "set_a", "set_b"), ["doc_id", "set_a", "set_b"], "left_semi").select("doc_id", "n_shingles", F.explode("bands").alias("key"))
@@ -176,7 +176,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         a, b = (their.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
-        return written(batched(pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")).mapInArrow(_agreeing(width, percent), "a long, b long"), "links")
+        return written(pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_agreeing(width, percent), "a long, b long"), "links")
 
     near = lambda x, y: (F.least(x, y) * 100 >= F.greatest(x, y) * percent)  # noqa: E731  what the sizes alone allow
     leaders = members.groupBy("key").agg(F.min(F.struct("node", "n")).alias("leader")).select("key", F.col("leader.node").alias("a"), F.col("leader.n").alias("n_a"))
@@ -206,7 +206,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     pairs = [across(held.where(~many))]
     tangled = written(held.where(many).select("node", "n", "component").distinct(), "tangled")
     if not tangled.isEmpty():
-        each = batched(their.join(tangled, their.doc_id == tangled.node, "left_semi")).mapInArrow(_sets(width), "node long, shingles array<long>")
+        each = their.join(tangled, their.doc_id == tangled.node, "left_semi").mapInArrow(_sets(width), "node long, shingles array<long>")
         each = written(each.select("node", F.explode("shingles").alias("key")), "shingles")
         ordered = each.join(each.groupBy("key").agg(F.count("*").alias("had")), "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("had", "key"))).alias("rarest"))
         prefix = ordered.join(tangled, "node").withColumn("rarest", F.expr(f"slice(rarest, 1, int(n - ceil(n * {percent} / 100) + 1))"))

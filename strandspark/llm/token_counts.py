@@ -19,12 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import pretokens, strings
-from .common import batched, table, utf8
-from .subwords import Chunked, vocabulary
+from .common import parts, table, utf8
+from .subwords import Chunked, distinct, pretokens, vocabulary
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _NEVER = np.int64(-(1 << 60))
+#: Words with more bytes are no part of the trie.
+LONG = 256
 
 
 class Pieces:
@@ -51,44 +52,97 @@ class Pieces:
         self.scores = np.array(list(best.values()), np.int64)[order]
         if (self.hashes[1:] == self.hashes[:-1]).any():
             raise ValueError("two pieces have one hash")
-
-    def counts(self, words: list[bytes]) -> np.ndarray:
-        """How many pieces each word's best segmentation has; 0 for the empty word."""
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        begin = np.cumsum(size) - size
-        flat = np.frombuffer(b"".join(words), np.uint8)
-        out = np.zeros(len(words), np.int64)
+        self.sizes = set(map(len, best))
+        self.seen = np.zeros(1 << 20, bool)
+        self.seen[self.hashes & np.uint64(len(self.seen) - 1)] = True
+
+    def counts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """How many pieces each row's best segmentation has; 0 for the empty row."""
+        size = np.diff(offsets)
+        out = np.zeros(len(size), np.int64)
+        for k in np.flatnonzero(size > LONG):
+            out[k] = self.of_long(data[offsets[k] : offsets[k + 1]])
+        short = np.flatnonzero(size <= LONG)
+        size, begin = size[short], offsets[:-1][short]
         order = np.argsort(-size, kind="stable")  # the words that reach a depth come first
         reach = np.searchsorted(-size[order], -np.arange(size.max(initial=0) + 1), side="right")
-        node = np.zeros(len(words), np.int64)  # of each word, in that order, at the level before
+        node = np.zeros(len(size), np.int64)  # of each word, in that order, at the level before
         # The forward value of a node: its score times 2**20 less its pieces, so that fewer pieces win among equals.
-        values = [np.zeros(1, np.int64)]
+        value = np.zeros(1, np.int64)
         hashes = np.zeros((1, 0), np.uint64)
         above = np.zeros((1, 0), np.int64)  # values of the nodes above each node, the nearest first
         for depth in range(1, len(reach)):
             words_here = order[: reach[depth]]
-            letter = flat[begin[words_here] + depth - 1].astype(np.int64)
+            letter = data[begin[words_here] + depth - 1].astype(np.int64)
             found, node = np.unique(node[: reach[depth]] * 256 + letter, return_inverse=True)
             parent, letter = found >> 8, (found & 255).astype(np.uint64) + np.uint64(1)
             hashes = np.concatenate([letter[:, None], hashes[parent][:, : self.longest - 1] * _BASE + letter[:, None]], axis=1)
-            above = np.concatenate([values[-1][parent][:, None], above[parent][:, : self.longest - 1]], axis=1)
-            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-            value = np.where(self.hashes[at] == hashes, above + (self.scores[at] << 20) - 1, _NEVER).max(axis=1)
-            values = [value]
+            above = np.concatenate([value[parent][:, None], above[parent][:, : self.longest - 1]], axis=1)
+            value = np.full(len(found), _NEVER)
+            row, column, score = self._known(hashes)
+            np.maximum.at(value, row, above[row, column] + (score << 20) - 1)
             ended = size[words_here] == depth
-            out[words_here[ended]] = -value[node[ended]] & ((1 << 20) - 1)
+            out[short[words_here[ended]]] = -value[node[ended]] & ((1 << 20) - 1)
         return out
 
+    def _known(self, hashes: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The places of ``hashes`` that are pieces, and their scores. A bit map keeps most others from the search."""
+        at = np.nonzero(self.seen[hashes & np.uint64(len(self.seen) - 1)])
+        found = np.minimum(np.searchsorted(self.hashes, hashes[at]), len(self.hashes) - 1)
+        hit = self.hashes[found] == hashes[at]
+        return (*(x[hit] for x in at), self.scores[found[hit]])
+
+    def of_long(self, word: np.ndarray, most: int = 1 << 16) -> int:
+        """The same for one long word, which shares little with others: its prefixes are one path, in stretches of ``most``.
+
+        Scores and pieces are whole numbers without a bound.
+        """
+        keep = self.longest
+        scores, counts = [0], [0]  # of the last prefixes, the nearest last
+        for start in range(0, len(word), most):
+            low = max(0, start - keep)
+            letters = word[low : start + most].astype(np.uint64) + np.uint64(1)
+            rolled, ends, sizes, values = np.zeros(len(letters), np.uint64), [], [], []
+            power = 1
+            for n in range(1, keep + 1):
+                m = len(letters) - n + 1
+                if m <= 0:
+                    break
+                # The hash of the n bytes before an end, first byte first: that of n - 1 bytes, one byte further in front.
+                rolled = letters[:m] * np.uint64(power) + rolled[1 : m + 1] if n > 1 else letters.copy()
+                power = power * int(_BASE) % (1 << 64)
+                if n in self.sizes:
+                    place, score = self._known(rolled)
+                    ends.append(place + n)
+                    sizes.append(np.full(len(place), n))
+                    values.append(score)
+            ends, sizes, values = (np.concatenate(x) for x in (ends, sizes, values))
+            own = ends > start - low
+            order = np.argsort(ends[own], kind="stable")
+            ends, sizes, values = (x[own][order].tolist() for x in (ends, sizes, values))
+            k, many = 0, len(ends)
+            for end in range(start - low + 1, len(letters) + 1):
+                best, pieces = None, 0
+                while k < many and ends[k] == end:
+                    s, c = scores[-sizes[k]] + values[k], counts[-sizes[k]] + 1
+                    if best is None or s > best or (s == best and c < pieces):
+                        best, pieces = s, c
+                    k += 1
+                scores.append(best)
+                counts.append(pieces)
+            scores, counts = scores[-keep:], counts[-keep:]
+        return counts[-1]
+
 
 @lru_cache(maxsize=4)
 def counter(path: str) -> Chunked:
     pieces = Pieces(path)
 
-    def encode(chunks: list[str]):
-        split = [pretokens(c) for c in chunks]
-        distinct = {p: k for k, p in enumerate(dict.fromkeys(p for own in split for p in own))}
-        n = pieces.counts([p.encode() for p in distinct]).tolist()
-        return (np.uint32(sum([n[distinct[p]] for p in own])).tobytes() for own in split)
+    def encode(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        starts, owners = pretokens(data, offsets)
+        own, own_offsets, which = distinct(data, starts, len(data))
+        n = np.append(0, np.cumsum(pieces.counts(own, own_offsets)[which]))[owners]
+        return np.diff(n), np.ones(len(n) - 1, np.int64)
 
     return Chunked(encode, {})
 
@@ -96,21 +150,20 @@ def counter(path: str) -> Chunked:
 def _counted(path: str):
     def run(batches):
         chunked = counter(path)
-        for batch in batches:
-            n = [int(np.frombuffer(c, "<u4").sum()) for texts in strings(*utf8(batch.column(1))) for c in chunked.ids(texts)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["doc_id", "n_tokens"])
+        for batch in parts(batches, 1):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(chunked.counts(*utf8(batch.column(1))), pa.int64())], ["doc_id", "n_tokens"])
 
     return run
 
 
 def token_counts(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n_tokens) of every row of ``docs`` (doc_id, text, ...), whole texts of any length.
+    """(doc_id, n_tokens) of every row of ``docs`` (doc_id, text, ...), whole texts and pre-tokens of any length.
 
-    Null and empty texts have none; single bytes are pieces, so every text has a count. A pre-token may have up to 2**20
-    pieces. Repeated rows count alike; other columns are ignored.
+    Null and empty texts have none; single bytes are pieces, so every text has a count. Null doc_ids stay null, repeated rows
+    count alike; other columns are ignored; an empty table gives an empty result.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return batched(texts).mapInArrow(_counted(path), "doc_id long, n_tokens long")
+    return texts.mapInArrow(_counted(path), "doc_id long, n_tokens long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

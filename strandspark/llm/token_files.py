@@ -2,8 +2,8 @@
 
 The dictionary is trained on the serialized ids of a bounded sample and stored once beside the files; each file keeps its
 hash. A file is ``TIDS1``, the hash, the width of an id (2 or 4 bytes, little-endian), frames in ascending doc_id order,
-then for each document doc_id, number of ids and offset of its frame, and at the very end the number of documents and
-where the index begins. So one document is read by its index entry and its frame alone.
+then for each document doc_id, number of ids and offset of its frame (negative where the doc_id is null), and at the very end
+the number of documents and where the index begins. So one document is read by its index entry and its frame alone.
 
 Tasks write whole files under names that depend on the data alone and move them into place, so a repeated task or a lost
 executor leaves the same files. The folder is in the shared file system, by its URI.
@@ -13,9 +13,11 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import struct
 import uuid
 import zlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -27,9 +29,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import strings
-from .common import batched, sampled, shared_dir, table, utf8, written
-from .subwords import Chunked, vocabulary
+from .bpe import by_pretokens
+from .common import parts, sampled, shared_dir, slices, table, utf8, written
+from .subwords import Chunked, byte_characters
 
 MAGIC = b"TIDS1"
 _HEAD, _TAIL = struct.Struct("<5s32sB"), struct.Struct("<QQ")
@@ -37,39 +39,34 @@ _HEAD, _TAIL = struct.Struct("<5s32sB"), struct.Struct("<QQ")
 
 @lru_cache(maxsize=4)
 def library(path: str) -> Chunked:
-    """Whole texts by the tokenizers library, chunk by chunk."""
+    """Whole texts by the tokenizers library, which gets every distinct pre-token once."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     added = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
+    character, tokenize = dict(enumerate(byte_characters())), tokenizer.model.tokenize
 
-    def encode(chunks: list[str]):
-        return (np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False))
+    def merge(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        mapped, cuts = data.tobytes().decode("latin-1").translate(character), offsets.tolist()
+        ids: list[int] = []
+        ends = [0]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            ids += [t.id for t in tokenize(mapped[a:b])]
+            ends.append(len(ids))
+        return np.array(ids, np.uint32), np.diff(ends)
 
-    v = vocabulary(path)
-    begins = np.append(v.bytes, 0)[v.starts] == 32
-    begins &= v.lengths > 0
+    return Chunked(by_pretokens(merge), added)
 
-    def spaced(parts: list[str]):
-        """Many chunks in one text: a chunk's first id is the only one whose bytes begin with its space."""
-        texts = [" " + " ".join(parts[k : k + 500]) for k in range(0, len(parts), 500)]
-        for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False):
-            ids = np.array(e.ids, "<u4")
-            flat, starts = ids.tobytes(), (4 * np.flatnonzero(begins[ids])).tolist()
-            yield from (flat[a:b] for a, b in zip(starts, [*starts[1:], len(flat)], strict=True))
 
-    return Chunked(encode, added, spaced=spaced)
-
-
-def packed(documents: list[tuple[int, bytes]], dictionary: bytes, width: int) -> bytes:
+def packed(documents: list[tuple[int | None, bytes]], dictionary: bytes, width: int) -> bytes:
     """A file of documents (doc_id, ids as little-endian unsigned 32-bit integers), in the order given."""
     trained = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
     compressor = zstandard.ZstdCompressor(level=3, dict_data=trained, write_content_size=True, write_checksum=False)
     frames, entries, at = [], [], _HEAD.size
     for doc_id, ids in documents:
         frame = compressor.compress(np.frombuffer(ids, "<u4").astype(f"<u{width}").tobytes())
-        entries.append((doc_id, len(ids) // 4, at))
+        entries.append((0, len(ids) // 4, -at) if doc_id is None else (doc_id, len(ids) // 4, at))
         frames.append(frame)
         at += len(frame)
     index = np.array(entries, "<i8").reshape(-1, 3).tobytes()
@@ -77,35 +74,72 @@ def packed(documents: list[tuple[int, bytes]], dictionary: bytes, width: int) ->
 
 
 class Reader:
-    """Documents of one file: ``entries`` has doc_id, number of ids and offset of each; ``ids(k)`` reads one frame."""
+    """Documents of one open file, by reads of its head, its index and the frames that are asked for.
 
-    def __init__(self, content: bytes, dictionary: bytes):
-        magic, digest, self.width = _HEAD.unpack_from(content)
+    ``entries`` has doc_id and number of ids of each document, ``null`` where the doc_id is null; ``ids(k)`` reads one frame.
+    """
+
+    def __init__(self, file, dictionary: bytes):
+        self.file = file
+        magic, digest, self.width = _HEAD.unpack(self._at(0, _HEAD.size))
         if magic != MAGIC:
             raise ValueError("not a file of token ids")
         if digest != hashlib.sha256(dictionary).digest():
             raise ValueError("written with another dictionary")
-        many, self.end = _TAIL.unpack_from(content, len(content) - _TAIL.size)
-        self.entries = np.frombuffer(content, "<i8", 3 * many, self.end).reshape(many, 3)
-        self.content = content
+        size = file.seek(0, 2) or file.tell()
+        many, end = _TAIL.unpack(self._at(size - _TAIL.size, _TAIL.size))
+        self.entries = np.frombuffer(self._at(end, 24 * many), "<i8").reshape(many, 3)
+        self.null, self.bounds = self.entries[:, 2] < 0, np.append(np.abs(self.entries[:, 2]), end)
         self.decompressor = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
 
+    def _at(self, begin: int, size: int) -> bytes:
+        self.file.seek(begin)
+        return self.file.read(size)
+
+    def _unpacked(self, frame: bytes) -> np.ndarray:
+        return np.frombuffer(self.decompressor.decompress(frame), f"<u{self.width}").astype("<u4")
+
     def ids(self, k: int) -> np.ndarray:
-        begin = int(self.entries[k, 2])
-        end = int(self.entries[k + 1, 2]) if k + 1 < len(self.entries) else self.end
-        return np.frombuffer(self.decompressor.decompress(self.content[begin:end]), f"<u{self.width}").astype("<u4")
+        return self._unpacked(self._at(int(self.bounds[k]), int(self.bounds[k + 1] - self.bounds[k])))
+
+    def all(self) -> Iterator[np.ndarray]:
+        """The ids of all documents, from about a megabyte of frames at a time."""
+        for row, end in slices(self.bounds, 1 << 20):
+            first, cuts = int(self.bounds[row]), self.bounds[row : end + 1].tolist()
+            frames = self._at(first, cuts[-1] - first)
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                yield self._unpacked(frames[a - first : b - first])
+
+    def named(self, doc_id: int) -> list[int]:
+        """The places of the documents with this doc_id; those without one come first, all others ascend."""
+        known = int(self.null.sum())
+        return list(range(known + int(np.searchsorted(self.entries[known:, 0], doc_id, "left")), known + int(np.searchsorted(self.entries[known:, 0], doc_id, "right"))))
+
+
+def opened(folder: str):
+    """(file system, path) of a folder by its full URI."""
+    return fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", folder))
 
 
-def trained_dictionary(docs: DataFrame, path: str, sample: int = 500, size: int = 1 << 15, width: int = 2) -> bytes:
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The full URI that Spark means by ``folder``: without a scheme it is in the cluster's default file system."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
+def trained_dictionary(docs: DataFrame, path: str, sample: int = 500, size: int = 1 << 15, width: int = 2, most: int = 1 << 14) -> bytes:
     """A dictionary from the ids of ``sample`` documents, those with the smallest hashes of doc_id; empty if they are too few.
 
-    The sample and the size bound it. It changes how small the files are, never what they hold.
+    The sample, ``most`` characters of each of its texts, bounds what the driver sees. It changes how small the files are,
+    never what they hold.
     """
-    rows = sampled(docs.select("doc_id", "text"), "doc_id", sample).select(F.coalesce("text", F.lit("")).alias("text")).collect()
-    parts = [np.frombuffer(i, "<u4").astype(f"<u{width}").tobytes() for i in library(path).ids([r["text"] for r in rows])]
-    parts = [p[k : k + 4096] for p in parts for k in range(0, len(p), 4096)]
+    rows = sampled(docs.select("doc_id", "text"), "doc_id", sample).select(F.substring(F.coalesce("text", F.lit("")), 1, most).alias("text")).collect()
+    ids, offsets = library(path).ids(*utf8(pa.array([r["text"] for r in rows], pa.string())))
+    ids = ids.astype(f"<u{width}")
+    cuts = [ids[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    cuts = [p[k : k + 4096] for p in cuts for k in range(0, len(p), 4096)]
     try:
-        return zstandard.train_dictionary(size, parts).as_bytes()
+        return zstandard.train_dictionary(size, cuts).as_bytes()
     except (zstandard.ZstdError, ValueError):
         return b""
 
@@ -113,28 +147,31 @@ def trained_dictionary(docs: DataFrame, path: str, sample: int = 500, size: int
 def write(docs: DataFrame, path: str, folder: str, end_id: int = 0, text_bytes: int = 16 << 20) -> DataFrame:
     """Writes the ids of every whole text of ``docs`` (doc_id, text, ...), ``end_id`` appended, to files in ``folder``.
 
-    Returns the manifest: (file, n_docs, n_tokens, part, number), part and number ascending as doc_id does. Null texts
-    count as empty and hold the end id alone; null doc_ids come first and are stored as -2**63; rows that share a doc_id
-    follow each other in the order of their texts. Files hold about ``text_bytes`` of text, or one longer document.
+    Returns the manifest: (file, n_docs, n_tokens, least, most, part, number): part and number ascend as doc_id does, which
+    is from least to most in a file. Null texts count as empty and hold the end id alone; null doc_ids come first; rows that
+    share a doc_id follow each other by a hash of their texts, equal rows in any order. Files hold about ``text_bytes`` of
+    text, or one longer document. The folder is in Spark's file system; a store that pyarrow can't open is an error.
     """
+    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     width = 2 if _size(path) <= 1 << 16 else 4
+    folder = qualified(spark, folder)
+    target, base = opened(folder)
     dictionary = trained_dictionary(docs, path, width=width)
-    target, base = fs.FileSystem.from_uri(folder) if ":" in folder else (fs.LocalFileSystem(), folder)
     target.create_dir(base, recursive=True)
     with target.open_output_stream(f"{base}/dictionary.zstd") as f:
         f.write(dictionary)
-    sent, end = docs.sparkSession.sparkContext.broadcast(dictionary), np.uint32(end_id).tobytes()
+    sent, end = spark.sparkContext.broadcast(dictionary), np.array([end_id], "<u4").tobytes()
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    order = [F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()]
-    dealt = docs.repartitionByRange(max(1, -(-size // (2 * text_bytes))), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(*order)
+    # A repeated doc_id is dealt by text, and equal rows by their place in the input: no key is one task's alone.
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.monotonically_increasing_id()]
+    dealt = docs.repartitionByRange(max(1, -(-size // (2 * text_bytes))), *order).sortWithinPartitions(*order[:2])
 
     def run(batches):
-        own, base = fs.FileSystem.from_uri(folder) if ":" in folder else (fs.LocalFileSystem(), folder)
+        own, base = opened(folder)
         task = TaskContext.get()
-        part, number, chunked = task.partitionId(), 0, library(path)
-        waiting: list[tuple[int, bytes]] = []
-        held = 0
+        part, number, held, chunked = task.partitionId(), 0, 0, library(path)
+        waiting: list[tuple[int | None, bytes]] = []
 
         def flush():
             name, tokens = f"{part:06d}-{number:05d}.ids", sum(len(i) // 4 for _, i in waiting)
@@ -142,22 +179,23 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = 0, text_bytes:
             with own.open_output_stream(temporary) as f:
                 f.write(packed(waiting, sent.value, width))
             own.move(temporary, f"{base}/{name}")
-            return pa.RecordBatch.from_pydict({"file": [name], "n_docs": [len(waiting)], "n_tokens": [tokens], "part": [part], "number": [number]})
-
-        for batch in batches:
-            names, k = batch.column(0).to_pylist(), 0
-            for texts in strings(*utf8(batch.column(1))):
-                for text, ids in zip(texts, chunked.ids(texts), strict=True):
-                    waiting.append((-(1 << 63) if names[k] is None else names[k], ids + end))
-                    held += len(text)
-                    k += 1
+            known = [i for i, _ in waiting if i is not None]
+            return pa.RecordBatch.from_pydict({"file": [name], "n_docs": [len(waiting)], "n_tokens": [tokens], "least": pa.array(known[:1] or [None], pa.int64()), "most": pa.array(known[-1:] or [None], pa.int64()), "part": [part], "number": [number]})
+
+        for batch in parts(batches, 1, most=1 << 23):
+            data, offsets = utf8(batch.column(1))
+            ids, places = chunked.ids(data, offsets)
+            raw, cuts = memoryview(ids.view(np.uint8)), (4 * places).tolist()
+            for doc_id, n, a, b in zip(batch.column(0).to_pylist(), np.diff(offsets).tolist(), cuts[:-1], cuts[1:], strict=True):
+                waiting.append((doc_id, bytes(raw[a:b]) + end))
+                held += n
                 if held >= text_bytes:
                     yield flush()
                     waiting, held, number = [], 0, number + 1
         if waiting:
             yield flush()
 
-    return written(batched(dealt).mapInArrow(run, "file string, n_docs long, n_tokens long, part long, number long"), "manifest")
+    return written(dealt.mapInArrow(run, "file string, n_docs long, n_tokens long, least long, most long, part long, number long"), "manifest")
 
 
 def _size(path: str) -> int:
@@ -166,28 +204,46 @@ def _size(path: str) -> int:
     return Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True)
 
 
+def _dictionary(folder: str) -> bytes:
+    source, base = opened(folder)
+    with source.open_input_stream(f"{base}/dictionary.zstd") as f:
+        return f.read()
+
+
 def read(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document in the files of ``manifest``, from the files alone.
 
-    start counts the ids of all documents before it. The running sum is over one row a file.
+    start counts the ids of all documents before it. The running sum is over one row a file; a task reads whole files.
     """
-    source, base = fs.FileSystem.from_uri(folder) if ":" in folder else (fs.LocalFileSystem(), folder)
-    with source.open_input_stream(f"{base}/dictionary.zstd") as f:
-        dictionary = spark.sparkContext.broadcast(f.read())
+    folder = qualified(spark, folder)
+    dictionary = spark.sparkContext.broadcast(_dictionary(folder))
     before = F.sum("n_tokens").over(Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1))
     starts = manifest.select("file", F.coalesce(before, F.lit(0)).alias("before"))
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.ids").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
 
     def run(batches):
+        own, base = opened(folder)
         for batch in batches:
-            for content, before in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                reader = Reader(content.as_py(), dictionary.value)
-                n = reader.entries[:, 1]
-                crc = [zlib.crc32(reader.ids(k).tobytes()) for k in range(len(n))]
-                ids = pa.array(reader.entries[:, 0], pa.int64(), mask=reader.entries[:, 0] == -(1 << 63))
+            for name, before in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with own.open_input_file(f"{base}/{name}") as f:
+                    reader = Reader(f, dictionary.value)
+                    n = reader.entries[:, 1]
+                    crc = [zlib.crc32(i.tobytes()) for i in reader.all()]
+                ids = pa.array(reader.entries[:, 0], pa.int64(), mask=reader.null)
                 yield pa.RecordBatch.from_arrays([ids, pa.array(before + np.cumsum(n) - n, pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return batched(files.join(starts, "file").select("content", "before"), 8).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return starts.repartition(max(1, manifest.count()), "file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def document(spark: SparkSession, folder: str, manifest: DataFrame, doc_id: int) -> list[np.ndarray]:
+    """The ids of the documents with this doc_id (none, or several if it is repeated): only index entries and their frames are read."""
+    folder = qualified(spark, folder)
+    own, base = opened(folder)
+    dictionary, out = _dictionary(folder), []
+    for r in manifest.where((F.col("least") <= doc_id) & (F.col("most") >= doc_id)).orderBy("part", "number").select("file").collect():
+        with own.open_input_file(f"{base}/{r['file']}") as f:
+            reader = Reader(f, dictionary)
+            out += [reader.ids(k) for k in reader.named(doc_id)]
+    return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

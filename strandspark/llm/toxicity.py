@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batched, hashed, mix64, slices, spans, table, utf8
+from .common import hashed, mix64, parts, slices, spans, table, utf8
 
 BUCKETS = 1 << 18
 LENGTHS = (3, 4, 5)
@@ -235,7 +235,7 @@ def learned(docs: DataFrame, labels: DataFrame, usable: Column, most: int = 4000
 def _scored(weights, bias: float):
     def run(batches):
         model = Model(weights.value, bias)
-        for batch in batches:
+        for batch in parts(batches, 1):
             score = np.round(model.scores(*utf8(batch.column(1))), 6)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64())], ["doc_id", "score"])
 
@@ -250,7 +250,7 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
     """
     weights = docs.sparkSession.sparkContext.broadcast(model.weights)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return batched(texts).mapInArrow(_scored(weights, model.bias), "doc_id long, score double")
+    return texts.mapInArrow(_scored(weights, model.bias), "doc_id long, score double")
 
 
 def held_out() -> Column:
@@ -264,10 +264,10 @@ def accepted(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame
 
     def run(batches):
         own = Model(weights.value, bias)
-        for batch in batches:
+        for batch in parts(batches, column):
             yield batch.filter(pa.array(own.scores(*utf8(batch.column(column))) < threshold, pa.bool_()))
 
-    return batched(docs).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
