@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,18 +13,13 @@ from .arrays import points
 from .sequences import CHUNK, chunks
 
 
-def paired_chunks(pairs: DataFrame, size: int = CHUNK) -> DataFrame:
-    """(pair, start, a, b) of pairs (pair, text_a, text_b): pieces at the same place, up to the shorter text's end.
+def paired_pieces(pairs: DataFrame) -> DataFrame:
+    """(pair, start, a, b) of pairs (pair, text_a, text_b): both texts up to the shorter one's end. Where a row holds both, no join is needed.
 
-    Equal texts have equal pieces, which later steps skip. Both sides are cut in the row that holds them: no join.
+    Texts that don't fit a row are tables of chunks: ``joined_chunks``.
     """
     n = F.least(F.length("text_a"), F.length("text_b"))
-    cut = F.ceil(n / size).cast("int")
-    numbers = F.when(cut > 0, F.sequence(F.lit(0), cut - 1)).otherwise(F.array().cast("array<int>"))
-    each = pairs.select("pair", "text_a", "text_b", n.alias("n"), F.explode(numbers).alias("chunk"))
-    start = F.col("chunk") * size
-    length = F.least(F.lit(size), F.col("n") - start)
-    return each.select("pair", start.cast("long").alias("start"), F.substring("text_a", start + 1, length).alias("a"), F.substring("text_b", start + 1, length).alias("b"))
+    return pairs.where(n > 0).select("pair", F.lit(0).cast("long").alias("start"), F.substring("text_a", F.lit(1), n).alias("a"), F.substring("text_b", F.lit(1), n).alias("b"))
 
 
 def joined_chunks(a: DataFrame, b: DataFrame, key: str, text: str, size: int = CHUNK) -> DataFrame:
@@ -34,63 +30,123 @@ def joined_chunks(a: DataFrame, b: DataFrame, key: str, text: str, size: int = C
     return both.select(F.col(key).alias("pair"), "start", F.substring("a", F.lit(1), n).alias("a"), F.substring("b", F.lit(1), n).alias("b"))
 
 
-def _located(batches):
-    """Pieces (pair, start, a, b) that differ: the places where they do, with both symbols."""
+def _unequal(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, pos, a, b) of every differing place of the pieces (pair, start, a, b) of a batch, in order; both sides are equally long."""
+    x, y = (points("".join(batch.column(k).to_pylist())) for k in (2, 3))
+    ends = np.append(0, np.cumsum(pc.utf8_length(batch.column(2)).to_numpy(zero_copy_only=False)))
+    at = np.flatnonzero(x != y)
+    row = np.searchsorted(ends, at, "right") - 1
+    return row, at - ends[row] + batch.column(1).to_numpy()[row], x[at], y[at]
+
+
+def _limited(batches, most: int = 1 << 20):
+    """Batches of about ``most`` symbols: code points take four bytes each, on both sides."""
     for batch in batches:
-        found: list[list] = [[], [], [], []]
-        for row, (start, a, b) in enumerate(zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True)):
-            x, y = points(a), points(b)
-            at = np.flatnonzero(x != y)
-            found[0].append(np.full(len(at), row))
-            found[1].append(at + start)
-            found[2] += map(chr, x[at].tolist())
-            found[3] += map(chr, y[at].tolist())
-        rows, places = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in found[:2])
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(places, pa.int64()), pa.array(found[2], pa.string()), pa.array(found[3], pa.string())], ["pair", "pos", "a", "b"])
+        ends = np.cumsum(pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False).astype(np.int64))
+        begin = 0
+        while begin < batch.num_rows:
+            end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + most, "right")))
+            yield batch.slice(begin, end - begin)
+            begin = end
+
+
+def _letters(codes: np.ndarray) -> pa.Array:
+    if (codes == 0).any():  # numpy's texts can't end in this symbol
+        return pa.array(list(map(chr, codes.tolist())), pa.string())
+    return pa.array(codes.astype("<u4").view("<U1"), pa.string())
+
+
+def _located(first: int | None):
+    def run(batches):
+        for batch in _limited(batches):
+            row, pos, a, b = _unequal(batch)
+            if first is not None:
+                begin = np.searchsorted(row, row, "left")
+                kept = np.arange(len(row)) - begin < first
+                row, pos, a, b = row[kept], pos[kept], a[kept], b[kept]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(pos, pa.int64()), _letters(a), _letters(b)], ["pair", "pos", "a", "b"])
+
+    return run
 
 
 def _tallied(batches):
-    """Pieces (pair, start, a, b) that differ: how often, and where first."""
-    for batch in batches:
-        n, first = [], []
-        for start, a, b in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
-            unequal = points(a) != points(b)
-            n.append(int(unequal.sum()))
-            first.append(start + int(unequal.argmax()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(first, pa.int64())], ["pair", "n", "first"])
+    """How often each piece differs, and where first."""
+    for batch in _limited(batches):
+        row, pos, _, _ = _unequal(batch)
+        rows, at, n = np.unique(row, return_index=True, return_counts=True)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(n, pa.int64()), pa.array(pos[at], pa.int64())], ["pair", "n", "first"])
+
+
+def _bucketed(bucket: int):
+    def run(batches):
+        for batch in _limited(batches):
+            row, pos, _, _ = _unequal(batch)
+            found, n = np.unique(np.stack([row, pos // bucket]), axis=1, return_counts=True) if len(row) else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(found[0])), pa.array(found[1], pa.int64()), pa.array(n, pa.int64())], ["pair", "_k", "n"])
+
+    return run
+
+
+def _sorted_out(batches):
+    for batch in _limited(batches):
+        row, _, a, b = _unequal(batch)
+        a, b = (np.where((x >= 97) & (x <= 122), x - 32, x) for x in (a, b))
+        kind = np.where(a == b, 0, np.where((a == 78) | (b == 78), 1, 2))
+        found, n = np.unique(row * 3 + kind, return_counts=True)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(found // 3)), pa.array([KINDS[k] for k in (found % 3).tolist()], pa.string()), pa.array(n, pa.int64())], ["pair", "kind", "n"])
+
+
+#: What a difference can be: the first of these that holds.
+KINDS = ("case_only", "with_unknown", "real")
 
 
 def _unlike(pieces: DataFrame) -> DataFrame:
     return pieces.where("a <> b").select("pair", "start", "a", "b")
 
 
-def differences(pieces: DataFrame, width: int = 80) -> DataFrame:
-    """(pair, pos, row, col, a, b, kind) of every differing position: pos from 0, row and col from 1. Equal pieces are skipped."""
-    found = _unlike(pieces).mapInArrow(_located, f"pair {pieces.schema['pair'].dataType.simpleString()}, pos long, a string, b string")
+def _typed(pieces: DataFrame, rest: str) -> str:
+    return f"pair {pieces.schema['pair'].dataType.simpleString()}, {rest}"
+
+
+def differences(pieces: DataFrame, width: int = 80, first: int | None = None) -> DataFrame:
+    """(pair, pos, row, col, a, b, kind) of the differing positions: pos from 0, row and col from 1. Equal pieces are skipped.
+
+    ``first``: only so many of each piece leave it, the first ones; a report of the first ones needs no others.
+    """
+    found = _unlike(pieces).mapInArrow(_located(first), _typed(pieces, "pos long, a string, b string"))
     pos = F.col("pos")
     return found.select("pair", "pos", row_of(pos, width).alias("row"), column_of(pos, width).alias("col"), "a", "b", difference_class(F.col("a"), F.col("b")).alias("kind"))
 
 
-def first_differences(found: DataFrame, k: int | None = 1000) -> DataFrame:
+def kinds(pieces: DataFrame) -> DataFrame:
+    """(pair, kind, n): how many differences of each kind, counted in the piece; only counts leave it."""
+    return _unlike(pieces).mapInArrow(_sorted_out, _typed(pieces, "kind string, n long")).groupBy("pair", "kind").agg(F.sum("n").alias("n"))
+
+
+def first_differences(pieces: DataFrame, k: int | None = 1000, width: int = 80) -> DataFrame:
     """The first ``k`` differences of each pair, by position; all of them for None. Totals never come from this."""
+    found = differences(pieces, width, k)
     if k is None:
         return found
     return found.withColumn("_n", F.row_number().over(Window.partitionBy("pair").orderBy("pos"))).where(F.col("_n") <= k).drop("_n")
 
 
-def summary(pairs: DataFrame, size: int = CHUNK) -> DataFrame:
+def summary(pairs: DataFrame) -> DataFrame:
     """One row for each pair: compared, equal, differences, first_pos, similarity_pct, length_a, length_b, offset."""
-    tallied = _unlike(paired_chunks(pairs, size)).mapInArrow(_tallied, f"pair {pairs.schema['pair'].dataType.simpleString()}, n long, first long")
+    tallied = _unlike(paired_pieces(pairs)).mapInArrow(_tallied, _typed(pairs, "n long, first long"))
     found = tallied.groupBy("pair").agg(F.sum("n").alias("differences"), F.min("first").alias("first_pos"))
     sizes = pairs.select("pair", F.coalesce(F.length("text_a"), F.lit(0)).cast("long").alias("length_a"), F.coalesce(F.length("text_b"), F.lit(0)).cast("long").alias("length_b"))
     out = sizes.join(found, "pair", "left").withColumn("compared", F.least("length_a", "length_b")).withColumn("differences", F.coalesce("differences", F.lit(0)))
     return out.select("pair", "compared", (F.col("compared") - F.col("differences")).alias("equal"), "differences", "first_pos", similarity(F.col("differences"), F.col("compared")).alias("similarity_pct"), "length_a", "length_b", (F.col("length_a") - F.col("length_b")).alias("offset"))
 
 
-def density(found: DataFrame, compared: DataFrame, bucket: int) -> DataFrame:
-    """(pair, bucket_start, n) of differences in each bucket of positions, empty buckets too; ``compared`` has (pair, compared)."""
+def density(pieces: DataFrame, compared: DataFrame, bucket: int) -> DataFrame:
+    """(pair, bucket_start, n) of differences in each bucket of positions, empty buckets too; ``compared`` has (pair, compared).
+
+    Differences are counted in their piece; only counts leave it.
+    """
     spine = compared.where("compared > 0").select("pair", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("compared") - 1) / bucket).cast("long"))).alias("_k"))
-    counted = found.groupBy("pair", F.floor(F.col("pos") / bucket).cast("long").alias("_k")).agg(F.count("*").alias("n"))
+    counted = _unlike(pieces).mapInArrow(_bucketed(bucket), _typed(pieces, "_k long, n long")).groupBy("pair", "_k").agg(F.sum("n").alias("n"))
     return spine.join(counted, ["pair", "_k"], "left").select("pair", (F.col("_k") * bucket).alias("bucket_start"), F.coalesce("n", F.lit(0)).alias("n"))
 
 

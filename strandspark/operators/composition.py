@@ -14,18 +14,19 @@ from .arrays import rows_of_bytes
 def _bins(keys: int):
     def run(batches):
         for batch in batches:
-            groups = {}
-            columns = [batch.column(k).to_pylist() for k in range(keys)]
-            data = batch.column(keys).cast(pa.large_binary())
-            offsets = np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1]
-            raw = np.frombuffer(data.buffers()[2] or b"", np.uint8)
-            for k, key in enumerate(zip(*columns, strict=True) if keys else [()] * len(data)):
-                if data[k].is_valid:
-                    part = np.bincount(raw[offsets[k] : offsets[k + 1]], minlength=256)
-                    groups[key] = groups[key] + part if key in groups else part
-            rows = [(key, b, int(n)) for key, bins in groups.items() for b, n in enumerate(bins.tolist()) if n]
-            arrays = [pa.array([r[0][k] for r in rows], batch.schema.field(k).type) for k in range(keys)]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64())], [*batch.schema.names[:keys], "byte", "n"])
+            for row, end, raw, offsets in rows_of_bytes(batch.column(keys)):
+                part = batch.slice(row, end - row)
+                names: dict[tuple, int] = {}
+                if keys:
+                    owner = np.array([names.setdefault(k, len(names)) for k in zip(*(part.column(c).to_pylist() for c in range(keys)), strict=True)])
+                    place = np.repeat(owner * 256, np.diff(offsets)) + raw
+                else:
+                    names[()], place = 0, raw
+                bins = np.bincount(place, minlength=256 * len(names))
+                found = np.flatnonzero(bins)
+                rows = list(names)
+                arrays = [pa.array([rows[k][c] for k in (found >> 8).tolist()], batch.schema.field(c).type) for c in range(keys)]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array(found & 255, pa.int32()), pa.array(bins[found], pa.int64())], [*batch.schema.names[:keys], "byte", "n"])
 
     return run
 

@@ -2,31 +2,94 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.symbols import BASES
+from .arrays import points
+from .composition import symbol_counts
+
 # The alphabets that each kind of error draws from.
 ALPHABETS = {"letters": "XZJOQE", "digits": "0123456789", "symbols": "@#$%*?", "spaces": " \t"}
 ALPHABETS["mixed"] = "".join(ALPHABETS.values())
 PRIME, FACTOR = 2_147_483_647, 48_271
 
 
-def drawn(position: Column, seed: int, salt: int) -> Column:
-    """A number below 2**31 - 1 that looks random, from a position: three steps of a multiplicative generator."""
-    x = F.pmod(position.cast("long") + seed * 7919 + salt * 104_729, F.lit(PRIME))
+def draws(position: np.ndarray, seed: int, salt: int) -> np.ndarray:
+    """Numbers below 2**31 - 1 that look random, from positions: three steps of a multiplicative generator."""
+    x = (position + seed * 7919 + salt * 104_729) % PRIME
     for _ in range(3):
-        x = F.pmod(x * FACTOR + 12_345, F.lit(PRIME))
+        x = (x * FACTOR + 12_345) % PRIME
     return x
 
 
+def _places(key: int, n: int) -> np.ndarray:
+    """The positions of a text, apart from those of other texts by its key."""
+    return np.arange(n, dtype=np.int64) + key % PRIME * 1_000_003 % PRIME
+
+
+def _substituted(alphabet: str, per_million: int, seed: int):
+    letters = np.frombuffer(alphabet.encode("utf-32-le"), np.uint32)
+
+    def of(key: int, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(code points, places, new code points)."""
+        codes = points(text)
+        place = _places(key, len(codes))
+        at = np.flatnonzero((draws(place, seed, 1) % 1_000_000 < per_million) & (codes != 10))
+        return codes, at, letters[draws(place[at], seed, 2) % len(letters)]
+
+    return of
+
+
 def with_errors(df: DataFrame, key: str, text: str, kind: str, per_million: int, seed: int = 1234) -> DataFrame:
     """(key, pos, original, error): substitutions of symbols, never insertions, at places drawn by position and key."""
-    alphabet = ALPHABETS[kind]
-    each = df.select(key, F.posexplode(F.split(text, "")).alias("pos", "original")).where("original <> '\n'")
-    place = F.col("pos").cast("long") + F.col(key).cast("long") * 1_000_003
-    hit = each.where(F.pmod(drawn(place, seed, 1), F.lit(1_000_000)) < per_million)
-    index = F.pmod(drawn(place, seed, 2), F.lit(len(alphabet))) + 1
-    return hit.select(key, F.col("pos").cast("long").alias("pos"), "original", F.substring(F.lit(alphabet), index.cast("int"), F.lit(1)).alias("error"))
+    of = _substituted(ALPHABETS[kind], per_million, seed)
+
+    def run(batches):
+        for batch in batches:
+            for row, (k, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if k is not None and t:
+                    codes, at, new = of(k, t)
+                    if len(at):
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(at), row))), pa.array(at, pa.int64()), pa.array([chr(c) for c in codes[at].tolist()], pa.string()), pa.array([chr(c) for c in new.tolist()], pa.string())], ["key", "pos", "original", "error"])
+
+    return df.select(key, F.col(text).alias("_t")).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, pos long, original string, error string")
+
+
+def dirty(df: DataFrame, key: str, text: str, kind: str, per_million: int, seed: int = 1234) -> DataFrame:
+    """(key, text, injected): each text with these substitutions made, and how many they are."""
+    of = _substituted(ALPHABETS[kind], per_million, seed)
+
+    def run(batches):
+        for batch in batches:
+            texts, injected = [], []
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if k is None or not t:
+                    texts.append(t)
+                    injected.append(0)
+                    continue
+                codes, at, new = of(k, t)
+                codes = codes.copy()
+                codes[at] = new
+                texts.append(codes.tobytes().decode("utf-32-le"))
+                injected.append(len(at))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(injected, pa.int64())], ["key", "text", "injected"])
+
+    return df.select(key, F.col(text).alias("_t")).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, text string, injected long")
+
+
+def error_sweep(df: DataFrame, key: str, text: str, per_million: int, kinds: tuple[str, ...] = tuple(ALPHABETS)) -> DataFrame:
+    """(kind, injected, detected, ok): for each kind of error, how many were made in sequences of valid symbols, and how many a count finds."""
+    rows = []
+    for kind in kinds:
+        made = dirty(df, key, text, kind, per_million)
+        counted = symbol_counts(made, "text", (key, "injected"))
+        rows.append(counted.agg(F.lit(kind).alias("kind"), F.coalesce(F.sum("injected"), F.lit(0)).alias("injected"), F.coalesce(F.sum("n_invalid"), F.lit(0)).alias("detected")))
+    return reduce(DataFrame.unionByName, rows).withColumn("ok", F.col("injected") == F.col("detected"))
 
 
 def mutations(df: DataFrame, key: str, text: str, n: int, seed: int = 1234) -> DataFrame:
@@ -34,11 +97,54 @@ def mutations(df: DataFrame, key: str, text: str, n: int, seed: int = 1234) -> D
 
     The n smallest draws of a text's base positions; the new base is 1 to 3 further in ACGT.
     """
-    each = df.select(key, F.posexplode(F.split(text, "")).alias("pos", "original")).where(F.col("original").isin(*"ACGTacgt"))
-    place = F.col("pos").cast("long") + F.col(key).cast("long") * 1_000_003
-    drawn_rows = each.withColumn("draw", drawn(place, seed, 3))
-    least = F.row_number().over(Window.partitionBy(key).orderBy("draw", "pos"))  # Spark keeps n of a key before the shuffle
-    chosen = drawn_rows.withColumn("_n", least).where(F.col("_n") <= n)
-    at = F.instr(F.lit("ACGT"), F.upper(F.col("original"))) - 1
-    shift = F.pmod(F.col("draw"), F.lit(3)) + 1
-    return chosen.select(key, F.col("pos").cast("long").alias("pos"), F.col("original").alias("original"), F.substring(F.lit("ACGT"), (F.pmod(at + shift, F.lit(4)) + 1).cast("int"), F.lit(1)).alias("changed"))
+    place_of = np.full(128, -1, np.int64)
+    place_of[[ord(c) for c in BASES + BASES.lower()]] = [0, 1, 2, 3] * 2
+
+    def run(batches):
+        for batch in batches:
+            for row, (k, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if k is None or not t:
+                    continue
+                codes = points(t)
+                at = np.flatnonzero((codes < 128) & (place_of[np.minimum(codes, 127)] >= 0))
+                draw = draws(_places(k, len(codes))[at], seed, 3)
+                chosen = np.lexsort((at, draw))[:n]
+                at, draw = at[chosen], draw[chosen]
+                old = codes[at]
+                new = (place_of[old] + draw % 3 + 1) % 4
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(at), row))), pa.array(at, pa.int64()), pa.array([chr(c) for c in old.tolist()], pa.string()), pa.array([BASES[c] for c in new.tolist()], pa.string())], ["key", "pos", "original", "changed"])
+
+    return df.select(key, F.col(text).alias("_t")).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, pos long, original string, changed string")
+
+
+#: A pattern that stands across every border of two units, so that a count that loses borders is wrong.
+PLANTED = "GATTACA"
+
+
+def sequences(df: DataFrame, key: str, length: str, unit: int = 1024, seed: int = 1234) -> DataFrame:
+    """(key, chunk, start, bases): made sequences of the lengths in ``df`` with known content, a unit of symbols a row.
+
+    Bases are drawn by position; of twenty stretches of 256 symbols about one is unknown (N) and two are lower case; the
+    pattern PLANTED stands across every border of units inside a sequence, in upper case.
+    """
+    numbers = F.when(F.col(length) > 0, F.sequence(F.lit(0).cast("long"), F.floor((F.col(length) - 1) / unit).cast("long"))).otherwise(F.array().cast("array<long>"))
+    each = df.select(F.col(key).alias("_key"), F.col(length).cast("long").alias("_n"), F.explode(numbers).alias("_chunk"))
+    planted = np.frombuffer(PLANTED.encode(), np.uint8)
+    before = len(planted) // 2
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for k, n, chunk in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                at = np.arange(chunk * unit, min(n, (chunk + 1) * unit), dtype=np.int64)
+                shift = k % PRIME * 1_000_003 % PRIME
+                codes = np.frombuffer(BASES.encode(), np.uint8)[draws(at + shift, seed, 4) % 4]
+                stretch = draws(at // 256 + shift, seed, 5) % 20
+                codes = np.where(stretch == 0, ord("N"), np.where(stretch < 3, codes + 32, codes))
+                place = (at + before) % unit
+                on = (place < len(planted)) & (at + before >= unit) & (at - place + len(planted) <= n)
+                codes[on] = planted[place[on]]
+                out.append(codes.astype(np.uint8).tobytes().decode())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:1], batch.column(2), pa.array([c * unit for c in batch.column(2).to_pylist()], pa.int64()), pa.array(out, pa.string())], ["key", "chunk", "start", "bases"])
+
+    return each.where("_key is not null").mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, chunk long, start long, bases string")

@@ -6,13 +6,47 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def union(log: DataFrame, by: list[str]) -> DataFrame:
-    """(*by, start, end): touching and overlapping intervals of a group merged into one."""
-    own = Window.partitionBy(*by).orderBy("start", "end")
-    reached = F.max("end").over(own.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = F.when(reached.isNull() | (F.col("start") > reached), 1).otherwise(0)
-    island = log.select(*by, "start", "end", fresh.alias("_fresh")).withColumn("_island", F.sum("_fresh").over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    return island.groupBy(*by, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")
+def in_ranges(df: DataFrame, order: str, rows_each: int = 100_000) -> DataFrame:
+    """``df`` with ``_b``, the range of ``order`` that a row is in, ascending: so many ranges that each has about ``rows_each`` rows.
+
+    Windows over a group and a range stand in for those over a whole group, which may be a third of all rows; what a range
+    must know of those before it follows from one row for each.
+    """
+    found = df.agg(F.min(order).alias("least"), F.max(order).alias("most"), F.count("*").alias("rows")).first()
+    many = max(1, -(-found["rows"] // rows_each))
+    if many == 1 or found["least"] == found["most"]:
+        return df.withColumn("_b", F.lit(0).cast("long"))
+    return df.withColumn("_b", F.floor((F.col(order) - found["least"]) * many / (found["most"] - found["least"] + 1)))
+
+
+def previous(df: DataFrame, by: list[str], order: list[str], values: list[str], rows_each: int = 100_000) -> DataFrame:
+    """``df`` with ``_p_<value>`` of each of ``values``: what it is in the row before in the group's order; null for the first."""
+    ranged = in_ranges(df, order[0], rows_each)
+    own = Window.partitionBy(*by, "_b").orderBy(*order)
+    last = ranged.groupBy(*by, "_b").agg(F.max(F.struct(*order, *(F.col(v).alias(f"_v_{v}") for v in values))).alias("_last"))
+    before = Window.partitionBy(*by).orderBy("_b")
+    last = last.select(*by, "_b", F.lag("_last").over(before).alias("_last"))
+    seen = ranged.select("*", F.row_number().over(own).alias("_n"), *(F.lag(v).over(own).alias(f"_l_{v}") for v in values))
+    joined = seen.join(last, [*by, "_b"])
+    return joined.select(*df.columns, *(F.when(F.col("_n") > 1, F.col(f"_l_{v}")).otherwise(F.col(f"_last._v_{v}")).alias(f"_p_{v}") for v in values))
+
+
+def union(log: DataFrame, by: list[str], rows_each: int = 100_000) -> DataFrame:
+    """(*by, start, end): touching and overlapping intervals of a group merged into one.
+
+    Inside ranges of starts first; a range knows by one row what those before it reach, and how many unions began there.
+    """
+    ranged = in_ranges(log.select(*by, "start", "end").where("start is not null and end is not null"), "start", rows_each)
+    reach = ranged.groupBy(*by, "_b").agg(F.max("end").alias("_r"))
+    earlier = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    reach = reach.select(*by, "_b", F.max("_r").over(earlier).alias("_r"))
+    own = Window.partitionBy(*by, "_b").orderBy("start", "end")
+    reached = F.greatest(F.max("end").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.col("_r"))
+    fresh = ranged.join(reach, [*by, "_b"]).withColumn("_fresh", F.when(reached.isNull() | (F.col("start") > reached), 1).otherwise(0))
+    island = fresh.withColumn("_i", F.sum("_fresh").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = island.groupBy(*by, "_b", "_i").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("_fresh").alias("_fresh"))
+    begun = parts.groupBy(*by, "_b").agg(F.sum("_fresh").alias("_f")).select(*by, "_b", F.coalesce(F.sum("_f").over(earlier), F.lit(0)).alias("_f"))
+    return parts.join(begun, [*by, "_b"]).groupBy(*by, (F.col("_f") + F.col("_i")).alias("_island")).agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")
 
 
 def overlap(a: DataFrame, b: DataFrame, by: list[str], width: int) -> DataFrame:
@@ -38,15 +72,24 @@ def next_ration(units: Column, seconds: Column, target: float = 0.25, least: int
 
 def rations(log: DataFrame, by: list[str], order: list[str], units: str, seconds: str, target: float = 0.25) -> DataFrame:
     """``log`` with ``ration``: what each step should have got, from the speed of the step before; 1 at first."""
-    before = Window.partitionBy(*by).orderBy(*order)
-    return log.withColumn("ration", F.coalesce(next_ration(F.lag(units).over(before), F.lag(seconds).over(before), target), F.lit(1)))
+    known = previous(log, by, order, [units, seconds])
+    return known.withColumn("ration", F.coalesce(next_ration(F.col(f"_p_{units}"), F.col(f"_p_{seconds}"), target), F.lit(1))).select(*log.columns, "ration")
 
 
-def smoothed(log: DataFrame, by: list[str], order: list[str], value: str, weight: float) -> DataFrame:
-    """(*by, ema): the exponential mean of ``value`` in order, the last one having ``weight``."""
-    listed = log.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(value).cast("double").alias("_v")))).alias("_l"))
-    values = F.transform("_l", lambda s: s["_v"])
-    return listed.select(*by, F.aggregate(F.slice(values, 2, F.greatest(F.size("_l") - 1, F.lit(0))), values[0], lambda m, v: m * (1 - weight) + v * weight).alias("ema"))
+def smoothed(log: DataFrame, by: list[str], order: list[str], value: str, weight: float, rows_each: int = 100_000) -> DataFrame:
+    """(*by, ema): the exponential mean of ``value`` in order, the last one having ``weight``.
+
+    A value counts by its place from the end, weight * (1 - weight) ** place, the first one by (1 - weight) ** place alone.
+    So the mean is a sum, and places add up over ranges.
+    """
+    ranged = in_ranges(log, order[0], rows_each)
+    sizes = ranged.groupBy(*by, "_b").agg(F.count("*").alias("_c"))
+    later = Window.partitionBy(*by).orderBy("_b").rowsBetween(1, Window.unboundedFollowing)
+    sizes = sizes.select(*by, "_b", F.coalesce(F.sum("_c").over(later), F.lit(0)).alias("_after"), F.sum("_c").over(Window.partitionBy(*by)).alias("_all"))
+    own = Window.partitionBy(*by, "_b").orderBy(*(F.col(c).desc() for c in order))
+    placed = ranged.withColumn("_n", F.row_number().over(own)).join(sizes, [*by, "_b"]).withColumn("_place", F.col("_after") + F.col("_n") - 1)
+    share = F.pow(F.lit(1 - weight), F.col("_place")) * F.when(F.col("_place") == F.col("_all") - 1, 1.0).otherwise(weight)
+    return placed.groupBy(*by).agg(F.sum(share * F.col(value)).alias("ema"))
 
 
 def idle_at_end(log: DataFrame, worker: str) -> DataFrame:

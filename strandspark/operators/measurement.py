@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intervals import previous
+
 
 def speedups(runs: DataFrame, by: list[str], label: str, time: str, base: str, workers: str | None = None) -> DataFrame:
     """``runs`` with speedup over the run labelled ``base`` of the group (else its first by label), and efficiency."""
@@ -22,19 +24,45 @@ def best(runs: DataFrame, by: list[str], label: str, time: str) -> DataFrame:
 
 
 def median_of_repeats(runs: DataFrame, by: list[str], order: str, time: str) -> DataFrame:
-    """(*by, median): the upper median of a group's times without the first run, which warms up."""
-    ranked = runs.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(order))).where("_n > 1")
-    sorted_times = F.sort_array(F.collect_list(time))
-    return ranked.groupBy(*by).agg(sorted_times.alias("_t")).select(*by, F.element_at("_t", (F.floor(F.size("_t") / 2) + 1).cast("int")).alias("median"))
+    """(*by, median): the upper median of a group's times without the first run, which warms up.
+
+    Equal times are counted first; running counts of distinct times tell the median, so no group is one array.
+    """
+    first = runs.groupBy(*by).agg(F.min_by(time, order).alias("_t"), F.count(time).alias("_all"))
+    counted = runs.where(F.col(time).isNotNull()).groupBy(*by, F.col(time).alias("_t")).agg(F.count("*").alias("_c"))
+    counted = counted.join(first.select(*by, "_t", F.lit(1).alias("_first")), [*by, "_t"], "left").withColumn("_c", F.col("_c") - F.coalesce("_first", F.lit(0))).where("_c > 0")
+    reached = F.sum("_c").over(Window.partitionBy(*by).orderBy("_t").rowsBetween(Window.unboundedPreceding, 0))
+    placed = counted.withColumn("_to", reached).join(first.select(*by, "_all"), by)
+    middle = F.floor((F.col("_all") - 1) / 2)
+    return placed.where((middle < F.col("_to")) & (middle >= F.col("_to") - F.col("_c"))).select(*by, F.col("_t").alias("median"))
 
 
 def agreement(results: DataFrame, by: list[str], label: str, value: str) -> DataFrame:
-    """(*by, same, dissenters): whether all configurations agree with the first by label, and which don't."""
-    reference = F.first(value).over(Window.partitionBy(*by).orderBy(label).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    seen = results.withColumn("_other", ~F.col(value).eqNullSafe(reference))
+    """(*by, same, dissenters): whether all configurations agree with the first by label, and which don't.
+
+    A group is the few configurations of one measurement: their names are one text.
+    """
+    reference = results.groupBy(*by).agg(F.min(F.struct(label, value)).alias("_r")).select(*by, F.col(f"_r.{value}").alias("_r"))
+    seen = results.join(reference, by).withColumn("_other", ~F.col(value).eqNullSafe(F.col("_r")))
     return seen.groupBy(*by).agg((F.count_if("_other") == 0).alias("same"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("_other"), F.col(label).cast("string")))), ",").alias("dissenters"))
 
 
+def consolidated(totals: DataFrame, found: DataFrame, key: str, order: list[str], k: int = 1000) -> DataFrame:
+    """(key, total, *order): the sum of what all parts of an operation counted (key, n), with the first ``k`` places of each key.
+
+    Spark keeps k of a key before the shuffle; the total counts all, also those that are not listed.
+    """
+    whole = totals.groupBy(key).agg(F.sum("n").alias("total"))
+    listed = found.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("_n") <= k)
+    return whole.join(listed.select(key, *order), key, "left")
+
+
+def top(detail: DataFrame, order: list, k: int) -> DataFrame:
+    """The first ``k`` rows of a report in an order, with ``more``: how many rows are not listed."""
+    more = detail.agg(F.greatest(F.count("*") - k, F.lit(0)).alias("more"))
+    return detail.orderBy(*order).limit(k).join(F.broadcast(more))  # one row
+
+
 def rate(n: Column, seconds: Column) -> Column:
     """Per second; 0 where no time passed."""
     return F.when(seconds > 0, n / seconds).otherwise(F.lit(0.0))
@@ -65,15 +93,15 @@ def amdahl(runs: DataFrame, by: list[str], workers: str, time: str) -> DataFrame
 
 def counter_energy(samples: DataFrame, by: list[str], order: list[str], counter: str, full: int) -> DataFrame:
     """(*by, used): the sum of a counter's steps; a step back means that it passed ``full`` and began again."""
-    step = F.col(counter) - F.lag(counter).over(Window.partitionBy(*by).orderBy(*order))
-    return samples.withColumn("_d", step).groupBy(*by).agg(F.sum(F.when(F.col("_d") < 0, F.col("_d") + full).otherwise(F.col("_d"))).alias("used"))
+    step = F.col(counter) - F.col(f"_p_{counter}")
+    return previous(samples, by, order, [counter]).withColumn("_d", step).groupBy(*by).agg(F.sum(F.when(F.col("_d") < 0, F.col("_d") + full).otherwise(F.col("_d"))).alias("used"))
 
 
 def power_energy(samples: DataFrame, by: list[str], order: str, power: str) -> DataFrame:
     """(*by, energy): the trapezoid integral of ``power`` over ``order``, a number of time units."""
-    own = Window.partitionBy(*by).orderBy(order)
-    area = (F.col(order) - F.lag(order).over(own)) * (F.col(power) + F.lag(power).over(own)) / 2
-    return samples.withColumn("_a", area).groupBy(*by).agg(F.sum("_a").alias("energy"))
+    slim = samples.select(*by, F.col(order).alias("_o"), F.col(order).alias("_x"), F.col(power).alias("_y"))
+    area = (F.col("_x") - F.col("_p__x")) * (F.col("_y") + F.col("_p__y")) / 2
+    return previous(slim, by, ["_o"], ["_x", "_y"]).withColumn("_a", area).groupBy(*by).agg(F.sum("_a").alias("energy"))
 
 
 def model_agreement(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -41,8 +41,14 @@ def unpaired(records: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
 
 
 def in_order(pairs: DataFrame) -> DataFrame:
-    """Pairs with ``place``: numeric keys by value, then X, Y, MT, then others, then by start in A. For reports of few pairs."""
-    return pairs.withColumn("place", F.row_number().over(Window.orderBy(*natural_order(F.coalesce("key", F.lit("~"))), "start_a", "rec_a")))
+    """``pairs`` with ``rank``, what they are ordered by: pairs by key first, numeric keys by value, then X, Y, MT, then other keys, then pairs by length, all by start in A.
+
+    A struct compares by its fields in turn: sort by it, or write ranges of it, without one task for all.
+    """
+    keyed = F.when(F.col("criterion") == "key", natural_order(F.coalesce("key", F.lit("")))[0]).otherwise(9)
+    number = F.when(F.col("criterion") == "key", natural_order(F.coalesce("key", F.lit("")))[1]).otherwise(0)
+    name = F.when((F.col("criterion") == "key") & (keyed == 4), F.coalesce("key", F.lit(""))).otherwise("")
+    return pairs.withColumn("rank", F.struct(keyed.alias("kind"), number.alias("number"), name.alias("name"), "start_a", "rec_a"))
 
 
 def overview(a: DataFrame, b: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -4,26 +4,55 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.symbols import folded, overlapping
-from .arrays import points
+from ..functions.symbols import AMBIGUOUS, BASES, UNKNOWN, either, folded
+from .arrays import points, rows_of_bytes
 
 
 def complement(pattern: str) -> str:
     return pattern.translate(str.maketrans("ACGT", "TGCA"))[::-1]
 
 
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[97:123] -= 32
+
+
+def _matched(patterns: list[str], keys: int):
+    """How often each of ``patterns`` is in each text: letters are compared once, matches are shifted conjunctions of that."""
+
+    def run(batches):
+        for batch in batches:
+            for row, end, raw, offsets in rows_of_bytes(batch.column(keys)):
+                folded_bytes = _FOLD[raw]
+                equal = {c: folded_bytes == ord(c) for c in set("".join(patterns)) | set("ACGT")}
+                equal["N"] = equal["A"] | equal["C"] | equal["G"] | equal["T"]
+                counts = []
+                for p in patterns:
+                    m = max(0, len(raw) - len(p) + 1)
+                    held = np.ones(m, bool)
+                    for k, c in enumerate(p):
+                        held &= equal[c][k : k + m]
+                    at = np.flatnonzero(held)
+                    owner = np.searchsorted(offsets, at, "right") - 1
+                    counts.append(np.bincount(owner[at + len(p) <= offsets[owner + 1]], minlength=end - row))
+                part = batch.slice(row, end - row)
+                yield pa.RecordBatch.from_arrays([*part.columns[:keys], *(pa.array(c, pa.int64()) for c in counts)], [*batch.schema.names[:keys], *(f"m{k}" for k in range(len(patterns)))])
+
+    return run
+
+
 def pattern_counts(df: DataFrame, text: str, patterns: list[str], by: tuple[str, ...]) -> DataFrame:
     """(*by, pattern, strand, n): overlapping matches, case folded, N for any base, on the strand and its complement.
 
-    A palindrome counts on both. One pass over the texts; only counts are shuffled.
+    A palindrome counts on both. One pass over the bytes of the texts; only counts are shuffled.
     """
-    seen = df.select(*by, folded(F.col(text)).alias("_t"))
-    sums = [F.sum(overlapping(F.col("_t"), q)).alias(f"{strand}{k}") for k, p in enumerate(patterns) for strand, q in (("+", p), ("-", complement(p)))]
-    wide = seen.groupBy(*by).agg(*sums)
-    rows = F.array(*(F.struct(F.lit(p).alias("pattern"), F.lit(s).alias("strand"), F.coalesce(F.col(f"`{s}{k}`"), F.lit(0)).alias("n")) for k, p in enumerate(patterns) for s in "+-"))
+    sides = [(p, strand, q) for p in patterns for strand, q in (("+", p), ("-", complement(p)))]
+    slim = df.select(*by, F.col(text).cast("binary").alias("_raw"))
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema if f.name in by] + [f"m{k} long" for k in range(len(sides))])
+    wide = slim.mapInArrow(_matched([q for _, _, q in sides], len(by)), schema).groupBy(*by).agg(*(F.sum(f"m{k}").alias(f"m{k}") for k in range(len(sides))))
+    rows = F.array(*(F.struct(F.lit(p).alias("pattern"), F.lit(s).alias("strand"), F.coalesce(F.col(f"m{k}"), F.lit(0)).alias("n")) for k, (p, s, _) in enumerate(sides)))
     return wide.select(*by, F.explode(rows).alias("r")).select(*by, "r.pattern", "r.strand", "r.n")
 
 
@@ -88,6 +117,56 @@ def windows(df: DataFrame, key: str, text: str, width: int, step: int) -> DataFr
     return out.withColumn("label", F.when(~F.col("evaluable"), "not_evaluable").when((F.col("gc") > 0.5) & (F.col("obs_exp") > 0.6), "zone").otherwise("background"))
 
 
+def classified(windows: DataFrame, width: int, sample: int = 20_000, rounds: int = 100) -> DataFrame:
+    """``windows`` with ``predicted``: what a small dense network says that learned the rule's labels from counts alone.
+
+    It learns from at most ``sample`` evaluable windows, half of them zones where there are so many, those with the smallest
+    hashes of key and start; all evaluable windows are then predicted by generated code. Without both labels the most
+    frequent one is predicted.
+    """
+    from pyspark.ml.classification import MultilayerPerceptronClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    key = windows.columns[0]
+    seen = windows.where("evaluable").withColumn("truth", (F.col("label") == "zone").cast("double"))
+    seen = seen.select("*", *((F.col(c) / width).alias(f"_{c}") for c in ("n_c", "n_g", "n_cg")), (F.col("n_c") * F.col("n_g") / (width * width)).alias("_product"))
+    ready = VectorAssembler(inputCols=["_n_c", "_n_g", "_n_cg", "_product"], outputCol="features").transform(seen)
+    order = [F.xxhash64(key, "start"), key, "start"]
+    halves = [ready.where(F.col("truth") == t).select("features", "truth", key, "start").orderBy(*order).limit(sample // 2) for t in (0.0, 1.0)]
+    chosen = halves[0].unionByName(halves[1]).select("features", "truth")
+    labels = [r["truth"] for r in chosen.select("truth").distinct().collect()]
+    if len(labels) < 2:
+        return seen.select(*windows.columns, F.lit("zone" if labels == [1.0] else "background").alias("predicted"))
+    net = MultilayerPerceptronClassifier(layers=[4, 8, 2], labelCol="truth", seed=1, maxIter=rounds).fit(chosen)
+    return net.transform(ready).select(*windows.columns, F.when(F.col("prediction") > 0.5, "zone").otherwise("background").alias("predicted"))
+
+
+def first_zones(windows: DataFrame, key: str, k: int) -> DataFrame:
+    """The first ``k`` zones of each record, by place; Spark keeps k of a record before the shuffle."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy("start"))
+    return windows.where("label = 'zone'").withColumn("_n", place).where(F.col("_n") <= k).drop("_n")
+
+
+def first_invalid(df: DataFrame, key: str, text: str, k: int) -> DataFrame:
+    """(key, pos, symbol): the first ``k`` invalid symbols of each text, positions from 0 in characters."""
+    valid = np.zeros(128, bool)
+    valid[[10, 13, *(ord(c) for c in either(BASES + UNKNOWN + AMBIGUOUS))]] = True
+
+    def run(batches):
+        for batch in batches:
+            rows, places, found = [], [], []
+            for row, t in enumerate(batch.column(1).to_pylist()):
+                codes = points(t)
+                at = np.flatnonzero((codes >= 128) | ~valid[np.minimum(codes, 127)])[:k]
+                rows.append(np.full(len(at), row))
+                places.append(at)
+                found += map(chr, codes[at].tolist())
+            if rows:
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(places), pa.int64()), pa.array(found, pa.string())], ["key", "pos", "symbol"])
+
+    return df.select(key, F.col(text).alias("_t")).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, pos long, symbol string")
+
+
 def zone_density(windows: DataFrame, key: str) -> DataFrame:
     """(key, evaluated, not_evaluable, zones) of each record."""
     return windows.groupBy(key).agg(F.count_if("evaluable").alias("evaluated"), F.count_if(~F.col("evaluable")).alias("not_evaluable"), F.count_if(F.col("label") == "zone").alias("zones"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.folders import shared
+
 CHUNK = 2048
 
 
@@ -17,18 +21,38 @@ def chunks(df: DataFrame, key: str, text: str, size: int = CHUNK) -> DataFrame:
     return each.select(key, "chunk", start.alias("start"), F.substring("text", (start + 1).cast("int"), F.lit(size)).alias("bases"))
 
 
-def running_start(df: DataFrame, order: str, length: Column, width: int = 10_000) -> DataFrame:
-    """``df`` with ``start``: the sum of ``length`` over all rows before it in ``order``, a whole-number column.
+def running_start(df: DataFrame, order: str, length: Column, rows_each: int = 200_000) -> DataFrame:
+    """``df`` with ``start``: the sum of ``length`` over all rows before it in ``order``; of rows with equal order values the shorter ones come first.
 
-    Two levels: rows fall into ranges of ``width`` order values, sums of ranges add up over the few ranges, and rows add up
-    inside their range. So no task orders the whole table.
+    Rows are dealt to even ranges of the order, whatever its values, and written in order; sums of ranges, of which there is
+    one in ``rows_each`` rows, add up first, then rows inside their range. So no task orders the whole table.
     """
-    ranged = df.withColumn("_length", length).withColumn("_range", F.floor(F.col(order) / width))
+    spark = df.sparkSession
+    sized = df.withColumn("_length", length.cast("long"))
+    parts = max(1, -(-df.count() // rows_each))
+    keys = [F.col(order).asc_nulls_first(), F.col("_length").asc_nulls_first()]
+    dealt = sized.repartitionByRange(parts, *keys, F.monotonically_increasing_id()).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
+    path = f"{shared(spark)}/running-{uuid.uuid4().hex}"
+    dealt.write.parquet(path)
+    ranged = spark.read.schema(dealt.schema).parquet(path).withColumn("_range", F.shiftright("_at", 33))
     totals = ranged.groupBy("_range").agg(F.sum("_length").alias("_total"))
     before = F.sum("_total").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
     totals = totals.select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
-    inside = F.sum("_length").over(Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    return ranged.join(totals, "_range").withColumn("start", (F.col("_before") + F.coalesce(inside, F.lit(0))).cast("long")).drop("_length", "_range", "_before")
+    inside = F.sum("_length").over(Window.partitionBy("_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1))
+    return ranged.join(totals, "_range").withColumn("start", (F.col("_before") + F.coalesce(inside, F.lit(0))).cast("long")).select(*df.columns, "start")
+
+
+def sliced(chunks: DataFrame, key: str, start: int, length: int, size: int = CHUNK) -> DataFrame:
+    """(key, bases): ``length`` symbols from ``start`` of every sequence in a table of chunks that is long enough; shorter ones have none.
+
+    Chunks outside are pruned by number; only those of one slice meet in a row.
+    """
+    held = chunks.where(F.col("chunk").between(start // size, (start + length - 1) // size))
+    low = F.greatest(F.lit(start), F.col("start")) - F.col("start")
+    high = F.least(F.lit(start + length), F.col("start") + F.length("bases")) - F.col("start")
+    part = F.struct("chunk", F.substring("bases", (low + 1).cast("int"), (high - low).cast("int")).alias("part"))
+    whole = held.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda p: p["part"]), "").alias("bases"))
+    return whole.where(F.length("bases") == length)
 
 
 def records_at(positions: DataFrame, records: DataFrame, width: int = 1 << 16) -> DataFrame:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import symbols, texts
 from ..operators import compare, composition, generators, intervals, measurement, pairing, patterns, sequences
 from ..sources import fasta
+from ..sources.folders import shared
 from ..streaming import monitors
 
 PATTERNS = ["ATA", "GAT", "CAN", "AATT"]
@@ -102,15 +103,13 @@ def _clean(text: str = "text"):
 
 def _fasta(spark, d):
     """Documents written as FASTA files to the shared folder and read again; headers carry letters of the alphabet."""
-    from ..sources.folders import shared
-
     path = f"{shared(spark)}/fasta-{uuid.uuid4().hex}"
     fasta.written(_docs(spark, d).select(F.col("doc_id").alias("rec"), F.concat(F.lit("rec"), F.lpad(F.col("doc_id").cast("string"), 9, "0"), F.lit(" chromosome "), F.pmod("doc_id", F.lit(30)).cast("string"), F.lit(", test primary assembly")).alias("header"), _clean().alias("text")), path)
-    return fasta.placed(fasta.lines(spark, path))
+    return fasta.lines(spark, path)
 
 
 def fasta_records(spark, d):
-    return fasta.records(_fasta(spark, d)).select("identifier", "description", "chromosome", "length")
+    return fasta.records(fasta.placed(_fasta(spark, d))).select("identifier", "description", "chromosome", "length")
 
 
 def fasta_counts(spark, d):
@@ -118,12 +117,58 @@ def fasta_counts(spark, d):
 
 
 def fasta_chunks(spark, d):
-    chunks = fasta.sequence_chunks(_fasta(spark, d), 4096)
+    chunks = fasta.sequence_chunks(fasta.placed(_fasta(spark, d)), 4096)
     return chunks.agg(F.sum(F.length("bases")).alias("symbols"), F.sum(symbols.occurrences(F.col("bases"), "ACGTacgt")).alias("bases"))
 
 
-def _diffs(spark, d):
-    return compare.differences(compare.paired_chunks(_pairs(spark, d)))
+def expected_answers(spark, d):
+    """Answers written as an expected-answer file and read again: one row for each base and language."""
+    path = f"{shared(spark)}/answers-{uuid.uuid4().hex}"
+    shares = composition.base_shares(_docs(spark, d), by=("lang",))
+    fasta.write_expected(shares.select(F.col("base").alias("tag"), F.array("lang", F.col("n").cast("string")).alias("fields")), path)
+    return fasta.expected(spark, path).select("tag", F.col("fields")[0].alias("lang"), F.col("fields")[1].cast("long").alias("n"))
+
+
+def truncated_copy(spark, d):
+    """The lines of each document that begin before its 2000th symbol, line ends not counted."""
+    each = _docs(spark, d).select("doc_id", F.split("text", "\n").alias("lines")).select("doc_id", F.posexplode("lines").alias("number", "line"))
+    before = Window.partitionBy("doc_id").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
+    placed = each.withColumn("start", F.coalesce(F.sum(F.length("line")).over(before), F.lit(0)))
+    return fasta.prefix(placed, 2000).groupBy("doc_id").agg(F.count("*").alias("lines"), F.sum(F.length("line")).alias("symbols"))
+
+
+def _gapped(spark, d):
+    """Units of 1000 symbols, of which every seventh is missing and every fifth begins ten symbols too early."""
+    each = sequences.chunks(_docs(spark, d), "doc_id", "text", 1000).where("chunk % 7 <> 3")
+    return each.select("doc_id", (F.col("start") - F.when(F.col("chunk") % 5 == 4, 10).otherwise(0)).alias("start"), F.length("bases").alias("n"))
+
+
+def _damaged(spark, d):
+    """Documents of which every third has another first symbol."""
+    return _docs(spark, d).withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("~"), F.expr("substring(text, 2)"))).otherwise(F.col("text")))
+
+
+def _made(spark, d):
+    return generators.sequences(_docs(spark, d), "doc_id", "n_chars")
+
+
+def planted_sequences(spark, d):
+    """Composition of made sequences as long as the documents, and how often the planted pattern is found in them."""
+    whole = _made(spark, d).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "bases"))), lambda p: p["bases"]), "").alias("text"))
+    hits = patterns.pattern_counts(whole, "text", [generators.PLANTED], ("doc_id",)).where("strand = '+'").select("doc_id", F.col("n").alias("planted"))
+    counts = composition.nucleotide_count(_made(spark, d), "bases", ("doc_id",)).select("doc_id", "n_a", "n_c", "n_g", "n_t", "n_unknown")
+    return counts.join(hits, "doc_id")
+
+
+def _keyed_pairs(spark, d):
+    """Documents as pairs with keys of all kinds: numbers, X, Y, MT, other names, and pairs by length."""
+    n = F.pmod("doc_id", F.lit(40))
+    key = F.when(n < 30, n.cast("string")).when(n == 30, "X").when(n == 31, "Y").when(n == 32, "MT").when(n < 36, F.col("lang"))
+    return _docs(spark, d).select(F.col("doc_id").alias("rec_a"), key.alias("key"), F.when(n < 38, "key").otherwise("length").alias("criterion"), F.col("n_chars").alias("start_a"))
+
+
+def _pieces(spark, d):
+    return compare.paired_pieces(_pairs(spark, d))
 
 
 def _runs(spark, d):
@@ -158,6 +203,8 @@ QUERIES = {
     "nucleotide_count": lambda s, d: composition.nucleotide_count(_docs(s, d)),
     "nucleotide_count_by_record": lambda s, d: composition.nucleotide_count(_docs(s, d), by=("doc_id",)),
     "classify_bytes": lambda s, d: composition.class_totals(composition.byte_histogram(_docs(s, d))),
+    "invalid_detail_top": lambda s, d: measurement.top(composition.invalid_detail(composition.byte_histogram(_docs(s, d))), [F.col("n").desc(), "byte"], 20),
+    "work_census": lambda s, d: composition.census(_docs(s, d), F.col("n_chars")).agg(F.sum("total").alias("total")),
     "ambiguous_detail": lambda s, d: composition.ambiguous_detail(composition.byte_histogram(_docs(s, d))),
     "invalid_detail": lambda s, d: composition.invalid_detail(composition.byte_histogram(_docs(s, d))),
     "base_pct": lambda s, d: composition.base_shares(_docs(s, d), by=("lang",)),
@@ -168,19 +215,22 @@ QUERIES = {
     "fasta_records": fasta_records,
     "fasta_counts": fasta_counts,
     "fasta_chunks": fasta_chunks,
+    "expected_answers": expected_answers,
+    "truncated_copy": truncated_copy,
+    "slice_scan": lambda s, d: sequences.sliced(sequences.chunks(_docs(s, d), "doc_id", "text"), "doc_id", 1500, 3000),
     # sequences and comparison
     "clean_offsets": lambda s, d: _starts(s, d),
     "position_to_record": lambda s, d: sequences.records_at(_t(s, d, "events").select((F.col("event_id") * 241).alias("pos")), _starts(s, d)).select("pos", "rec", "pos_in_record", symbols.row_of(F.col("pos_in_record")).alias("row"), symbols.column_of(F.col("pos_in_record")).alias("col")),
-    "unit_coverage": lambda s, d: sequences.coverage(sequences.chunks(_docs(s, d), "doc_id", "text", 1000).select("doc_id", "start", F.length("bases").alias("n")), "doc_id"),
+    "unit_coverage": lambda s, d: sequences.coverage(_gapped(s, d), "doc_id"),
     "unit_crc": lambda s, d: sequences.units(_docs(s, d), "doc_id", "text", 4096),
-    "crc_check": lambda s, d: sequences.failed_units(sequences.units(_docs(s, d).where("lang = 'en'"), "doc_id", "text", 4096), sequences.units(_docs(s, d), "doc_id", "text", 4096), "doc_id").select("doc_id", "chunk"),
+    "crc_check": lambda s, d: sequences.failed_units(sequences.units(_damaged(s, d), "doc_id", "text", 4096).where("chunk % 4 <> 3"), sequences.units(_docs(s, d), "doc_id", "text", 4096), "doc_id").select("doc_id", "chunk"),
     "interleave": lambda s, d: sequences.interleaved(_pairs(s, d).select("pair", F.regexp_replace("text_a", "\n", " ").alias("text_a"), F.regexp_replace("text_b", "\n", " ").alias("text_b"))),
     "diff_summary": lambda s, d: compare.summary(_pairs(s, d)),
-    "diff_kinds": lambda s, d: _diffs(s, d).groupBy("pair", "kind").agg(F.count("*").alias("n")),
-    "first_k_diffs": lambda s, d: compare.first_differences(_diffs(s, d), 5),
-    "first_k_diffs_total": lambda s, d: _diffs(s, d).orderBy("pair", "pos").limit(500).select("pair", "pos", "a", "b"),
-    "diff_density": lambda s, d: compare.density(_diffs(s, d), _pairs(s, d).select("pair", F.least(F.length("text_a"), F.length("text_b")).cast("long").alias("compared")), 512),
-    "paired_totals": lambda s, d: compare.totals(compare.summary(_pairs(s, d))),
+    "diff_kinds": lambda s, d: compare.kinds(_pieces(s, d)),
+    "first_k_diffs": lambda s, d: compare.first_differences(_pieces(s, d), 5),
+    "first_k_diffs_total": lambda s, d: compare.differences(_pieces(s, d), first=500).orderBy("pair", "pos").limit(500).select("pair", "pos", "a", "b"),
+    "diff_density": lambda s, d: compare.density(_pieces(s, d), _pairs(s, d).select("pair", F.least(F.length("text_a"), F.length("text_b")).cast("long").alias("compared")), 512),
+    "paired_totals": lambda s, d: compare.totals(compare.summary(_pairs(s, d)).withColumn("compared", F.when(F.col("pair") % 4 == 0, F.floor(F.col("compared") / 2)).otherwise(F.col("compared")))),
     "zip_compare": lambda s, d: compare.joined_chunks(_docs(s, d).where("doc_id % 2 = 0").select(F.floor(F.col("doc_id") / 2).alias("k"), "text"), _docs(s, d).where("doc_id % 2 = 1").select(F.floor(F.col("doc_id") / 2).alias("k"), "text"), "k", "text").groupBy("pair").agg(F.sum(F.length("a")).alias("compared"), F.count_if(F.col("a") == F.col("b")).alias("equal_chunks")),
     # pairing
     "pair_records": lambda s, d: pairing.paired(_records(s, d, 0), _records(s, d, 1)),
@@ -188,6 +238,7 @@ QUERIES = {
     "unpaired_a": lambda s, d: pairing.unpaired(_records(s, d, 0), pairing.paired(_records(s, d, 0), _records(s, d, 1)), "rec_a"),
     "unpaired_b": lambda s, d: pairing.unpaired(_records(s, d, 1), pairing.paired(_records(s, d, 0), _records(s, d, 1)), "rec_b"),
     "pairing_summary": lambda s, d: pairing.overview(_records(s, d, 0), _records(s, d, 1), pairing.paired(_records(s, d, 0), _records(s, d, 1))),
+    "natural_pair_order": lambda s, d: pairing.in_order(_keyed_pairs(s, d)).select("rec_a", "rank.kind", "rank.number", "rank.name"),
     # patterns
     "pattern_count": lambda s, d: patterns.pattern_counts(_docs(s, d), "text", PATTERNS, ("lang",)),
     "pattern_totals": lambda s, d: patterns.pattern_totals(patterns.pattern_counts(_docs(s, d), "text", PATTERNS, ("lang",)), "lang"),
@@ -196,7 +247,13 @@ QUERIES = {
     "cpg_windows": _zones,
     "zone_density": lambda s, d: patterns.zone_density(_zones(s, d), "doc_id"),
     "model_agreement": lambda s, d: measurement.model_agreement(_zones(s, d).withColumn("simple", F.when(F.col("gc") > 0.5, "zone").otherwise("background")), "label", "simple"),
+    "zone_classifier": lambda s, d: measurement.model_agreement(patterns.classified(_zones(s, d), 40), "label", "predicted"),
+    "first_zones": lambda s, d: patterns.first_zones(_zones(s, d), "doc_id", 2).select("doc_id", "start", "gc", "obs_exp"),
+    "first_invalid_positions": lambda s, d: patterns.first_invalid(_docs(s, d), "doc_id", "text", 3),
+    "consolidate_patterns": lambda s, d: measurement.consolidated(patterns.pattern_counts(_docs(s, d), "text", ["GAT", "ATA"], ("lang",)).where("strand = '+'"), patterns.pattern_positions(_docs(s, d), "doc_id", "text", "GAT", 10).withColumn("pattern", F.lit("GAT")), "pattern", ["doc_id", "pos"], 10),
     # generators
+    "planted_sequences": planted_sequences,
+    "error_sweep": lambda s, d: generators.error_sweep(_docs(s, d).select("doc_id", F.regexp_replace("text", "[^ACGTacgt]", "").alias("text")), "doc_id", "text", 2000),
     "inject_errors": lambda s, d: generators.with_errors(_docs(s, d), "doc_id", "text", "mixed", 2000),
     "mutate_pair": lambda s, d: generators.mutations(_docs(s, d), "doc_id", "text", 3),
     # work logs and measurements
@@ -209,9 +266,10 @@ QUERIES = {
     "ema_speed": lambda s, d: intervals.smoothed(_log(s, d), ["user_id"], ["start", "event_id"], "units", 0.5).select("user_id", F.round("ema", 4).alias("ema")),
     "idle_time": lambda s, d: intervals.idle_at_end(_log(s, d), "user_id"),
     "speedup": lambda s, d: measurement.speedups(_runs(s, d), ["size"], "config", "time", "O"),
+    "efficiency": lambda s, d: measurement.speedups(_t(s, d, "lineitem").groupBy(F.col("l_returnflag").alias("flag"), F.col("l_linenumber").alias("workers")).agg(F.sum(F.round("l_quantity").cast("long")).alias("time")), ["flag"], "workers", "time", "1", "workers"),
     "best_config": lambda s, d: measurement.best(_runs(s, d), ["size"], "config", "time"),
     "median_of_repeats": lambda s, d: measurement.median_of_repeats(_log(s, d), ["user_id"], "event_id", "units"),
-    "all_equal_check": lambda s, d: measurement.agreement(_t(s, d, "nation"), ["n_regionkey"], "n_nationkey", "n_regionkey"),
+    "all_equal_check": lambda s, d: measurement.agreement(_t(s, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n")), ["user_id"], "event_type", "n"),
     "errors_per_second": lambda s, d: _log(s, d).groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("errors"), F.sum("units").alias("units")).select("user_id", F.round(measurement.rate(F.col("errors"), F.col("units") / 100), 6).alias("per_second")),
     "resource_summary": lambda s, d: measurement.resource_summary(_samples(s, d), ["user_id"], ["cents", "measured"]),
     "per_core_mean": lambda s, d: measurement.element_means(_t(s, d, "embeddings"), ["label"], "embedding").select("label", "place", F.round("mean", 3).alias("mean"), "n"),
@@ -230,6 +288,7 @@ QUERIES = {
     "human_size": lambda s, d: _docs(s, d).select("doc_id", texts.human_size(F.col("n_chars")).alias("size"), texts.dotted(F.col("n_chars") * 1000).alias("dotted")),
     "restore_accents": lambda s, d: _docs(s, d).select("doc_id", texts.restored(F.col("text"), ACCENTS).alias("text")),
     "pending_accents": lambda s, d: _docs(s, d).select("doc_id", F.array_join(texts.unaccented(F.col("text"), sorted(ACCENTS)), ",").alias("words")),
+    "suspicious_words": lambda s, d: _docs(s, d).select("doc_id", F.array_join(texts.suspicious(F.col("text")), ",").alias("words")),
     "whole_numbers": lambda s, d: _t(s, d, "events").select("event_id", texts.whole(F.get_json_object("props", "$.k"), -1).alias("k")),
 }
 
@@ -253,8 +312,21 @@ ORACLES = {
     "fasta_chunks": f"select cast(sum(length(text)) as bigint) as symbols, cast(sum({_count('ACGTacgt')}) as bigint) as bases from (select regexp_replace(text, '[^A-Za-z]', '', 'g') as text from documents)",
     "clean_offsets": STARTS,
     "position_to_record": f"select e.event_id * 241 as pos, rec, e.event_id * 241 - start as pos_in_record, (e.event_id * 241 - start) // 80 + 1 as row, cast((e.event_id * 241 - start) % 80 + 1 as int) as col from events e join ({STARTS}) s on e.event_id * 241 >= s.start and e.event_id * 241 < s.start + s.length",
-    "unit_coverage": "select doc_id, n_chars as covered, 0::bigint as gaps, 0::bigint as overlaps from documents where n_chars > 0",
-    "crc_check": "select doc_id, cast(unnest(range(0, (n_chars + 4095) // 4096)) as int) as chunk from documents where lang <> 'en'",
+    "unit_coverage": """select doc_id, cast(sum(n) as bigint) as covered, count(*) filter (where start > reached) as gaps, count(*) filter (where start < reached) as overlaps from (
+ select doc_id, start, n, coalesce(lag(start + n) over (partition by doc_id order by start), 0) as reached from (select doc_id, chunk * 1000 - case when chunk % 5 = 4 then 10 else 0 end as start, least(1000, n_chars - chunk * 1000) as n from (select doc_id, n_chars, unnest(range(0, (n_chars + 999) // 1000)) as chunk from documents) where chunk % 7 <> 3)) group by 1""",
+    "crc_check": "select doc_id, cast(chunk as int) as chunk from (select doc_id, text, unnest(range(0, (n_chars + 4095) // 4096)) as chunk from documents) where chunk % 4 = 3 or (chunk = 0 and doc_id % 3 = 0 and text[1] <> '~')",
+    "expected_answers": f"with w as (select lang, {COUNTS} from documents group by lang) select unnest(['A', 'C', 'G', 'T']) as tag, lang, unnest([n_a, n_c, n_g, n_t]) as n from w",
+    "truncated_copy": "select doc_id, count(*) as lines, cast(sum(length(line)) as bigint) as symbols from (select doc_id, line, coalesce(sum(length(line)) over (partition by doc_id order by number rows between unbounded preceding and 1 preceding), 0) as start from (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(0, len(string_split(text, chr(10))))) as number from documents)) where start < 2000 group by 1",
+    "slice_scan": "select doc_id, substr(text, 1501, 3000) as bases from documents where n_chars >= 4500",
+    "natural_pair_order": "select rec_a, cast(case when criterion <> 'key' then 9 when key is null then 4 when try_cast(key as int) is not null then 0 when key = 'X' then 1 when key = 'Y' then 2 when key = 'MT' then 3 else 4 end as int) as kind, cast(case when criterion = 'key' then coalesce(try_cast(key as int), 0) else 0 end as int) as number, case when criterion = 'key' and try_cast(key as int) is null and key not in ('X', 'Y', 'MT') then key else '' end as name from (select doc_id as rec_a, case when doc_id % 40 < 30 then cast(doc_id % 40 as varchar) when doc_id % 40 = 30 then 'X' when doc_id % 40 = 31 then 'Y' when doc_id % 40 = 32 then 'MT' when doc_id % 40 < 36 then lang end as key, case when doc_id % 40 < 38 then 'key' else 'length' end as criterion from documents)",
+    "first_zones": f"select doc_id, start, gc, obs_exp from (select *, row_number() over (partition by doc_id order by start) as n from ({ZONES}) where label = 'zone') where n <= 2",
+    "first_invalid_positions": "select doc_id, pos, symbol from (select *, row_number() over (partition by doc_id order by pos) as n from (select doc_id, unnest(range(0, length(text))) as pos, unnest(string_split(text, '')) as symbol from documents) where not regexp_matches(symbol, '^[ACGTNRYSWKMBDHVacgtnryswkmbdhv\\n\\r]$')) where n <= 3",
+    "efficiency": "select flag, workers, time, speedup, round(100 * speedup / workers, 4) as efficiency_pct from (select *, case when time > 0 then round(max(case when workers = 1 then time end) over (partition by flag) / time::double, 6) end as speedup from (select l_returnflag as flag, l_linenumber as workers, cast(sum(cast(round(l_quantity) as bigint)) as bigint) as time from lineitem group by 1, 2))",
+    "invalid_detail_top": f"select *, (select greatest(count(*) - 20, 0) from ({HISTOGRAM}) where {CLASS} = 'invalid') as more from (select byte, case when byte between 32 and 126 then chr(byte) else '\\x' || lower(printf('%02x', byte)) end as name, n from ({HISTOGRAM}) where {CLASS} = 'invalid' order by n desc, byte limit 20)",
+    "work_census": "select cast(sum(n_chars) as bigint) as total from documents",
+    "suspicious_words": f"select doc_id, coalesce(list_aggregate(list_sort(list_distinct(list_filter(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+'), lambda x: regexp_matches(lower(x), '{'|'.join(texts.STEMS)}') and not regexp_matches(x, '[áéíóúñÁÉÍÓÚÑ]') and not (lower(x) in ({', '.join(repr(w) for w in texts.UNACCENTED)}))))), 'string_agg', ','), '') as words from documents",
+    "restore_accents": f"select doc_id, array_to_string(list_transform(regexp_extract_all(text, '(?s)({texts.PROTECTED}|\\p{{L}}+|.)'), lambda t: case {' '.join(f'when lower(t) = {a!r} then case when t[1] <> lower(t[1]) then {(b[:1].upper() + b[1:])!r} else {b!r} end' for a, b in ACCENTS.items())} else t end), '') as text from documents",
+    "ema_speed": f"""select user_id, round(list_reduce(list(units::double order by start, event_id), lambda m, v: m * 0.5 + v * 0.5), 4) as ema from ({LOG}) group by 1""",
     "interleave": f"""select pair, cast(row as bigint) as row, side, side || ' ' || lpad(cast(row as varchar), cast(length(cast(rows as varchar)) as int), ' ') || ': ' || substr(case side when 'A' then a else b end, (row - 1) * 80 + 1, 80) as line from (
  select pair, a, b, rows, unnest(range(1, rows + 1)) as row from (select pair, replace(text_a, chr(10), ' ') as a, replace(text_b, chr(10), ' ') as b, least((length(text_a) + 79) // 80, (length(text_b) + 79) // 80) as rows from ({PAIRS}))), (values ('A'), ('B')) v(side)""",
     "diff_summary": f"""with p as ({PAIRS}), u as (select pair, count(*) as n, min(pos) as first_pos from ({UNEQUAL}) group by 1)
@@ -265,8 +337,8 @@ ORACLES = {
     "first_k_diffs_total": f"select pair, pos, a, b from ({UNEQUAL}) order by pair, pos limit 500",
     "diff_density": f"""with s as (select pair, unnest(range(0, (least(length(text_a), length(text_b)) - 1) // 512 + 1)) as k from ({PAIRS}) where least(length(text_a), length(text_b)) > 0), u as (select pair, pos // 512 as k, count(*) as n from ({UNEQUAL}) group by 1, 2)
  select pair, k * 512 as bucket_start, coalesce(n, 0) as n from s left join u using (pair, k)""",
-    "paired_totals": f"""with p as ({PAIRS}), u as (select pair, count(*) as n from ({UNEQUAL}) group by 1), r as (select least(length(text_a), length(text_b)) as compared, coalesce(n, 0) as d from p left join u using (pair))
- select count(*) as pairs, 0::bigint as invalid, cast(sum(compared) as bigint) as compared, cast(sum(d) as bigint) as differences, round(100 * (sum(compared) - sum(d)) / sum(compared)::double, 6) as similarity_pct from r""",
+    "paired_totals": f"""with p as ({PAIRS}), u as (select pair, count(*) as n from ({UNEQUAL}) group by 1), r as (select least(length(text_a), length(text_b)) // case when pair % 4 = 0 then 2 else 1 end as compared, coalesce(n, 0) as d from p left join u using (pair))
+ select count(*) as pairs, count(*) filter (where d > compared) as invalid, cast(sum(compared) filter (where d <= compared) as bigint) as compared, cast(sum(d) filter (where d <= compared) as bigint) as differences, round(100 * (sum(compared) filter (where d <= compared) - sum(d) filter (where d <= compared)) / (sum(compared) filter (where d <= compared))::double, 6) as similarity_pct from r""",
     "zip_compare": f"select pair, cast(sum(length(a)) as bigint) as compared, cast(count(*) filter (where a = b) as bigint) as equal_chunks from (select pair, substr(text_a, k * 2048 + 1, least(2048, m - k * 2048)) as a, substr(text_b, k * 2048 + 1, least(2048, m - k * 2048)) as b from (select pair, text_a, text_b, least(length(text_a), length(text_b)) as m, unnest(range(0, (least(length(text_a), length(text_b)) + 2047) // 2048)) as k from ({PAIRS}))) group by 1",
     "pair_records": f"{PAIRED} select * from p",
     "pair_by_key": f"{PAIRED} select * from k",
@@ -289,7 +361,7 @@ ORACLES = {
     "speedup": f"select size, config, time, round(max(case when config = 'O' then time end) over (partition by size) / time::double, 6) as speedup from ({RUNS})",
     "best_config": f"select size, arg_min(config, time) as best, min(time) as time from ({RUNS}) group by 1",
     "median_of_repeats": f"select user_id, list_sort(list(units))[len(list(units)) // 2 + 1] as median from (select *, row_number() over (partition by user_id order by event_id) as n from ({LOG})) where n > 1 group by 1",
-    "all_equal_check": "select n_regionkey, true as same, '' as dissenters from nation group by 1",
+    "all_equal_check": "select user_id, count(*) filter (where n <> r) = 0 as same, coalesce(string_agg(event_type, ',' order by event_type) filter (where n <> r), '') as dissenters from (select *, first_value(n) over (partition by user_id order by event_type) as r from (select user_id, event_type, count(*) as n from events group by 1, 2)) group by 1",
     "errors_per_second": f"select user_id, case when sum(units) > 0 then round(count(*) filter (where event_type = 'error') / (sum(units) / 100::double), 6) else 0.0::double end as per_second from ({LOG}) group by 1",
     "resource_summary": "select user_id, case when count(c) >= 2 then round(avg(c), 6) end as cents_mean, case when count(c) >= 2 then max(c) end as cents_max, case when count(m) >= 2 then round(avg(m), 6) end as measured_mean, case when count(m) >= 2 then max(m) end as measured_max from (select user_id, cast(round(value * 100) as bigint) as c, case when event_type <> 'error' then cast(round(value * 100) as bigint) end as m from events) group by 1",
     "per_core_mean": "select label, cast(place as int) as place, round(round(avg(x::double), 5), 3) as mean, count(x) as n from (select label, unnest(range(0, len(embedding))) as place, unnest(embedding) as x from embeddings) group by 1, 2",
@@ -334,3 +406,26 @@ _EACH = "select doc_id, unnest(range(0, length(text))) as pos, unnest(string_spl
 _MIXED = generators.ALPHABETS["mixed"]
 ORACLES["inject_errors"] = f"select doc_id, pos, original, substr('{_MIXED}', {_draw('(pos + doc_id * 1000003)', 1234, 2)} % {len(_MIXED)} + 1, 1) as error from ({_EACH}) where original <> chr(10) and {_draw('(pos + doc_id * 1000003)', 1234, 1)} % 1000000 < 2000"
 ORACLES["mutate_pair"] = f"select doc_id, pos, original, substr('ACGT', (instr('ACGT', upper(original)) - 1 + draw % 3 + 1) % 4 + 1, 1) as changed from (select *, row_number() over (partition by doc_id order by draw, pos) as n from (select *, {_draw('(pos + doc_id * 1000003)', 1234, 3)} as draw from ({_EACH}) where original in ('A','C','G','T','a','c','g','t'))) where n <= 3"
+
+
+def _consolidated_oracle() -> str:
+    totals = ORACLES["pattern_count"].replace(*_listed(PATTERNS, ["GAT", "ATA"]))
+    hits = ORACLES["pattern_positions"].replace("where n <= 3", "where n <= 10")
+    return f"with t as (select pattern, cast(sum(n) as bigint) as total from ({totals}) where strand = '+' group by 1), h as (select 'GAT' as pattern, doc_id, pos, row_number() over (order by doc_id, pos) as k from ({hits})) select t.pattern, total, doc_id, pos from t left join h on h.pattern = t.pattern and k <= 10"
+
+
+def _listed(old: list[str], new: list[str]) -> tuple[str, str]:
+    def values(patterns_: list[str]) -> str:
+        return ", ".join(f"('{p}', '{s}', '{q.replace('N', '_')}', {len(q)})" for p in patterns_ for s, q in (("+", p), ("-", patterns.complement(p))))
+
+    return values(old), values(new)
+
+
+ORACLES["consolidate_patterns"] = _consolidated_oracle()
+_BASES_ONLY = "(select doc_id, regexp_replace(text, '[^ACGTacgt]', '', 'g') as text from documents)"
+ORACLES["error_sweep"] = " union all ".join(f"select '{kind}' as kind, count(*) as injected, count(*) as detected, true as ok from ({_EACH.replace('documents', _BASES_ONLY)}) where {_draw('(pos + doc_id * 1000003)', 1234, 1)} % 1000000 < 2000" for kind in generators.ALPHABETS)
+_HALF, _WIDE = len(generators.PLANTED) // 2, len(generators.PLANTED)
+_SYMBOL = f"""case when (pos + {_HALF}) % 1024 < {_WIDE} and pos + {_HALF} >= 1024 and pos - (pos + {_HALF}) % 1024 + {_WIDE} <= n then substr('{generators.PLANTED}', (pos + {_HALF}) % 1024 + 1, 1)
+ when {_draw('(pos // 256 + doc_id * 1000003)', 1234, 5)} % 20 = 0 then 'N' when {_draw('(pos // 256 + doc_id * 1000003)', 1234, 5)} % 20 < 3 then substr('acgt', {_draw('(pos + doc_id * 1000003)', 1234, 4)} % 4 + 1, 1) else substr('ACGT', {_draw('(pos + doc_id * 1000003)', 1234, 4)} % 4 + 1, 1) end"""
+_MADE = f"select doc_id, string_agg({_SYMBOL}, '' order by pos) as text from (select doc_id, n_chars as n, unnest(range(0, n_chars)) as pos from documents) group by 1"
+ORACLES["planted_sequences"] = f"select doc_id, {_count('Aa')} as n_a, {_count('Cc')} as n_c, {_count('Gg')} as n_g, {_count('Tt')} as n_t, {_count('Nn')} as n_unknown, (length(text) - length(replace(upper(text), '{generators.PLANTED}', ''))) // {_WIDE} as planted from ({_MADE})"

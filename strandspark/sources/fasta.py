@@ -6,11 +6,15 @@ begins. Order comes from the split's place and the row's number in it; sums over
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.symbols import header_fields
 from ..operators.composition import nucleotide_count
+from .folders import opened
 
 
 class InputError(ValueError):
@@ -18,8 +22,8 @@ class InputError(ValueError):
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, split, number, is_header, line): number ascends within a split of a file; a header begins with >."""
-    seen = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("number"), F.col("value").alias("line"))
+    """(file, split, number, is_header, line): number ascends within a split of a file, which has its full path; a header begins with >."""
+    seen = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("number"), F.col("value").alias("line"))
     return seen.select("file", "split", "number", F.coalesce(F.col("line").startswith(">"), F.lit(False)).alias("is_header"), F.regexp_replace("line", "\r$", "").alias("line"))
 
 
@@ -118,10 +122,34 @@ def runs(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def write_runs(df: DataFrame, columns: list[str], path: str) -> None:
-    """Writes exactly ``columns`` as CSV with a header; others are left out, missing ones are blank."""
+    """Writes exactly ``columns`` as one CSV file with a header, for the few runs of a benchmark; others are left out, missing ones are blank."""
     df.select(*(F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in columns)).coalesce(1).write.csv(path, header=True)
 
 
-def fingerprint(spark: SparkSession, path: str) -> DataFrame:
-    """(file, size, changed): what must be the same for tables made from ``path`` to be up to date."""
-    return spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("size"), F.col("modificationTime").alias("changed"))
+def fingerprint(spark: SparkSession, path: str, ends: int = 1 << 20) -> DataFrame:
+    """(file, size, changed, ends): what must be the same for tables made from ``path`` to be up to date.
+
+    ``ends`` is a hash of a file's first and last bytes, so many each: two files can share a name, a size and a date. Files
+    are listed by Spark; tasks read nothing but these bytes.
+    """
+    listed = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.col("length").alias("size"), F.col("modificationTime").alias("changed"))
+
+    def run(batches):
+        for batch in batches:
+            found = []
+            for name, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                source, own = opened(name)
+                with source.open_input_file(own) as f:
+                    head = f.read(min(size, ends))
+                    f.seek(max(0, size - ends))
+                    found.append(hashlib.sha256(head + f.read(ends)).hexdigest())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], ["file", "size", "changed", "ends"])
+
+    return listed.mapInArrow(run, "file string, size long, changed timestamp, ends string")
+
+
+def up_to_date(current: DataFrame, known: DataFrame) -> DataFrame:
+    """(file, fresh): whether what is known of each file still holds; false for files that are new or gone."""
+    same = F.struct("size", "changed", "ends")
+    both = current.select("file", same.alias("_now")).join(known.select("file", same.alias("_then")), "file", "full_outer")
+    return both.select("file", F.coalesce(F.col("_now") == F.col("_then"), F.lit(False)).alias("fresh"))

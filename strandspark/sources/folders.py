@@ -1,9 +1,11 @@
-"""The folder that the driver and all executors share."""
+"""The folder that the driver and all executors share, and files in Spark's file systems that tasks open by themselves."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 
+from pyarrow import fs
 from pyspark.sql import SparkSession
 
 
@@ -17,3 +19,14 @@ def shared(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return sc.getCheckpointDir().rstrip("/")
+
+
+def opened(path: str):
+    """(file system, path in it) of a full URI, for tasks that read or write parts of files."""
+    return fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", path))
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The full URI that Spark means by ``path``: without a scheme it is in the cluster's default file system."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()

@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 from strandspark.operators.composition import nucleotide_count
@@ -17,7 +19,7 @@ def test_any_split_gives_the_same(spark, tmp_path, split):
         assert recs == [(1, "r1", "1", 3, 9), (2, "r2", None, 12, 0), (3, "r3", None, 12, 7), (4, "r4", None, 19, 0)]
         chunks = fasta.sequence_chunks(placed, 4)
         assert [r["bases"] for r in chunks.orderBy("chunk").collect()] == ["ACGA", "CGTN", ">acg", "UUAC", "-*R"]
-        assert "".join(r["bases"] for r in fasta.slice_of(chunks, "x.fa", 2, 8, 19, 4).orderBy("chunk").collect()) == "GACGTN>a"
+        assert "".join(r["bases"] for r in fasta.slice_of(chunks, chunks.first()["file"], 2, 8, 19, 4).orderBy("chunk").collect()) == "GACGTN>a"
         n = nucleotide_count(placed.where(~F.col("is_header")), "line").first()
         assert (n["n_bases"], n["n_unknown"], n["n_ambiguous"], n["n_invalid"]) == (12, 1, 1, 5)
     finally:
@@ -53,3 +55,23 @@ def test_round_trip_and_answers(spark, tmp_path):
     row = fasta.runs(spark, str(tmp_path / "r"), "label string, time double, gpu double").first()
     assert (row["label"], row["time"], row["gpu"]) == ("x", 1.5, None)
     assert fasta.fingerprint(spark, str(tmp_path / "f")).count() >= 1
+
+
+def test_files_of_one_name_in_two_folders(spark, tmp_path):
+    """Two sequences, and what is known of one of them doesn't hold for the other."""
+    for folder, raw in (("one", b">a\nACGT\n"), ("two", b">a\nTTTT\n")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "x.fa").write_bytes(raw)
+        os.utime(tmp_path / folder / "x.fa", (1_700_000_000, 1_700_000_000))
+    chunks = fasta.sequence_chunks(fasta.placed(fasta.lines(spark, f"{tmp_path}/*")), 4)
+    assert {r["file"].split("/")[-2]: r["bases"] for r in chunks.collect()} == {"one": "ACGT", "two": "TTTT"}
+    now = fasta.fingerprint(spark, f"{tmp_path}/*")
+    known = {r["file"].split("/")[-2]: r for r in now.collect()}
+    assert known["one"]["size"] == known["two"]["size"] and known["one"]["changed"] == known["two"]["changed"] and known["one"]["ends"] != known["two"]["ends"]
+    then = spark.createDataFrame([tuple(r) for r in now.collect()], now.schema)
+    assert {r["fresh"] for r in fasta.up_to_date(fasta.fingerprint(spark, f"{tmp_path}/*"), then).collect()} == {True}
+    (tmp_path / "two" / "x.fa").write_bytes(b">a\nTTTA\n")
+    os.utime(tmp_path / "two" / "x.fa", (1_700_000_000, 1_700_000_000))
+    (tmp_path / "one" / "y.fa").write_bytes(b">b\nA\n")
+    fresh = {"/".join(r["file"].split("/")[-2:]): r["fresh"] for r in fasta.up_to_date(fasta.fingerprint(spark, f"{tmp_path}/*"), then).collect()}
+    assert fresh == {"one/x.fa": True, "one/y.fa": False, "two/x.fa": False}

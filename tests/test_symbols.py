@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 from strandspark.functions import symbols, texts
 from strandspark.operators import compare, composition, generators, intervals, measurement, pairing, patterns, sequences
@@ -28,9 +30,9 @@ def test_short_pair(spark):
     by = {r["pair"]: r for r in compare.summary(pair).collect()}
     assert (by[1]["compared"], by[1]["differences"], by[1]["first_pos"], by[1]["offset"]) == (10, 2, 4, -4)
     assert by[2]["compared"] == 0 and by[2]["similarity_pct"] == 0.0 and by[4]["compared"] == 0
-    found = compare.differences(compare.paired_chunks(pair, 3)).orderBy("pair", "pos").collect()
+    found = compare.differences(compare.paired_pieces(pair)).orderBy("pair", "pos").collect()
     assert [(r["pair"], r["pos"], r["row"], r["col"], r["kind"]) for r in found] == [(1, 4, 1, 5, "real"), (1, 9, 1, 10, "real"), (3, 0, 1, 1, "case_only"), (3, 1, 1, 2, "case_only")]
-    assert compare.first_differences(compare.differences(compare.paired_chunks(pair)), None).count() == 4
+    assert compare.first_differences(compare.paired_pieces(pair), None).count() == 4
 
 
 def test_invalid_results_leave_both_sums(spark):
@@ -73,7 +75,7 @@ def test_patterns(spark):
 def test_chunks_and_positions(spark):
     df = spark.createDataFrame([(0, "abcdefg"), (1, ""), (2, None), (3, "xy")], "doc long, text string")
     assert sorted((r["doc"], r["start"], r["bases"]) for r in sequences.chunks(df, "doc", "text", 3).collect()) == [(0, 0, "abc"), (0, 3, "def"), (0, 6, "g"), (3, 0, "xy")]
-    starts = sequences.running_start(df, "doc", F.coalesce(F.length("text"), F.lit(0)), width=2)
+    starts = sequences.running_start(df, "doc", F.coalesce(F.length("text"), F.lit(0)), rows_each=2)
     assert {r["doc"]: r["start"] for r in starts.collect()} == {0: 0, 1: 7, 2: 7, 3: 7}
     recs = starts.select(F.col("doc").alias("rec"), "start", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("length"))
     held = sequences.records_at(spark.createDataFrame([(0,), (6,), (7,), (8,), (9,)], "pos long"), recs, 4)
@@ -113,6 +115,74 @@ def test_intervals(spark):
     assert ema.first()["ema"] == 2.0
 
 
+def test_intervals_in_ranges(spark):
+    """Windows over ranges of a group say the same as over the whole group, however it is cut, with ties and nulls."""
+    rows = [("a", k * 37 % 101, k * 37 % 101 + (k % 9) * (k % 4), k % 7) for k in range(300)] + [("b", 5, 500, 1), ("b", 5, 5, 2), ("b", 700, 701, 3), (None, 3, 4, 5)]
+    log = spark.createDataFrame([(*r, n) for n, r in enumerate(rows)], "w string, start long, end long, v long, n long")
+    cuts = (1 << 30, 40, 3)
+    found = [sorted(map(tuple, intervals.union(log, ["w"], rows_each=c).collect()), key=str) for c in cuts]
+    assert found[0] == found[1] == found[2] and ("b", 5, 500) in found[0] and ("b", 700, 701) in found[0]
+    means = [{r["w"]: round(r["ema"], 9) for r in intervals.smoothed(log, ["w"], ["start", "n"], "v", 0.3, rows_each=c).collect()} for c in cuts]
+    mean = None
+    for _, v in sorted(((r[1], n), r[3]) for n, r in enumerate(rows) if r[0] == "a"):
+        mean = v if mean is None else mean * 0.7 + v * 0.3
+    assert means[0] == means[1] == means[2] and means[0]["a"] == round(mean, 9)
+    before = [sorted(((r["n"], r["_p_v"]) for r in intervals.previous(log, ["w"], ["start", "n"], ["v"], rows_each=c).collect())) for c in cuts]
+    assert before[0] == before[1] == before[2] and (301, 1) in before[0] and (300, None) in before[0]
+    assert intervals.union(log.where("false"), ["w"]).count() == 0
+
+
+def test_running_start_of_sparse_numbers(spark):
+    """Far apart, negative, repeated and null numbers."""
+    rows = [(None, 5), (-(10**15), 1), (3, 7), (3, 2), (10**18, 4)]
+    df = spark.createDataFrame(rows, "n long, size long")
+    for each in (1, 2, 100):
+        got = sorted(((r["n"], r["size"], r["start"]) for r in sequences.running_start(df, "n", F.col("size"), rows_each=each).collect()), key=lambda x: x[2])
+        assert got == [(None, 5, 0), (-(10**15), 1, 5), (3, 2, 6), (3, 7, 8), (10**18, 4, 15)]
+    assert sequences.running_start(df.where("false"), "n", F.col("size")).count() == 0
+
+
+def test_slices_of_chunks(spark):
+    df = spark.createDataFrame([(0, "abcdefghij"), (1, "abc"), (2, None)], "doc long, text string")
+    chunks = sequences.chunks(df, "doc", "text", 3)
+    assert [tuple(r) for r in sequences.sliced(chunks, "doc", 2, 6, 3).collect()] == [(0, "cdefgh")]
+
+
+def test_comparison_of_odd_texts(spark):
+    """Nulls, empty texts, symbols outside of the basic plane and with the number 0, lower case and unknown symbols."""
+    rows = [(0, "a\0🙂nX", "A\0xnY"), (1, None, "x"), (2, "", "x"), (3, "same", "same"), (4, "nab", "xN")]
+    pieces = compare.paired_pieces(spark.createDataFrame(rows, "pair long, text_a string, text_b string"))
+    got = sorted((r["pair"], r["pos"], r["a"], r["b"], r["kind"]) for r in compare.differences(pieces).collect())
+    assert got == [(0, 0, "a", "A", "case_only"), (0, 2, "🙂", "x", "real"), (0, 4, "X", "Y", "real"), (4, 0, "n", "x", "with_unknown"), (4, 1, "a", "N", "with_unknown")]
+    assert sorted((r["pair"], r["kind"], r["n"]) for r in compare.kinds(pieces).collect()) == [(0, "case_only", 1), (0, "real", 2), (4, "with_unknown", 2)]
+    assert sorted((r["pair"], r["pos"]) for r in compare.first_differences(pieces, 1).collect()) == [(0, 0), (4, 0)]
+    sizes = spark.createDataFrame([(0, 5), (3, 4), (4, 2)], "pair long, compared long")
+    assert sorted((r["pair"], r["bucket_start"], r["n"]) for r in compare.density(pieces, sizes, 2).collect()) == [(0, 0, 1), (0, 2, 1), (0, 4, 1), (3, 0, 0), (3, 2, 0), (4, 0, 2)]
+    zero = compare.paired_pieces(spark.createDataFrame([(0, "\0", "b")], "pair long, text_a string, text_b string"))
+    assert [r["a"] for r in compare.differences(zero).collect()] == ["\0"]
+
+
+def test_zone_classifier_learns_the_rule(spark):
+    r = random.Random(4)
+    rows = [(k, "".join(r.choice("CG" * r.choice([1, 9]) + "ACGT") for _ in range(400))) for k in range(60)] + [(99, "CG" * 200), (98, "AT" * 200)]
+    windows = patterns.windows(spark.createDataFrame(rows, "doc long, text string"), "doc", "text", 40, 20)
+    seen = patterns.classified(windows, 40).collect()
+    assert len(seen) == windows.where("evaluable").count() and sum(x["label"] == x["predicted"] for x in seen) > 0.95 * len(seen)
+    one_label = patterns.windows(spark.createDataFrame([(98, "AT" * 200)], "doc long, text string"), "doc", "text", 40, 20)
+    assert {x["predicted"] for x in patterns.classified(one_label, 40).collect()} == {"background"}
+    assert patterns.classified(windows.where("false"), 40).count() == 0
+
+
+def test_made_sequences(spark):
+    df = spark.createDataFrame([(1, 5000), (2, 0), (3, None), (4, 3)], "doc long, n long")
+    rows = generators.sequences(df, "doc", "n", unit=1000).orderBy("doc", "chunk").collect()
+    text = "".join(r["bases"] for r in rows if r["doc"] == 1)
+    assert len(text) == 5000 and {r["doc"] for r in rows} == {1, 4} and all(text[k - 3 : k + 4] == generators.PLANTED for k in (1000, 2000, 3000, 4000))
+    assert set(text) <= set("ACGTacgtN") and len(set(text)) > 4
+    swept = generators.error_sweep(spark.createDataFrame([(1, "ACGT" * 300), (2, None)], "doc long, text string"), "doc", "text", 50_000).collect()
+    assert len(swept) == len(generators.ALPHABETS) and all(r["ok"] and r["injected"] > 10 for r in swept)
+
+
 def test_measurements(spark):
     runs = spark.createDataFrame([("g", k, t) for k, t in enumerate([9.0, 3.0, 1.0, 2.0, 4.0])], "g string, k int, t double")
     assert measurement.median_of_repeats(runs, ["g"], "k", "t").first()["median"] == 3.0
@@ -121,6 +191,12 @@ def test_measurements(spark):
     assert (r["cpu_mean"], r["cpu_max"], r["gpu_mean"], r["gpu_max"]) == (2.0, 3.0, None, None)
     ragged = spark.createDataFrame([([1.0, 2.0],), ([3.0],)], "x array<double>").withColumn("g", F.lit(1))
     assert [(m["place"], m["mean"]) for m in measurement.element_means(ragged, ["g"], "x").orderBy("place").collect()] == [(0, 2.0), (1, 2.0)]
+    assert measurement.median_of_repeats(spark.createDataFrame([("g", k, t) for k, t in enumerate([1.0, 2.0, 2.0, 2.0, None])], "g string, k int, t double"), ["g"], "k", "t").first()["median"] == 2.0
+    assert measurement.median_of_repeats(runs.where("k = 0"), ["g"], "k", "t").count() == 0
+    same = measurement.agreement(spark.createDataFrame([("g", 1, 5), ("g", 2, 5), ("g", 3, 6), ("h", 1, None), ("h", 2, None)], "g string, k int, v int"), ["g"], "k", "v")
+    assert {r["g"]: (r["same"], r["dissenters"]) for r in same.collect()} == {"g": (False, "3"), "h": (True, "")}
+    listed = measurement.top(spark.createDataFrame([(k, k % 3) for k in range(10)], "k int, n int"), [F.col("n").desc(), "k"], 4).collect()
+    assert [(r["k"], r["more"]) for r in listed] == [(2, 6), (5, 6), (8, 6), (1, 6)]
     assert measurement.counter_energy(spark.createDataFrame([("a", 1, 8), ("a", 2, 3)], "g string, k int, c long"), ["g"], ["k"], "c", 10).first()["used"] == 5
     fit = measurement.amdahl(spark.createDataFrame([("a", n, 2 + 8 / n) for n in (1, 2, 4, 8)], "g string, n int, t double"), ["g"], "n", "t").first()
     assert (fit["serial_part"], fit["most_speedup"]) == (0.2, 5.0)
@@ -139,6 +215,8 @@ def test_texts(spark):
     assert one(spark, texts.dotted(F.col("n")), n=1234567) == "1.234.567"
     assert [one(spark, texts.whole(F.col("t"), -1), t=t) for t in ("12", " 7 ", "3.5", "x")] == [12, 7, -1, -1]
     assert one(spark, texts.restored(F.col("t"), {"asi": "así"}), t="Asi `asi` asistir asi.") == "Así `asi` asistir así."
+    assert one(spark, texts.restored(F.col("t"), {"asi": "así"}), t="asi asi.py x.asi asi(asi) asi[asi] @asi %asi asi\nasi") == "así asi.py x.asi asi(asi) asi[asi] @asi %asi así\nasí"
+    assert one(spark, texts.suspicious(F.col("t")), t="La funcion, la función; condiciones Metodo metodo 2 lineas") == ["Metodo", "funcion", "lineas", "metodo"]
     assert one(spark, texts.unaccented(F.col("t"), ["asi", "mas"]), t="Mas o mas asi") == ["asi", "mas"]
     assert one(spark, texts.wrapped(F.col("t"), 5), t="aa bb cccccccc d") == "aa bb\ncccccccc\nd"
     assert one(spark, texts.short_device(F.col("t")), t="NVIDIA GeForce RTX 4050 Laptop GPU") == "RTX 4050"
