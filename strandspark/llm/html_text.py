@@ -6,8 +6,9 @@ between blocks with the same parent in the document tree are what it costs to la
 a maximum flow, is the cheapest labelling of the whole page. What can't be text at all (scripts, styles, comments in the
 markup, head) is no block.
 
-The classifier is trained in numpy on blocks of a bounded sample of pages whose place in semantic elements tells their label.
-In training these elements' names are hidden from half of the blocks, so that names, links and length are learned too.
+The classifier is trained in numpy on blocks of a bounded sample of pages. The semantic element around a block (article, main;
+nav, footer, aside and the like) is its label, and just these elements are hidden from the features in training: what is
+learned are class names, links, length and form of a block. What the elements themselves weigh is fixed.
 """
 
 from __future__ import annotations
@@ -24,15 +25,22 @@ from pyspark.sql import functions as F
 
 from .common import parts, sampled, table
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+#: A tag ends at the first > outside of a quoted value, and a value is quoted only right after its =.
+_TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*\"|'[^']*')|=)*+)(?:>|\Z)", re.S)
+_ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
 _SPACE = re.compile(r"\s+")
-#: Elements whose content is never text of a page, to their end tag.
-RAW = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "textarea", "select", "title", "noembed", "noframes", "xmp"}
+#: Elements whose content is no markup, to their end tag. The first two are never text, even without an end tag.
+RAW = ("script", "style", "title", "textarea", "iframe", "noembed", "noframes", "xmp")
+#: Elements whose content isn't shown, or only instead of something else.
+MUTE = {"noscript", "template", "svg", "object", "canvas", "select", "datalist", "audio", "video", "annotation", "annotation-xml"}
+#: Attributes that have no value.
+FLAGS = {"allowfullscreen", "async", "autofocus", "autoplay", "checked", "controls", "default", "defer", "disabled", "download", "hidden", "inert", "ismap", "itemscope", "loop", "multiple", "muted", "nomodule", "novalidate", "nowrap", "open", "playsinline", "readonly", "required", "reversed", "selected"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"}
+INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "math"}
 #: Start tags that end an open element of these names.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}} | {t: {"p"} for t in ("p", "div", "article", "section", "header", "footer", "nav", "aside", "main", "ul", "ol", "dl", "table", "form", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "hr", "figure", "address", "fieldset")}
+#: Blocks that end an unclosed select or svg.
+STARTERS = {"p", "div", "article", "section", "main", "header", "footer", "nav", "aside", "ul", "ol", "dl", "table", "form", "blockquote", "pre", "h1", "h2", "h3", "h4", "h5", "h6"}
 BOILERPLATE = {"nav", "footer", "aside", "form", "header", "menu", "dialog", "button", "fieldset"}
 CONTENT = {"article", "main"}
 #: Parts of a class token or id that tell boilerplate.
@@ -84,28 +92,54 @@ class Block:
         return _SPACE.sub(" ", html.unescape("".join(self.parts))).strip()
 
 
+def _is_text(name: str, attributes: str) -> bool:
+    """Whether what looks like a start tag is a comparison in a sentence, such as a<b and c>d: an inline name, then bare words."""
+    return name in INLINE and "=" not in attributes and any(w not in FLAGS and not w.startswith(("data-", "aria-")) for w in attributes.strip(" \t\r\n/").lower().split())
+
+
+def _unseen(attributes: dict[str, str]) -> bool:
+    return attributes.get("hidden", "until-found") != "until-found" or re.search(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)", attributes.get("style", ""), re.I) is not None
+
+
 def blocks(page: str) -> list[tuple[str, tuple, float]]:
     """(text, path, share of linked characters) of each block with text; a path is the open elements (number, name, names)."""
     out: list[Block] = []
     now = Block()
-    stack: list[tuple[int, str, str]] = []
-    number, at, links, head = 0, 0, 0, False
+    stack: list[tuple[int, str, str, bool, bool]] = []  # number, name, names, mute, inline
+    number, at, links, mute, formulas, head = 0, 0, 0, 0, 0, False
+    lowered = None
+
+    def path():
+        return tuple(e[:3] for e in stack if not e[4])
 
     def close():
         nonlocal now
         if now.parts:
-            now.path = tuple(e for e in stack if e[1] not in INLINE) if not now.path else now.path
+            now.path = now.path or path()
             out.append(now)
         now = Block()
 
     def add(raw: str):
-        if raw and not head:
+        if raw and not head and not mute:
             if not now.parts:
-                now.path = tuple(e for e in stack if e[1] not in INLINE)
+                now.path = path()
             now.parts.append(raw)
             now.size += len(raw)
             now.linked += len(raw) if links else 0
 
+    def shut(k: int):
+        nonlocal links, mute, formulas
+        links -= sum(e[1] == "a" for e in stack[k:])
+        formulas -= sum(e[1] == "math" for e in stack[k:])
+        mute -= sum(e[3] for e in stack[k:])
+        del stack[k:]
+
+    def ends_later(name: str) -> bool:
+        nonlocal lowered
+        if lowered is None:
+            lowered = page.lower()
+        return lowered.rfind(f"</{name}") >= at
+
     while True:
         m = _TOKEN.search(page, at)
         if m is None:
@@ -124,18 +158,27 @@ def blocks(page: str) -> list[tuple[str, tuple, float]]:
                 head = False
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][1] == name:
-                    if any(e[1] not in INLINE for e in stack[k:]):
+                    if not all(e[4] for e in stack[k:]):
                         close()
-                    links -= sum(e[1] == "a" for e in stack[k:])
-                    del stack[k:]
+                    shut(k)
                     break
             else:
-                if name not in INLINE:
+                if name not in INLINE and name not in MUTE and not formulas:
                     close()
             continue
+        if _is_text(name, m[3]):
+            add("&lt;")
+            at = m.start() + 1
+            continue
+        empty = m[0].endswith("/>")
         if name in RAW:
-            end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            end = None if empty else re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
+            if end:
+                if name == "xmp":
+                    add(html.escape(page[at : end.start()]))
+                at = end.end()
+            elif name in RAW[:2] and not empty:
+                at = len(page)
             continue
         if name == "head":
             head = True
@@ -148,24 +191,40 @@ def blocks(page: str) -> list[tuple[str, tuple, float]]:
             if name == "hr":
                 close()
             continue
-        if name not in INLINE:
+        if mute and name in STARTERS and not any(e[1] == "foreignobject" for e in stack):
+            # A block can't be in these: their end tags are missing.
+            k = next((k for k, e in enumerate(stack) if e[1] in ("select", "svg")), None)
+            if k is not None:
+                shut(k)
+        if name in MUTE:
+            if not empty and ends_later(name):
+                number += 1
+                mute += 1
+                stack.append((number, name, "", True, True))
+            continue
+        inline = name in INLINE or formulas > 0
+        if not inline:
             close()
-            shut = CLOSES.get(name)
-            if shut:
+            ended = CLOSES.get(name)
+            if ended:
                 for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][1] in shut:
-                        links -= sum(e[1] == "a" for e in stack[k:])
-                        del stack[k:]
+                    if stack[k][1] in ended:
+                        shut(k)
                         break
-                    if stack[k][1] not in INLINE:
+                    if not stack[k][4]:
                         break
-        if m[0].endswith("/>"):
+        if empty:
             continue
+        attributes = {a[1].lower(): (a[2] or a[3] or a[4] or "") for a in _ATTRIBUTE.finditer(m[3])} if m[3] else {}
         # Names of the whole page tell its layout.
-        names = "" if name in ("html", "body") else " ".join(x for a in _ATTRIBUTE.finditer(m[3]) if a[1].lower() in ("class", "id", "role", "aria-label", "itemprop", "hidden") for x in (a[2] or a[3] or a[4] or "",)).lower()
+        whole = name in ("html", "body")
+        names = "" if whole else " ".join(attributes[a] for a in ("class", "id", "role", "aria-label", "itemprop") if a in attributes).lower()
+        unseen = not whole and _unseen(attributes)
         number += 1
-        stack.append((number, name, names))
+        stack.append((number, name, names, unseen, inline))
         links += name == "a"
+        formulas += name == "math"
+        mute += unseen
     close()
     return [(t, b.path, b.linked / max(1, b.size)) for b in out if (t := b.text())]
 
@@ -205,11 +264,14 @@ def features(page: list[tuple[str, tuple, float]], hidden: bool = False) -> np.n
 
 
 def semantic_labels(page: list[tuple[str, tuple, float]]) -> list[int]:
-    """1 in an article or main element, 0 in an element of boilerplate or where the innermost telling name says so, -1 where neither is told."""
+    """1 in an article or main element, 0 in an element of boilerplate, by the innermost of these; -1 in neither.
+
+    Names give no label. Where they contradict an article, as those of comments do, there is none either.
+    """
     out = []
     for _, path, _ in page:
-        bad = any(e[1] in BOILERPLATE for e in path) or under_bad_name(path)
-        out.append(0 if bad else 1 if any(e[1] in CONTENT for e in path) else -1)
+        told = next((e[1] in CONTENT for e in reversed(path) if e[1] in CONTENT or e[1] in BOILERPLATE), None)
+        out.append(-1 if told is None or (told and under_bad_name(path, hidden=True)) else int(told))
     return out
 
 
@@ -328,16 +390,18 @@ def _examples(batches):
             found = blocks(page or "")
             labels = np.array(semantic_labels(found), np.int64)
             told = labels >= 0
-            for hidden in (False, True):
-                x += features(found, hidden)[told].tolist()
-                y += labels[told].tolist()
+            x += features(found, hidden=True)[told].tolist()
+            y += labels[told].tolist()
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.int32())], ["x", "y"])
 
 
-def learned(pages: DataFrame, sample: int = 300) -> np.ndarray:
-    """Classifier weights from the blocks of ``sample`` pages, those with the smallest hashes of page_id: the bound of the sample."""
+def learned(pages: DataFrame, sample: int = 300, most: int = 100_000) -> np.ndarray:
+    """Classifier weights from the blocks of ``sample`` pages, those with the smallest hashes of page_id, ``most`` blocks at most: the bounds of the sample.
+
+    Null page_ids are no part of it, null html has no blocks; without blocks of both labels the weights are those fixed.
+    """
     chosen = sampled(pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html")), "page_id", sample)
-    rows = chosen.select("html").mapInArrow(_examples, "x array<double>, y int").collect()
+    rows = chosen.select("html").mapInArrow(_examples, "x array<double>, y int").limit(most).collect()
     return train(np.array([r["x"] for r in rows], np.float64).reshape(len(rows), FEATURES), np.array([r["y"] for r in rows], np.float64))
 
 
