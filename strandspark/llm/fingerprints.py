@@ -9,6 +9,7 @@ has too is the containment of one text in the other.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -68,7 +69,7 @@ def chunks(data: np.ndarray, offsets: np.ndarray) -> Iterator[list[tuple[int, in
 def digests(raw: bytes, spans: list[tuple[int, int]]) -> dict[str, int]:
     """The bytes that each digest covers, repeats added up."""
     digest = xxhash.xxh3_64_hexdigest
-    keys = [digest(raw[a:b])[:10] for a, b in spans]
+    keys = [digest(raw[a:b]) for a, b in spans]
     out = dict.fromkeys(keys, 0)
     for key, (a, b) in zip(keys, spans, strict=True):
         out[key] += b - a
@@ -140,49 +141,76 @@ def _compared(batches):
                 yield out
 
 
+def _cuts(keys: DataFrame, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(down, h): where the order of ``keys`` (down, h) is cut into about ``parts`` even parts, ascending.
+
+    A document number that fills several parts is cut by the hashes of its texts; a hash that does so stands there several
+    times.
+    """
+    if parts == 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    accuracy = max(10_000, 10 * parts)
+    found = Counter(keys.agg(F.percentile_approx("down", [k / parts for k in range(1, parts)], accuracy)).first()[0])
+    cuts = [(d, -(1 << 63)) for d, n in found.items() if n == 1]
+    hot = {d: n for d, n in found.items() if n > 1}
+    if hot:
+        most = max(hot.values()) + 1
+        shares = keys.where(F.col("down").isin(list(hot))).groupBy("down").agg(F.percentile_approx("h", [k / most for k in range(1, most)], accuracy).alias("h"))
+        cuts += [(r["down"], r["h"][round(k * most / (hot[r["down"]] + 1)) - 1]) for r in shares.collect() for k in range(1, hot[r["down"]] + 1)]
+    return tuple(np.array(x, np.int64) for x in zip(*sorted(cuts), strict=True))
+
+
+def buckets(down: np.ndarray, h: np.ndarray, turn: np.ndarray, cuts: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The part of each row. Rows whose key is that of several cuts are equal: they go to any part between these."""
+    first, last = (np.searchsorted(cuts[0], down, side) for side in ("left", "right"))
+    out = first.copy()
+    at = np.flatnonzero(last > first)
+    for low in np.unique(first[at]).tolist():
+        rows = at[first[at] == low]
+        own = cuts[1][low : last[rows[0]]]
+        left, right = (np.searchsorted(own, h[rows], side) for side in ("left", "right"))
+        out[rows] = low + np.where(left == right, left, np.where(right - left == 1, right, left + turn[rows] % (right - left + 1)))
+    return out
+
+
 def fingerprinted(docs: DataFrame, rows_each: int = 10_000) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row of ``docs``.
 
     The edited text is the text with its last third (code points, rounded down) replaced by as many first code points of
     the next document in descending doc_id order, after the last by those of the first; near_edited and near_next are the
-    containments of the text in its edited text and in the next one. Null texts count as empty, null doc_ids come last,
-    rows that share a doc_id follow each other by text. A single row is its own next document.
+    containments of the text in its edited text and in the next one. Null texts count as empty, null doc_ids count as
+    the least number, rows that share a doc_id follow each other by a hash of their texts, equal rows in any order. A single row is its own
+    next document. An empty table gives an empty result; other columns are ignored.
 
-    The order is dealt to ranges of doc_id. Only the first row of each range is copied, to stand behind the range before.
+    The order is dealt to parts of about ``rows_each`` rows, one task each; repeated ids are dealt by text, equal rows one by
+    one. Only the first row of each part is copied, to stand behind the part before.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    rows = ids.count()
-    parts = max(1, -(-rows // max(rows_each, rows // 100_000)))
-    cuts = ids.select(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], max(10_000, 10 * parts)).alias("cuts")).first()["cuts"] if parts > 1 else []
-    cuts = sorted({*(cuts or [])}, reverse=True)
-    rising = np.array(cuts[::-1], np.int64)
-
-    @F.pandas_udf("long")
-    def bucket_of(doc_id: pd.Series) -> pd.Series:
-        """How many cuts are above a doc_id; nulls come last."""
-        above = len(rising) - np.searchsorted(rising, doc_id.fillna(0).astype("int64"), side="right")
-        return pd.Series(np.where(doc_id.isna(), len(rising) + 1, above))
-
-    at = bucket_of(F.col("doc_id"))
-    slim = slim.withColumn("bucket", at)
-    order = F.struct(F.col("doc_id").isNull().alias("no"), (-F.col("doc_id")).alias("down"), F.xxhash64("text").alias("h"))
-    first = slim.groupBy("bucket").agg(F.min(order).alias("first")).select("bucket", "first.*").collect()
-    first = sorted(((r["bucket"], r["no"], r["down"], r["h"]) for r in first), key=lambda r: r[0])
+    least = F.lit(-(1 << 63)).cast("long")
+    keyed = slim.withColumn("down", F.bitwise_not(F.coalesce("doc_id", least))).withColumn("h", F.xxhash64("text"))
+    rows = docs.count()
+    cuts = _cuts(keyed.select("down", "h"), max(1, -(-rows // max(rows_each, rows // 100_000))))
+
+    @F.pandas_udf("int")
+    def part_of(down: pd.Series, h: pd.Series, turn: pd.Series) -> pd.Series:
+        return pd.Series(buckets(down.to_numpy(), h.to_numpy(), turn.to_numpy(), cuts).astype(np.int32))
+
+    keyed = keyed.withColumn("bucket", part_of("down", "h", F.monotonically_increasing_id()))
+    first = keyed.groupBy("bucket").agg(F.min(F.struct("down", "h")).alias("first")).select("bucket", "first.*").collect()
     if not first:
-        return slim.mapInArrow(_compared_columns, _SCHEMA)
-    moved = docs.sparkSession.createDataFrame([(b, first[k - 1][0], n, d, h) for k, (b, n, d, h) in enumerate(first)], "bucket long, before long, no boolean, down long, h long")
-    keyed = slim.withColumn("order", order).select("bucket", "doc_id", "text", "order.*")
-    heads = keyed.join(F.broadcast(moved), (keyed.bucket == moved.bucket) & (keyed.h == moved.h) & keyed.down.eqNullSafe(moved.down)).select(moved.before.alias("bucket"), "doc_id", "text").groupBy("bucket").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
-    both = keyed.select("bucket", "doc_id", "text", F.lit(False).alias("extra"), "no", "down", "h").unionByName(heads.select("bucket", "doc_id", "text", F.lit(True).alias("extra"), F.lit(True).alias("no"), F.lit(None).cast("long").alias("down"), F.lit(None).cast("long").alias("h")))
-    dealt = both.repartition(parts, "bucket").sortWithinPartitions("bucket", "extra", "no", "down", "h", "text")
+        return slim.mapInArrow(_nothing, _SCHEMA)
+    first = sorted(tuple(r) for r in first)
+    moved = docs.sparkSession.createDataFrame([(b, first[k - 1][0], d, h) for k, (b, d, h) in enumerate(first)], "bucket int, before int, down long, h long")
+    heads = keyed.join(F.broadcast(moved), ["bucket", "down", "h"]).groupBy(F.col("before").alias("bucket")).agg(F.first(F.struct("doc_id", "text")).alias("x")).select("bucket", "x.*")
+    both = keyed.select("bucket", "doc_id", "text", F.lit(False).alias("extra"), "down", "h").unionByName(heads.select("bucket", "doc_id", "text", F.lit(True).alias("extra"), F.lit(0).cast("long").alias("down"), F.lit(0).cast("long").alias("h")))
+    dealt = both.repartitionById(first[-1][0] + 1, F.col("bucket")).sortWithinPartitions("extra", "down", "h")
     return dealt.select("bucket", "doc_id", "text", "extra").mapInArrow(_compared, _SCHEMA)
 
 
 _SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def _compared_columns(batches):
+def _nothing(batches):
     """For a table without rows."""
     yield from ()
 
