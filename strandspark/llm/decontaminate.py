@@ -5,7 +5,7 @@ spaces (Chinese, Japanese, Thai, Lao, Khmer, Burmese, Tibetan) each character is
 by exact match of all their words. From every word of a text a walk
 of fixed length copies the word under it at each step and moves on or stays by a random bit of step and word; two sequences
 with few edits give walks that differ in few places. The words at a few sampled steps are the key of a window. Keys of
-item-sized windows, from every word of the texts and of the items, are compared for several independent walks, and every
+windows, from every word of the texts and of the items, are compared for several independent walks, and every
 agreement is confirmed by the exact edit distance between the item and the text around it. How many walks an item gets
 follows from a target recall at the edits allowed for its length. What they miss is caught exactly: an item cut into one
 piece more than its allowed edits has a piece without an edit, so runs of words that equal a piece are candidates too.
@@ -15,14 +15,15 @@ Walks that meet at a step stay together, so the keys of all windows of a batch c
 
 from __future__ import annotations
 
-from functools import lru_cache
+from collections.abc import Iterator
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hashed, mix64, parts, slices, spans, table, utf8
+from .common import hashed, mix64, parts, slices, spans, table, utf8, written
 
 _GAP = np.ones(256, bool)
 _GAP[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -30,7 +31,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Items with fewer words are too short to tell an edited leak from chance: all their words must be there, as they are.
 LEAST_WORDS = 5
-#: Words of a window, for items under 16 words and for all others: an item has several windows, and edits miss some of them.
+#: Words of a window, for items under 16 words and for all others: nearly an item's size for short ones; longer items have many
+#: windows, and edits miss some of them. (A walk of a long item's size would cost each text as many steps a word.)
 WINDOWS = (4, 8)
 #: More walks than these are never made; only edits far above the default ask for them.
 MOST_WALKS = 64
@@ -146,20 +148,23 @@ def run_keys(sequence: np.ndarray, size: int) -> np.ndarray:
 
 
 class Table:
-    """Keys of places of items, in order, and a bit map of them."""
+    """Keys of places of items, in order, and a bit map of them: 64 to 128 bits a key."""
 
     def __init__(self, keys: list[np.ndarray], item: list[int], offset: list[np.ndarray]):
         own = np.concatenate(keys)
         order = np.argsort(own, kind="stable")
         self.keys = own[order]
-        self.item = np.repeat(np.array(item), [len(k) for k in keys])[order]
-        self.offset = np.concatenate(offset)[order]
-        self.seen = np.zeros(1 << max(16, (64 * len(own)).bit_length()), bool)
-        self.seen[own & np.uint32(len(self.seen) - 1)] = True
+        self.item = np.repeat(np.array(item, np.int32), [len(k) for k in keys])[order]
+        self.offset = np.concatenate(offset).astype(np.int32)[order]
+        bits = np.zeros(1 << max(16, (64 * len(own)).bit_length()), bool)
+        self.mask = np.uint32(len(bits) - 1)
+        bits[own & self.mask] = True
+        self.seen = np.packbits(bits, bitorder="little")
 
     def met(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place, item, where the item would begin) for each place of ``own`` with a key of the table."""
-        at = np.flatnonzero(self.seen[own & np.uint32(len(self.seen) - 1)])
+        low = own & self.mask
+        at = np.flatnonzero(self.seen[low >> np.uint32(3)] >> (low & np.uint32(7)).astype(np.uint8) & np.uint8(1))
         first, last = np.searchsorted(self.keys, own[at], "left"), np.searchsorted(self.keys, own[at], "right")
         many = last - first
         flat = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
@@ -168,13 +173,18 @@ class Table:
 
 
 class Index:
-    """The keys of all windows of a bounded block of benchmark items, and what confirms a candidate."""
+    """The keys of windows of a bounded block of benchmark items, and what confirms a candidate.
 
-    def __init__(self, items: list[tuple[int, str]], edits: float = 0.2, recall: float = 0.95, sampled: int = 4):
+    Of the windows of a long item ``most_windows``, evenly spread, are enough for the target recall; its pieces, all of
+    them, catch the rest.
+    """
+
+    def __init__(self, items: list[tuple[int, str]], edits: float = 0.2, recall: float = 0.95, sampled: int = 4, most_windows: int = 256):
         data, offsets = utf8(pa.array([t for _, t in items], pa.string()))
         sequence, rows = symbols(data, offsets)
-        self.ids, self.words, self.masks = [], [], []
+        self.ids, self.words = [], []
         self.edits = edits
+        self._places: dict[int, dict[int, list[int]]] = {}
         walks: dict[tuple[int, int], list[int]] = {}
         pieces: dict[int, list[tuple[int, int]]] = {}
         for k, (i, _) in enumerate(items):
@@ -190,28 +200,43 @@ class Index:
                     pieces.setdefault(b - a, []).append((len(self.ids), a))
                 self.ids.append(i)
                 self.words.append(own)
-                masks: dict[int, int] = {}
-                for j, w in enumerate(own.tolist()):
-                    masks[w] = masks.get(w, 0) | 1 << j
-                self.masks.append(masks)
         lengths = np.array([len(w) for w in self.words], np.int64)
         self.mosts = np.where(lengths < LEAST_WORDS, 0, (lengths * edits).astype(np.int64))
         self.walks, self.pieces = [], []
         for (size, turn), members in sorted(walks.items()):
             walk = Walk(size, turn, sampled)
-            keys = [walk.keys(np.append(self.words[k], np.zeros(walk.steps, np.uint64)))[: len(self.words[k]) - size + 1] for k in members]
-            self.walks.append((walk, Table(keys, members, [np.arange(len(k)) for k in keys])))
+            places = [np.arange(0, n - size + 1, -(-(n - size + 1) // most_windows)) for n in lengths[members].tolist()]
+            keys = [walk.keys(np.append(self.words[k], np.zeros(walk.steps, np.uint64)))[at] for k, at in zip(members, places, strict=True)]
+            self.walks.append((walk, Table(keys, members, places)))
         for size, places in sorted(pieces.items()):
             keys = [run_keys(self.words[k][a : a + size], size) for k, a in places]
             self.pieces.append((size, Table(keys, [k for k, _ in places], [np.array([a]) for _, a in places])))
 
+    def places(self, k: int) -> dict[int, list[int]]:
+        """Where each word is in item ``k``; those of a few items asked for last are at hand."""
+        if k not in self._places:
+            if len(self._places) >= 64:
+                self._places.clear()
+            found: dict[int, list[int]] = {}
+            for j, w in enumerate(self.words[k].tolist()):
+                found.setdefault(w, []).append(j)
+            self._places[k] = found
+        return self._places[k]
+
     def distance(self, k: int, text: list[int]) -> int:
         """The least number of words to insert, delete or replace that turn item ``k`` into some part of ``text``."""
-        masks, n = self.masks[k], len(self.words[k])
+        places, n = self.places(k), len(self.words[k])
+        masks: dict[int, int] = {}
         ones, top = (1 << n) - 1, 1 << (n - 1)
         plus, minus, score, best = ones, 0, n, n
         for w in text:
-            eq = masks.get(w, 0)
+            if w not in masks:
+                if len(masks) * n > 1 << 26:
+                    masks.clear()
+                bits = np.zeros(n, bool)
+                bits[places.get(w, [])] = True
+                masks[w] = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+            eq = masks[w]
             vertical = eq | minus
             horizontal = (((eq & plus) + plus) ^ plus) | eq
             up, down = minus | ~(horizontal | plus), plus & horizontal
@@ -245,7 +270,7 @@ class Index:
                 n, most = len(self.words[i]), int(mosts[i])
                 low, high = max(int(rows[k]), begin - 2 * most - 1), min(int(rows[k + 1]), begin + n + 2 * most + 1)
                 text = sequence[low:high].tolist()
-                if sum(map(self.masks[i].__contains__, text)) < n - most:
+                if sum(map(self.places(i).__contains__, text)) < n - most:
                     continue  # an item with so few of its words here is further away
                 d = self.distance(i, text)
                 if d <= most and (k, i) not in best or d < best.get((k, i), (0,))[0]:
@@ -254,25 +279,32 @@ class Index:
                 yield row + k, self.ids[i], d, len(self.words[i]), begin
 
 
-def blocks(items: DataFrame, edits: float, most: int = 20_000) -> list[Index]:
-    """Indexes of all ``items`` (item_id, text), about ``most`` of them each: what goes to the executors at once."""
+def blocks(items: DataFrame, edits: float, most_bytes: int = 1 << 22) -> tuple[int, Iterator[Index]]:
+    """How many blocks ``items`` (item_id, text) take, and their indexes one after another, each of about ``most_bytes`` of text.
+
+    That bounds what goes to the executors at once: an index has about 25 bytes for each key, and for each word of its items
+    as many keys as there are walks (for a long item, for 256 of its words) and a fifth of one for pieces. A block is made
+    when it is asked for.
+    """
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
-    many = max(1, -(-items.count() // most))
-    return [Index([(r[0], r[1]) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(many)) == k).orderBy("item_id", "text").collect()], edits) for k in range(many)]
+    many = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // most_bytes))
+    return many, (Index([(r[0], r[1]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(many)) == k).orderBy("item_id", "text").collect()], edits) for k in range(many))
 
 
-def leaks(docs: DataFrame, items: DataFrame, edits: float = 0.2) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, edits: float = 0.2, most_bytes: int = 1 << 22) -> DataFrame:
     """(doc_id, item_id, distance, n_words, start_word) for each row of ``docs`` and benchmark item that leaks into it.
 
     An item leaks if at most ``edits`` of its words must be inserted, deleted or replaced to turn it into some part of
     the text; distance is that number and start_word about where the part begins. Whole texts, at every word. Null or
     empty texts hold no leak, null item_ids or texts and items without words name none; items
-    under five words leak where all their words stand in a row; repeated rows are searched
-    alike, and other columns are ignored.
+    under five words leak where all their words stand in a row; repeated rows, null doc_ids among them, are searched
+    alike, and other columns are ignored. A benchmark of several blocks is searched block by block, and what each finds is
+    written; one block is searched when the result is asked for.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema, out = "doc_id long, item_id long, distance int, n_words int, start_word long", None
-    for index in blocks(items, edits):
+    many, indexes = blocks(items, edits, most_bytes)
+    found = []
+    for index in indexes:
         sent = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches, sent=sent):
@@ -282,15 +314,24 @@ def leaks(docs: DataFrame, items: DataFrame, edits: float = 0.2) -> DataFrame:
                 ids = batch.column(0).take(pa.array(columns[0], pa.int64()))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int32()), pa.array(columns[4], pa.int64())], ["doc_id", "item_id", "distance", "n_words", "start_word"])
 
-        own = texts.mapInArrow(run, schema)
-        out = own if out is None else out.unionByName(own)
-    return out
+        own = texts.mapInArrow(run, "doc_id long, item_id long, distance int, n_words int, start_word long")
+        if many > 1:
+            own = written(own, "leaks")
+            sent.destroy()
+        found.append(own)
+    return reduce(DataFrame.unionByName, found)
 
 
-def decontaminated(docs: DataFrame, items: DataFrame, edits: float = 0.2) -> DataFrame:
-    """The rows of ``docs`` without a leak of any of ``items``, with all their columns."""
+def decontaminated(docs: DataFrame, items: DataFrame, edits: float = 0.2, most_bytes: int = 1 << 22) -> DataFrame:
+    """The rows of ``docs`` without a leak of any of ``items``, with all their columns.
+
+    Rows are judged one by one: null or empty texts and texts without words stay, null doc_ids and repeated rows are rows
+    like all others. Without items, or with items without words, all rows stay. After each block of a large benchmark the
+    rows that are left are written.
+    """
     column = docs.columns.index("text")
-    for index in blocks(items, edits):
+    many, indexes = blocks(items, edits, most_bytes)
+    for index in indexes:
         sent = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches, sent=sent):
@@ -300,6 +341,9 @@ def decontaminated(docs: DataFrame, items: DataFrame, edits: float = 0.2) -> Dat
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
+        if many > 1:
+            docs = written(docs, "clean")
+            sent.destroy()
     return docs
 
 
