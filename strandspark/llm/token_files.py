@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import hashlib
 import os
-import re
 import struct
 import uuid
 import zlib
@@ -24,11 +23,11 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import zstandard
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.folders import opened, qualified
 from .bpe import by_pretokens
 from .common import parts, sampled, shared_dir, slices, table, utf8, written
 from .subwords import Chunked, byte_characters
@@ -116,17 +115,6 @@ class Reader:
         return list(range(known + int(np.searchsorted(self.entries[known:, 0], doc_id, "left")), known + int(np.searchsorted(self.entries[known:, 0], doc_id, "right"))))
 
 
-def opened(folder: str):
-    """(file system, path) of a folder by its full URI."""
-    return fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", folder))
-
-
-def qualified(spark: SparkSession, folder: str) -> str:
-    """The full URI that Spark means by ``folder``: without a scheme it is in the cluster's default file system."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
-
-
 def trained_dictionary(docs: DataFrame, path: str, sample: int = 500, size: int = 1 << 15, width: int = 2, most: int = 1 << 14) -> bytes:
     """A dictionary from the ids of ``sample`` documents, those with the smallest hashes of doc_id; empty if they are too few.
 
