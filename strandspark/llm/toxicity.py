@@ -21,7 +21,10 @@ from .common import hashed, mix64, parts, slices, spans, table, utf8
 
 BUCKETS = 1 << 18
 LENGTHS = (3, 4, 5)
-WINDOW = 24
+#: Words of a window: enough for several insults of a text that has them, few enough that one part of a long text counts.
+WINDOW = 96
+#: A text with at least this score counts as toxic.
+THRESHOLD = 0.7
 #: Bytes between words: ASCII white space, punctuation and other marks except the apostrophe; all else belongs to words.
 _GAP = np.ones(256, bool)
 _GAP[[39, *range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -134,7 +137,7 @@ def _telling(having: np.ndarray, of: np.ndarray) -> np.ndarray:
     return 2 * (log_likelihood(having[0], of[0]) + log_likelihood(having[1], of[1]) - log_likelihood(having.sum(axis=0), of.sum()))
 
 
-def train(texts: list[str], labels: list[int], dimension: int = 4, rounds: int = 120, rate: float = 0.3, least: float = 15.0, decay: float = 1e-8, floor: float = 1e-5) -> Model:
+def train(texts: list[str], labels: list[int], dimension: int = 4, rounds: int = 120, rate: float = 0.3, least: float = 8.0, decay: float = 1e-8, floor: float = 1e-5) -> Model:
     """Vectors and softmax by full-batch Adam on the logistic loss of each text's most toxic window.
 
     In texts labelled 0 every window counts as clean; without both labels there is nothing to learn and the score is
@@ -211,19 +214,32 @@ def train(texts: list[str], labels: list[int], dimension: int = 4, rounds: int =
             v += 0.01 * d * d
             x -= rate * (m / (1 - 0.9**turn)) / (np.sqrt(v / (1 - 0.99**turn)) + floor)
         bias = float(current[2][0])
-    return Model(vectors @ softmax, bias)
+    # The score at which the two labels of the training texts part with the fewest errors becomes the threshold of use.
+    model = Model(vectors @ softmax, bias)
+    seen = model.scores(data, offsets)
+    order = np.argsort(-seen, kind="stable")
+    gain = np.cumsum(np.where(y[order] > 0.5, 1, -1))
+    best = np.flatnonzero(gain == gain.max())
+    at = best[len(best) // 2]
+    parted = np.clip((seen[order[at]] + seen[order[min(at + 1, len(order) - 1)]]) / 2, 1e-6, 1 - 1e-6)
+    return Model(model.weights, bias + np.log(THRESHOLD / (1 - THRESHOLD)) - np.log(parted / (1 - parted)))
 
 
-def bounded_sample(labelled: DataFrame, most: int) -> tuple[list[str], list[int]]:
-    """At most ``most`` rows (doc_id, text, toxic), those with the smallest hashes of doc_id: the same at every partitioning."""
-    rows = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("text", "toxic").collect()
+def bounded_sample(labelled: DataFrame, most: int, longest: int = 1 << 15) -> tuple[list[str], list[int]]:
+    """At most ``most`` rows (doc_id, text, toxic), those with the smallest hashes of doc_id: the same at every partitioning.
+
+    Texts of more than ``longest`` characters are no part of it, so rows and characters are bounded.
+    """
+    short = labelled.where(F.coalesce(F.length("text"), F.lit(0)) <= longest)
+    rows = short.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("text", "toxic").collect()
     return [r["text"] or "" for r in rows], [int(r["toxic"]) for r in rows]
 
 
 def learned(docs: DataFrame, labels: DataFrame, usable: Column, most: int = 4000) -> Model:
     """A model from at most ``most`` labelled rows (the documented bound of the training sample) for which ``usable`` holds.
 
-    Labels other than 0 and 1 and null doc_ids don't count. Of a doc_id with several labels the largest counts.
+    Labels other than 0 and 1 and null doc_ids don't count. Of a doc_id with several labels the largest counts. Without
+    labelled rows, or with one label alone, all texts score alike, on that label's side.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & usable)
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -232,12 +248,16 @@ def learned(docs: DataFrame, labels: DataFrame, usable: Column, most: int = 4000
     return train(*bounded_sample(texts.join(F.broadcast(picked), "doc_id"), most))
 
 
+def rounded(model: Model, column: pa.Array) -> np.ndarray:
+    """The scores of a column of texts as they are given out; decisions are made on these."""
+    return np.round(model.scores(*utf8(column)), 6)
+
+
 def _scored(weights, bias: float):
     def run(batches):
         model = Model(weights.value, bias)
         for batch in parts(batches, 1):
-            score = np.round(model.scores(*utf8(batch.column(1))), 6)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rounded(model, batch.column(1)), pa.float64())], ["doc_id", "score"])
 
     return run
 
@@ -258,14 +278,18 @@ def held_out() -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
 
 
-def accepted(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
-    """The rows of ``docs`` whose score is under ``threshold``, with all their columns; rows are judged one by one."""
+def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` whose score is under ``threshold``, with all their columns.
+
+    Rows are judged one by one, repeated or without a doc_id: null and empty texts and texts without words by the model's
+    bias alone. An empty table stays empty.
+    """
     weights, bias, column = docs.sparkSession.sparkContext.broadcast(model.weights), model.bias, docs.columns.index("text")
 
     def run(batches):
         own = Model(weights.value, bias)
         for batch in parts(batches, column):
-            yield batch.filter(pa.array(own.scores(*utf8(batch.column(column))) < threshold, pa.bool_()))
+            yield batch.filter(pa.array(rounded(own, batch.column(column)) < threshold, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -273,4 +297,4 @@ def accepted(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = learned(docs, table(spark, sf_dir, "labels"), ~held_out())
-    return scores(docs, model).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    return scores(docs, model).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
