@@ -103,3 +103,8 @@ def shared_out(workers: DataFrame, pending: float) -> DataFrame:
     """(…, part): pending work in proportion to speed."""
     whole = workers.agg(F.sum("speed").alias("_all"))
     return workers.join(F.broadcast(whole)).withColumn("part", F.round(pending * F.col("speed") / F.col("_all"), 6)).drop("_all")  # one row
+
+
+def by_start(log: DataFrame, worker: str) -> DataFrame:
+    """``log`` in the order in which work began: ranges of starts are sorted side by side."""
+    return log.orderBy("start", "end", worker)

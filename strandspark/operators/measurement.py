@@ -63,6 +63,17 @@ def top(detail: DataFrame, order: list, k: int) -> DataFrame:
     return detail.orderBy(*order).limit(k).join(F.broadcast(more))  # one row
 
 
+def without(runs: DataFrame, tag: str, excluded: list[str]) -> DataFrame:
+    """The runs that a chart shows: those whose tag isn't excluded; runs without a tag stay."""
+    return runs.where(~F.coalesce(F.col(tag).isin(excluded), F.lit(False)))
+
+
+def distinct_counts(df: DataFrame, by: list[str], *counts: str) -> DataFrame:
+    """(*by, counts): the different numbers of workers of a group's runs in any of several columns, ascending. They are few."""
+    each = df.select(*by, F.explode(F.array(*counts)).alias("_c")).where("_c is not null").distinct()
+    return each.groupBy(*by).agg(F.array_sort(F.collect_list("_c")).alias("counts"))
+
+
 def rate(n: Column, seconds: Column) -> Column:
     """Per second; 0 where no time passed."""
     return F.when(seconds > 0, n / seconds).otherwise(F.lit(0.0))

@@ -267,6 +267,9 @@ QUERIES = {
     "idle_time": lambda s, d: intervals.idle_at_end(_log(s, d), "user_id"),
     "speedup": lambda s, d: measurement.speedups(_runs(s, d), ["size"], "config", "time", "O"),
     "efficiency": lambda s, d: measurement.speedups(_t(s, d, "lineitem").groupBy(F.col("l_returnflag").alias("flag"), F.col("l_linenumber").alias("workers")).agg(F.sum(F.round("l_quantity").cast("long")).alias("time")), ["flag"], "workers", "time", "1", "workers"),
+    "charted_runs": lambda s, d: measurement.without(_t(s, d, "lineitem").groupBy(F.col("l_shipdate").cast("date").alias("day"), F.col("l_returnflag").alias("flag")).agg(F.count("*").alias("runs")), "flag", ["N"]),
+    "worker_counts": lambda s, d: measurement.distinct_counts(_t(s, d, "lineitem").withColumn("other", (F.col("l_orderkey") % 3 + 6).cast("int")), ["l_suppkey"], "l_linenumber", "other").select("l_suppkey", F.array_join("counts", ",").alias("counts")),
+    "log_by_start": lambda s, d: intervals.by_start(_log(s, d), "user_id"),
     "best_config": lambda s, d: measurement.best(_runs(s, d), ["size"], "config", "time"),
     "median_of_repeats": lambda s, d: measurement.median_of_repeats(_log(s, d), ["user_id"], "event_id", "units"),
     "all_equal_check": lambda s, d: measurement.agreement(_t(s, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n")), ["user_id"], "event_type", "n"),
@@ -288,6 +291,7 @@ QUERIES = {
     "human_size": lambda s, d: _docs(s, d).select("doc_id", texts.human_size(F.col("n_chars")).alias("size"), texts.dotted(F.col("n_chars") * 1000).alias("dotted")),
     "restore_accents": lambda s, d: _docs(s, d).select("doc_id", texts.restored(F.col("text"), ACCENTS).alias("text")),
     "pending_accents": lambda s, d: _docs(s, d).select("doc_id", F.array_join(texts.unaccented(F.col("text"), sorted(ACCENTS)), ",").alias("words")),
+    "temperatures": lambda s, d: _samples(s, d).select("event_id", texts.celsius(F.col("cents")).alias("degrees"), texts.load(F.col("measured") / 10).alias("load")),
     "suspicious_words": lambda s, d: _docs(s, d).select("doc_id", F.array_join(texts.suspicious(F.col("text")), ",").alias("words")),
     "whole_numbers": lambda s, d: _t(s, d, "events").select("event_id", texts.whole(F.get_json_object("props", "$.k"), -1).alias("k")),
 }
@@ -325,6 +329,10 @@ ORACLES = {
     "invalid_detail_top": f"select *, (select greatest(count(*) - 20, 0) from ({HISTOGRAM}) where {CLASS} = 'invalid') as more from (select byte, case when byte between 32 and 126 then chr(byte) else '\\x' || lower(printf('%02x', byte)) end as name, n from ({HISTOGRAM}) where {CLASS} = 'invalid' order by n desc, byte limit 20)",
     "work_census": "select cast(sum(n_chars) as bigint) as total from documents",
     "suspicious_words": f"select doc_id, coalesce(list_aggregate(list_sort(list_distinct(list_filter(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+'), lambda x: regexp_matches(lower(x), '{'|'.join(texts.STEMS)}') and not regexp_matches(x, '[áéíóúñÁÉÍÓÚÑ]') and not (lower(x) in ({', '.join(repr(w) for w in texts.UNACCENTED)}))))), 'string_agg', ','), '') as words from documents",
+    "charted_runs": "select cast(l_shipdate as date) as day, l_returnflag as flag, count(*) as runs from lineitem where l_returnflag <> 'N' group by 1, 2",
+    "worker_counts": "select l_suppkey, string_agg(cast(c as varchar), ',' order by c) as counts from (select l_suppkey, cast(l_linenumber as int) as c from lineitem union select l_suppkey, cast(l_orderkey % 3 + 6 as int) from lineitem) group by 1",
+    "log_by_start": LOG,
+    "temperatures": "select event_id, round(c / 10::double - 273.15, 2) as degrees, case when event_type <> 'error' then least(100::double, c / 10::double) end as load from (select event_id, event_type, cast(round(value * 100) as bigint) as c from events)",
     "restore_accents": f"select doc_id, array_to_string(list_transform(regexp_extract_all(text, '(?s)({texts.PROTECTED}|\\p{{L}}+|.)'), lambda t: case {' '.join(f'when lower(t) = {a!r} then case when t[1] <> lower(t[1]) then {(b[:1].upper() + b[1:])!r} else {b!r} end' for a, b in ACCENTS.items())} else t end), '') as text from documents",
     "ema_speed": f"""select user_id, round(list_reduce(list(units::double order by start, event_id), lambda m, v: m * 0.5 + v * 0.5), 4) as ema from ({LOG}) group by 1""",
     "interleave": f"""select pair, cast(row as bigint) as row, side, side || ' ' || lpad(cast(row as varchar), cast(length(cast(rows as varchar)) as int), ' ') || ': ' || substr(case side when 'A' then a else b end, (row - 1) * 80 + 1, 80) as line from (

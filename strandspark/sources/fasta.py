@@ -105,6 +105,21 @@ def prefix(placed_lines: DataFrame, symbols: int, first: int = 0) -> DataFrame:
     return placed_lines.where((F.col("start") < symbols) & (F.col("start") >= first))
 
 
+#: What an index of records has in a row.
+INDEX = "file string, rec long, start long, length long, header string"
+
+
+def write_index(records: DataFrame, path: str) -> None:
+    """The place of each record as tab-separated text, the header last; files ascend with file and record."""
+    rows = records.select("file", "rec", "start", "length", "header")
+    rows.repartitionByRange("file", "rec").sortWithinPartitions("file", "rec").write.csv(path, sep="\t", quote="", escape="\\")
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """(file, rec, start, length, header) of an index; headers may have quotes, not tabs."""
+    return spark.read.schema(INDEX).csv(path, sep="\t", quote="", escape="\\")
+
+
 def expected(spark: SparkSession, path: str) -> DataFrame:
     """(tag, fields) of an expected-answer file: tab-separated, # begins a comment, spaces in fields stay."""
     cut = F.split("value", "\t")

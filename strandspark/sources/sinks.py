@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -28,3 +28,12 @@ def write_run(path: str, facts: DataFrame, tables: dict[str, DataFrame]) -> None
     write_facts(facts, f"{path}/facts")
     for name, df in tables.items():
         df.write.csv(f"{path}/{name}", header=True)
+
+
+def check_room(spark: SparkSession, path: str, needed: int) -> int:
+    """The bytes that are free in the file system of ``path``; an error in words for its user where they are fewer than ``needed``."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    free = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getStatus().getRemaining()
+    if free < needed:
+        raise OSError(f"{path} has room for {free} bytes, {needed} are needed")
+    return free

@@ -1,7 +1,7 @@
 import pytest
 from strandspark.functions import checks
 from strandspark.operators import sequences
-from strandspark.sources import sinks
+from strandspark.sources import fasta, sinks
 
 
 def test_reasons():
@@ -23,3 +23,17 @@ def test_files(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "run/facts")).first()["time"] == 1.5 and '"gpu":null' in next((tmp_path / "run/facts").glob("part-*")).read_text()
     assert spark.read.csv(str(tmp_path / "run/pairs"), header=True).count() == 3
     assert [r["line"] for r in sinks.summary_lines(facts, ["label", "time", "gpu"], 6).collect()] == [" label  time   gpu", "     x   1.5      "]
+
+
+def test_room(spark, tmp_path):
+    assert sinks.check_room(spark, str(tmp_path), 1) > 1
+    with pytest.raises(OSError):
+        sinks.check_room(spark, str(tmp_path), 1 << 62)
+
+
+def test_index_round_trip(spark, tmp_path):
+    (tmp_path / "x.fa").write_bytes(b'>one "quoted" \\ header\nACGT\nAC\n>two\n\n>three\nA\n')
+    found = fasta.records(fasta.placed(fasta.lines(spark, str(tmp_path / "x.fa"))))
+    fasta.write_index(found, str(tmp_path / "index"))
+    back = fasta.read_index(spark, str(tmp_path / "index")).orderBy("rec").collect()
+    assert [(r["rec"], r["start"], r["length"], r["header"]) for r in back] == [(1, 0, 6, 'one "quoted" \\ header'), (2, 6, 0, "two"), (3, 6, 1, "three")]
