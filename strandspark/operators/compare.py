@@ -39,10 +39,10 @@ def _unequal(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return row, at - ends[row] + batch.column(1).to_numpy()[row], x[at], y[at]
 
 
-def _limited(batches, most: int = 1 << 20):
-    """Batches of about ``most`` symbols: code points take four bytes each, on both sides."""
+def _limited(batches, column: int = 2, most: int = 1 << 20):
+    """Batches of about ``most`` symbols of a text column: code points take four bytes each, on both sides."""
     for batch in batches:
-        ends = np.cumsum(pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False).astype(np.int64))
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         begin = 0
         while begin < batch.num_rows:
             end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + most, "right")))
@@ -70,11 +70,14 @@ def _located(first: int | None):
 
 
 def _tallied(batches):
-    """How often each piece differs, and where first."""
-    for batch in _limited(batches):
-        row, pos, _, _ = _unequal(batch)
-        rows, at, n = np.unique(row, return_index=True, return_counts=True)
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(n, pa.int64()), pa.array(pos[at], pa.int64())], ["pair", "n", "first"])
+    """(pair, length_a, length_b, a, b), a and b null where they are equal: how often they differ, and where first."""
+    for batch in _limited(batches, 3):
+        sides = pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.zeros(batch.num_rows, np.int64)), batch.column(3).fill_null(""), batch.column(4).fill_null("")], ["pair", "start", "a", "b"])
+        row, pos, _, _ = _unequal(sides)
+        rows, at = np.unique(row, return_index=True)
+        first = np.full(batch.num_rows, -1)
+        first[rows] = pos[at]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.bincount(row, minlength=batch.num_rows), pa.int64()), pa.array(first, pa.int64(), mask=first < 0)], ["pair", "length_a", "length_b", "differences", "first_pos"])
 
 
 def _bucketed(bucket: int):
@@ -132,16 +135,43 @@ def first_differences(pieces: DataFrame, k: int | None = 1000, width: int = 80)
 
 
 def summary(pairs: DataFrame) -> DataFrame:
-    """One row for each pair: compared, equal, differences, first_pos, similarity_pct, length_a, length_b, offset."""
-    tallied = _unlike(paired_pieces(pairs)).mapInArrow(_tallied, _typed(pairs, "n long, first long"))
-    found = tallied.groupBy("pair").agg(F.sum("n").alias("differences"), F.min("first").alias("first_pos"))
-    sizes = pairs.select("pair", F.coalesce(F.length("text_a"), F.lit(0)).cast("long").alias("length_a"), F.coalesce(F.length("text_b"), F.lit(0)).cast("long").alias("length_b"))
-    out = sizes.join(found, "pair", "left").withColumn("compared", F.least("length_a", "length_b")).withColumn("differences", F.coalesce("differences", F.lit(0)))
+    """One row for each pair: compared, equal, differences, first_pos, similarity_pct, length_a, length_b, offset. One pass, no shuffle.
+
+    Texts that are equal up to the shorter one's end stay in Spark.
+    """
+    n = F.least(F.length("text_a"), F.length("text_b"))
+    a, b = F.substring("text_a", F.lit(1), n), F.substring("text_b", F.lit(1), n)
+    sides = pairs.select("pair", F.coalesce(F.length("text_a"), F.lit(0)).cast("long").alias("length_a"), F.coalesce(F.length("text_b"), F.lit(0)).cast("long").alias("length_b"), a.alias("_a"), b.alias("_b"))
+    unlike = F.col("_a") != F.col("_b")
+    sides = sides.select("pair", "length_a", "length_b", F.when(unlike, F.col("_a")).alias("a"), F.when(unlike, F.col("_b")).alias("b"))
+    out = sides.mapInArrow(_tallied, _typed(pairs, "length_a long, length_b long, differences long, first_pos long")).withColumn("compared", F.least("length_a", "length_b"))
     return out.select("pair", "compared", (F.col("compared") - F.col("differences")).alias("equal"), "differences", "first_pos", similarity(F.col("differences"), F.col("compared")).alias("similarity_pct"), "length_a", "length_b", (F.col("length_a") - F.col("length_b")).alias("offset"))
 
 
+def _spread_out(bucket: int):
+    def run(batches):
+        for batch in _limited(batches, 2):
+            sides = pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.zeros(batch.num_rows, np.int64)), batch.column(2).fill_null(""), batch.column(3).fill_null("")], ["pair", "start", "a", "b"])
+            row, pos, _, _ = _unequal(sides)
+            many = -(-batch.column(1).to_numpy() // bucket)
+            first = np.cumsum(many) - many
+            n = np.bincount(first[row] + pos // bucket, minlength=int(many.sum()))
+            owner = np.repeat(np.arange(batch.num_rows), many)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array((np.arange(len(owner)) - first[owner]) * bucket, pa.int64()), pa.array(n, pa.int64())], ["pair", "bucket_start", "n"])
+
+    return run
+
+
+def pair_density(pairs: DataFrame, bucket: int) -> DataFrame:
+    """(pair, bucket_start, n) of differences in each bucket of positions, empty buckets too, of pairs that a row holds. One pass, no shuffle."""
+    n = F.least(F.length("text_a"), F.length("text_b"))
+    sides = pairs.where("text_a is not null and text_b is not null").where(n > 0).select("pair", n.cast("long").alias("n"), F.substring("text_a", F.lit(1), n).alias("_a"), F.substring("text_b", F.lit(1), n).alias("_b"))
+    unlike = F.col("_a") != F.col("_b")
+    return sides.select("pair", "n", F.when(unlike, F.col("_a")).alias("a"), F.when(unlike, F.col("_b")).alias("b")).mapInArrow(_spread_out(bucket), _typed(pairs, "bucket_start long, n long"))
+
+
 def density(pieces: DataFrame, compared: DataFrame, bucket: int) -> DataFrame:
-    """(pair, bucket_start, n) of differences in each bucket of positions, empty buckets too; ``compared`` has (pair, compared).
+    """The same of pieces, several of a pair; ``compared`` has (pair, compared).
 
     Differences are counted in their piece; only counts leave it.
     """

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.symbols import natural_order
@@ -29,10 +29,27 @@ def _pairs(a: DataFrame, b: DataFrame, on: str, criterion: str) -> DataFrame:
 
 
 def paired(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Pairs by key, then by length among what is left."""
-    keyed = by_key(a, b)
-    rest_a, rest_b = unpaired(a, keyed, "rec_a"), unpaired(b, keyed, "rec_b")
-    return keyed.unionByName(by_length(rest_a, rest_b))
+    """Pairs by key, then by length among what is left.
+
+    One outer join tells pairs by key from what is left on either side; a length that is left once on each side makes a
+    pair, found by counting, without another join.
+    """
+    # Records without a key are keys of their own: they are many, and pair with none by key.
+    own = Window.partitionBy("key", F.when(F.col("key").isNull(), F.col("rec")))
+    first, once = F.row_number().over(own.orderBy("start")) == 1, F.count("*").over(own) == 1
+    record = F.struct("rec", "key", "length", "start")
+
+    def keyed(records: DataFrame, fit: Column, side: str) -> DataFrame:
+        marked = records.withColumn("_fit", F.col("key").isNotNull() & fit)
+        alone = F.concat(F.lit(side), F.coalesce(F.col("rec").cast("string"), F.lit("")))
+        return marked.select(F.when(F.col("_fit"), F.col("key").cast("string")).otherwise("").alias("_on"), F.when(F.col("_fit"), "").otherwise(alone).alias("_own"), record.alias(f"_{side}"))
+
+    both = keyed(a, first, "a").join(keyed(b, once, "b"), ["_on", "_own"], "full_outer")
+    matched = both.where("_a is not null and _b is not null").select("_a", "_b", F.lit("key").alias("criterion"))
+    rest = both.where("_a is null or _b is null").groupBy(F.coalesce("_a.length", "_b.length").alias("_length"))
+    alone = rest.agg(F.count("_a").alias("_na"), F.count("_b").alias("_nb"), F.max("_a").alias("_a"), F.max("_b").alias("_b")).where("_na = 1 and _nb = 1 and _length is not null")
+    found = matched.unionByName(alone.select("_a", "_b", F.lit("length").alias("criterion")))
+    return found.select(F.col("_a.rec").alias("rec_a"), F.col("_b.rec").alias("rec_b"), "_a.key", "criterion", F.least("_a.length", "_b.length").alias("length"), (F.col("_a.length") - F.col("_b.length")).alias("offset"), F.col("_a.start").alias("start_a"))
 
 
 def unpaired(records: DataFrame, pairs: DataFrame, side: str) -> DataFrame:

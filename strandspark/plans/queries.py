@@ -229,7 +229,7 @@ QUERIES = {
     "diff_kinds": lambda s, d: compare.kinds(_pieces(s, d)),
     "first_k_diffs": lambda s, d: compare.first_differences(_pieces(s, d), 5),
     "first_k_diffs_total": lambda s, d: compare.differences(_pieces(s, d), first=500).orderBy("pair", "pos").limit(500).select("pair", "pos", "a", "b"),
-    "diff_density": lambda s, d: compare.density(_pieces(s, d), _pairs(s, d).select("pair", F.least(F.length("text_a"), F.length("text_b")).cast("long").alias("compared")), 512),
+    "diff_density": lambda s, d: compare.pair_density(_pairs(s, d), 512),
     "paired_totals": lambda s, d: compare.totals(compare.summary(_pairs(s, d)).withColumn("compared", F.when(F.col("pair") % 4 == 0, F.floor(F.col("compared") / 2)).otherwise(F.col("compared")))),
     "zip_compare": lambda s, d: compare.joined_chunks(_docs(s, d).where("doc_id % 2 = 0").select(F.floor(F.col("doc_id") / 2).alias("k"), "text"), _docs(s, d).where("doc_id % 2 = 1").select(F.floor(F.col("doc_id") / 2).alias("k"), "text"), "k", "text").groupBy("pair").agg(F.sum(F.length("a")).alias("compared"), F.count_if(F.col("a") == F.col("b")).alias("equal_chunks")),
     # pairing

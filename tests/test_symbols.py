@@ -158,6 +158,9 @@ def test_comparison_of_odd_texts(spark):
     assert sorted((r["pair"], r["pos"]) for r in compare.first_differences(pieces, 1).collect()) == [(0, 0), (4, 0)]
     sizes = spark.createDataFrame([(0, 5), (3, 4), (4, 2)], "pair long, compared long")
     assert sorted((r["pair"], r["bucket_start"], r["n"]) for r in compare.density(pieces, sizes, 2).collect()) == [(0, 0, 1), (0, 2, 1), (0, 4, 1), (3, 0, 0), (3, 2, 0), (4, 0, 2)]
+    pairs = spark.createDataFrame(rows, "pair long, text_a string, text_b string")
+    assert sorted(map(tuple, compare.pair_density(pairs, 2).collect())) == [(0, 0, 1), (0, 2, 1), (0, 4, 1), (3, 0, 0), (3, 2, 0), (4, 0, 2)]
+    assert {r["pair"]: (r["differences"], r["first_pos"]) for r in compare.summary(pairs).collect()} == {0: (3, 0), 1: (0, None), 2: (0, None), 3: (0, None), 4: (2, 0)}
     zero = compare.paired_pieces(spark.createDataFrame([(0, "\0", "b")], "pair long, text_a string, text_b string"))
     assert [r["a"] for r in compare.differences(zero).collect()] == ["\0"]
 
