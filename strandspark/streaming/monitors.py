@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def latest(df: DataFrame, by: list[str], value: str, every: str) -> DataFrame:
-    """(window_start, *by, last): the last value of each poll."""
+def latest(df: DataFrame, by: list[str], value: str, every: str, late: str = "10 minutes") -> DataFrame:
+    """(window_start, *by, last): the last value of each poll; a stream forgets polls that are over by ``late``."""
+    df = df.withWatermark("ts", late) if df.isStreaming else df
     return df.groupBy(F.window("ts", every).alias("_window"), *by).agg(F.max_by(value, "ts").alias("last")).select(F.col("_window.start").alias("window_start"), *by, "last")
 
 

@@ -30,3 +30,15 @@ def test_duplicates(spark, tmp_path):
     twice = events(spark).unionByName(events(spark))
     got = run(spark, tmp_path, twice, lambda s: monitors.once(s, ["w", "v"]), "once_out")
     assert got.count() == 5
+
+
+def test_latest_of_each_poll(spark, tmp_path):
+    """A poll is given out once it is over; the last one, still open, isn't."""
+    got = run(spark, tmp_path, events(spark), lambda s: monitors.latest(s, ["w"], "v", "10 seconds", "1 minute"), "latest_out")
+    assert sorted((r["w"], r["last"]) for r in got.collect()) == [("a", 3.0), ("a", 5.0), ("b", 2.0)]
+
+
+def test_overdue_tasks_of_a_stream(spark, tmp_path):
+    build = lambda s: monitors.overdue(s.withColumn("expected", F.lit(0.5)).withColumn("elapsed", F.col("v") * 4), "expected", "elapsed").where("overdue")
+    got = run(spark, tmp_path, events(spark), build, "overdue_out")
+    assert sorted(r["v"] for r in got.collect()) == [3.0, 5.0]
