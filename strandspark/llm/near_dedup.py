@@ -7,18 +7,21 @@ their smallest doc_id first, so a large group of copies costs one row from there
 Within a bucket, candidate links go from one leader to all others, are confirmed on the full sets, and join components.
 What a bucket then still holds of different components is compared too, never inside a component. Where that would be
 many pairs, in a large group of documents that are alike but not enough, an exact prefix filter stands in for the bucket:
-two sets as similar as asked share one of their rarest shingles, and early enough that the rest can make up the similarity. So no link that changes a component is lost, and no
-group is expanded to all its pairs.
+two sets as similar as asked share one of their rarest shingles, and early enough that the rest can make up the similarity.
+How early depends on the partner's size, so a shingle leads only to partners of the sizes that its place allows: documents
+from one template, whose own text keeps them apart, never meet in what they have in common. So no link that changes a
+component is lost, and no group is expanded to all its pairs.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import hashed, mix64, parts, slices, spans, table, utf8, written
@@ -155,6 +158,11 @@ def components(edges: DataFrame) -> DataFrame:
     return labels if labels is not None else edges.sparkSession.createDataFrame([], "node long, component long")
 
 
+def size_class(n: Column) -> Column:
+    """Sizes that differ by up to a hundredth fall into one class; classes ascend with sizes, small sizes are their own."""
+    return F.floor(F.log(n.cast("double")) / math.log(1.01)).cast("int")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 32, rows: int = 6) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text, ...).
 
@@ -169,7 +177,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     named = signed.where("set_a is not null and doc_id is not null")
     classes = written(named.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
     keyed = named.join(classes.select(F.col("rep").alias("doc_id"), "set_a", "set_b"), ["doc_id", "set_a", "set_b"], "left_semi").select("doc_id", "n_shingles", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("key")
+    # What is known of a key is a table before anything joins it: a hot key's rows can then be split over tasks.
+    shared = written(keyed.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("key"), "shared")
     members = written(keyed.join(shared, "key").select("key", F.col("doc_id").alias("node"), F.col("n_shingles").alias("n")).distinct(), "members")
     involved = members.select(F.col("node").alias("doc_id")).distinct()
     their = written(texts.join(involved, "doc_id", "left_semi"), "texts")
@@ -179,39 +188,51 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
         return written(pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_agreeing(width, percent), "a long, b long"), "links")
 
     near = lambda x, y: (F.least(x, y) * 100 >= F.greatest(x, y) * percent)  # noqa: E731  what the sizes alone allow
-    leaders = members.groupBy("key").agg(F.min(F.struct("node", "n")).alias("leader")).select("key", F.col("leader.node").alias("a"), F.col("leader.n").alias("n_a"))
+    leaders = written(members.groupBy("key").agg(F.min(F.struct("node", "n")).alias("leader")).select("key", F.col("leader.node").alias("a"), F.col("leader.n").alias("n_a")), "leaders")
     links = confirmed(members.join(leaders, "key").where((F.col("node") != F.col("a")) & near("n", "n_a")).select("a", F.col("node").alias("b")).distinct())
     labels = components(links)
 
-    def mixed(rows: DataFrame) -> DataFrame:
-        """(key, main, c, cross) of the keys with several components: the largest, how many rows, how many pairs across."""
-        own = rows.groupBy("key", "component").agg(F.count("*").alias("c"))
-        every = own.groupBy("key").agg(F.max(F.struct("c", "component")).alias("main"), F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc"))
-        return every.where("c * c > cc").select("key", F.col("main.component").alias("main"), "c", ((F.col("c") * F.col("c") - F.col("cc")) / 2).alias("cross"))
+    def mixed(rows: DataFrame, *keys: str) -> DataFrame:
+        """(*keys, main, c, cross) of the keys with several components: the largest, how many rows, how many pairs across."""
+        own = rows.groupBy(*keys, "component").agg(F.count("*").alias("c"))
+        every = own.groupBy(*keys).agg(F.max(F.struct("c", "component")).alias("main"), F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc"))
+        return written(every.where("c * c > cc").select(*keys, F.col("main.component").alias("main"), "c", ((F.col("c") * F.col("c") - F.col("cc")) / 2).alias("cross")), "mixed")
 
-    def across(rows: DataFrame) -> DataFrame:
-        """Pairs of rows (key, main, node, n, component, rest) with one key and different components, each pair once.
+    def across(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
+        """Pairs of a row of ``left`` and one of ``right`` (*keys, main, node, n, component, rest) with equal keys and different components.
 
-        ``rest``: how many shingles two documents can share at most if this key is the rarest that they share.
+        ``rest``: how many shingles two documents can share at most if this key is the rarest that they share. Pairs inside
+        the largest component of a key are never made.
         """
-        a, b = (rows.select("key", "main", F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("component").alias(f"c_{x}"), F.col("rest").alias(f"rest_{x}")) for x in "ab")
-        b = b.drop("main")
-        once = (F.col("c_b") == F.col("main")) | (F.col("c_a") < F.col("c_b"))
+        a, b = (rows.select(*keys, "main", F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("component").alias(f"c_{x}"), F.col("rest").alias(f"rest_{x}")) for rows, x in ((left, "a"), (right, "b")))
         enough = F.least("rest_a", "rest_b") * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
-        return a.where("c_a <> main").join(b, (a.key == b.key) & (F.col("c_a") != F.col("c_b")) & once & near("n_a", "n_b") & enough).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        met = [x.join(y.drop("main"), [*keys]).where((F.col("c_a") != F.col("c_b")) & near("n_a", "n_b") & enough) for x, y in ((a.where("c_a <> main"), b), (a.where("c_a = main"), b.where("c_b <> main")))]
+        return met[0].unionByName(met[1]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    held = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")).withColumn("rest", F.col("n"))
-    held = written(held.join(mixed(held), "key"), "held")
+    held = written(members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")).withColumn("rest", F.col("n")), "held")
+    held = held.join(mixed(held, "key"), "key")
     many = F.col("cross") > 2 * F.col("c")
-    pairs = [across(held.where(~many))]
+    simple = held.where(~many)
+    pairs = [across(simple, simple, "key")]
     tangled = written(held.where(many).select("node", "n", "component").distinct(), "tangled")
     if not tangled.isEmpty():
         each = their.join(tangled, their.doc_id == tangled.node, "left_semi").mapInArrow(_sets(width), "node long, shingles array<long>")
         each = written(each.select("node", F.explode("shingles").alias("key")), "shingles")
-        ordered = each.join(each.groupBy("key").agg(F.count("*").alias("had")), "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("had", "key"))).alias("rarest"))
-        prefix = ordered.join(tangled, "node").withColumn("rarest", F.expr(f"slice(rarest, 1, int(n - ceil(n * {percent} / 100) + 1))"))
-        prefix = written(prefix.select("node", "n", "component", F.posexplode("rarest.key").alias("at", "key")).withColumn("rest", F.col("n") - F.col("at")).drop("at"), "prefixes")
-        pairs.append(across(prefix.join(mixed(prefix), "key")))
+        frequent = written(each.groupBy("key").agg(F.count("*").alias("had")).where("had > 1"), "frequent")
+        # Shingles that one document alone has are its rarest: they take the first places, but lead to no other document.
+        ordered = each.join(frequent, "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("had", "key"))).alias("rarest"))
+        placed = ordered.join(tangled, "node").select("node", "n", "component", (F.col("n") - F.size("rarest")).alias("alone"), F.posexplode("rarest").alias("at", "shingle"))
+        placed = placed.select("node", "n", "component", "shingle.*", (F.col("n") - F.col("alone") - F.col("at")).alias("rest"))
+        # With this key as the rarest in common, a partner has at most ``largest`` shingles. Keys that many documents have
+        # lead by size classes to partners that can be large enough; those of a few lead to all of these.
+        largest = F.floor(F.col("rest") * (100 + percent) / percent - F.col("n"))
+        least = F.ceil(F.col("n") * percent / 100)
+        few, one = F.col("had") <= 32, F.lit(-1)
+        classes_of = F.sequence(size_class(least), size_class(F.least(largest, F.floor(F.col("n") * 100 / percent))))
+        fitting = placed.where(largest >= least).select("*", F.when(few, one).otherwise(size_class(F.col("n"))).alias("own"), F.explode(F.when(few, F.array(one)).otherwise(classes_of)).alias("other"))
+        prefix = written(fitting.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "n", "component", "rest"), "prefixes")
+        prefix = prefix.join(mixed(prefix, "key", "low", "high"), ["key", "low", "high"])
+        pairs.append(across(prefix.where("own = low"), prefix.where("own = high"), "key", "low", "high"))
     links = links.unionByName(confirmed(pairs[0] if len(pairs) == 1 else pairs[0].unionByName(pairs[1]).distinct()))
     labels = components(links)
 
