@@ -84,3 +84,61 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in near_dedup.components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert {got[k] for k in range(10, 41)} == {10} and got[105] == got[101] == 100
     assert near_dedup.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_template_group_makes_few_pairs(spark):
+    """Documents from one template with own text, alike but not linked: their common shingles lead to no pairs."""
+    r = random.Random(2)
+    common = [f"c{k}" for k in range(270)]
+    rows = [(k, " ".join(common + [f"o{r.randrange(10**9)}" for _ in range(30)])) for k in range(400)]
+    rows += [(400 + k, rows[k][1].rsplit(" ", 2)[0] + " x y") for k in range(5)]
+    made = []
+    agreeing = near_dedup._agreeing
+
+    def counting(width, percent):
+        made.append(spark.sparkContext.accumulator(0))
+        run, count = agreeing(width, percent), made[-1]
+
+        def counted(batches):
+            def seen():
+                for batch in batches:
+                    count.add(batch.num_rows)
+                    yield batch
+
+            yield from run(seen())
+
+        return counted
+
+    near_dedup._agreeing = counting
+    try:
+        got = {x["doc_id"]: x["component_id"] for x in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
+    finally:
+        near_dedup._agreeing = agreeing
+    assert got == {k: k if k < 400 else k - 400 for k in range(405)}
+    assert sum(a.value for a in made) < 32 * len(rows)
+
+
+def test_size_classes_and_percentages(spark):
+    """Groups of several sizes, frequent keys among them, at other widths and thresholds, against brute force."""
+    r = random.Random(17)
+    base = ["b%d" % k for k in range(90)]
+    rows = []
+    for n in range(130):
+        words = base[: r.choice([70, 76, 80, 84, 90])]
+        for _ in range(r.choice([0, 2, 4, 6, 9, 12])):
+            words[r.randrange(len(words))] = "e%d" % r.randrange(400)
+        rows.append((n, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for width, percent in ((3, 85), (1, 90), (2, 70)):
+        got = {x["doc_id"]: (x["n_shingles"], x["component_id"], x["kept"]) for x in near_dedup.near_duplicates(df, width, percent).collect()}
+        assert got == brute(rows, width, percent)
+
+
+def test_deduplicated_edges(spark):
+    """Nulls, empty and very long texts, clashing columns, an empty table."""
+    long = "w " * 200_000
+    rows = [(1, None), (2, ""), (3, None), (4, long), (5, long), (None, long), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit("k")).withColumn("component", F.lit(1))
+    out = near_dedup.deduplicated(df)
+    assert out.columns == df.columns and sorted((x["doc_id"] or 0) for x in out.collect()) == [0, 0, 1, 2, 3, 4]
+    assert near_dedup.deduplicated(df.where("false")).count() == 0
