@@ -31,6 +31,7 @@ _ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s
 _SPACE = re.compile(r"\s+")
 #: Elements whose content is no markup, to their end tag. The first two are never text, even without an end tag.
 RAW = ("script", "style", "title", "textarea", "iframe", "noembed", "noframes", "xmp")
+_ENDS = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for name in RAW}
 #: Elements whose content isn't shown, or only instead of something else.
 MUTE = {"noscript", "template", "svg", "object", "canvas", "select", "datalist", "audio", "video", "annotation", "annotation-xml"}
 #: Attributes that have no value.
@@ -129,9 +130,10 @@ def blocks(page: str) -> list[tuple[str, tuple, float]]:
 
     def shut(k: int):
         nonlocal links, mute, formulas
-        links -= sum(e[1] == "a" for e in stack[k:])
-        formulas -= sum(e[1] == "math" for e in stack[k:])
-        mute -= sum(e[3] for e in stack[k:])
+        for _, name, _, unseen, _ in stack[k:]:
+            links -= name == "a"
+            formulas -= name == "math"
+            mute -= unseen
         del stack[k:]
 
     def ends_later(name: str) -> bool:
@@ -172,7 +174,7 @@ def blocks(page: str) -> list[tuple[str, tuple, float]]:
             continue
         empty = m[0].endswith("/>")
         if name in RAW:
-            end = None if empty else re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
+            end = None if empty else _ENDS[name].search(page, at)
             if end:
                 if name == "xmp":
                     add(html.escape(page[at : end.start()]))
