@@ -177,15 +177,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     named = signed.where("set_a is not null and doc_id is not null")
     classes = written(named.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
     keyed = named.join(classes.select(F.col("rep").alias("doc_id"), "set_a", "set_b"), ["doc_id", "set_a", "set_b"], "left_semi").select("doc_id", "n_shingles", F.explode("bands").alias("key"))
-    # What is known of a key is a table before anything joins it: a hot key's rows can then be split over tasks.
+    # What is known of a key or a document is a table before anything joins it: its size tells the planner whether to send
+    # it to all tasks or to move texts, and a hot key's rows can be split over tasks.
     shared = written(keyed.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("key"), "shared")
     members = written(keyed.join(shared, "key").select("key", F.col("doc_id").alias("node"), F.col("n_shingles").alias("n")).distinct(), "members")
-    involved = members.select(F.col("node").alias("doc_id")).distinct()
+    involved = written(members.select(F.col("node").alias("doc_id")).distinct(), "involved")
     their = written(texts.join(involved, "doc_id", "left_semi"), "texts")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         a, b = (their.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
-        return written(pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_agreeing(width, percent), "a long, b long"), "links")
+        return written(written(pairs, "pairs").join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_agreeing(width, percent), "a long, b long"), "links")
 
     near = lambda x, y: (F.least(x, y) * 100 >= F.greatest(x, y) * percent)  # noqa: E731  what the sizes alone allow
     leaders = written(members.groupBy("key").agg(F.min(F.struct("node", "n")).alias("leader")).select("key", F.col("leader.node").alias("a"), F.col("leader.n").alias("n_a")), "leaders")
