@@ -129,8 +129,8 @@ def test_size_classes_and_percentages(spark):
             words[r.randrange(len(words))] = "e%d" % r.randrange(400)
         rows.append((n, " ".join(words)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for width, percent in ((3, 85), (1, 90), (2, 70)):
-        got = {x["doc_id"]: (x["n_shingles"], x["component_id"], x["kept"]) for x in near_dedup.near_duplicates(df, width, percent).collect()}
+    for width, percent, bands, coordinates in ((3, 85, 32, 6), (1, 90, 32, 6), (2, 70, 64, 4)):
+        got = {x["doc_id"]: (x["n_shingles"], x["component_id"], x["kept"]) for x in near_dedup.near_duplicates(df, width, percent, bands, coordinates).collect()}
         assert got == brute(rows, width, percent)
 
 
