@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, fingerprints, html_text, near_dedup, secrets, shards, token_counts, token_files, toxicity
+from . import alignment, bpe, decontaminate, fingerprints, html_text, near_dedup, secrets, shards, token_counts, token_files, toxicity
 
 QUERIES = {
     "op1_near_dedup": near_dedup.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_fingerprints": fingerprints.query,
     "op9_decontaminate": decontaminate.query,
     "op10_secrets": secrets.query,
+    "op11_alignment": alignment.query,
 }
 
 ORACLES: dict[str, str] = {
