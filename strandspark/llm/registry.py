@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, bpe, decontaminate, fingerprints, html_text, near_dedup, secrets, shards, token_counts, token_files, toxicity
+from . import alignment, bpe, decontaminate, fingerprints, html_text, merkle, near_dedup, secrets, shards, token_counts, token_files, toxicity
 
 QUERIES = {
     "op1_near_dedup": near_dedup.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_decontaminate": decontaminate.query,
     "op10_secrets": secrets.query,
     "op11_alignment": alignment.query,
+    "op12_merkle": merkle.query,
 }
 
 ORACLES: dict[str, str] = {
