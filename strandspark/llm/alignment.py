@@ -166,7 +166,7 @@ def aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
 
     def run(batches):
         va, vb = vocabulary(path_a), pieces(path_b)
-        for batch in parts(batches, 1):
+        for batch in parts(batches, 1, most=1 << 20):
             a, rows_a, b, rows_b = encoded(batch.column(1), path_a, path_b)
             _, _, group_a, group_b = merge_path(_ends(a, va.lengths), _ends(b, vb.lengths))
             rows = np.searchsorted(group_a, rows_a, "right")
@@ -177,7 +177,7 @@ def aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     return texts.mapInArrow(run, ALIGNED)
 
 
-def _limited(batches, *columns: int, most: int = 1 << 20):
+def _limited(batches, *columns: int, most: int = 1 << 18):
     """Batches with about ``most`` ids."""
     for batch in batches:
         size = np.append(0, np.cumsum(sum(pc.list_value_length(batch.column(k)).to_numpy(zero_copy_only=False) for k in columns)))
