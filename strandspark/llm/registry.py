@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, bpe, decontaminate, fingerprints, html_text, merkle, near_dedup, secrets, shards, token_counts, token_files, toxicity
+from . import alignment, bpe, decontaminate, fingerprints, html_text, line_dedup, merkle, near_dedup, secrets, shards, token_counts, token_files, toxicity
 
 QUERIES = {
     "op1_near_dedup": near_dedup.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_secrets": secrets.query,
     "op11_alignment": alignment.query,
     "op12_merkle": merkle.query,
+    "op13_line_dedup": line_dedup.query,
 }
 
 ORACLES: dict[str, str] = {
@@ -29,4 +30,9 @@ ORACLES: dict[str, str] = {
  linked as (select a, b from e union select b, a from e),
  reached(a, b) as (select doc_id, doc_id from n union select r.a, l.b from reached r join linked l on r.b = l.a)
  select n.doc_id, n.n as n_shingles, min(b) as component_id, min(b) = n.doc_id as kept from n join reached on a = n.doc_id group by n.doc_id, n.n""",
+    "op13_line_dedup": """with l as (select doc_id, line, pos, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key
+  from (select doc_id, unnest(ls) as line, unnest(range(len(ls))) as pos from (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents))),
+ f as (select key, min(doc_id) as first from l where length(key) >= 10 group by key having min(doc_id) <> max(doc_id)),
+ m as (select l.doc_id, l.pos, l.line, f.key is not null and f.first <> l.doc_id as gone from l left join f on f.key = l.key)
+ select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '')) as kept_sha256 from m group by doc_id""",
 }
