@@ -144,14 +144,18 @@ def _ends(ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.cumsum(lengths[ids])
 
 
+def _packed(values: np.ndarray, offsets: np.ndarray, width: int) -> pa.Array:
+    """Rows of ids as little-endian unsigned integers of ``width`` bytes."""
+    return pa.BinaryArray.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer((offsets * width).astype(np.int32)), pa.py_buffer(values.astype(f"<u{width}"))])
+
+
 def _lists(values: np.ndarray, offsets: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.astype(np.int32)))
 
 
-def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    return column.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(pc.list_value_length(column).to_numpy(zero_copy_only=False)))
+def _flat(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    data, offsets = utf8(column)
+    return data.view(f"<u{width}").astype(np.int32), offsets // width
 
 
 def aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
@@ -173,28 +177,37 @@ def aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
             rows[rows_a == 0] = 0
             yield pa.RecordBatch.from_arrays([batch.column(0), _lists(a, rows_a), _lists(b, rows_b), *(_lists(np.diff(g, prepend=0), rows) for g in (group_a, group_b))], ["doc_id", "a", "b", "group_a", "group_b"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(run, ALIGNED)
+    return _texts(docs).mapInArrow(run, ALIGNED)
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def _width(path_a: str, path_b: str) -> int:
+    return 2 if max(vocabulary(path_a).size, pieces(path_b).size) <= 1 << 16 else 4
 
 
-def _limited(batches, *columns: int, most: int = 1 << 18):
-    """Batches with about ``most`` ids."""
-    for batch in batches:
-        size = np.append(0, np.cumsum(sum(pc.list_value_length(batch.column(k)).to_numpy(zero_copy_only=False) for k in columns)))
-        row = 0
-        while row < batch.num_rows:
-            end = max(row + 1, int(np.searchsorted(size, size[row] + most, "right")) - 1)
-            yield batch.slice(row, end - row)
-            row = end
+def packed(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
+    """(doc_id, a, b): the same ids as little-endian unsigned integers, of two bytes where all ids fit: what passes go over."""
+    width = _width(path_a, path_b)
+
+    def run(batches):
+        for batch in parts(batches, 1, most=1 << 20):
+            a, rows_a, b, rows_b = encoded(batch.column(1), path_a, path_b)
+            yield pa.RecordBatch.from_arrays([batch.column(0), _packed(a, rows_a, width), _packed(b, rows_b, width)], ["doc_id", "a", "b"])
+
+    return _texts(docs).mapInArrow(run, "doc_id long, a binary, b binary")
 
 
 def pair_counts(rows: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """(a, b, n): in how many places of all rows (a, b, ...) a token with id a overlaps one with id b. Counted in tasks first."""
+    """(a, b, n): in how many places of all ``packed`` rows a token with id a overlaps one with id b. Counted in tasks first."""
+    width = _width(path_a, path_b)
 
     def run(batches):
         la, vb = vocabulary(path_a).lengths, pieces(path_b)
-        for batch in _limited(batches, 0, 1):
-            (a, _), (b, _) = _flat(batch.column(0)), _flat(batch.column(1))
+        for batch in parts(batches, 0, 1, most=1 << 20):
+            (a, _), (b, _) = _flat(batch.column(0), width), _flat(batch.column(1), width)
             i, j, _, _ = merge_path(_ends(a, la), _ends(b, vb.lengths))
             keys, n = np.unique(a[i].astype(np.int64) * vb.size + b[j], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array((keys // vb.size).astype(np.int32)), pa.array((keys % vb.size).astype(np.int32)), pa.array(n, pa.int64())], ["a", "b", "n"])
@@ -243,10 +256,12 @@ def written_groups(a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: n
 
 
 def _summed(path_a: str, path_b: str, head):
+    width = _width(path_a, path_b)
+
     def run(batches):
         la, vb = vocabulary(path_a).lengths, pieces(path_b)
-        for batch in _limited(batches, 2, 3):
-            (a, rows_a), (b, rows_b) = _flat(batch.column(2)), _flat(batch.column(3))
+        for batch in parts(batches, 2, 3, most=1 << 20):
+            (a, rows_a), (b, rows_b) = _flat(batch.column(2), width), _flat(batch.column(3), width)
             i, j, group_a, group_b = merge_path(_ends(a, la), _ends(b, vb.lengths))
             own, which = np.unique(a[i].astype(np.int64) * vb.size + b[j], return_inverse=True)
             known, n, best = (x[which] for x in head.value.of(own))
@@ -277,7 +292,7 @@ def most_frequent(counts: DataFrame, most: int) -> int | None:
 
 
 def summaries(docs: DataFrame, path_a: str, path_b: str, most: int = 1 << 19) -> DataFrame:
-    """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of every row of ``docs``, from ``aligned`` and ``pair_counts``.
+    """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of every row of ``docs``: ids, groups and links as ``aligned`` has them.
 
     Every pair of overlapping tokens is a link; a pair of ids counts as often as it is linked in all rows. n_best are the
     links whose count no other pair with the same b exceeds, count_sum adds all links' counts. The groups are hashed as
@@ -286,7 +301,7 @@ def summaries(docs: DataFrame, path_a: str, path_b: str, most: int = 1 << 19) ->
     counts, so none of these keys is frequent.
     """
     spark = docs.sparkSession
-    rows = written(aligned(docs, path_a, path_b).select(F.monotonically_increasing_id().alias("row"), "*"), "aligned")
+    rows = written(packed(docs, path_a, path_b).select(F.monotonically_increasing_id().alias("row"), "*"), "aligned")
     counts = written(pair_counts(rows, path_a, path_b), "pair-counts")
     size = pieces(path_b).size
     best = counts.groupBy("b").agg(F.max("n").alias("most"))
