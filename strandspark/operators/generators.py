@@ -124,7 +124,8 @@ PLANTED = "GATTACA"
 def sequences(df: DataFrame, key: str, length: str, unit: int = 1024, seed: int = 1234) -> DataFrame:
     """(key, chunk, start, bases): made sequences of the lengths in ``df`` with known content, a unit of symbols a row.
 
-    Bases are drawn by position; of twenty stretches of 256 symbols about one is unknown (N) and two are lower case; the
+    Bases are drawn by position; of twenty stretches of 256 symbols about one is unknown (N), two are lower case, and three are
+    islands, mostly C and G in turn; the
     pattern PLANTED stands across every border of units inside a sequence, in upper case.
     """
     numbers = F.when(F.col(length) > 0, F.sequence(F.lit(0).cast("long"), F.floor((F.col(length) - 1) / unit).cast("long"))).otherwise(F.array().cast("array<long>"))
@@ -138,8 +139,10 @@ def sequences(df: DataFrame, key: str, length: str, unit: int = 1024, seed: int
             for k, n, chunk in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
                 at = np.arange(chunk * unit, min(n, (chunk + 1) * unit), dtype=np.int64)
                 shift = k % PRIME * 1_000_003 % PRIME
-                codes = np.frombuffer(BASES.encode(), np.uint8)[draws(at + shift, seed, 4) % 4]
+                draw = draws(at + shift, seed, 4)
+                codes = np.frombuffer(BASES.encode(), np.uint8)[draw % 4]
                 stretch = draws(at // 256 + shift, seed, 5) % 20
+                codes = np.where((stretch >= 17) & (draw % 5 > 0), np.where(at % 2 == 0, ord("C"), ord("G")), codes)
                 codes = np.where(stretch == 0, ord("N"), np.where(stretch < 3, codes + 32, codes))
                 place = (at + before) % unit
                 on = (place < len(planted)) & (at + before >= unit) & (at - place + len(planted) <= n)

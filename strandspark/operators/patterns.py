@@ -19,11 +19,15 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[97:123] -= 32
 
 
-def _matched(patterns: list[str], keys: int):
-    """How often each of ``patterns`` is in each text: letters are compared once, matches are shifted conjunctions of that."""
+def matched(patterns: list[str], keys: int, border: bool = False):
+    """How often each of ``patterns`` is in each text: letters are compared once, matches are shifted conjunctions of that.
+
+    ``border``: the column after the text says how many of its bytes stand before a border; only matches over it count.
+    """
 
     def run(batches):
         for batch in batches:
+            edges = batch.column(keys + 1).to_numpy(zero_copy_only=False) if border else None
             for row, end, raw, offsets in rows_of_bytes(batch.column(keys)):
                 folded_bytes = _FOLD[raw]
                 equal = {c: folded_bytes == ord(c) for c in set("".join(patterns)) | set("ACGT")}
@@ -36,7 +40,11 @@ def _matched(patterns: list[str], keys: int):
                         held &= equal[c][k : k + m]
                     at = np.flatnonzero(held)
                     owner = np.searchsorted(offsets, at, "right") - 1
-                    counts.append(np.bincount(owner[at + len(p) <= offsets[owner + 1]], minlength=end - row))
+                    inside = at + len(p) <= offsets[owner + 1]
+                    if border:
+                        edge = offsets[owner] + edges[row + owner]
+                        inside &= (at < edge) & (at + len(p) > edge)
+                    counts.append(np.bincount(owner[inside], minlength=end - row))
                 part = batch.slice(row, end - row)
                 yield pa.RecordBatch.from_arrays([*part.columns[:keys], *(pa.array(c, pa.int64()) for c in counts)], [*batch.schema.names[:keys], *(f"m{k}" for k in range(len(patterns)))])
 
@@ -48,10 +56,23 @@ def pattern_counts(df: DataFrame, text: str, patterns: list[str], by: tuple[str,
 
     A palindrome counts on both. One pass over the bytes of the texts; only counts are shuffled.
     """
-    sides = [(p, strand, q) for p in patterns for strand, q in (("+", p), ("-", complement(p)))]
+    sides = both_strands(patterns)
     slim = df.select(*by, F.col(text).cast("binary").alias("_raw"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema if f.name in by] + [f"m{k} long" for k in range(len(sides))])
-    wide = slim.mapInArrow(_matched([q for _, _, q in sides], len(by)), schema).groupBy(*by).agg(*(F.sum(f"m{k}").alias(f"m{k}") for k in range(len(sides))))
+    return counts_by_pattern(slim.mapInArrow(matched([q for _, _, q in sides], len(by)), match_schema(slim, by, len(sides))), sides, by)
+
+
+def both_strands(patterns: list[str]) -> list[tuple[str, str, str]]:
+    """(pattern, strand, what is looked for there)."""
+    return [(p, strand, q) for p in patterns for strand, q in (("+", p), ("-", complement(p)))]
+
+
+def match_schema(df: DataFrame, by: tuple[str, ...], many: int) -> str:
+    return ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in by] + [f"m{k} long" for k in range(many)])
+
+
+def counts_by_pattern(found: DataFrame, sides: list[tuple[str, str, str]], by: tuple[str, ...]) -> DataFrame:
+    """(*by, pattern, strand, n) from rows (*by, m0, m1, ...) of counts."""
+    wide = found.groupBy(*by).agg(*(F.sum(f"m{k}").alias(f"m{k}") for k in range(len(sides))))
     rows = F.array(*(F.struct(F.lit(p).alias("pattern"), F.lit(s).alias("strand"), F.coalesce(F.col(f"m{k}"), F.lit(0)).alias("n")) for k, (p, s, _) in enumerate(sides)))
     return wide.select(*by, F.explode(rows).alias("r")).select(*by, "r.pattern", "r.strand", "r.n")
 
@@ -79,21 +100,36 @@ def pattern_positions(df: DataFrame, key: str, text: str, pattern: str, k: int)
     return df.where(t.contains(pattern)).select(key, t.alias("_t")).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, pos long")
 
 
-def _windowed(width: int, step: int):
+def window_sums(codes: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(n_c, n_g, n_cg, evaluable) of the windows of ``width`` code points at ``starts``: differences of running sums."""
+    is_c, is_g = (codes == 67) | (codes == 99), (codes == 71) | (codes == 103)
+    base = is_c | is_g | np.isin(codes, (65, 97, 84, 116))
+    total = lambda x, n=width: (c := np.append(0, np.cumsum(x)))[starts + n] - c[starts]
+    return total(is_c), total(is_g), total(np.append(is_c[:-1] & is_g[1:], False), width - 1), total(base) == width
+
+
+def window_starts(length: int, first: int, border: int | None, width: int, step: int) -> np.ndarray:
+    """Where windows of a text begin that is at ``first`` of its sequence: at multiples of ``step``; with a border only those over it."""
+    low = 0 if border is None else max(0, border - width + 1)
+    high = length - width + 1 if border is None else min(border, length - width + 1)
+    return np.arange(low + -(first + low) % step, high, step)
+
+
+def windowed(width: int, step: int):
+    """Windows of rows (key, text, first, border): starts are multiples of ``step``, ``first`` is the place of the text's first symbol.
+
+    With a border, how many of a text's symbols stand before it, only windows over it count; null: all.
+    """
+
     def run(batches):
         for batch in batches:
             found: list[list[np.ndarray]] = [[] for _ in range(6)]
-            for row, text in enumerate(batch.column(1).to_pylist()):
+            for row, (text, first, border) in enumerate(zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True)):
                 t = points(text)
-                if len(t) < width:
-                    continue
-                is_c, is_g = (t == 67) | (t == 99), (t == 71) | (t == 103)
-                base = is_c | is_g | np.isin(t, (65, 97, 84, 116))
-                starts = np.arange(0, len(t) - width + 1, step)
-                total = lambda x, n=width, s=starts: (c := np.append(0, np.cumsum(x)))[s + n] - c[s]
-                pairs = total(np.append(is_c[:-1] & is_g[1:], False), width - 1)
-                for k, x in enumerate((np.full(len(starts), row), starts, total(is_c), total(is_g), pairs, total(base) == width)):
-                    found[k].append(x)
+                starts = window_starts(len(t), first, border, width, step)
+                if len(starts):
+                    for k, x in enumerate((np.full(len(starts), row), starts + first, *window_sums(t, starts, width))):
+                        found[k].append(x)
             if found[0]:
                 columns = [np.concatenate(x) for x in found]
                 arrays = [batch.column(0).take(pa.array(columns[0])), *(pa.array(x, pa.int64()) for x in columns[1:5]), pa.array(columns[5], pa.bool_())]
@@ -109,8 +145,37 @@ def windows(df: DataFrame, key: str, text: str, width: int, step: int) -> DataFr
     than 0.6 times as frequent as C and G would make it by chance. Texts shorter than a window have none. Sums of windows are
     differences of running sums over the text.
     """
-    slim = df.select(key, F.col(text).cast("string").alias("_t"))
-    counted = slim.mapInArrow(_windowed(width, step), f"`{key}` {df.schema[key].dataType.simpleString()}, start long, n_c long, n_g long, n_cg long, evaluable boolean")
+    slim = df.select(key, F.col(text).cast("string").alias("_t"), F.expr("0L").alias("first"), F.lit(None).cast("long").alias("border"))
+    return labelled(slim.mapInArrow(windowed(width, step), window_schema(df, key)), width)
+
+
+def zoned(width: int, step: int):
+    """(key, evaluated, not_evaluable, zones) of rows (key, text, first, border), by the rule of ``labelled``, counted in the row."""
+
+    def run(batches):
+        for batch in batches:
+            counts = np.zeros((3, batch.num_rows), np.int64)
+            for row, (text, first, border) in enumerate(zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True)):
+                t = points(text)
+                starts = window_starts(len(t), first, border, width, step)
+                if not len(starts):
+                    continue
+                n_c, n_g, n_cg, evaluable = window_sums(t, starts, width)
+                both = np.maximum(n_c * n_g, 1)
+                zone = evaluable & (np.round((n_c + n_g) / width, 6) > 0.5) & (n_c > 0) & (n_g > 0) & (np.round(n_cg * width / both, 6) > 0.6)
+                counts[:, row] = evaluable.sum(), (~evaluable).sum(), zone.sum()
+            some = np.flatnonzero(counts.any(axis=0))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)), *(pa.array(c[some], pa.int64()) for c in counts)], [batch.schema.names[0], "evaluated", "not_evaluable", "zones"])
+
+    return run
+
+
+def window_schema(df: DataFrame, key: str) -> str:
+    return f"`{key}` {df.schema[key].dataType.simpleString()}, start long, n_c long, n_g long, n_cg long, evaluable boolean"
+
+
+def labelled(counted: DataFrame, width: int) -> DataFrame:
+    """Windows (key, start, n_c, n_g, n_cg, evaluable) with gc, obs_exp and label."""
     gc = F.round((F.col("n_c") + F.col("n_g")) / width, 6)
     ratio = F.when((F.col("n_c") > 0) & (F.col("n_g") > 0), F.round(F.col("n_cg") * width / (F.col("n_c") * F.col("n_g")), 6)).otherwise(0.0)
     out = counted.withColumn("gc", gc).withColumn("obs_exp", ratio)

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import symbols, texts
-from ..operators import compare, composition, generators, intervals, measurement, pairing, patterns, sequences
-from ..sources import fasta
+from ..operators import compare, composition, generators, halos, intervals, measurement, pairing, patterns, sequences
+from ..sources import fasta, ranges
 from ..sources.folders import shared
 from ..streaming import monitors
 
@@ -101,24 +101,39 @@ def _clean(text: str = "text"):
     return F.regexp_replace(text, "[^A-Za-z]", "")
 
 
-def _fasta(spark, d):
-    """Documents written as FASTA files to the shared folder and read again; headers carry letters of the alphabet."""
+def _fasta(spark, d, width: int | None = 80, size: int = ranges.RANGE):
+    """Documents written as FASTA files to the shared folder, and what is known of their ranges of bytes; headers carry letters of the alphabet."""
     path = f"{shared(spark)}/fasta-{uuid.uuid4().hex}"
-    fasta.written(_docs(spark, d).select(F.col("doc_id").alias("rec"), F.concat(F.lit("rec"), F.lpad(F.col("doc_id").cast("string"), 9, "0"), F.lit(" chromosome "), F.pmod("doc_id", F.lit(30)).cast("string"), F.lit(", test primary assembly")).alias("header"), _clean().alias("text")), path)
-    return fasta.lines(spark, path)
+    header = F.concat(F.lit("rec"), F.lpad(F.col("doc_id").cast("string"), 9, "0"), F.lit(" chromosome "), F.pmod("doc_id", F.lit(30)).cast("string"), F.lit(", test primary assembly"))
+    fasta.written(_docs(spark, d).select(F.col("doc_id").alias("rec"), header.alias("header"), _clean().alias("text")), path, width, in_order=False)
+    return ranges.placed(spark, path, size)
 
 
 def fasta_records(spark, d):
-    return fasta.records(fasta.placed(_fasta(spark, d))).select("identifier", "description", "chromosome", "length")
+    return ranges.records(_fasta(spark, d)).select("identifier", "description", "chromosome", "length")
 
 
 def fasta_counts(spark, d):
-    return composition.nucleotide_count(_fasta(spark, d).where(~F.col("is_header")), "line")
+    return composition.nucleotide_count(ranges.pieces(_fasta(spark, d)), "bases")
+
+
+def unwrapped_counts(spark, d):
+    """The same of records in one line each, cut by ranges of 64 KB wherever these end."""
+    return composition.nucleotide_count(ranges.pieces(_fasta(spark, d, None, 1 << 16)), "bases")
+
+
+def _record_chunks(spark, d, size: int):
+    own = ranges.chunks(_fasta(spark, d, size=1 << 20), size)
+    return own.select(F.concat_ws("#", "file", "rec").alias("key"), "chunk", "start", F.col("bases").cast("string").alias("bases"))
 
 
 def fasta_chunks(spark, d):
-    chunks = fasta.sequence_chunks(fasta.placed(_fasta(spark, d)), 4096)
-    return chunks.agg(F.sum(F.length("bases")).alias("symbols"), F.sum(symbols.occurrences(F.col("bases"), "ACGTacgt")).alias("bases"))
+    return _record_chunks(spark, d, 4096).agg(F.sum(F.length("bases")).alias("symbols"), F.sum(symbols.occurrences(F.col("bases"), "ACGTacgt")).alias("bases"))
+
+
+def fasta_patterns(spark, d):
+    """Patterns in records of FASTA files, over the borders of lines, of ranges and of chunks of 256 symbols."""
+    return halos.chunk_pattern_counts(_record_chunks(spark, d, 256), "key", PATTERNS, 256).groupBy("pattern", "strand").agg(F.sum("n").alias("n"))
 
 
 def expected_answers(spark, d):
@@ -153,9 +168,8 @@ def _made(spark, d):
 
 
 def planted_sequences(spark, d):
-    """Composition of made sequences as long as the documents, and how often the planted pattern is found in them."""
-    whole = _made(spark, d).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "bases"))), lambda p: p["bases"]), "").alias("text"))
-    hits = patterns.pattern_counts(whole, "text", [generators.PLANTED], ("doc_id",)).where("strand = '+'").select("doc_id", F.col("n").alias("planted"))
+    """Composition of made sequences as long as the documents, and how often the pattern planted over every border is found in their chunks."""
+    hits = halos.chunk_pattern_counts(_made(spark, d), "doc_id", [generators.PLANTED], 1024).where("strand = '+'").select("doc_id", F.col("n").alias("planted"))
     counts = composition.nucleotide_count(_made(spark, d), "bases", ("doc_id",)).select("doc_id", "n_a", "n_c", "n_g", "n_t", "n_unknown")
     return counts.join(hits, "doc_id")
 
@@ -180,13 +194,8 @@ RUNS = "select o_orderpriority as size, o_orderstatus as config, cast(sum(cast(r
 
 
 def _zones(spark, d):
-    return patterns.windows(_docs(spark, d).select("doc_id", _clean().alias("text")), "doc_id", "text", 40, 20)
-
-
-ZONES = """select doc_id, start, n_c, n_g, n_cg, gc, obs_exp, evaluable, case when not evaluable then 'not_evaluable' when gc > 0.5 and obs_exp > 0.6 then 'zone' else 'background' end as label from (
- select doc_id, start, n_c, n_g, n_cg, evaluable, round((n_c + n_g) / 40.0::double, 6) as gc, case when n_c > 0 and n_g > 0 then round(n_cg * 40 / (n_c * n_g)::double, 6) else 0.0::double end as obs_exp from (
- select doc_id, cast(start as bigint) as start, length(w) - length(replace(w, 'C', '')) as n_c, length(w) - length(replace(w, 'G', '')) as n_g, (length(w) - length(replace(w, 'CG', ''))) // 2 as n_cg, length(regexp_replace(w, '[ACGT]', '', 'g')) = 0 as evaluable
- from (select doc_id, start, substr(t, start + 1, 40) as w from (select doc_id, t, unnest(range(0, length(t) - 39, 20)) as start from (select doc_id, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) as t from documents)))))"""
+    """Windows of 40 symbols, every 20, of made sequences in chunks."""
+    return halos.chunk_windows(_made(spark, d), "doc_id", 40, 20, 1024)
 
 
 def _samples(spark, d):
@@ -215,6 +224,8 @@ QUERIES = {
     "fasta_records": fasta_records,
     "fasta_counts": fasta_counts,
     "fasta_chunks": fasta_chunks,
+    "unwrapped_counts": unwrapped_counts,
+    "fasta_patterns": fasta_patterns,
     "expected_answers": expected_answers,
     "truncated_copy": truncated_copy,
     "slice_scan": lambda s, d: sequences.sliced(sequences.chunks(_docs(s, d), "doc_id", "text"), "doc_id", 1500, 3000),
@@ -243,9 +254,11 @@ QUERIES = {
     "pattern_count": lambda s, d: patterns.pattern_counts(_docs(s, d), "text", PATTERNS, ("lang",)),
     "pattern_totals": lambda s, d: patterns.pattern_totals(patterns.pattern_counts(_docs(s, d), "text", PATTERNS, ("lang",)), "lang"),
     "pattern_positions": lambda s, d: patterns.pattern_positions(_docs(s, d), "doc_id", "text", "GAT", 3),
+    "chunk_positions": lambda s, d: halos.chunk_pattern_positions(_made(s, d), "doc_id", generators.PLANTED, 3, 1024),
+    "chunk_first_invalid": lambda s, d: halos.chunk_first_invalid(sequences.chunks(_docs(s, d), "doc_id", "text", 500), "doc_id", 3),
     "reverse_complement": lambda s, d: _docs(s, d).select("doc_id", symbols.reverse_complement(F.col("text")).alias("reversed")),
     "cpg_windows": _zones,
-    "zone_density": lambda s, d: patterns.zone_density(_zones(s, d), "doc_id"),
+    "zone_density": lambda s, d: halos.chunk_zone_density(_made(s, d), "doc_id", 40, 20, 1024),
     "model_agreement": lambda s, d: measurement.model_agreement(_zones(s, d).withColumn("simple", F.when(F.col("gc") > 0.5, "zone").otherwise("background")), "label", "simple"),
     "zone_classifier": lambda s, d: measurement.model_agreement(patterns.classified(_zones(s, d), 40), "label", "predicted"),
     "first_zones": lambda s, d: patterns.first_zones(_zones(s, d), "doc_id", 2).select("doc_id", "start", "gc", "obs_exp"),
@@ -323,7 +336,6 @@ ORACLES = {
     "truncated_copy": "select doc_id, count(*) as lines, cast(sum(length(line)) as bigint) as symbols from (select doc_id, line, coalesce(sum(length(line)) over (partition by doc_id order by number rows between unbounded preceding and 1 preceding), 0) as start from (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(0, len(string_split(text, chr(10))))) as number from documents)) where start < 2000 group by 1",
     "slice_scan": "select doc_id, substr(text, 1501, 3000) as bases from documents where n_chars >= 4500",
     "natural_pair_order": "select rec_a, cast(case when criterion <> 'key' then 9 when key is null then 4 when try_cast(key as int) is not null then 0 when key = 'X' then 1 when key = 'Y' then 2 when key = 'MT' then 3 else 4 end as int) as kind, cast(case when criterion = 'key' then coalesce(try_cast(key as int), 0) else 0 end as int) as number, case when criterion = 'key' and try_cast(key as int) is null and key not in ('X', 'Y', 'MT') then key else '' end as name from (select doc_id as rec_a, case when doc_id % 40 < 30 then cast(doc_id % 40 as varchar) when doc_id % 40 = 30 then 'X' when doc_id % 40 = 31 then 'Y' when doc_id % 40 = 32 then 'MT' when doc_id % 40 < 36 then lang end as key, case when doc_id % 40 < 38 then 'key' else 'length' end as criterion from documents)",
-    "first_zones": f"select doc_id, start, gc, obs_exp from (select *, row_number() over (partition by doc_id order by start) as n from ({ZONES}) where label = 'zone') where n <= 2",
     "first_invalid_positions": "select doc_id, pos, symbol from (select *, row_number() over (partition by doc_id order by pos) as n from (select doc_id, unnest(range(0, length(text))) as pos, unnest(string_split(text, '')) as symbol from documents) where not regexp_matches(symbol, '^[ACGTNRYSWKMBDHVacgtnryswkmbdhv\\n\\r]$')) where n <= 3",
     "efficiency": "select flag, workers, time, speedup, round(100 * speedup / workers, 4) as efficiency_pct from (select *, case when time > 0 then round(max(case when workers = 1 then time end) over (partition by flag) / time::double, 6) end as speedup from (select l_returnflag as flag, l_linenumber as workers, cast(sum(cast(round(l_quantity) as bigint)) as bigint) as time from lineitem group by 1, 2))",
     "invalid_detail_top": f"select *, (select greatest(count(*) - 20, 0) from ({HISTOGRAM}) where {CLASS} = 'invalid') as more from (select byte, case when byte between 32 and 126 then chr(byte) else '\\x' || lower(printf('%02x', byte)) end as name, n from ({HISTOGRAM}) where {CLASS} = 'invalid' order by n desc, byte limit 20)",
@@ -355,9 +367,6 @@ ORACLES = {
     "pairing_summary": f"{PAIRED} select criterion, count(*) as pairs, cast(sum(length) as bigint) as covered from p group by 1 union all select 'alone_a', count(*), cast(coalesce(sum(length), 0) as bigint) from a where rec not in (select rec_a from p) union all select 'alone_b', count(*), cast(coalesce(sum(length), 0) as bigint) from b where rec not in (select rec_b from p)",
     "pattern_positions": f"select doc_id, cast(pos as bigint) as pos from (select doc_id, pos, row_number() over (partition by doc_id order by pos) as n from (select doc_id, i as pos from (select doc_id, t, unnest(range(0, length(t) - 2)) as i, unnest(string_split(t, '')[1:length(t) - 2]) || unnest(string_split(t, '')[2:length(t) - 1]) || unnest(string_split(t, '')[3:length(t)]) as w from (select doc_id, {FOLD} as t from documents)) where w = 'GAT')) where n <= 3",
     "reverse_complement": "select doc_id, reverse(translate(text, 'ACGTacgt', 'TGCAtgca')) as reversed from documents",
-    "cpg_windows": ZONES,
-    "zone_density": f"select doc_id, count(*) filter (where evaluable) as evaluated, count(*) filter (where not evaluable) as not_evaluable, count(*) filter (where label = 'zone') as zones from ({ZONES}) group by 1",
-    "model_agreement": f"select label as a, case when gc > 0.5 then 'zone' else 'background' end as b, count(*) as n from ({ZONES}) group by 1, 2",
     "interval_union": f"""select user_id, event_type, min(start) as start, max("end") as "end" from (select *, sum(fresh) over (partition by user_id, event_type order by start, "end" rows unbounded preceding) as island from (select *, case when start > max("end") over (partition by user_id, event_type order by start, "end" rows between unbounded preceding and 1 preceding) then 1 else 0 end as fresh from ({LOG}))) group by user_id, event_type, island""",
     "overlap_seconds": f"""with u as (select user_id, event_type, min(start) as s, max("end") as e from (select *, sum(fresh) over (partition by user_id, event_type order by start, "end" rows unbounded preceding) as island from (select *, case when start > max("end") over (partition by user_id, event_type order by start, "end" rows between unbounded preceding and 1 preceding) then 1 else 0 end as fresh from ({LOG}))) group by user_id, event_type, island)
  select a.user_id, cast(sum(least(a.e, b.e) - greatest(a.s, b.s)) as bigint) as overlap from u a join u b on a.user_id = b.user_id and a.event_type = 'click' and b.event_type = 'view' and a.s < b.e and b.s < a.e group by 1""",
@@ -434,6 +443,21 @@ _BASES_ONLY = "(select doc_id, regexp_replace(text, '[^ACGTacgt]', '', 'g') as t
 ORACLES["error_sweep"] = " union all ".join(f"select '{kind}' as kind, count(*) as injected, count(*) as detected, true as ok from ({_EACH.replace('documents', _BASES_ONLY)}) where {_draw('(pos + doc_id * 1000003)', 1234, 1)} % 1000000 < 2000" for kind in generators.ALPHABETS)
 _HALF, _WIDE = len(generators.PLANTED) // 2, len(generators.PLANTED)
 _SYMBOL = f"""case when (pos + {_HALF}) % 1024 < {_WIDE} and pos + {_HALF} >= 1024 and pos - (pos + {_HALF}) % 1024 + {_WIDE} <= n then substr('{generators.PLANTED}', (pos + {_HALF}) % 1024 + 1, 1)
- when {_draw('(pos // 256 + doc_id * 1000003)', 1234, 5)} % 20 = 0 then 'N' when {_draw('(pos // 256 + doc_id * 1000003)', 1234, 5)} % 20 < 3 then substr('acgt', {_draw('(pos + doc_id * 1000003)', 1234, 4)} % 4 + 1, 1) else substr('ACGT', {_draw('(pos + doc_id * 1000003)', 1234, 4)} % 4 + 1, 1) end"""
+ when {_draw('(pos // 256 + doc_id * 1000003)', 1234, 5)} % 20 = 0 then 'N' when {_draw('(pos // 256 + doc_id * 1000003)', 1234, 5)} % 20 < 3 then substr('acgt', {_draw('(pos + doc_id * 1000003)', 1234, 4)} % 4 + 1, 1)
+ when {_draw('(pos // 256 + doc_id * 1000003)', 1234, 5)} % 20 >= 17 and {_draw('(pos + doc_id * 1000003)', 1234, 4)} % 5 > 0 then substr('CG', pos % 2 + 1, 1) else substr('ACGT', {_draw('(pos + doc_id * 1000003)', 1234, 4)} % 4 + 1, 1) end"""
 _MADE = f"select doc_id, string_agg({_SYMBOL}, '' order by pos) as text from (select doc_id, n_chars as n, unnest(range(0, n_chars)) as pos from documents) group by 1"
 ORACLES["planted_sequences"] = f"select doc_id, {_count('Aa')} as n_a, {_count('Cc')} as n_c, {_count('Gg')} as n_g, {_count('Tt')} as n_t, {_count('Nn')} as n_unknown, (length(text) - length(replace(upper(text), '{generators.PLANTED}', ''))) // {_WIDE} as planted from ({_MADE})"
+ZONES = (
+    """select doc_id, start, n_c, n_g, n_cg, gc, obs_exp, evaluable, case when not evaluable then 'not_evaluable' when gc > 0.5 and obs_exp > 0.6 then 'zone' else 'background' end as label from (
+ select doc_id, start, n_c, n_g, n_cg, evaluable, round((n_c + n_g) / 40.0::double, 6) as gc, case when n_c > 0 and n_g > 0 then round(n_cg * 40 / (n_c * n_g)::double, 6) else 0.0::double end as obs_exp from (
+ select doc_id, cast(start as bigint) as start, length(w) - length(replace(w, 'C', '')) as n_c, length(w) - length(replace(w, 'G', '')) as n_g, (length(w) - length(replace(w, 'CG', ''))) // 2 as n_cg, length(regexp_replace(w, '[ACGT]', '', 'g')) = 0 as evaluable
+ from (select doc_id, start, substr(t, start + 1, 40) as w from (select doc_id, t, unnest(range(0, length(t) - 39, 20)) as start from (select doc_id, upper(text) as t from (""" + _MADE + """))))))"""
+)
+ORACLES["first_zones"] = f"select doc_id, start, gc, obs_exp from (select *, row_number() over (partition by doc_id order by start) as n from ({ZONES}) where label = 'zone') where n <= 2"
+ORACLES["cpg_windows"] = ZONES
+ORACLES["zone_density"] = f"select doc_id, count(*) filter (where evaluable) as evaluated, count(*) filter (where not evaluable) as not_evaluable, count(*) filter (where label = 'zone') as zones from ({ZONES}) group by 1"
+ORACLES["model_agreement"] = f"select label as a, case when gc > 0.5 then 'zone' else 'background' end as b, count(*) as n from ({ZONES}) group by 1, 2"
+ORACLES["unwrapped_counts"] = ORACLES["fasta_counts"]
+ORACLES["chunk_first_invalid"] = ORACLES["first_invalid_positions"]
+ORACLES["fasta_patterns"] = f"select pattern, strand, cast(sum(n) as bigint) as n from ({ORACLES['pattern_count'].replace('from documents where length(text) > 0', 'from (select lang, regexp_replace(text, ' + chr(39) + '[^A-Za-z]' + chr(39) + ', ' + chr(39) * 2 + ', ' + chr(39) + 'g' + chr(39) + ') as text from documents) where length(text) > 0')}) group by 1, 2"
+ORACLES["chunk_positions"] = f"select doc_id, pos from (select doc_id, pos, row_number() over (partition by doc_id order by pos) as n from (select doc_id, t, unnest(range(0, length(t) - {_WIDE - 1})) as pos from (select doc_id, upper(text) as t from ({_MADE}))) where substr(t, pos + 1, {_WIDE}) = '{generators.PLANTED}') where n <= 3"

@@ -1,18 +1,13 @@
-"""FASTA files: lines with their order, records with their place in the clean sequence, chunks, and writers.
-
-Files are read by Spark's own text reader, so any store and any split work: a line belongs to the split in which it
-begins. Order comes from the split's place and the row's number in it; sums over splits, then inside them, give positions.
-"""
+"""FASTA files: lines, slices of chunks, checks of an input, and writers. Symbols, records and chunks with their places: ``ranges``."""
 
 from __future__ import annotations
 
 import hashlib
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.symbols import header_fields
 from ..operators.composition import nucleotide_count
 from .folders import opened
 
@@ -27,52 +22,14 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return seen.select("file", "split", "number", F.coalesce(F.col("line").startswith(">"), F.lit(False)).alias("is_header"), F.regexp_replace("line", "\r$", "").alias("line"))
 
 
-def placed(lines: DataFrame) -> DataFrame:
-    """``lines`` with start, the clean-sequence position where a line begins, and rec, the number of headers up to it.
-
-    Sums over the splits of a file first, of which there are few, then over the lines of a split.
-    """
-    sized = lines.withColumn("_n", F.when(F.col("is_header"), 0).otherwise(F.length("line")).cast("long")).withColumn("_h", F.col("is_header").cast("long"))
-    blocks = sized.groupBy("file", "split").agg(F.sum("_n").alias("_bn"), F.sum("_h").alias("_bh"))
-    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select("file", "split", F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_pn"), F.coalesce(F.sum("_bh").over(before), F.lit(0)).alias("_ph"))
-    own = Window.partitionBy("file", "split").orderBy("number")
-    earlier = own.rowsBetween(Window.unboundedPreceding, -1)
-    out = sized.join(blocks, ["file", "split"]).withColumn("start", F.col("_pn") + F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-    return out.withColumn("rec", F.col("_ph") + F.sum("_h").over(own.rowsBetween(Window.unboundedPreceding, 0))).drop("_n", "_h", "_pn", "_ph")
-
-
-def records(placed_lines: DataFrame) -> DataFrame:
-    """(file, rec, header, identifier, description, chromosome, start, length): a header at the very end has length 0.
-
-    What stands before the first header belongs to no record, but counts in the positions of those after it.
-    """
-    of = placed_lines.where("rec > 0").groupBy("file", "rec").agg(
-        F.max(F.when(F.col("is_header"), F.substring("line", F.lit(2), F.length("line")))).alias("header"), F.max(F.when(F.col("is_header"), F.col("start"))).alias("start"), F.sum(F.when(F.col("is_header"), 0).otherwise(F.length("line"))).cast("long").alias("length")
-    )
-    return of.select("file", "rec", "header", *(c.alias(k) for k, c in header_fields(F.col("header")).items()), "start", "length")
-
-
-def sequence_chunks(placed_lines: DataFrame, size: int = 1 << 16) -> DataFrame:
-    """(file, chunk, bases): the clean sequence in pieces of ``size`` symbols, by position; write it as Parquet to read slices."""
-    body = placed_lines.where(~F.col("is_header") & (F.length("line") > 0))
-    last = F.floor((F.col("start") + F.length("line") - 1) / size).cast("long")
-    spread = body.select("file", "start", "line", F.explode(F.sequence(F.floor(F.col("start") / size).cast("long"), last)).alias("chunk"))
-    low = F.greatest("start", F.col("chunk") * size)
-    high = F.least(F.col("start") + F.length("line"), (F.col("chunk") + 1) * size)
-    part = F.substring("line", (low - F.col("start") + 1).cast("int"), (high - low).cast("int"))
-    parts = spread.select("file", "chunk", F.struct(low.alias("at"), part.alias("part")).alias("p"))
-    return parts.groupBy("file", "chunk").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["part"]), "").alias("bases"))
-
-
-def slice_of(chunks: DataFrame, file: str, start: int, length: int, total: int, size: int = 1 << 16) -> DataFrame:
-    """(file, chunk, bases) of ``length`` symbols from ``start``: whole chunks are pruned by number, the edges cut."""
+def slice_of(chunks: DataFrame, file: str, rec: int, start: int, length: int, total: int, size: int = 1 << 16) -> DataFrame:
+    """(file, rec, chunk, bases) of ``length`` symbols of a record from ``start``: whole chunks are pruned by number, the edges cut."""
     if start < 0 or length < 0 or start + length > total:
         raise InputError(f"a slice from {start} of {length} doesn't fit into {total} symbols")
-    held = chunks.where((F.col("file") == file) & F.col("chunk").between(start // size, max(start, start + length - 1) // size))
+    held = chunks.where((F.col("file") == file) & (F.col("rec") == rec) & F.col("chunk").between(start // size, max(start, start + length - 1) // size))
     low = F.greatest(F.lit(start), F.col("chunk") * size) - F.col("chunk") * size
     high = F.least(F.lit(start + length), (F.col("chunk") + 1) * size) - F.col("chunk") * size
-    return held.select("file", "chunk", F.substring("bases", (low + 1).cast("int"), (high - low).cast("int")).alias("bases"))
+    return held.select("file", "rec", "chunk", F.substring("bases", (low + 1).cast("int"), (high - low).cast("int")).alias("bases"))
 
 
 def validated(spark: SparkSession, path: str, sample: int = 50) -> None:
@@ -92,12 +49,20 @@ def validated(spark: SparkSession, path: str, sample: int = 50) -> None:
         raise InputError(f"{path} holds no bases")
 
 
-def written(records: DataFrame, path: str, width: int = 80) -> None:
-    """Writes records (rec, header, text) as FASTA files with lines of ``width`` symbols, in the order of rec."""
-    n = F.ceil(F.length("text") / width).cast("int")
-    body = F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), lambda k: F.substring(F.col("text"), k * width + 1, F.lit(width)))
-    rows = records.repartitionByRange("rec").sortWithinPartitions("rec").select(F.explode(F.concat(F.array(F.concat(F.lit(">"), "header")), body)).alias("value"))
-    rows.write.text(path)
+def written(records: DataFrame, path: str, width: int | None = 80, in_order: bool = True, line_end: str = "\n") -> None:
+    """Writes records (rec, header, text) as FASTA files with lines of ``width`` symbols, None: one line a record.
+
+    In the order of rec, which sorts all texts, or else as they come. ``line_end`` can be that of other systems.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for header, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                step = width or max(1, len(text or ""))
+                yield pa.RecordBatch.from_pydict({"value": pa.array([line_end.join([f">{header or ''}", *((text or "")[k : k + step] for k in range(0, len(text or ""), step))])], pa.string())})
+
+    rows = records.repartitionByRange("rec").sortWithinPartitions("rec") if in_order else records
+    rows.select("header", "text").mapInArrow(run, "value string").write.option("lineSep", line_end).text(path)
 
 
 def prefix(placed_lines: DataFrame, symbols: int, first: int = 0) -> DataFrame:
