@@ -7,8 +7,12 @@ of fixed length copies the word under it at each step and moves on or stays by a
 with few edits give walks that differ in few places. The words at a few sampled steps are the key of a window. Keys of
 windows, from every word of the texts and of the items, are compared for several independent walks, and every
 agreement is confirmed by the exact edit distance between the item and the text around it. How many walks an item gets
-follows from a target recall at the edits allowed for its length. What they miss is caught exactly: an item cut into one
-piece more than its allowed edits has a piece without an edit, so runs of words that equal a piece are candidates too.
+follows from a target recall at the edits allowed for its length. What they miss is caught exactly: of one piece of an item
+more than its allowed edits one has no edit, so runs of words that equal a piece are candidates too.
+
+Benchmarks made from one template share most of their words. A window that many items share leads to none of them, and
+their pieces are cut where fewest items have the same. A text that still has many candidates is asked at once for all items
+how many of their words it has; candidates that overlap are verified as one stretch.
 
 Walks that meet at a step stay together, so the keys of all windows of a batch come from one backward pass over the steps.
 """
@@ -148,28 +152,92 @@ def run_keys(sequence: np.ndarray, size: int) -> np.ndarray:
 
 
 class Table:
-    """Keys of places of items, in order, and a bit map of them: 64 to 128 bits a key."""
+    """Keys of places of items, in order, and a bit map of them: 64 to 128 bits a key. Keys that more than ``most_items`` items share lead to none of them."""
 
-    def __init__(self, keys: list[np.ndarray], item: list[int], offset: list[np.ndarray]):
+    def __init__(self, keys: list[np.ndarray], item: list[int], offset: list[np.ndarray], most_items: int | None = None):
         own = np.concatenate(keys)
+        items = np.repeat(np.array(item, np.int32), [len(k) for k in keys])
         order = np.argsort(own, kind="stable")
-        self.keys = own[order]
-        self.item = np.repeat(np.array(item, np.int32), [len(k) for k in keys])[order]
+        if most_items is not None:
+            order = order[(sharing(own, items) <= most_items)[order]]
+        self.keys, self.item = own[order], items[order]
         self.offset = np.concatenate(offset).astype(np.int32)[order]
         bits = np.zeros(1 << max(16, (64 * len(own)).bit_length()), bool)
         self.mask = np.uint32(len(bits) - 1)
-        bits[own & self.mask] = True
+        bits[self.keys & self.mask] = True
         self.seen = np.packbits(bits, bitorder="little")
 
     def met(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place, item, where the item would begin) for each place of ``own`` with a key of the table."""
+        """(place, first, last) for each place of ``own`` with a key of the table: its entries from first to last."""
         low = own & self.mask
         at = np.flatnonzero(self.seen[low >> np.uint32(3)] >> (low & np.uint32(7)).astype(np.uint8) & np.uint8(1))
         first, last = np.searchsorted(self.keys, own[at], "left"), np.searchsorted(self.keys, own[at], "right")
+        some = last > first
+        return at[some], first[some], last[some]
+
+    def candidates(self, place: np.ndarray, first: np.ndarray, last: np.ndarray, allowed: np.ndarray | None = None, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(place, item, where the item would begin) for entries of ``allowed`` items, about ``most`` at a time."""
+        kept = None
+        if allowed is not None:
+            kept = np.flatnonzero(allowed[self.item])
+            first, last = np.searchsorted(kept, first), np.searchsorted(kept, last)
         many = last - first
-        flat = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
-        place = np.repeat(at, many)
-        return place, self.item[flat], place - self.offset[flat]
+        for row, end in slices(np.append(0, np.cumsum(many)), most):
+            n = many[row:end]
+            flat = np.repeat(first[row:end] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            flat = flat if kept is None else kept[flat]
+            own = np.repeat(place[row:end], n)
+            yield own, self.item[flat], own - self.offset[flat]
+
+
+def sharing(keys: np.ndarray, items: np.ndarray) -> np.ndarray:
+    """For each key how many different items have it."""
+    both = np.unique(keys.astype(np.uint64) << np.uint64(32) | items.astype(np.uint64))
+    own, n = np.unique(both >> np.uint64(32), return_counts=True)
+    return n[np.searchsorted(own, keys)]
+
+
+#: A window or a piece that more items share tells none of them apart.
+FEW = 16
+#: With more candidates than these a text is first asked which items' words it has.
+MANY = 1 << 12
+
+
+def apart(counts: np.ndarray, size: int, many: int, most: int) -> list[int]:
+    """Where the first ``many`` pieces of ``size`` words begin that don't overlap and that at most ``most`` items share."""
+    out, free = [], 0
+    for k in np.flatnonzero(counts <= most).tolist():
+        if k >= free:
+            out.append(k)
+            free = k + size
+            if len(out) == many:
+                break
+    return out
+
+
+def rare_pieces(words: list[np.ndarray], many: list[int]) -> list[tuple[int, list[int]]]:
+    """(size, where they begin) of as many pieces of each item as asked for, which don't overlap, those that fewest items share.
+
+    Any such pieces do: each edit spoils one at most. Items made from one template are told apart by their own words.
+    """
+    out: list[tuple[int, int, list[int]] | None] = [None] * len(words)
+    longest = [len(w) // m for w, m in zip(words, many, strict=True)]
+    for size in sorted({max(1, n >> k) for n in longest for k in range(n.bit_length())}, reverse=True):
+        open_ = [k for k in range(len(words)) if size <= longest[k] and (out[k] is None or out[k][0] > FEW)]
+        if not open_:
+            continue
+        keys = [run_keys(words[k], size) for k in open_]
+        cuts = np.cumsum([0, *map(len, keys)])
+        shared = sharing(np.concatenate(keys), np.repeat(np.array(open_, np.int32), np.diff(cuts)))
+        for k, a, b in zip(open_, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            most = FEW
+            while most <= 4 * len(words) and (out[k] is None or most < out[k][0]):
+                found = apart(shared[a:b], size, many[k], most)
+                if len(found) == many[k]:
+                    out[k] = most, size, found
+                    break
+                most *= 4
+    return [(o[1], o[2]) for o in out]
 
 
 class Index:
@@ -186,7 +254,7 @@ class Index:
         self.edits = edits
         self._places: dict[int, dict[int, list[int]]] = {}
         walks: dict[tuple[int, int], list[int]] = {}
-        pieces: dict[int, list[tuple[int, int]]] = {}
+        own_pieces: list[list[tuple[int, int]]] = []
         for k, (i, _) in enumerate(items):
             own = sequence[rows[k] : rows[k + 1]]
             n = len(own)
@@ -196,22 +264,52 @@ class Index:
                 for turn in range(repetitions(min(bits, 6), edits, sampled, recall) if n >= LEAST_WORDS else 0):
                     walks.setdefault((WINDOWS[bits > 4], turn), []).append(len(self.ids))
                 cuts = np.linspace(0, n, min(n, most + 1) + 1).astype(int).tolist()
-                for a, b in zip(cuts, cuts[1:]):
-                    pieces.setdefault(b - a, []).append((len(self.ids), a))
+                own_pieces.append(list(zip(cuts, cuts[1:])))
                 self.ids.append(i)
                 self.words.append(own)
         lengths = np.array([len(w) for w in self.words], np.int64)
         self.mosts = np.where(lengths < LEAST_WORDS, 0, (lengths * edits).astype(np.int64))
+        self.bounds = np.append(0, np.cumsum(lengths))
+        self.all_words = np.concatenate([np.zeros(0, np.uint64), *self.words])
         self.walks, self.pieces = [], []
         for (size, turn), members in sorted(walks.items()):
             walk = Walk(size, turn, sampled)
             places = [np.arange(0, n - size + 1, -(-(n - size + 1) // most_windows)) for n in lengths[members].tolist()]
-            keys = [walk.keys(np.append(self.words[k], np.zeros(walk.steps, np.uint64)))[at] for k, at in zip(members, places, strict=True)]
-            self.walks.append((walk, Table(keys, members, places)))
+            # All items in a row, zeros between them: a window ends before the next item begins.
+            gap = np.zeros(walk.steps, np.uint64)
+            begins = np.cumsum([0, *(len(self.words[k]) + walk.steps for k in members)])
+            row = walk.keys(np.concatenate([x for k in members for x in (self.words[k], gap)]))
+            keys = [row[begin + at] for begin, at in zip(begins[:-1].tolist(), places, strict=True)]
+            self.walks.append((walk, Table(keys, members, places, FEW)))
+        pieces = self._cut(own_pieces)
         for size, places in sorted(pieces.items()):
             keys = [run_keys(self.words[k][a : a + size], size) for k, a in places]
             self.pieces.append((size, Table(keys, [k for k, _ in places], [np.array([a]) for _, a in places])))
 
+    def _cut(self, own: list[list[tuple[int, int]]]) -> dict[int, list[tuple[int, int]]]:
+        """(item, begin) of the pieces of each size: the even ones of an item, but where many items share one of these its rarest."""
+        by_size: dict[int, list[tuple[int, int]]] = {}
+        for k, cuts in enumerate(own):
+            for a, b in cuts:
+                by_size.setdefault(b - a, []).append((k, a))
+        common: set[int] = set()
+        for size, at in by_size.items():
+            keys = np.concatenate([run_keys(self.words[k][a : a + size], size) for k, a in at])
+            common |= {at[j][0] for j in np.flatnonzero(sharing(keys, np.array([k for k, _ in at], np.int32)) > FEW).tolist()}
+        common = {k for k in common if len(self.words[k]) > len(own[k])}
+        out = {size: [x for x in at if x[0] not in common] for size, at in by_size.items()}
+        again = sorted(common)
+        for k, (size, begins) in zip(again, rare_pieces([self.words[k] for k in again], [len(own[k]) for k in again]), strict=True):
+            out.setdefault(size, []).extend((k, a) for a in begins)
+        return {size: at for size, at in out.items() if at}
+
+    def at_hand(self, text: np.ndarray) -> np.ndarray:
+        """For each item whether ``text`` has so many of its words, anywhere, that it may be in it."""
+        known = np.unique(text)
+        at = np.minimum(np.searchsorted(known, self.all_words), len(known) - 1)
+        held = np.append(0, np.cumsum(known[at] == self.all_words))[self.bounds]
+        return np.diff(held) >= np.diff(self.bounds) - self.mosts
+
     def places(self, k: int) -> dict[int, list[int]]:
         """Where each word is in item ``k``; those of a few items asked for last are at hand."""
         if k not in self._places:
@@ -224,8 +322,11 @@ class Index:
         return self._places[k]
 
     def distance(self, k: int, text: list[int]) -> int:
-        """The least number of words to insert, delete or replace that turn item ``k`` into some part of ``text``."""
-        places, n = self.places(k), len(self.words[k])
+        """The least number of words to insert, delete or replace that turn item ``k`` into some part of ``text``.
+
+        Where the allowed edits suffice it is that of the first part for which they do.
+        """
+        places, n, most, left = self.places(k), len(self.words[k]), int(self.mosts[k]), 0
         masks: dict[int, int] = {}
         ones, top = (1 << n) - 1, 1 << (n - 1)
         plus, minus, score, best = ones, 0, n, n
@@ -246,36 +347,83 @@ class Index:
                 score -= 1
             up, down = up << 1, down << 1
             plus, minus = (down | ~(vertical | up)) & ones, up & vertical & ones
+            if best <= most:
+                left -= 1  # the part goes on for as many words at most
+            elif score <= most:
+                left = most
             best = min(best, score)
+            if best <= most and left <= 0:
+                break
         return best
 
-    def leaks(self, data: np.ndarray, offsets: np.ndarray):
-        """(row, item_id, distance, n_words, start) for each item within its allowed edits of some part of a row."""
+    def _stretches(self, sequence: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+        """(text, item, low, high, begin) of the stretches of texts to verify, by text, item and place: candidates that overlap are one."""
+        met = [(t, *t.met(walk.keys(np.append(sequence, np.zeros(walk.steps, np.uint64)))[: len(sequence)])) for walk, t in self.walks]
+        met += [(t, *t.met(run_keys(sequence, size))) for size, t in self.pieces]
+        load = np.zeros(len(rows) - 1, np.int64)
+        whose = [np.searchsorted(rows, place, "right") - 1 for _, place, _, _ in met]
+        for text, (_, _, first, last) in zip(whose, met, strict=True):
+            np.add.at(load, text, last - first)
+        # Texts with few candidates together, each of the others by itself, for some items at a time.
+        turns: list[tuple[int | None, np.ndarray | None]] = [(None, None)]
+        for k in np.flatnonzero(load > MANY).tolist():
+            held = np.flatnonzero(self.at_hand(sequence[rows[k] : rows[k + 1]]))
+            groups = -(-int(load[k]) * len(held) // (len(self.words) << 21)) if len(held) else 0
+            turns += [(k, items) for items in np.array_split(held, groups)] if groups else []
+        for only, items in turns:
+            allowed = None
+            if items is not None:
+                allowed = np.zeros(len(self.words), bool)
+                allowed[items] = True
+            found = []
+            for text, (t, place, first, last) in zip(whose, met, strict=True):
+                now = np.flatnonzero(load[text] <= MANY if only is None else text == only)
+                for own, item, begins in t.candidates(place[now], first[now], last[now], allowed):
+                    found.append(self._distinct(np.searchsorted(rows, own, "right") - 1, item, begins))
+            if not found:
+                continue
+            text, item, begin = self._distinct(*(np.concatenate(c) for c in zip(*found, strict=True)))
+            n, most = np.diff(self.bounds)[item], self.mosts[item]
+            low, high = np.maximum(rows[text], begin - 2 * most - 1), np.minimum(rows[text + 1], begin + n + 2 * most + 1)
+            first = np.ones(len(text), bool)
+            first[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (low[1:] > high[:-1])
+            at = np.flatnonzero(first)
+            yield from zip(text[at].tolist(), item[at].tolist(), low[at].tolist(), high[np.append(at[1:], len(text)) - 1].tolist() if len(at) else [], begin[at].tolist(), strict=True)
+
+    def _distinct(self, text: np.ndarray, item: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Candidates in order of text, item and place; of those that begin within an item's allowed edits one is enough."""
+        order = np.lexsort((begins, item, text))
+        text, item, begins = text[order], item[order], begins[order]
+        near = begins // (self.mosts[item] + 1)
+        first = np.ones(len(order), bool)
+        first[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (near[1:] != near[:-1])
+        return text[first], item[first], begins[first]
+
+    def leaks(self, data: np.ndarray, offsets: np.ndarray, any_item: bool = False):
+        """(row, item_id, distance, n_words, start) for each item within its allowed edits of some part of a row; one of them for ``any_item``.
+
+        distance and start are those of the first stretch of the row that holds the item.
+        """
         for row, end in slices(offsets, 1 << 18):
             sequence, rows = symbols(data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row])
-            met = [table.met(walk.keys(np.append(sequence, np.zeros(walk.steps, np.uint64)))[: len(sequence)]) for walk, table in self.walks]
-            met += [table.met(run_keys(sequence, size)) for size, table in self.pieces]
-            if not sum(len(m[0]) for m in met):
-                continue
-            place, item, begins = (np.concatenate(c) for c in zip(*met, strict=True))
-            text_of, mosts = np.searchsorted(rows, place, "right") - 1, self.mosts
-            order = np.lexsort((begins, item, text_of))
-            found = np.stack([text_of, item, begins // (mosts[item] + 1), begins])[:, order]
-            first = np.ones(len(order), bool)
-            first[1:] = (found[:3, 1:] != found[:3, :-1]).any(axis=0)
-            best: dict[tuple[int, int], tuple[int, int]] = {}
-            for k, i, _, begin in found[:, first].T.tolist():
-                if best.get((k, i), (1,))[0] == 0:
+            found: dict[tuple[int, int], tuple[int, int]] = {}
+            done: set[int] = set()
+            for k, i, low, high, begin in self._stretches(sequence, rows):
+                if (k, i) in found or k in done:
                     continue
-                n, most = len(self.words[i]), int(mosts[i])
-                low, high = max(int(rows[k]), begin - 2 * most - 1), min(int(rows[k + 1]), begin + n + 2 * most + 1)
-                text = sequence[low:high].tolist()
-                if sum(map(self.places(i).__contains__, text)) < n - most:
-                    continue  # an item with so few of its words here is further away
-                d = self.distance(i, text)
-                if d <= most and (k, i) not in best or d < best.get((k, i), (0,))[0]:
-                    best[k, i] = d, max(0, begin - int(rows[k]))
-            for (k, i), (d, begin) in sorted(best.items()):
+                n, most = len(self.words[i]), int(self.mosts[i])
+                step = 4 * (n + most) + 256
+                for at in range(low, high, step):  # each part that can hold the item lies in one of these
+                    text = sequence[at : min(high, at + step + n + most)].tolist()
+                    if sum(map(self.places(i).__contains__, text)) < n - most:
+                        continue  # an item with so few of its words here is further away
+                    d = self.distance(i, text)
+                    if d <= most:
+                        found[k, i] = d, max(0, max(begin, at) - int(rows[k]))
+                        if any_item:
+                            done.add(k)
+                        break
+            for (k, i), (d, begin) in sorted(found.items()):
                 yield row + k, self.ids[i], d, len(self.words[i]), begin
 
 
@@ -295,7 +443,7 @@ def leaks(docs: DataFrame, items: DataFrame, edits: float = 0.2, most_bytes: int
     """(doc_id, item_id, distance, n_words, start_word) for each row of ``docs`` and benchmark item that leaks into it.
 
     An item leaks if at most ``edits`` of its words must be inserted, deleted or replaced to turn it into some part of
-    the text; distance is that number and start_word about where the part begins. Whole texts, at every word. Null or
+    the text; distance is that number for the first stretch of the text that holds it, and start_word about where that begins. Whole texts, at every word. Null or
     empty texts hold no leak, null item_ids or texts and items without words name none; items
     under five words leak where all their words stand in a row; repeated rows, null doc_ids among them, are searched
     alike, and other columns are ignored. A benchmark of several blocks is searched block by block, and what each finds is
@@ -337,7 +485,7 @@ def decontaminated(docs: DataFrame, items: DataFrame, edits: float = 0.2, most_b
         def run(batches, sent=sent):
             for batch in parts(batches, column):
                 keep = np.ones(batch.num_rows, bool)
-                keep[[hit[0] for hit in sent.value.leaks(*utf8(batch.column(column)))]] = False
+                keep[[hit[0] for hit in sent.value.leaks(*utf8(batch.column(column)), any_item=True)]] = False
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
