@@ -44,11 +44,13 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 STARTERS = {"p", "div", "article", "section", "main", "header", "footer", "nav", "aside", "ul", "ol", "dl", "table", "form", "blockquote", "pre", "h1", "h2", "h3", "h4", "h5", "h6"}
 BOILERPLATE = {"nav", "footer", "aside", "form", "header", "menu", "dialog", "button", "fieldset"}
 CONTENT = {"article", "main"}
+# What such parts are called in the other languages of the pages, German, French and Spanish.
+BAD_ABROAD = "anzeigen? werbung werbe\\w* fusszeile\\w* fuss kopfzeile\\w* seitenleiste\\w* randspalte navigationsleiste hauptmenue? hinweise? kommentar\\w* antworten leserbriefe? anmeld\\w* abonn\\w* suche suchfeld teilen verwandt\\w* empfehl\\w* mehrzum\\w* impressum datenschutz formular\\w* publicites? publicitaire pubs? annonces? pied piedpage piedde\\w* entete bandeau barrelaterale laterale temoins commentaires? reponses? connexion inscription recherche chercher partage\\w* partager apparentes? recommand\\w* formulaire\\w* publicidad anuncios? patrocinad\\w* pie piepagina cabecera encabezado barralateral lateral avisos? comentarios? respuestas? iniciarsesion suscrib\\w* suscrip\\w* boletin busqueda buscar buscador compartir relacionad\\w* recomendad\\w* formulario\\w* migas miettes brotkrumen"
 #: Parts of a class token or id that tell boilerplate.
-BAD_NAME = re.compile(r"ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|cookies?\w*|consent|notices?|popup|modal|nav\w*|menu\w*|breadcrumbs?|foot\w*|header|masthead|side\w*|widget\w*|related|recommend\w*|share|social|comment\w*|disqus|repl(?:y|ies)|respond|subscri\w*|newsletter|sign\w*|login|search|form|toolbar|pagination|pager|copyright|legal|disclaimer|alert|hidden|skip|tags?|rail|teaser\w*")
-GOOD_NAME = re.compile(r"(?:^|[^a-z])(?:article\w*|content\w*|post|entry|story|main|body|text|prose|chapter)(?:$|[^a-z])")
+BAD_NAME = re.compile("|".join(BAD_ABROAD.split()) + r"|ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|cookies?\w*|consent|notices?|popup|modal|nav\w*|menu\w*|breadcrumbs?|foot\w*|header|masthead|side\w*|widget\w*|related|recommend\w*|share|social|comment\w*|disqus|repl(?:y|ies)|respond|subscri\w*|newsletter|sign\w*|login|search|form|toolbar|pagination|pager|copyright|legal|disclaimer|alert|hidden|skip|tags?|rail|teaser\w*")
+GOOD_NAME = re.compile(r"(?:^|[^a-z])(?:article\w*|content\w*|post|entry|story|main|body|text|prose|chapter|artikel\w*|inhalt\w*|beitrag|hauptteil|contenu|corps|texte|articulo|contenido|cuerpo|texto)(?:$|[^a-z])")
 #: Tokens that name nothing but content: they hold against bad names of the elements around.
-OWN_NAME = re.compile(r"(?:article|content|post|entry|story|main|prose|chapter)s?(?:[-_](?:article|content|post|entry|story|main|body|text))*")
+OWN_NAME = re.compile(r"(?:article|content|post|entry|story|main|prose|chapter|artikel|inhalt|beitrag|hauptteil|contenu|articulo|contenido)s?(?:[-_](?:article|content|post|entry|story|main|body|text))*")
 #: Parts of tokens that tell a page's layout or state (has-sidebar, comments-open), not what the element is.
 STATE = {"has", "no", "not", "with", "without", "layout", "open", "opened", "closed", "enabled", "disabled", "allowed"}
 #: Tokens that tell a page's subjects (tag-politics), unless they end in what a list of such is called.
@@ -69,23 +71,36 @@ def told_by(names: str) -> int:
     return int(any(map(OWN_NAME.fullmatch, tokens)))
 
 
-def under_bad_name(path: tuple, hidden: bool = False) -> bool:
-    """Whether the innermost element whose name tells says boilerplate; an article or main element without bad name says content."""
-    for _, t, n in reversed(path):
-        told = told_by(n)
-        if told < 0:
-            return True
-        if told > 0 or (t in CONTENT and not hidden):
-            return False
-    return False
+class Element:
+    """An open element with what it and those around it say, worked out once from its parent's.
+
+    Of the elements around a block the innermost that tells counts. ``inside``: it says content; ``bad``: its name says
+    boilerplate; ``kind``: it is an article or main element (True) or one of boilerplate. Pairs are (as it is, as if
+    semantic elements had no names).
+    """
+
+    __slots__ = ("number", "name", "parent", "depth", "boilerplate", "good", "inside", "bad", "kind")
+
+    def __init__(self, number: int, name: str, names: str, parent: Element | None):
+        self.number, self.name, self.parent = number, name, parent
+        if parent is None:
+            self.depth, self.boilerplate, self.good, self.inside, self.bad, self.kind = 0, False, False, (False, False), (False, False), None
+            return
+        told, good, content, boilerplate = told_by(names), GOOD_NAME.search(names) is not None, name in CONTENT, name in BOILERPLATE
+        self.depth = parent.depth + 1
+        self.boilerplate = boilerplate or parent.boilerplate
+        self.good = good or parent.good
+        self.inside = tuple(False if told < 0 or (boilerplate and not k) else True if good or (content and not k) else parent.inside[k] for k in (0, 1))
+        self.bad = tuple(True if told < 0 else False if told > 0 or (content and not k) else parent.bad[k] for k in (0, 1))
+        self.kind = True if content else False if boilerplate else parent.kind
 
 
 @dataclass
 class Block:
-    """A run of text between block-level tags."""
+    """A run of text between block-level tags, in an element."""
 
     parts: list[str] = field(default_factory=list)
-    path: tuple = ()
+    element: Element | None = None
     linked: int = 0
     size: int = 0
 
@@ -93,61 +108,115 @@ class Block:
         return _SPACE.sub(" ", html.unescape("".join(self.parts))).strip()
 
 
-def _is_text(name: str, attributes: str) -> bool:
+_START = re.compile(r"<([a-zA-Z][^\s/>]*)")
+_WORD = re.compile(r"[^ \t\r\n/]\S*")
+
+
+class _Finder:
+    """Where a character is next from places that only ascend: each stretch of the page is searched once."""
+
+    def __init__(self, page: str, character: str):
+        self.page, self.character, self.at = page, character, -1
+
+    def next(self, place: int) -> int:
+        if self.at < place:
+            found = self.page.find(self.character, place)
+            self.at = found if found >= 0 else len(self.page)
+        return self.at
+
+
+def _is_text(page: str, at: int, ends: _Finder, equals: _Finder) -> bool:
     """Whether what looks like a start tag is a comparison in a sentence, such as a<b and c>d: an inline name, then bare words."""
-    return name in INLINE and "=" not in attributes and any(w not in FLAGS and not w.startswith(("data-", "aria-")) for w in attributes.strip(" \t\r\n/").lower().split())
+    m = _START.match(page, at)
+    if m is None or m[1].lower() not in INLINE:
+        return False
+    end = ends.next(m.end())
+    if equals.next(m.end()) < end:
+        return False
+    return any(w not in FLAGS and not w.startswith(("data-", "aria-")) for x in _WORD.finditer(page, m.end(), end) if (w := x[0].rstrip("/").lower()))
 
 
 def _unseen(attributes: dict[str, str]) -> bool:
     return attributes.get("hidden", "until-found") != "until-found" or re.search(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)", attributes.get("style", ""), re.I) is not None
 
 
-def blocks(page: str) -> list[tuple[str, tuple, float]]:
-    """(text, path, share of linked characters) of each block with text; a path is the open elements (number, name, names)."""
+def blocks(page: str) -> list[tuple[str, Element, float]]:
+    """(text, element, share of linked characters) of each block with text; the element is the innermost block-level one around it.
+
+    In time that grows with the page alone, however deep its elements are and however many have no end.
+    """
     out: list[Block] = []
     now = Block()
-    stack: list[tuple[int, str, str, bool, bool]] = []  # number, name, names, mute, inline
-    number, at, links, mute, formulas, head = 0, 0, 0, 0, 0, False
+    root = Element(0, "", "", None)
+    # Open elements: name, mute, inline, the innermost block-level element, where in the stack that is (-1: nowhere).
+    stack: list[tuple[str, bool, bool, Element, int]] = []
+    opened: dict[str, int] = {}
+    traps: list[int] = []  # where select and svg are in the stack
+    number, at, mute, head = 0, 0, 0, False
+    ends, equals = _Finder(page, ">"), _Finder(page, "=")
+    unended: set[str] = set()
+    last_end: dict[str, int] = {}
     lowered = None
 
-    def path():
-        return tuple(e[:3] for e in stack if not e[4])
+    def here() -> Element:
+        return stack[-1][3] if stack else root
 
     def close():
         nonlocal now
         if now.parts:
-            now.path = now.path or path()
             out.append(now)
         now = Block()
 
     def add(raw: str):
         if raw and not head and not mute:
             if not now.parts:
-                now.path = path()
+                now.element = here()
             now.parts.append(raw)
             now.size += len(raw)
-            now.linked += len(raw) if links else 0
+            now.linked += len(raw) if opened.get("a") else 0
+
+    def push(name: str, unseen: bool, inline: bool, names: str = ""):
+        nonlocal number, mute
+        number += 1
+        element = here() if inline else Element(number, name, names, here())
+        floor = (stack[-1][4] if stack else -1) if inline else len(stack)
+        if name in ("select", "svg"):
+            traps.append(len(stack))
+        stack.append((name, unseen, inline, element, floor))
+        opened[name] = opened.get(name, 0) + 1
+        mute += unseen
 
     def shut(k: int):
-        nonlocal links, mute, formulas
-        for _, name, _, unseen, _ in stack[k:]:
-            links -= name == "a"
-            formulas -= name == "math"
+        nonlocal mute
+        for name, unseen, _, _, _ in stack[k:]:
+            opened[name] -= 1
             mute -= unseen
         del stack[k:]
+        while traps and traps[-1] >= k:
+            traps.pop()
 
     def ends_later(name: str) -> bool:
         nonlocal lowered
-        if lowered is None:
-            lowered = page.lower()
-        return lowered.rfind(f"</{name}") >= at
+        if name not in last_end:
+            lowered = page.lower() if lowered is None else lowered
+            last_end[name] = lowered.rfind(f"</{name}")
+        return last_end[name] >= at
 
     while True:
-        m = _TOKEN.search(page, at)
-        if m is None:
+        place = page.find("<", at)
+        if place < 0:
             add(page[at:])
             break
-        add(page[at : m.start()])
+        if _is_text(page, place, ends, equals):
+            add(page[at:place] + "&lt;")
+            at = place + 1
+            continue
+        m = _TOKEN.match(page, place)
+        if m is None:
+            add(page[at : place + 1])
+            at = place + 1
+            continue
+        add(page[at:place])
         at = m.end()
         name = m[2]
         if name is None:
@@ -158,29 +227,27 @@ def blocks(page: str) -> list[tuple[str, tuple, float]]:
         if m[1]:
             if name == "head":
                 head = False
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][1] == name:
-                    if not all(e[4] for e in stack[k:]):
-                        close()
-                    shut(k)
-                    break
-            else:
-                if name not in INLINE and name not in MUTE and not formulas:
+            if opened.get(name):
+                k = len(stack) - 1
+                while stack[k][0] != name:
+                    k -= 1
+                if stack[-1][4] >= k:
                     close()
-            continue
-        if _is_text(name, m[3]):
-            add("&lt;")
-            at = m.start() + 1
+                shut(k)
+            elif name not in INLINE and name not in MUTE and not opened.get("math"):
+                close()
             continue
         empty = m[0].endswith("/>")
         if name in RAW:
-            end = None if empty else _ENDS[name].search(page, at)
+            end = None if empty or name in unended else _ENDS[name].search(page, at)
             if end:
                 if name == "xmp":
                     add(html.escape(page[at : end.start()]))
                 at = end.end()
-            elif name in RAW[:2] and not empty:
-                at = len(page)
+            elif not empty:
+                unended.add(name)
+                if name in RAW[:2]:
+                    at = len(page)
             continue
         if name == "head":
             head = True
@@ -193,65 +260,41 @@ def blocks(page: str) -> list[tuple[str, tuple, float]]:
             if name == "hr":
                 close()
             continue
-        if mute and name in STARTERS and not any(e[1] == "foreignobject" for e in stack):
-            # A block can't be in these: their end tags are missing.
-            k = next((k for k, e in enumerate(stack) if e[1] in ("select", "svg")), None)
-            if k is not None:
-                shut(k)
+        if mute and name in STARTERS and traps and not opened.get("foreignobject"):
+            shut(traps[0])  # a block can't be in these: their end tags are missing
         if name in MUTE:
             if not empty and ends_later(name):
-                number += 1
-                mute += 1
-                stack.append((number, name, "", True, True))
+                push(name, True, True)
             continue
-        inline = name in INLINE or formulas > 0
+        inline = name in INLINE or bool(opened.get("math"))
         if not inline:
             close()
             ended = CLOSES.get(name)
-            if ended:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][1] in ended:
-                        shut(k)
-                        break
-                    if not stack[k][4]:
-                        break
+            if ended and stack and stack[-1][4] >= 0 and stack[stack[-1][4]][0] in ended:
+                shut(stack[-1][4])
         if empty:
             continue
         attributes = {a[1].lower(): (a[2] or a[3] or a[4] or "") for a in _ATTRIBUTE.finditer(m[3])} if m[3] else {}
         # Names of the whole page tell its layout.
         whole = name in ("html", "body")
         names = "" if whole else " ".join(attributes[a] for a in ("class", "id", "role", "aria-label", "itemprop") if a in attributes).lower()
-        unseen = not whole and _unseen(attributes)
-        number += 1
-        stack.append((number, name, names, unseen, inline))
-        links += name == "a"
-        formulas += name == "math"
-        mute += unseen
+        push(name, not whole and _unseen(attributes), inline, names)
     close()
-    return [(t, b.path, b.linked / max(1, b.size)) for b in out if (t := b.text())]
+    return [(t, b.element, b.linked / max(1, b.size)) for b in out if (t := b.text())]
 
 
-def features(page: list[tuple[str, tuple, float]], hidden: bool = False) -> np.ndarray:
+def features(page: list[tuple[str, Element, float]], hidden: bool = False) -> np.ndarray:
     """A row of numbers for each block; ``hidden``: as if semantic elements had no names."""
     x = np.zeros((len(page), FEATURES))
-    for k, (text, path, linked) in enumerate(page):
-        tags = [] if hidden else [e[1] for e in path]
-        names = [e[2] for e in path if e[2]]
+    for k, (text, element, linked) in enumerate(page):
         words = text.count(" ") + 1
-        last = path[-1][1] if path else ""
-        inside = False  # the innermost element that tells says content
-        for _, t, n in reversed(path):
-            if (t in BOILERPLATE and not hidden) or told_by(n) < 0:
-                break
-            if (t in CONTENT and not hidden) or GOOD_NAME.search(n):
-                inside = True
-                break
+        last = element.name
         x[k] = (
             1,
-            inside,
-            any(t in BOILERPLATE for t in tags),
-            under_bad_name(path, hidden),
-            any(GOOD_NAME.search(n) is not None for n in names),
+            element.inside[hidden],
+            element.boilerplate and not hidden,
+            element.bad[hidden],
+            element.good,
             linked,
             linked > 0.5,
             min(1, words / 40),
@@ -265,16 +308,23 @@ def features(page: list[tuple[str, tuple, float]], hidden: bool = False) -> np.n
     return x
 
 
-def semantic_labels(page: list[tuple[str, tuple, float]]) -> list[int]:
+def semantic_labels(page: list[tuple[str, Element, float]]) -> list[int]:
     """1 in an article or main element, 0 in an element of boilerplate, by the innermost of these; -1 in neither.
 
     Names give no label. Where they contradict an article, as those of comments do, there is none either.
     """
-    out = []
-    for _, path, _ in page:
-        told = next((e[1] in CONTENT for e in reversed(path) if e[1] in CONTENT or e[1] in BOILERPLATE), None)
-        out.append(-1 if told is None or (told and under_bad_name(path, hidden=True)) else int(told))
-    return out
+    return [-1 if e.kind is None or (e.kind and e.bad[1]) else int(e.kind) for _, e, _ in page]
+
+
+def apart(a: Element, b: Element) -> int:
+    """How many steps two elements are apart in the tree."""
+    steps = 0
+    while a is not b:
+        if a.depth >= b.depth:
+            a, steps = a.parent, steps + 1
+        else:
+            b, steps = b.parent, steps + 1
+    return steps
 
 
 #: The classifier before any training: what these elements mean by themselves. Training starts from here.
@@ -366,15 +416,10 @@ def main_text(page: str, weights: np.ndarray, near: float = 0.4, kin: float = 0.
     gain = features(found) @ weights
     parents: dict[int, int] = {}
     edges = []
-    for k, (_, path, _) in enumerate(found):
+    for k, (_, element, _) in enumerate(found):
         if k:
-            before = found[k - 1][1]
-            shared = 0
-            while shared < min(len(path), len(before)) and path[shared][0] == before[shared][0]:
-                shared += 1
-            apart = len(path) + len(before) - 2 * shared
-            edges.append((k - 1, k, near / (1 + apart)))
-        parent = path[-2][0] if len(path) > 1 else 0
+            edges.append((k - 1, k, near / (1 + apart(element, found[k - 1][1]))))
+        parent = element.parent.number if element.parent else 0
         if parent in parents and parents[parent] != k - 1:
             edges.append((parents[parent], k, kin))
         parents[parent] = k
@@ -410,7 +455,8 @@ def learned(pages: DataFrame, sample: int = 300, most: int = 100_000) -> np.ndar
 def extracted(pages: DataFrame, weights: np.ndarray) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of ``pages`` (page_id, url, html, ...), from the whole html.
 
-    Null and empty html and pages without content have an empty text. Page ids and urls stay as they are, null or not;
+    The time that a page takes grows with its length, however deep its elements are and however many lack an end tag. Null and
+    empty html and pages without content have an empty text. Page ids and urls stay as they are, null or not;
     repeated rows give the same text; other columns are ignored.
     """
 
