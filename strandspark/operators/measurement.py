@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .intervals import previous
+from .intervals import met, previous
 
 
 def speedups(runs: DataFrame, by: list[str], label: str, time: str, base: str, workers: str | None = None) -> DataFrame:
@@ -23,18 +23,28 @@ def best(runs: DataFrame, by: list[str], label: str, time: str) -> DataFrame:
     return runs.groupBy(*by).agg(least).select(*by, F.col(f"_m.{label}").alias("best"), F.col(f"_m.{time}").alias(time))
 
 
-def median_of_repeats(runs: DataFrame, by: list[str], order: str, time: str) -> DataFrame:
+def median_of_repeats(runs: DataFrame, by: list[str], order: str, time: str, accuracy: int = 10_000) -> DataFrame:
     """(*by, median): the upper median of a group's times without the first run, which warms up.
 
-    Equal times are counted first; running counts of distinct times tell the median, so no group is one array.
+    A sketch that tasks make and merge tells two times between which the median lies, about six in ``accuracy`` of a group's
+    rows apart. What is below is counted, and only what lies between is put in order: the median is exact, whatever the sketch's
+    error, and no group is one array or one window.
     """
-    first = runs.groupBy(*by).agg(F.min_by(time, order).alias("_t"), F.count(time).alias("_all"))
-    counted = runs.where(F.col(time).isNotNull()).groupBy(*by, F.col(time).alias("_t")).agg(F.count("*").alias("_c"))
-    counted = counted.join(first.select(*by, "_t", F.lit(1).alias("_first")), [*by, "_t"], "left").withColumn("_c", F.col("_c") - F.coalesce("_first", F.lit(0))).where("_c > 0")
-    reached = F.sum("_c").over(Window.partitionBy(*by).orderBy("_t").rowsBetween(Window.unboundedPreceding, 0))
-    placed = counted.withColumn("_to", reached).join(first.select(*by, "_all"), by)
+    sides = [0.5 - 2 / accuracy, 0.5 + 2 / accuracy]
+    first = runs.groupBy(*by).agg(F.min_by(time, order).alias("_first"), F.count(time).alias("_all"), F.percentile_approx(time, sides, accuracy).alias("_q"), F.min(time).alias("_least"), F.max(time).alias("_most"))
+    # Few runs: all lie between.
+    few = F.col("_all") < 2 * accuracy
+    bounds = first.select(*by, "_first", "_all", F.when(few, F.col("_least")).otherwise(F.col("_q")[0]).alias("_low"), F.when(few, F.col("_most")).otherwise(F.col("_q")[1]).alias("_high"))
+    kept = met(runs.where(F.col(time).isNotNull()), bounds, by).withColumn("_t", F.col(time))
+    # Times that lie below become one row of a group, each time between one row.
+    place = F.when(F.col("_t") >= F.col("_low"), F.col("_t"))
+    counted = kept.where(F.col("_t") <= F.col("_high")).groupBy(*by, place.alias("_t")).agg(F.count("*").alias("_c"), F.max("_first").alias("_first"), F.max("_all").alias("_all"), F.max("_low").alias("_low"))
+    warm = F.when(F.col("_t").isNull(), F.col("_first") < F.col("_low")).otherwise(F.col("_t") == F.col("_first"))
+    counted = counted.withColumn("_c", F.col("_c") - F.when(F.coalesce(warm, F.lit(False)), 1).otherwise(0))
+    reached = F.sum("_c").over(Window.partitionBy(*by).orderBy(F.col("_t").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+    placed = counted.withColumn("_to", reached)
     middle = F.floor((F.col("_all") - 1) / 2)
-    return placed.where((middle < F.col("_to")) & (middle >= F.col("_to") - F.col("_c"))).select(*by, F.col("_t").alias("median"))
+    return placed.where((F.col("_all") > 1) & (middle < F.col("_to")) & (middle >= F.col("_to") - F.col("_c"))).select(*by, F.col("_t").alias("median"))
 
 
 def agreement(results: DataFrame, by: list[str], label: str, value: str) -> DataFrame:

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..sources.folders import shared
 
@@ -24,22 +28,36 @@ def chunks(df: DataFrame, key: str, text: str, size: int = CHUNK) -> DataFrame:
 def running_start(df: DataFrame, order: str, length: Column, rows_each: int = 200_000) -> DataFrame:
     """``df`` with ``start``: the sum of ``length`` over all rows before it in ``order``; of rows with equal order values the shorter ones come first.
 
-    Rows are dealt to even ranges of the order, whatever its values, and written in order; sums of ranges, of which there is
-    one in ``rows_each`` rows, add up first, then rows inside their range. So no task orders the whole table.
+    Rows are dealt to even ranges of the order, whatever its values, sorted there and written with the sum of those before
+    them in their range. Sums of ranges, of which there is one in ``rows_each`` rows, then add up, and a broadcast of one row
+    a range tells each row the rest: rows are shuffled once, and no task orders the whole table. Counts and writes the rows
+    when it is called.
     """
     spark = df.sparkSession
     sized = df.withColumn("_length", length.cast("long"))
     parts = max(1, -(-df.count() // rows_each))
     keys = [F.col(order).asc_nulls_first(), F.col("_length").asc_nulls_first()]
-    dealt = sized.repartitionByRange(parts, *keys, F.monotonically_increasing_id()).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
+    dealt = sized.repartitionByRange(parts, *keys, F.monotonically_increasing_id()).sortWithinPartitions(*keys).withColumn("_range", F.spark_partition_id())
+    at = dealt.columns.index("_length")
+
+    def run(batches):
+        held = 0
+        for batch in batches:
+            own = pc.fill_null(batch.column(at), 0).to_numpy(zero_copy_only=False)
+            ends = held + np.cumsum(own)
+            if len(ends):
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ends - own, pa.int64())], [*batch.schema.names, "_inside"])
+                held = int(ends[-1])
+
+    schema = StructType([*dealt.schema.fields, StructField("_inside", LongType())])
     path = f"{shared(spark)}/running-{uuid.uuid4().hex}"
-    dealt.write.parquet(path)
-    ranged = spark.read.schema(dealt.schema).parquet(path).withColumn("_range", F.shiftright("_at", 33))
-    totals = ranged.groupBy("_range").agg(F.sum("_length").alias("_total"))
+    dealt.mapInArrow(run, schema).write.parquet(path)
+    ranged = spark.read.schema(schema).parquet(path)
+    totals = ranged.groupBy("_range").agg(F.max(F.col("_inside") + F.coalesce("_length", F.lit(0))).alias("_total"))
     before = F.sum("_total").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
     totals = totals.select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
-    inside = F.sum("_length").over(Window.partitionBy("_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1))
-    return ranged.join(totals, "_range").withColumn("start", (F.col("_before") + F.coalesce(inside, F.lit(0))).cast("long")).select(*df.columns, "start")
+    joined = ranged.join(F.broadcast(totals), "_range")  # one row a range
+    return joined.withColumn("start", (F.col("_before") + F.col("_inside")).cast("long")).select(*df.columns, "start")
 
 
 def sliced(chunks: DataFrame, key: str, start: int, length: int, size: int = CHUNK) -> DataFrame:
