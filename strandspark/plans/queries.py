@@ -11,7 +11,7 @@ from ..functions import symbols, texts
 from ..operators import compare, composition, generators, halos, intervals, measurement, pairing, patterns, sequences
 from ..sources import fasta, ranges
 from ..sources.folders import shared
-from ..streaming import monitors
+from ..streaming import monitors, timers
 
 PATTERNS = ["ATA", "GAT", "CAN", "AATT"]
 EXPECTED_LANG = "en"
@@ -202,6 +202,18 @@ def _samples(spark, d):
     return _t(spark, d, "events").select("ts", "event_type", "user_id", "event_id", _cents().alias("cents"), F.when(F.col("event_type") != "error", _cents()).alias("measured"))
 
 
+#: Microseconds: how long a worker may be silent, and when watching ends; the day on which tasks are judged.
+SILENCE, UNTIL, JUDGED = 6 * 3_600_000_000, 1_706_745_600_000_000, 11_400
+
+
+def _tasks(spark, d):
+    """Orders as tasks: assigned to the clerk's shop at the order's date, done when the last of its lines is received, if that is known."""
+    days = lambda c: F.datediff(F.col(c).cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
+    given = _t(spark, d, "orders").select(F.col("o_orderkey").alias("task"), F.col("o_custkey").alias("worker"), F.lit("assigned").alias("event"), days("o_orderdate").alias("at"), F.lit(60).cast("long").alias("allowed"))
+    done = _t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("task")).agg(F.max(days("l_shipdate")).alias("at")).where("task % 10 <> 7")
+    return given.unionByName(done.select("task", F.lit(None).cast("long").alias("worker"), F.lit("done").alias("event"), "at", F.lit(None).cast("long").alias("allowed")))
+
+
 QUERIES = {
     # composition
     "byte_histogram": lambda s, d: composition.byte_histogram(_docs(s, d)),
@@ -300,6 +312,8 @@ QUERIES = {
     "lost_workers": lambda s, d: monitors.sessions(_samples(s, d), "user_id", "6 hours"),
     "duplicates_dropped": lambda s, d: monitors.once(_samples(s, d).select("user_id", "event_type"), ["user_id", "event_type"]),
     "overdue_tasks": lambda s, d: monitors.overdue(_samples(s, d).withColumn("elapsed", F.col("cents") / 100).withColumn("expected", F.lit(4.0)), "expected", "elapsed").where("overdue").select("event_id"),
+    "silent_workers": lambda s, d: timers.silences(_log(s, d), "user_id", "start", SILENCE, F.lit(UNTIL)),
+    "unfinished_tasks": lambda s, d: timers.unfinished(_tasks(s, d), "worker", "task", F.col("event") == "assigned", F.col("event") == "done", "at", F.col("allowed"), F.lit(JUDGED)),
     # texts
     "human_size": lambda s, d: _docs(s, d).select("doc_id", texts.human_size(F.col("n_chars")).alias("size"), texts.dotted(F.col("n_chars") * 1000).alias("dotted")),
     "restore_accents": lambda s, d: _docs(s, d).select("doc_id", texts.restored(F.col("text"), ACCENTS).alias("text")),
@@ -461,3 +475,6 @@ ORACLES["unwrapped_counts"] = ORACLES["fasta_counts"]
 ORACLES["chunk_first_invalid"] = ORACLES["first_invalid_positions"]
 ORACLES["fasta_patterns"] = f"select pattern, strand, cast(sum(n) as bigint) as n from ({ORACLES['pattern_count'].replace('from documents where length(text) > 0', 'from (select lang, regexp_replace(text, ' + chr(39) + '[^A-Za-z]' + chr(39) + ', ' + chr(39) * 2 + ', ' + chr(39) + 'g' + chr(39) + ') as text from documents) where length(text) > 0')}) group by 1, 2"
 ORACLES["chunk_positions"] = f"select doc_id, pos from (select doc_id, pos, row_number() over (partition by doc_id order by pos) as n from (select doc_id, t, unnest(range(0, length(t) - {_WIDE - 1})) as pos from (select doc_id, upper(text) as t from ({_MADE}))) where substr(t, pos + 1, {_WIDE}) = '{generators.PLANTED}') where n <= 3"
+ORACLES["silent_workers"] = f"select user_id, last, last + {SILENCE} as lost_at from (select user_id, start as last, lead(start) over (partition by user_id order by start) as next from ({LOG})) where coalesce(next, {UNTIL}) - last >= {SILENCE}"
+_DAYS = "datediff('day', date '1970-01-01', cast({} as date))"
+ORACLES["unfinished_tasks"] = f"select o_orderkey as task, o_custkey as worker, {_DAYS.format('o_orderdate')} + 60 as due from orders left join (select l_orderkey, max({_DAYS.format('l_shipdate')}) as ended from lineitem where l_orderkey % 10 <> 7 group by 1) on l_orderkey = o_orderkey where {_DAYS.format('o_orderdate')} + 60 <= {JUDGED} and (ended is null or ended > {_DAYS.format('o_orderdate')} + 60)"
