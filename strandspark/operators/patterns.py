@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.symbols import AMBIGUOUS, BASES, UNKNOWN, either, folded
+from ..sources.folders import shared
 from .arrays import points, rows_of_bytes
 
 
@@ -182,12 +185,11 @@ def labelled(counted: DataFrame, width: int) -> DataFrame:
     return out.withColumn("label", F.when(~F.col("evaluable"), "not_evaluable").when((F.col("gc") > 0.5) & (F.col("obs_exp") > 0.6), "zone").otherwise("background"))
 
 
-def classified(windows: DataFrame, width: int, sample: int = 20_000, rounds: int = 100) -> DataFrame:
-    """``windows`` with ``predicted``: what a small dense network says that learned the rule's labels from counts alone.
+def fitted(windows: DataFrame, width: int, sample: int = 20_000, rounds: int = 100):
+    """(ready, net, labels, chosen): evaluable windows with features and truth, a small dense network trained on ``chosen``, and the labels seen there.
 
-    It learns from at most ``sample`` evaluable windows, half of them zones where there are so many, those with the smallest
-    hashes of key and start; all evaluable windows are then predicted by generated code. Without both labels the most
-    frequent one is predicted.
+    It learns from at most ``sample`` windows, half of them zones where there are so many, those with the smallest hashes of
+    key and start. Without both labels there is no network. Trains when it is called.
     """
     from pyspark.ml.classification import MultilayerPerceptronClassifier
     from pyspark.ml.feature import VectorAssembler
@@ -195,14 +197,32 @@ def classified(windows: DataFrame, width: int, sample: int = 20_000, rounds: int
     key = windows.columns[0]
     seen = windows.where("evaluable").withColumn("truth", (F.col("label") == "zone").cast("double"))
     seen = seen.select("*", *((F.col(c) / width).alias(f"_{c}") for c in ("n_c", "n_g", "n_cg")), (F.col("n_c") * F.col("n_g") / (width * width)).alias("_product"))
-    ready = VectorAssembler(inputCols=["_n_c", "_n_g", "_n_cg", "_product"], outputCol="features").transform(seen)
+    ready = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(seen)
     order = [F.xxhash64(key, "start"), key, "start"]
-    halves = [ready.where(F.col("truth") == t).select("features", "truth", key, "start").orderBy(*order).limit(sample // 2) for t in (0.0, 1.0)]
-    chosen = halves[0].unionByName(halves[1]).select("features", "truth")
+    halves = [ready.where(F.col("truth") == t).select("features", "truth", *FEATURES, key, "start").orderBy(*order).limit(sample // 2) for t in (0.0, 1.0)]
+    chosen = halves[0].unionByName(halves[1]).select("features", "truth", *FEATURES)
+    # Written once: choosing goes over all windows, training over the chosen ones many times.
+    path = f"{shared(windows.sparkSession)}/windows-{uuid.uuid4().hex}"
+    chosen.write.parquet(path)
+    chosen = windows.sparkSession.read.parquet(path)
     labels = [r["truth"] for r in chosen.select("truth").distinct().collect()]
     if len(labels) < 2:
-        return seen.select(*windows.columns, F.lit("zone" if labels == [1.0] else "background").alias("predicted"))
-    net = MultilayerPerceptronClassifier(layers=[4, 8, 2], labelCol="truth", seed=1, maxIter=rounds).fit(chosen)
+        return ready, None, labels, chosen
+    return ready, MultilayerPerceptronClassifier(layers=[4, 8, 2], labelCol="truth", seed=1, maxIter=rounds).fit(chosen), labels, chosen
+
+
+#: What the network sees of a window.
+FEATURES = ["_n_c", "_n_g", "_n_cg", "_product"]
+
+
+def classified(windows: DataFrame, width: int, sample: int = 20_000, rounds: int = 100) -> DataFrame:
+    """``windows`` that are evaluable with ``predicted``: what a small dense network says that learned the rule's labels from counts alone.
+
+    Predictions are made by generated code. Without both labels the most frequent one is predicted.
+    """
+    ready, net, labels, _ = fitted(windows, width, sample, rounds)
+    if net is None:
+        return ready.select(*windows.columns, F.lit("zone" if labels == [1.0] else "background").alias("predicted"))
     return net.transform(ready).select(*windows.columns, F.when(F.col("prediction") > 0.5, "zone").otherwise("background").alias("predicted"))
 
 

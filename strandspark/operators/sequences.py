@@ -18,11 +18,26 @@ CHUNK = 2048
 
 def chunks(df: DataFrame, key: str, text: str, size: int = CHUNK) -> DataFrame:
     """(key, chunk, start, bases): each text cut into pieces of ``size`` characters; empty and null texts have none."""
-    n = F.ceil(F.length(text) / size).cast("int")
-    numbers = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    each = df.select(key, F.col(text).alias("text"), F.explode(numbers).alias("chunk"))
-    start = F.col("chunk").cast("long") * size
-    return each.select(key, "chunk", start.alias("start"), F.substring("text", (start + 1).cast("int"), F.lit(size)).alias("bases"))
+
+    def run(batches):
+        for batch in batches:
+            rows, numbers, parts, held = [], [], [], 0
+            for row, whole in enumerate(batch.column(1).to_pylist()):
+                for at in range(0, len(whole or ""), size):
+                    rows.append(row)
+                    numbers.append(at // size)
+                    parts.append(whole[at : at + size])
+                    held += size
+                    if held > 1 << 22:
+                        yield made(batch, rows, numbers, parts)
+                        rows, numbers, parts, held = [], [], [], 0
+            yield made(batch, rows, numbers, parts)
+
+    def made(batch, rows, numbers, parts):
+        chunk = pa.array(numbers, pa.int32())
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), chunk, pc.multiply(chunk.cast(pa.int64()), size), pa.array(parts, pa.string())], [batch.schema.names[0], "chunk", "start", "bases"])
+
+    return df.select(key, F.col(text).cast("string").alias("_t")).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, chunk int, start long, bases string")
 
 
 def running_start(df: DataFrame, order: str, length: Column, rows_each: int = 200_000) -> DataFrame:
@@ -109,9 +124,19 @@ def interleaved(pairs: DataFrame, width: int = 80) -> DataFrame:
 
     A line is the side, a space, the row number right-aligned to the width of the largest, a colon, a space, the symbols.
     """
-    rows = F.least(F.ceil(F.length("text_a") / width), F.ceil(F.length("text_b") / width)).cast("int")
-    each = pairs.withColumn("rows", rows).where("rows > 0").withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows"))))
-    both = each.select("pair", "row", "rows", F.explode(F.array(F.struct(F.lit("A").alias("side"), F.col("text_a").alias("text")), F.struct(F.lit("B").alias("side"), F.col("text_b").alias("text")))).alias("x"))
-    number = F.lpad(F.col("row").cast("string"), F.length(F.col("rows").cast("string")), F.lit(" "))
-    bases = F.substring(F.col("x.text"), (F.col("row") - 1) * width + 1, F.lit(width))
-    return both.select("pair", F.col("row").cast("long").alias("row"), F.col("x.side").alias("side"), F.concat("x.side", F.lit(" "), number, F.lit(": "), bases).alias("line"))
+
+    def run(batches):
+        for batch in batches:
+            pairs_, rows, sides, lines = [], [], [], []
+            for k, (a, b) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                many = min(-(-len(a or "") // width), -(-len(b or "") // width))
+                wide = len(str(many))
+                for row in range(many):
+                    for side, text in (("A", a), ("B", b)):
+                        pairs_.append(k)
+                        rows.append(row + 1)
+                        sides.append(side)
+                        lines.append(f"{side} {row + 1:>{wide}}: {text[row * width : (row + 1) * width]}")
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(pairs_, pa.int64())), pa.array(rows, pa.int64()), pa.array(sides, pa.string()), pa.array(lines, pa.string())], ["pair", "row", "side", "line"])
+
+    return pairs.select("pair", F.col("text_a").cast("string"), F.col("text_b").cast("string")).mapInArrow(run, f"pair {pairs.schema['pair'].dataType.simpleString()}, row long, side string, line string")

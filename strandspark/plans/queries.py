@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import symbols, texts
-from ..operators import compare, composition, generators, halos, intervals, measurement, pairing, patterns, sequences
-from ..sources import fasta, ranges
+from ..operators import compare, composition, generators, halos, intervals, measurement, pairing, patterns, quantised, sequences
+from ..sources import fasta, ranges, tables
 from ..sources.folders import shared
 from ..streaming import monitors, timers
 
@@ -181,6 +181,12 @@ def _keyed_pairs(spark, d):
     return _docs(spark, d).select(F.col("doc_id").alias("rec_a"), key.alias("key"), F.when(n < 38, "key").otherwise("length").alias("criterion"), F.col("n_chars").alias("start_a"))
 
 
+def _sides(spark, d):
+    """Documents of even and of odd number as prepared tables of chunks; document 2k stands against 2k + 1."""
+    docs = _docs(spark, d).withColumn("k", F.floor(F.col("doc_id") / 2))
+    return [tables.laid_out(sequences.chunks(docs.where(F.col("doc_id") % 2 == side), "k", "text"), "k") for side in (0, 1)]
+
+
 def _pieces(spark, d):
     return compare.paired_pieces(_pairs(spark, d))
 
@@ -240,7 +246,7 @@ QUERIES = {
     "fasta_patterns": fasta_patterns,
     "expected_answers": expected_answers,
     "truncated_copy": truncated_copy,
-    "slice_scan": lambda s, d: sequences.sliced(sequences.chunks(_docs(s, d), "doc_id", "text"), "doc_id", 1500, 3000),
+    "slice_scan": lambda s, d: sequences.sliced(tables.laid_out(sequences.chunks(_docs(s, d), "doc_id", "text"), "doc_id"), "key", 1500, 3000).withColumnRenamed("key", "doc_id"),
     # sequences and comparison
     "clean_offsets": lambda s, d: _starts(s, d),
     "position_to_record": lambda s, d: sequences.records_at(_t(s, d, "events").select((F.col("event_id") * 241).alias("pos")), _starts(s, d)).select("pos", "rec", "pos_in_record", symbols.row_of(F.col("pos_in_record")).alias("row"), symbols.column_of(F.col("pos_in_record")).alias("col")),
@@ -254,7 +260,8 @@ QUERIES = {
     "first_k_diffs_total": lambda s, d: compare.differences(_pieces(s, d), first=500).orderBy("pair", "pos").limit(500).select("pair", "pos", "a", "b"),
     "diff_density": lambda s, d: compare.pair_density(_pairs(s, d), 512),
     "paired_totals": lambda s, d: compare.totals(compare.summary(_pairs(s, d)).withColumn("compared", F.when(F.col("pair") % 4 == 0, F.floor(F.col("compared") / 2)).otherwise(F.col("compared")))),
-    "zip_compare": lambda s, d: compare.joined_chunks(_docs(s, d).where("doc_id % 2 = 0").select(F.floor(F.col("doc_id") / 2).alias("k"), "text"), _docs(s, d).where("doc_id % 2 = 1").select(F.floor(F.col("doc_id") / 2).alias("k"), "text"), "k", "text").groupBy("pair").agg(F.sum(F.length("a")).alias("compared"), F.count_if(F.col("a") == F.col("b")).alias("equal_chunks")),
+    "zip_compare": lambda s, d: tables.joined(*_sides(s, d)).groupBy("pair").agg(F.sum(F.length("a")).alias("compared"), F.count_if(F.col("a") == F.col("b")).alias("equal_chunks")),
+    "unlike_chunks": lambda s, d: tables.unlike_chunks(*_sides(s, d)),
     # pairing
     "pair_records": lambda s, d: pairing.paired(_records(s, d, 0), _records(s, d, 1)),
     "pair_by_key": lambda s, d: pairing.by_key(_records(s, d, 0), _records(s, d, 1)),
@@ -273,6 +280,7 @@ QUERIES = {
     "zone_density": lambda s, d: halos.chunk_zone_density(_made(s, d), "doc_id", 40, 20, 1024),
     "model_agreement": lambda s, d: measurement.model_agreement(_zones(s, d).withColumn("simple", F.when(F.col("gc") > 0.5, "zone").otherwise("background")), "label", "simple"),
     "zone_classifier": lambda s, d: measurement.model_agreement(patterns.classified(_zones(s, d), 40), "label", "predicted"),
+    "int8_agreement": lambda s, d: quantised.three_ways(_zones(s, d), 40),
     "first_zones": lambda s, d: patterns.first_zones(_zones(s, d), "doc_id", 2).select("doc_id", "start", "gc", "obs_exp"),
     "first_invalid_positions": lambda s, d: patterns.first_invalid(_docs(s, d), "doc_id", "text", 3),
     "consolidate_patterns": lambda s, d: measurement.consolidated(patterns.pattern_counts(_docs(s, d), "text", ["GAT", "ATA"], ("lang",)).where("strand = '+'"), patterns.pattern_positions(_docs(s, d), "doc_id", "text", "GAT", 10).withColumn("pattern", F.lit("GAT")), "pattern", ["doc_id", "pos"], 10),
@@ -478,3 +486,9 @@ ORACLES["chunk_positions"] = f"select doc_id, pos from (select doc_id, pos, row_
 ORACLES["silent_workers"] = f"select user_id, last, last + {SILENCE} as lost_at from (select user_id, start as last, lead(start) over (partition by user_id order by start) as next from ({LOG})) where coalesce(next, {UNTIL}) - last >= {SILENCE}"
 _DAYS = "datediff('day', date '1970-01-01', cast({} as date))"
 ORACLES["unfinished_tasks"] = f"select o_orderkey as task, o_custkey as worker, {_DAYS.format('o_orderdate')} + 60 as due from orders left join (select l_orderkey, max({_DAYS.format('l_shipdate')}) as ended from lineitem where l_orderkey % 10 <> 7 group by 1) on l_orderkey = o_orderkey where {_DAYS.format('o_orderdate')} + 60 <= {JUDGED} and (ended is null or ended > {_DAYS.format('o_orderdate')} + 60)"
+_CHUNKED = "select doc_id // 2 as key, cast(chunk as bigint) as chunk, substr(text, chunk * 2048 + 1, 2048) as bases from (select doc_id, text, unnest(range(0, (length(text) + 2047) // 2048)) as chunk from documents where doc_id % 2 = {side})"
+ORACLES["unlike_chunks"] = f"select key, chunk from ({_CHUNKED.format(side=0)}) a full join ({_CHUNKED.format(side=1)}) b using (key, chunk) where a.bases is distinct from b.bases"
+# crc32 by its table, which a rule gives; units of ASCII alone would let ascii() stand for bytes, so bytes come from hexadecimal.
+_TABLE = "select list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as tab"
+_CRC = "xor(list_reduce(list_concat([4294967295], list_transform(regexp_extract_all(hex(encode(bases)), '..'), lambda h: cast(('0x' || h) as bigint))), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)"
+ORACLES["unit_crc"] = f"with t as ({_TABLE}) select doc_id, cast(chunk as int) as chunk, cast(chunk * 4096 as bigint) as start, cast(length(bases) as int) as n, {_CRC} as crc32 from (select doc_id, chunk, substr(text, chunk * 4096 + 1, 4096) as bases from (select doc_id, text, unnest(range(0, (length(text) + 4095) // 4096)) as chunk from documents)), t"
