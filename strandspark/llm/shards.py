@@ -62,7 +62,8 @@ def numbered(docs: DataFrame, rows_each: int = 200_000) -> tuple[DataFrame, int]
     slim = written(slim, "sizes")
     parts = max(1, -(-slim.count() // rows_each))
     order = [F.col("doc_id").asc_nulls_first(), "size", "text_crc32"]
-    dealt = slim.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    # Rows that are equal in all of this are dealt by their place, so that one row repeated is no task's alone.
+    dealt = slim.repartitionByRange(parts, *order, F.monotonically_increasing_id()).sortWithinPartitions(*order)
     dealt = written(dealt.withColumn("at", F.monotonically_increasing_id()), "numbered")
     low = F.lit((1 << 33) - 1)
     part = F.shiftright("at", 33)

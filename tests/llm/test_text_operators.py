@@ -50,6 +50,15 @@ def test_shards_of_nulls_and_repeats(spark):
     assert len({(r["shard"], r["slot"]) for r in rows}) == 5
 
 
+def test_one_row_repeated_is_dealt_to_many_tasks(spark):
+    """Rows equal in everything: ranges part them about evenly, numbers have no gap."""
+    df = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    frame, rows = shards.numbered(df, rows_each=300)
+    assert rows == 3000 and sorted(r["number"] for r in frame.select("number").collect()) == list(range(3000))
+    dealt = frame.select(F.input_file_name().alias("f")).groupBy("f").count().collect()
+    assert len(dealt) >= 5 and max(r["count"] for r in dealt) < 1500
+
+
 @pytest.mark.parametrize("rows,seed", [(1, 1), (2, 1), (3, 5), (10, 1), (37, 9)])
 def test_permutation_against_plain_feistel(spark, rows, seed):
     """Round by round, and along the cycle until inside, with the hash that Spark uses."""
