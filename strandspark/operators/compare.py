@@ -99,6 +99,19 @@ def _sorted_out(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(found // 3)), pa.array([KINDS[k] for k in (found % 3).tolist()], pa.string()), pa.array(n, pa.int64())], ["pair", "kind", "n"])
 
 
+def _counted(batches):
+    for batch in _limited(batches):
+        row, pos, _, _ = _unequal(batch)
+        found, at, n = np.unique(row, return_index=True, return_counts=True)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(found)), pa.array(n, pa.int64()), pa.array(pos[at], pa.int64())], ["pair", "differences", "first_pos"])
+
+
+def counted(pieces: DataFrame) -> DataFrame:
+    """(pair, differences, first_pos) of pairs with a difference: pieces are counted where they are, only counts leave them."""
+    found = _unlike(pieces).mapInArrow(_counted, _typed(pieces, "differences long, first_pos long"))
+    return found.groupBy("pair").agg(F.sum("differences").alias("differences"), F.min("first_pos").alias("first_pos"))
+
+
 #: What a difference can be: the first of these that holds.
 KINDS = ("case_only", "with_unknown", "real")
 

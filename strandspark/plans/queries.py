@@ -187,6 +187,12 @@ def _sides(spark, d):
     return [tables.laid_out(sequences.chunks(docs.where(F.col("doc_id") % 2 == side), "k", "text"), "k") for side in (0, 1)]
 
 
+def digest_summary(spark, d):
+    """The flagship comparison of prepared tables: digests of branches, of chunks, then symbols."""
+    a, b = _sides(spark, d)
+    return tables.summary(a, b, tables.differing(a, b, tables.branches(a), tables.branches(b)))
+
+
 def _pieces(spark, d):
     return compare.paired_pieces(_pairs(spark, d))
 
@@ -261,6 +267,7 @@ QUERIES = {
     "diff_density": lambda s, d: compare.pair_density(_pairs(s, d), 512),
     "paired_totals": lambda s, d: compare.totals(compare.summary(_pairs(s, d)).withColumn("compared", F.when(F.col("pair") % 4 == 0, F.floor(F.col("compared") / 2)).otherwise(F.col("compared")))),
     "zip_compare": lambda s, d: tables.joined(*_sides(s, d)).groupBy("pair").agg(F.sum(F.length("a")).alias("compared"), F.count_if(F.col("a") == F.col("b")).alias("equal_chunks")),
+    "digest_summary": digest_summary,
     "unlike_chunks": lambda s, d: tables.unlike_chunks(*_sides(s, d)),
     # pairing
     "pair_records": lambda s, d: pairing.paired(_records(s, d, 0), _records(s, d, 1)),
@@ -492,3 +499,4 @@ ORACLES["unlike_chunks"] = f"select key, chunk from ({_CHUNKED.format(side=0)})
 _TABLE = "select list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as tab"
 _CRC = "xor(list_reduce(list_concat([4294967295], list_transform(regexp_extract_all(hex(encode(bases)), '..'), lambda h: cast(('0x' || h) as bigint))), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)"
 ORACLES["unit_crc"] = f"with t as ({_TABLE}) select doc_id, cast(chunk as int) as chunk, cast(chunk * 4096 as bigint) as start, cast(length(bases) as int) as n, {_CRC} as crc32 from (select doc_id, chunk, substr(text, chunk * 4096 + 1, 4096) as bases from (select doc_id, text, unnest(range(0, (length(text) + 4095) // 4096)) as chunk from documents)), t"
+ORACLES["digest_summary"] = f"select * from ({ORACLES['diff_summary']}) where length_a > 0 and length_b > 0"
