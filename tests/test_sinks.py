@@ -1,7 +1,7 @@
 import pytest
 from strandspark.functions import checks
 from strandspark.operators import sequences
-from strandspark.sources import fasta, sinks
+from strandspark.sources import fasta, ranges, sinks
 
 
 def test_reasons():
@@ -33,7 +33,7 @@ def test_room(spark, tmp_path):
 
 def test_index_round_trip(spark, tmp_path):
     (tmp_path / "x.fa").write_bytes(b'>one "quoted" \\ header\nACGT\nAC\n>two\n\n>three\nA\n')
-    found = fasta.records(fasta.placed(fasta.lines(spark, str(tmp_path / "x.fa"))))
+    found = ranges.records(ranges.placed(spark, str(tmp_path / "x.fa")))
     fasta.write_index(found, str(tmp_path / "index"))
     back = fasta.read_index(spark, str(tmp_path / "index")).orderBy("rec").collect()
     assert [(r["rec"], r["start"], r["length"], r["header"]) for r in back] == [(1, 0, 6, 'one "quoted" \\ header'), (2, 6, 0, "two"), (3, 6, 1, "three")]
