@@ -489,7 +489,7 @@ ORACLES["model_agreement"] = f"select label as a, case when gc > 0.5 then 'zone'
 ORACLES["unwrapped_counts"] = ORACLES["fasta_counts"]
 ORACLES["chunk_first_invalid"] = ORACLES["first_invalid_positions"]
 ORACLES["fasta_patterns"] = f"select pattern, strand, cast(sum(n) as bigint) as n from ({ORACLES['pattern_count'].replace('from documents where length(text) > 0', 'from (select lang, regexp_replace(text, ' + chr(39) + '[^A-Za-z]' + chr(39) + ', ' + chr(39) * 2 + ', ' + chr(39) + 'g' + chr(39) + ') as text from documents) where length(text) > 0')}) group by 1, 2"
-ORACLES["chunk_positions"] = f"select doc_id, pos from (select doc_id, pos, row_number() over (partition by doc_id order by pos) as n from (select doc_id, t, unnest(range(0, length(t) - {_WIDE - 1})) as pos from (select doc_id, upper(text) as t from ({_MADE}))) where substr(t, pos + 1, {_WIDE}) = '{generators.PLANTED}') where n <= 3"
+ORACLES["chunk_positions"] = f"select doc_id, pos from (select doc_id, pos, row_number() over (partition by doc_id order by pos) as n from (select doc_id, pos, upper(string_agg(symbol, '') over (partition by doc_id order by pos rows between current row and {_WIDE - 1} following)) as seen from (select doc_id, pos, {_SYMBOL} as symbol from (select doc_id, n_chars as n, unnest(range(0, n_chars)) as pos from documents))) where seen = '{generators.PLANTED}') where n <= 3"
 ORACLES["silent_workers"] = f"select user_id, last, last + {SILENCE} as lost_at from (select user_id, start as last, lead(start) over (partition by user_id order by start) as next from ({LOG})) where coalesce(next, {UNTIL}) - last >= {SILENCE}"
 _DAYS = "datediff('day', date '1970-01-01', cast({} as date))"
 ORACLES["unfinished_tasks"] = f"select o_orderkey as task, o_custkey as worker, {_DAYS.format('o_orderdate')} + 60 as due from orders left join (select l_orderkey, max({_DAYS.format('l_shipdate')}) as ended from lineitem where l_orderkey % 10 <> 7 group by 1) on l_orderkey = o_orderkey where {_DAYS.format('o_orderdate')} + 60 <= {JUDGED} and (ended is null or ended > {_DAYS.format('o_orderdate')} + 60)"
