@@ -40,7 +40,10 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, ids): the token ids of every text that is left, none for null and empty texts."""
+    """(doc_id, ids): the token ids of every text that is left, none for null and empty texts.
+
+    One row for each row, repeated or without a doc_id or not; other columns are left out, whatever their names.
+    """
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
