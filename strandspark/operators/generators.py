@@ -141,7 +141,8 @@ def sequences(df: DataFrame, key: str, length: str, unit: int = 1024, seed: int
                 shift = k % PRIME * 1_000_003 % PRIME
                 draw = draws(at + shift, seed, 4)
                 codes = np.frombuffer(BASES.encode(), np.uint8)[draw % 4]
-                stretch = draws(at // 256 + shift, seed, 5) % 20
+                stretches = np.arange(at[0] >> 8, (at[-1] >> 8) + 1)
+                stretch = (draws(stretches + shift, seed, 5) % 20)[(at >> 8) - stretches[0]]
                 codes = np.where((stretch >= 17) & (draw % 5 > 0), np.where(at % 2 == 0, ord("C"), ord("G")), codes)
                 codes = np.where(stretch == 0, ord("N"), np.where(stretch < 3, codes + 32, codes))
                 place = (at + before) % unit
