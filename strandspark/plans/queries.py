@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import symbols, texts
 from ..operators import compare, composition, generators, halos, intervals, measurement, pairing, patterns, quantised, sequences
-from ..sources import fasta, ranges, tables
+from ..sources import fasta, planted, ranges, tables
 from ..sources.folders import shared
 from ..streaming import monitors, timers
 
@@ -174,6 +175,20 @@ def planted_sequences(spark, d):
     return counts.join(hits, "doc_id")
 
 
+def planted_files(spark, d):
+    """What readers find in planted FASTA files of each variant, for each document five records with its number of symbols."""
+    records = planted.weighted(_docs(spark, d), "doc_id", "n_chars")
+
+    def found(variant: str) -> DataFrame:
+        path = f"{shared(spark)}/planted-{variant}-{uuid.uuid4().hex}"
+        planted.written(records, path, variant)
+        read = ranges.chunks(ranges.placed(spark, path, 1 << 20), planted.UNIT)
+        keyed = read.select(F.concat_ws("#", "file", "rec").alias("key"), "chunk", "start", F.col("bases").cast("string").alias("bases"))
+        return planted.answers(keyed).select(F.lit(variant).alias("variant"), "*")
+
+    return reduce(DataFrame.unionByName, map(found, planted.VARIANTS))
+
+
 def _keyed_pairs(spark, d):
     """Documents as pairs with keys of all kinds: numbers, X, Y, MT, other names, and pairs by length."""
     n = F.pmod("doc_id", F.lit(40))
@@ -293,6 +308,7 @@ QUERIES = {
     "consolidate_patterns": lambda s, d: measurement.consolidated(patterns.pattern_counts(_docs(s, d), "text", ["GAT", "ATA"], ("lang",)).where("strand = '+'"), patterns.pattern_positions(_docs(s, d), "doc_id", "text", "GAT", 10).withColumn("pattern", F.lit("GAT")), "pattern", ["doc_id", "pos"], 10),
     # generators
     "planted_sequences": planted_sequences,
+    "planted_files": planted_files,
     "error_sweep": lambda s, d: generators.error_sweep(_docs(s, d).select("doc_id", F.regexp_replace("text", "[^ACGTacgt]", "").alias("text")), "doc_id", "text", 2000),
     "inject_errors": lambda s, d: generators.with_errors(_docs(s, d), "doc_id", "text", "mixed", 2000),
     "mutate_pair": lambda s, d: generators.mutations(_docs(s, d), "doc_id", "text", 3),
@@ -476,6 +492,12 @@ _SYMBOL = f"""case when (pos + {_HALF}) % 1024 < {_WIDE} and pos + {_HALF} >= 10
  when {_draw('(pos // 256 + doc_id * 1000003)', 1234, 5)} % 20 >= 17 and {_draw('(pos + doc_id * 1000003)', 1234, 4)} % 5 > 0 then substr('CG', pos % 2 + 1, 1) else substr('ACGT', {_draw('(pos + doc_id * 1000003)', 1234, 4)} % 4 + 1, 1) end"""
 _MADE = f"select doc_id, string_agg({_SYMBOL}, '' order by pos) as text from (select doc_id, n_chars as n, unnest(range(0, n_chars)) as pos from documents) group by 1"
 ORACLES["planted_sequences"] = f"select doc_id, {_count('Aa')} as n_a, {_count('Cc')} as n_c, {_count('Gg')} as n_g, {_count('Tt')} as n_t, {_count('Nn')} as n_unknown, (length(text) - length(replace(upper(text), '{generators.PLANTED}', ''))) // {_WIDE} as planted from ({_MADE})"
+_TAIL, _HEAD = generators.PLANTED[:_HALF], generators.PLANTED[_HALF:]
+_ODD = f"{_draw('(pos + doc_id * 1000003)', 1234, 6)} % {planted.ODD}"
+_IN_FILE = f"case when n - pos <= {_HALF} and n % 1024 <> 0 and pos // 1024 = (n - 1) // 1024 then substr('{_TAIL}', {_HALF} + 1 - (n - pos), 1) when pos < {len(_HEAD)} then substr('{_HEAD}', pos + 1, 1) when {_ODD} = 0 then 'R' when {_ODD} = 1 then '*' else {_SYMBOL} end"
+_SHARED = "select doc_id * {} + place as doc_id, greatest(7, n_chars * share // 100) as n from documents, (values {}) s(place, share) where n_chars is not null".format(len(planted.SHARES), ", ".join(f"({k}, {s})" for k, s in enumerate(planted.SHARES)))
+_FILED = f"select string_agg({_IN_FILE}, '' order by pos) as text from (select doc_id, n, unnest(range(0, n)) as pos from ({_SHARED})) group by doc_id"
+ORACLES["planted_files"] = f"""select variant, n_records, n_a, n_c, n_g, n_t, n_unknown, n_ambiguous, n_invalid, planted from (select count(*) as n_records, cast(sum((length(text) - length(replace(upper(text), '{generators.PLANTED}', ''))) // {_WIDE}) as bigint) as planted, {COUNTS} from ({_FILED})), (values {', '.join(f"('{v}')" for v in planted.VARIANTS)}) v(variant)"""
 ZONES = (
     """select doc_id, start, n_c, n_g, n_cg, gc, obs_exp, evaluable, case when not evaluable then 'not_evaluable' when gc > 0.5 and obs_exp > 0.6 then 'zone' else 'background' end as label from (
  select doc_id, start, n_c, n_g, n_cg, evaluable, round((n_c + n_g) / 40.0::double, 6) as gc, case when n_c > 0 and n_g > 0 then round(n_cg * 40 / (n_c * n_g)::double, 6) else 0.0::double end as obs_exp from (
