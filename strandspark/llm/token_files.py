@@ -5,8 +5,9 @@ hash. A file is ``TIDS1``, the hash, the width of an id (2 or 4 bytes, little-en
 then for each document doc_id, number of ids and offset of its frame (negative where the doc_id is null), and at the very end
 the number of documents and where the index begins. So one document is read by its index entry and its frame alone.
 
-Tasks write whole files under names that depend on the data alone and move them into place, so a repeated task or a lost
-executor leaves the same files. The folder is in the shared file system, by its URI.
+Each attempt of a task writes files of its own names, and the manifest, which Spark's committer makes, names those of the
+attempts that count: a repeated task or a lost executor leaves files that nobody reads. The folder is in the shared file system,
+by its URI.
 """
 
 from __future__ import annotations
@@ -138,7 +139,8 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = 0, text_bytes:
     Returns the manifest: (file, n_docs, n_tokens, least, most, part, number): part and number ascend as doc_id does, which
     is from least to most in a file. Null texts count as empty and hold the end id alone; null doc_ids come first; rows that
     share a doc_id follow each other by a hash of their texts, equal rows in any order. Files hold about ``text_bytes`` of
-    text, or one longer document. The folder is in Spark's file system; a store that pyarrow can't open is an error.
+    text, or one longer document. Each attempt of a task writes files of its own names; the manifest names those of the attempts
+    that count, others are never read. The folder is in Spark's file system; a store that pyarrow can't open is an error.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -157,16 +159,13 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = 0, text_bytes:
 
     def run(batches):
         own, base = opened(folder)
-        task = TaskContext.get()
-        part, number, held, chunked = task.partitionId(), 0, 0, library(path)
+        part, number, held, chunked = TaskContext.get().partitionId(), 0, 0, library(path)
         waiting: list[tuple[int | None, bytes]] = []
 
         def flush():
-            name, tokens = f"{part:06d}-{number:05d}.ids", sum(len(i) // 4 for _, i in waiting)
-            temporary = f"{base}/.{name}-{task.taskAttemptId()}-{uuid.uuid4().hex}"
-            with own.open_output_stream(temporary) as f:
+            name, tokens = f"{part:06d}-{number:05d}-{uuid.uuid4().hex}.ids", sum(len(i) // 4 for _, i in waiting)
+            with own.open_output_stream(f"{base}/{name}") as f:
                 f.write(packed(waiting, sent.value, width))
-            own.move(temporary, f"{base}/{name}")
             known = [i for i, _ in waiting if i is not None]
             return pa.RecordBatch.from_pydict({"file": [name], "n_docs": [len(waiting)], "n_tokens": [tokens], "least": pa.array(known[:1] or [None], pa.int64()), "most": pa.array(known[-1:] or [None], pa.int64()), "part": [part], "number": [number]})
 
@@ -198,15 +197,19 @@ def _dictionary(folder: str) -> bytes:
         return f.read()
 
 
-def read(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
+def read(spark: SparkSession, folder: str, manifest: DataFrame, most: int = 100_000) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document in the files of ``manifest``, from the files alone.
 
-    start counts the ids of all documents before it. The running sum is over one row a file; a task reads whole files.
+    start counts the ids of all documents before it. The running sum is over one row a file. A task reads whole files, one as
+    long as there are no more than ``most``; beyond that all tasks have about as many.
     """
     folder = qualified(spark, folder)
     dictionary = spark.sparkContext.broadcast(_dictionary(folder))
     before = F.sum("n_tokens").over(Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1))
-    starts = manifest.select("file", F.coalesce(before, F.lit(0)).alias("before"))
+    files = max(1, manifest.count())
+    tasks = min(files, most)
+    turn = F.row_number().over(Window.orderBy("part", "number")) - 1
+    starts = manifest.select("file", F.coalesce(before, F.lit(0)).alias("before"), F.floor(turn * F.lit(tasks).cast("long") / files).cast("int").alias("task"))
 
     def run(batches):
         own, base = opened(folder)
@@ -219,7 +222,7 @@ def read(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
                 ids = pa.array(reader.entries[:, 0], pa.int64(), mask=reader.null)
                 yield pa.RecordBatch.from_arrays([ids, pa.array(before + np.cumsum(n) - n, pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return starts.repartition(max(1, manifest.count()), "file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return starts.repartitionById(tasks, F.col("task")).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def document(spark: SparkSession, folder: str, manifest: DataFrame, doc_id: int) -> list[np.ndarray]:
