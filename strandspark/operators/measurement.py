@@ -57,6 +57,17 @@ def agreement(results: DataFrame, by: list[str], label: str, value: str) -> Data
     return seen.groupBy(*by).agg((F.count_if("_other") == 0).alias("same"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("_other"), F.col(label).cast("string")))), ",").alias("dissenters"))
 
 
+def digest(df: DataFrame) -> DataFrame:
+    """(rows, digest): one row that is the same for the same rows in any order and any partitioning; floats count to six digits.
+
+    Column names don't matter, their order does; repeated rows count as often as they stand.
+    """
+    columns = [F.round(f"`{f.name}`", 6) if f.dataType.typeName() in ("double", "float") else F.col(f"`{f.name}`") for f in df.schema]
+    own = F.xxhash64(F.to_json(F.struct(*(c.alias(f"c{k}") for k, c in enumerate(columns))), {"ignoreNullFields": "false"}))
+    sums = F.coalesce(F.bit_xor(own), F.lit(0)), F.coalesce(F.sum(F.shiftright(own, 16)), F.lit(0))
+    return df.agg(F.count("*").alias("rows"), F.xxhash64(*sums).alias("digest"))
+
+
 def consolidated(totals: DataFrame, found: DataFrame, key: str, order: list[str], k: int = 1000) -> DataFrame:
     """(key, total, *order): the sum of what all parts of an operation counted (key, n), with the first ``k`` places of each key.
 
