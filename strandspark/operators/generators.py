@@ -16,15 +16,42 @@ from .composition import symbol_counts
 # The alphabets that each kind of error draws from.
 ALPHABETS = {"letters": "XZJOQE", "digits": "0123456789", "symbols": "@#$%*?", "spaces": " \t"}
 ALPHABETS["mixed"] = "".join(ALPHABETS.values())
-PRIME, FACTOR = 2_147_483_647, 48_271
+PRIME, FACTOR = 2_147_483_647, 48_271  # 2**31 - 1, on which ``draws`` relies
 
 
 def draws(position: np.ndarray, seed: int, salt: int) -> np.ndarray:
     """Numbers below 2**31 - 1 that look random, from positions: three steps of a multiplicative generator."""
-    x = (position + seed * 7919 + salt * 104_729) % PRIME
+    position = position + (seed * 7919 + salt * 104_729)
+    x = _remainders((position % PRIME if position.size and position.min() < 0 else position).astype(np.uint64), 2)
     for _ in range(3):
-        x = (x * FACTOR + 12_345) % PRIME
-    return x
+        x *= np.uint64(FACTOR)
+        x += np.uint64(12_345)
+        _remainders(x, 1)
+    return x.view(np.int64)
+
+
+def _remainders(x: np.ndarray, folds: int) -> np.ndarray:
+    """``x`` modulo 2**31 - 1 in place, without a division: bits above add to those below, and what is still too large wraps around.
+
+    One fold is enough below 2**61, two for all.
+    """
+    above = np.empty_like(x)
+    for _ in range(folds):
+        np.right_shift(x, np.uint64(31), out=above)
+        x &= np.uint64(PRIME)
+        x += above
+    np.subtract(x, np.uint64(PRIME), out=above)
+    return np.minimum(x, above, out=x)
+
+
+def texts_of(codes: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """A text column of ASCII symbols, ``offsets`` of its rows in them."""
+    return pa.Array.from_buffers(pa.string(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(codes))])
+
+
+def shifts(keys: np.ndarray) -> np.ndarray:
+    """What sets the positions of sequences with these keys apart."""
+    return keys % PRIME * 1_000_003 % PRIME
 
 
 def _places(key: int, n: int) -> np.ndarray:
@@ -119,6 +146,8 @@ def mutations(df: DataFrame, key: str, text: str, n: int, seed: int = 1234) -> D
 
 #: A pattern that stands across every border of two units, so that a count that loses borders is wrong.
 PLANTED = "GATTACA"
+#: So many symbols are made at once.
+PART = 1 << 18
 
 
 def sequences(df: DataFrame, key: str, length: str, unit: int = 1024, seed: int = 1234) -> DataFrame:
@@ -126,29 +155,45 @@ def sequences(df: DataFrame, key: str, length: str, unit: int = 1024, seed: int
 
     Bases are drawn by position; of twenty stretches of 256 symbols about one is unknown (N), two are lower case, and three are
     islands, mostly C and G in turn; the
-    pattern PLANTED stands across every border of units inside a sequence, in upper case.
+    pattern PLANTED stands across every border of units inside a sequence, in upper case. Units are made PART symbols at once.
     """
     numbers = F.when(F.col(length) > 0, F.sequence(F.lit(0).cast("long"), F.floor((F.col(length) - 1) / unit).cast("long"))).otherwise(F.array().cast("array<long>"))
     each = df.select(F.col(key).alias("_key"), F.col(length).cast("long").alias("_n"), F.explode(numbers).alias("_chunk"))
     planted = np.frombuffer(PLANTED.encode(), np.uint8)
-    before = len(planted) // 2
+    letters = np.frombuffer(BASES.encode(), np.uint8)
+    before, together = len(planted) // 2, max(1, PART // unit)
+    edges = np.flatnonzero((np.arange(unit) + before) % unit < len(planted))  # of a unit, where the pattern can stand
+
+    def made(keys, n, chunk):
+        """Symbols of several units side by side, and the offsets of these."""
+        first, shift = chunk * unit, shifts(keys)
+        size = np.minimum(n, first + unit) - first
+        offsets = np.append(0, np.cumsum(size))
+        at = np.arange(offsets[-1]) + np.repeat(first - offsets[:-1], size)
+        draw = draws(at + np.repeat(shift, size), seed, 4)
+        codes = letters[draw & 3]
+        low, many = first >> 8, ((first + size - 1) >> 8) - (first >> 8) + 1
+        number = np.arange(many.sum()) + np.repeat(low - (np.cumsum(many) - many), many)
+        kind = (draws(number + np.repeat(shift, many), seed, 5) % 20).astype(np.uint8)
+        here = np.minimum(np.repeat(first + size, many), number + 1 << 8) - np.maximum(np.repeat(first, many), number << 8)
+        stretch = np.repeat(kind, here)
+        island = np.flatnonzero(stretch >= 17)
+        island = island[draw[island] % 5 > 0]
+        codes[island] = np.where(at[island] & 1 == 0, np.uint8(ord("C")), np.uint8(ord("G")))
+        codes += (stretch < 3) * np.uint8(32)
+        codes[stretch == 0] = ord("N")
+        row, column = np.nonzero(edges < size[:, None])
+        at = first[row] + edges[column]
+        place = (at + before) % unit
+        held = (place < len(planted)) & (at + before >= unit) & (at - place + len(planted) <= n[row])
+        codes[(offsets[row] + edges[column])[held]] = planted[place[held]]
+        return codes, offsets
 
     def run(batches):
         for batch in batches:
-            out = []
-            for k, n, chunk in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-                at = np.arange(chunk * unit, min(n, (chunk + 1) * unit), dtype=np.int64)
-                shift = k % PRIME * 1_000_003 % PRIME
-                draw = draws(at + shift, seed, 4)
-                codes = np.frombuffer(BASES.encode(), np.uint8)[draw % 4]
-                stretches = np.arange(at[0] >> 8, (at[-1] >> 8) + 1)
-                stretch = (draws(stretches + shift, seed, 5) % 20)[(at >> 8) - stretches[0]]
-                codes = np.where((stretch >= 17) & (draw % 5 > 0), np.where(at % 2 == 0, ord("C"), ord("G")), codes)
-                codes = np.where(stretch == 0, ord("N"), np.where(stretch < 3, codes + 32, codes))
-                place = (at + before) % unit
-                on = (place < len(planted)) & (at + before >= unit) & (at - place + len(planted) <= n)
-                codes[on] = planted[place[on]]
-                out.append(codes.astype(np.uint8).tobytes().decode())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:1], batch.column(2), pa.array([c * unit for c in batch.column(2).to_pylist()], pa.int64()), pa.array(out, pa.string())], ["key", "chunk", "start", "bases"])
+            for row in range(0, batch.num_rows, together):
+                part = batch.slice(row, together)
+                keys, n, chunk = (part.column(c).to_numpy().astype(np.int64) for c in range(3))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(chunk * unit, pa.int64()), texts_of(*made(keys, n, chunk))], ["key", "chunk", "start", "bases"])
 
     return each.where("_key is not null").mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, chunk long, start long, bases string")
