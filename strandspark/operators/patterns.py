@@ -6,6 +6,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,16 +107,35 @@ def pattern_positions(df: DataFrame, key: str, text: str, pattern: str, k: int)
 def window_sums(codes: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(n_c, n_g, n_cg, evaluable) of the windows of ``width`` code points at ``starts``: differences of running sums."""
     is_c, is_g = (codes == 67) | (codes == 99), (codes == 71) | (codes == 103)
-    base = is_c | is_g | np.isin(codes, (65, 97, 84, 116))
-    total = lambda x, n=width: (c := np.append(0, np.cumsum(x)))[starts + n] - c[starts]
+    base = is_c | is_g | (codes == 65) | (codes == 97) | (codes == 84) | (codes == 116)
+    total = lambda x, n=width: (c := np.append(np.int64(0), np.cumsum(x)))[starts + n] - c[starts]
     return total(is_c), total(is_g), total(np.append(is_c[:-1] & is_g[1:], False), width - 1), total(base) == width
 
 
-def window_starts(length: int, first: int, border: int | None, width: int, step: int) -> np.ndarray:
-    """Where windows of a text begin that is at ``first`` of its sequence: at multiples of ``step``; with a border only those over it."""
-    low = 0 if border is None else max(0, border - width + 1)
-    high = length - width + 1 if border is None else min(border, length - width + 1)
-    return np.arange(low + -(first + low) % step, high, step)
+def window_starts(length: np.ndarray, first: np.ndarray, border: np.ndarray, width: int, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, start) of the windows of texts that are at ``first`` of their sequences: at multiples of ``step``; with a border (else -1) only those over it."""
+    low = np.where(border < 0, 0, np.maximum(0, border - width + 1))
+    high = np.where(border < 0, length - width + 1, np.minimum(border, length - width + 1))
+    begin = low + -(first + low) % step
+    many = np.maximum(0, -(-(high - begin) // step))
+    row = np.repeat(np.arange(len(many)), many)
+    return row, begin[row] + step * (np.arange(len(row)) - (np.cumsum(many) - many)[row])
+
+
+def _window_parts(batch: pa.RecordBatch, width: int, step: int):
+    """For parts of a batch (key, text, first, border): its first and end row, and (row, start, n_c, n_g, n_cg, evaluable) of all windows there.
+
+    Texts of a part, some hundred KB, stand side by side, so that their windows are summed at once.
+    """
+    first = batch.column(2).to_numpy(zero_copy_only=False)
+    border = batch.column(3).fill_null(-1).to_numpy(zero_copy_only=False)
+    for row, end, codes, offsets in rows_of_bytes(batch.column(1), 1 << 18):
+        if (codes >= 128).any():
+            codes = points(codes.tobytes().decode("utf-8", "surrogatepass"))
+            offsets = np.append(0, np.cumsum(pc.fill_null(pc.utf8_length(batch.column(1).slice(row, end - row)), 0).to_numpy(zero_copy_only=False)))
+        own, starts = window_starts(np.diff(offsets), first[row:end], border[row:end], width, step)
+        if len(own):
+            yield row, end, (own, starts + first[row:end][own], *window_sums(codes, offsets[own] + starts, width))
 
 
 def windowed(width: int, step: int):
@@ -126,16 +146,8 @@ def windowed(width: int, step: int):
 
     def run(batches):
         for batch in batches:
-            found: list[list[np.ndarray]] = [[] for _ in range(6)]
-            for row, (text, first, border) in enumerate(zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True)):
-                t = points(text)
-                starts = window_starts(len(t), first, border, width, step)
-                if len(starts):
-                    for k, x in enumerate((np.full(len(starts), row), starts + first, *window_sums(t, starts, width))):
-                        found[k].append(x)
-            if found[0]:
-                columns = [np.concatenate(x) for x in found]
-                arrays = [batch.column(0).take(pa.array(columns[0])), *(pa.array(x, pa.int64()) for x in columns[1:5]), pa.array(columns[5], pa.bool_())]
+            for row, end, (own, starts, *counts, evaluable) in _window_parts(batch, width, step):
+                arrays = [batch.column(0).slice(row, end - row).take(pa.array(own)), *(pa.array(x, pa.int64()) for x in (starts, *counts)), pa.array(evaluable, pa.bool_())]
                 yield pa.RecordBatch.from_arrays(arrays, [batch.schema.names[0], "start", "n_c", "n_g", "n_cg", "evaluable"])
 
     return run
@@ -157,18 +169,12 @@ def zoned(width: int, step: int):
 
     def run(batches):
         for batch in batches:
-            counts = np.zeros((3, batch.num_rows), np.int64)
-            for row, (text, first, border) in enumerate(zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True)):
-                t = points(text)
-                starts = window_starts(len(t), first, border, width, step)
-                if not len(starts):
-                    continue
-                n_c, n_g, n_cg, evaluable = window_sums(t, starts, width)
+            for row, end, (own, _, n_c, n_g, n_cg, evaluable) in _window_parts(batch, width, step):
                 both = np.maximum(n_c * n_g, 1)
                 zone = evaluable & (np.round((n_c + n_g) / width, 6) > 0.5) & (n_c > 0) & (n_g > 0) & (np.round(n_cg * width / both, 6) > 0.6)
-                counts[:, row] = evaluable.sum(), (~evaluable).sum(), zone.sum()
-            some = np.flatnonzero(counts.any(axis=0))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)), *(pa.array(c[some], pa.int64()) for c in counts)], [batch.schema.names[0], "evaluated", "not_evaluable", "zones"])
+                counts = [np.bincount(own[x], minlength=end - row) for x in (evaluable, ~evaluable, zone)]
+                some = np.unique(own)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row).take(pa.array(some)), *(pa.array(c[some], pa.int64()) for c in counts)], [batch.schema.names[0], "evaluated", "not_evaluable", "zones"])
 
     return run
 

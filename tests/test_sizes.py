@@ -5,6 +5,7 @@ import io
 import numpy as np
 import pyarrow as pa
 from strandspark.operators import generators
+from strandspark.operators import patterns
 
 
 def test_units_made_side_by_side_are_those_made_alone(spark):
@@ -19,3 +20,14 @@ def test_units_made_side_by_side_are_those_made_alone(spark):
     together = generators.sequences(spark.createDataFrame(rows, "k long, n long").coalesce(1), "k", "n", 300).collect()
     alone = [r for row in rows for r in generators.sequences(spark.createDataFrame([row], "k long, n long"), "k", "n", 300).collect()]
     assert sorted(together) == sorted(alone) and sum(len(r["bases"]) for r in together) == 701_031
+
+
+def batch_of_chunks(many):
+    text = pa.array(["ACGTTGCAACCGGNTT" * 64] * many)
+    return pa.RecordBatch.from_arrays([pa.array(range(many), pa.int64()), text, pa.array([0] * many, pa.int64()), pa.nulls(many, pa.int64())], ["key", "t", "first", "border"])
+
+
+def test_zones_are_counted_in_parts():
+    """Of 2000 chunks no more than 256 KB are worked on at once; before, all that Spark hands over."""
+    parts = list(patterns.zoned(40, 20)([batch_of_chunks(2000)]))
+    assert len(parts) > 4 and max(p.num_rows for p in parts) <= 256 and sum(p.num_rows for p in parts) == 2000
