@@ -31,3 +31,9 @@ def test_zones_are_counted_in_parts():
     """Of 2000 chunks no more than 256 KB are worked on at once; before, all that Spark hands over."""
     parts = list(patterns.zoned(40, 20)([batch_of_chunks(2000)]))
     assert len(parts) > 4 and max(p.num_rows for p in parts) <= 256 and sum(p.num_rows for p in parts) == 2000
+
+
+def test_windows_leave_in_parts():
+    """What a worker holds of windows follows from 256 KB of text, not from the rows that Spark hands over."""
+    parts = list(patterns.windowed(40, 20)([batch_of_chunks(2000)]))
+    assert len(parts) > 4 and max(p.num_rows for p in parts) <= 256 * 50 and sum(p.num_rows for p in parts) == 2000 * 50
