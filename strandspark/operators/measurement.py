@@ -136,9 +136,9 @@ def power_energy(samples: DataFrame, by: list[str], order: str, power: str) -> D
     return previous(slim, by, ["_o"], ["_x", "_y"]).withColumn("_a", area).groupBy(*by).agg(F.sum("_a").alias("energy"))
 
 
-def model_agreement(df: DataFrame, a: str, b: str) -> DataFrame:
-    """(a, b, n): how often two models say what."""
-    return df.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n"))
+def model_agreement(df: DataFrame, a: str, b: str, n: str | None = None) -> DataFrame:
+    """(a, b, n): how often two models say what; ``n``: a column that says for how many a row stands."""
+    return df.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg((F.sum(n) if n else F.count("*")).alias("n"))
 
 
 def evidence(df: DataFrame, criterion: str, platform: str, platforms: list[str], value: str) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -191,27 +193,66 @@ def labelled(counted: DataFrame, width: int) -> DataFrame:
     return out.withColumn("label", F.when(~F.col("evaluable"), "not_evaluable").when((F.col("gc") > 0.5) & (F.col("obs_exp") > 0.6), "zone").otherwise("background"))
 
 
-def fitted(windows: DataFrame, width: int, sample: int = 20_000, rounds: int = 100):
+#: What a window's label and features follow from.
+COMPOSITION = ["n_c", "n_g", "n_cg", "evaluable"]
+
+
+def census(windows: DataFrame, width: int) -> DataFrame:
+    """(n_c, n_g, n_cg, evaluable, n, gc, obs_exp, label): how many of all windows have each composition. Written when it is called.
+
+    There are at most 2 * (width + 1) ** 3 compositions, however many windows; labels and predictions are made once for each.
+    """
+    path = f"{shared(windows.sparkSession)}/census-{uuid.uuid4().hex}"
+    labelled(windows.groupBy(*COMPOSITION).agg(F.count("*").alias("n")), width).write.parquet(path)
+    return windows.sparkSession.read.parquet(path)
+
+
+def _featured(windows: DataFrame, width: int) -> DataFrame:
+    """Windows that are evaluable with truth and features."""
+    seen = windows.where("evaluable").withColumn("truth", (F.col("label") == "zone").cast("double"))
+    return seen.select("*", *((F.col(c) / width).alias(f"_{c}") for c in ("n_c", "n_g", "n_cg")), (F.col("n_c") * F.col("n_g") / (width * width)).alias("_product"))
+
+
+def _assembled(seen: DataFrame) -> DataFrame:
+    from pyspark.ml.feature import VectorAssembler
+
+    return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(seen)
+
+
+def fitted(windows: DataFrame, width: int, sample: int = 20_000, rounds: int = 100, known: DataFrame | None = None):
     """(ready, net, labels, chosen): evaluable windows with features and truth, a small dense network trained on ``chosen``, and the labels seen there.
 
     It learns from at most ``sample`` windows, half of them zones where there are so many, those with the smallest hashes of
-    key and start. Without both labels there is no network. Trains when it is called.
+    key and start. Without both labels there is no network. Trains when it is called; goes over all windows once, or twice
+    where their census isn't ``known``: from how many have a label follows under which hash the smallest are, and few are sorted.
     """
     from pyspark.ml.classification import MultilayerPerceptronClassifier
-    from pyspark.ml.feature import VectorAssembler
 
-    key = windows.columns[0]
-    seen = windows.where("evaluable").withColumn("truth", (F.col("label") == "zone").cast("double"))
-    seen = seen.select("*", *((F.col(c) / width).alias(f"_{c}") for c in ("n_c", "n_g", "n_cg")), (F.col("n_c") * F.col("n_g") / (width * width)).alias("_product"))
-    ready = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(seen)
-    order = [F.xxhash64(key, "start"), key, "start"]
-    halves = [ready.where(F.col("truth") == t).select("features", "truth", *FEATURES, key, "start").orderBy(*order).limit(sample // 2) for t in (0.0, 1.0)]
-    chosen = halves[0].unionByName(halves[1]).select("features", "truth", *FEATURES)
-    # Written once: choosing goes over all windows, training over the chosen ones many times.
+    key, half = windows.columns[0], sample // 2
+    seen = _featured(windows, width)
+    known = census(windows, width) if known is None else known
+    totals = {r["truth"]: r["n"] for r in _featured(known, width).groupBy("truth").agg(F.sum("n").alias("n")).collect()}
+    place = F.xxhash64(key, "start")
+
+    def kept(bounds: dict[float, int | None]) -> DataFrame:
+        some = seen if None in bounds.values() else seen.where(place < max(bounds.values(), default=0))
+        under = reduce(or_, ((F.col("truth") == t) & (F.lit(True) if b is None else place < b) for t, b in bounds.items()), F.lit(False))
+        path = f"{shared(windows.sparkSession)}/windows-{uuid.uuid4().hex}"
+        some.where(under).select("truth", *FEATURES, key, "start").write.parquet(path)
+        return windows.sparkSession.read.parquet(path)
+
+    # Twice as many as are asked for, so that chance leaves enough.
+    near = {t: None if n <= 2 * half + 1000 else -(1 << 63) + (2 * half + 1000) * (1 << 64) // n for t, n in totals.items()}
+    few = kept(near)
+    got = {r["truth"]: r["n"] for r in few.groupBy("truth").agg(F.count("*").alias("n")).collect()}
+    if any(got.get(t, 0) < min(half, n) for t, n in totals.items()):  # hashes of repeated keys lie together
+        few = kept(dict.fromkeys(totals))
+    halves = [few.where(F.col("truth") == t).orderBy(place, key, "start").limit(half) for t in (0.0, 1.0)]
+    # Written once: training goes over the chosen ones many times.
     path = f"{shared(windows.sparkSession)}/windows-{uuid.uuid4().hex}"
-    chosen.write.parquet(path)
+    _assembled(halves[0].unionByName(halves[1])).select("features", "truth", *FEATURES).write.parquet(path)
     chosen = windows.sparkSession.read.parquet(path)
-    labels = [r["truth"] for r in chosen.select("truth").distinct().collect()]
+    ready, labels = _assembled(seen), sorted(totals)
     if len(labels) < 2:
         return ready, None, labels, chosen
     return ready, MultilayerPerceptronClassifier(layers=[4, 8, 2], labelCol="truth", seed=1, maxIter=rounds).fit(chosen), labels, chosen
@@ -227,9 +268,20 @@ def classified(windows: DataFrame, width: int, sample: int = 20_000, rounds: int
     Predictions are made by generated code. Without both labels the most frequent one is predicted.
     """
     ready, net, labels, _ = fitted(windows, width, sample, rounds)
+    return _predicted(ready, net, labels).select(*windows.columns, "predicted")
+
+
+def _predicted(ready: DataFrame, net, labels: list[float]) -> DataFrame:
     if net is None:
-        return ready.select(*windows.columns, F.lit("zone" if labels == [1.0] else "background").alias("predicted"))
-    return net.transform(ready).select(*windows.columns, F.when(F.col("prediction") > 0.5, "zone").otherwise("background").alias("predicted"))
+        return ready.withColumn("predicted", F.lit("zone" if labels == [1.0] else "background"))
+    return net.transform(ready).withColumn("predicted", F.when(F.col("prediction") > 0.5, "zone").otherwise("background"))
+
+
+def classified_census(windows: DataFrame, width: int, sample: int = 20_000, rounds: int = 100) -> DataFrame:
+    """What ``classified`` says of all windows, as (n_c, n_g, n_cg, label, predicted, n): each composition is decided once."""
+    known = census(windows, width)
+    _, net, labels, _ = fitted(windows, width, sample, rounds, known)
+    return _predicted(_assembled(_featured(known, width)), net, labels).select("n_c", "n_g", "n_cg", "label", "predicted", "n")
 
 
 def first_zones(windows: DataFrame, key: str, k: int) -> DataFrame:

@@ -4,6 +4,7 @@ import io
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 from strandspark.operators import generators
 from strandspark.operators import patterns
 
@@ -37,3 +38,16 @@ def test_windows_leave_in_parts():
     """What a worker holds of windows follows from 256 KB of text, not from the rows that Spark hands over."""
     parts = list(patterns.windowed(40, 20)([batch_of_chunks(2000)]))
     assert len(parts) > 4 and max(p.num_rows for p in parts) <= 256 * 50 and sum(p.num_rows for p in parts) == 2000 * 50
+
+
+def made_windows(spark):
+    docs = spark.createDataFrame([(k, 3000) for k in range(40)], "doc long, n long")
+    return patterns.windows(generators.sequences(docs, "doc", "n").selectExpr("doc", "bases as text"), "doc", "text", 40, 20)
+
+
+def test_a_census_stands_for_all_windows(spark):
+    windows = made_windows(spark)
+    known = patterns.census(windows, 40)
+    assert known.count() < windows.count() / 2
+    count = lambda df, n: sorted(map(tuple, df.groupBy("label", "gc", "obs_exp").agg(n).collect()))
+    assert count(known, F.sum("n")) == count(windows, F.count("*"))
