@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .patterns import FEATURES, fitted
+from .patterns import FEATURES, _featured, census, fitted
 
 
 def layers_of(weights: np.ndarray, sizes: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -70,12 +70,14 @@ def three_ways(windows: DataFrame, width: int, sample: int = 20_000, rounds: int
     """(rule, network, int8, n): how many evaluable windows each says what of.
 
     The network learns from ``sample`` windows, whose features also give the integers' scales: that bounds what the driver
-    sees. All evaluable windows are decided in their tasks, in batches, and counted there. Without both labels there is no
+    sees. All evaluable windows are counted by composition, each of which is decided once. Without both labels there is no
     network: all three say what the rule says.
     """
-    ready, net, _, chosen = fitted(windows, width, sample, rounds)
+    known = census(windows, width)
+    _, net, _, chosen = fitted(windows, width, sample, rounds, known)
+    ready = _featured(known, width)
     if net is None:
-        return ready.groupBy(F.col("label").alias("rule")).agg(F.count("*").alias("n")).select("rule", F.col("rule").alias("network"), F.col("rule").alias("int8"), "n")
+        return ready.groupBy(F.col("label").alias("rule")).agg(F.sum("n").alias("n")).select("rule", F.col("rule").alias("network"), F.col("rule").alias("int8"), "n")
     layers = layers_of(np.array(net.weights.toArray()), [4, 8, 2])
     seen = chosen.select(*FEATURES).toArrow()
     integers = Int8(layers, np.stack([seen.column(c).to_numpy() for c in FEATURES], axis=1))
@@ -84,8 +86,10 @@ def three_ways(windows: DataFrame, width: int, sample: int = 20_000, rounds: int
         for batch in batches:
             x = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(1, 5)], axis=1).reshape(-1, 4)
             rule = (batch.column(0).to_numpy(zero_copy_only=False) > 0.5).astype(np.int64)
-            codes, n = np.unique(rule * 4 + decided(layers, x) * 2 + integers.decided(x), return_counts=True)
+            codes, whose = np.unique(rule * 4 + decided(layers, x) * 2 + integers.decided(x), return_inverse=True)
+            n = np.zeros(len(codes), np.int64)
+            np.add.at(n, whose, batch.column(5).to_numpy())
             names = np.array(["background", "zone"], object)
             yield pa.RecordBatch.from_arrays([*(pa.array(names[codes >> k & 1], pa.string()) for k in (2, 1, 0)), pa.array(n, pa.int64())], ["rule", "network", "int8", "n"])
 
-    return ready.select("truth", *FEATURES).mapInArrow(run, "rule string, network string, int8 string, n long").groupBy("rule", "network", "int8").agg(F.sum("n").alias("n"))
+    return ready.select("truth", *FEATURES, "n").mapInArrow(run, "rule string, network string, int8 string, n long").groupBy("rule", "network", "int8").agg(F.sum("n").alias("n"))

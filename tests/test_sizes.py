@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from strandspark.operators import generators
 from strandspark.operators import patterns
+from strandspark.operators import quantised
 
 
 def test_units_made_side_by_side_are_those_made_alone(spark):
@@ -64,3 +65,14 @@ def test_a_network_decides_each_composition_once(spark):
     for truth, label in ((0.0, "background"), (1.0, "zone")):
         smallest = order.where(F.col("label") == label).limit(100).selectExpr("n_c / 40", "n_g / 40", "n_cg / 40").collect()
         assert sorted(map(tuple, smallest)) == sorted(map(tuple, chosen.where(F.col("truth") == truth).select("_n_c", "_n_g", "_n_cg").collect()))
+
+
+def test_integers_and_network_decide_compositions(spark):
+    windows = made_windows(spark)
+    _, net, _, chosen = patterns.fitted(windows, 40, 200, known=patterns.census(windows, 40))
+    layers = quantised.layers_of(np.array(net.weights.toArray()), [4, 8, 2])
+    rows = lambda df: np.array([tuple(r) for r in df.select(*patterns.FEATURES).collect()])
+    x, integers = rows(patterns._featured(windows, 40)), quantised.Int8(layers, rows(chosen))
+    got = {tuple(r)[:3]: r["n"] for r in quantised.three_ways(windows, 40, 200).collect()}
+    said = lambda k, name: sum(n for key, n in got.items() if key[k] == name)
+    assert said(1, "zone") == quantised.decided(layers, x).sum() and said(2, "zone") == integers.decided(x).sum() and sum(got.values()) == len(x)
