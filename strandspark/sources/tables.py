@@ -22,12 +22,20 @@ from .folders import shared
 
 #: Bytes of a row group: some hundred chunks of the default size, so that a slice of one sequence reads little else.
 GROUP = 1 << 18
+#: Bytes of text of a bucket: a task that compares two tables reads one of each.
+BUCKET = 32 << 20
+
+
+def buckets_for(*texts: DataFrame, text: str = "text") -> int:
+    """How many buckets tables of these texts that are to meet need: one for each BUCKET bytes of the largest, 8 at least. Counts when it is called."""
+    most = max(t.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0] for t in texts)
+    return max(8, -(-most // BUCKET))
 
 
 def laid_out(chunks: DataFrame, key: str, buckets: int = 8, path: str | None = None, group_bytes: int = GROUP) -> DataFrame:
     """``chunks`` (key, chunk, start, bases) as a bucketed table with ``n`` (symbols) and ``digest``, in ``path`` or the shared folder, written when it is called.
 
-    Tables that are to meet need the same number of buckets; take about one for each 128 MB of the larger one. The table
+    Tables that are to meet need the same number of buckets: ``buckets_for`` says how many. The table
     lives on in the folder; the session's catalog names it. Null keys and repeated chunks are rows like others; an empty
     table has no files.
     """

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from strandspark.operators import generators
 from strandspark.operators import patterns
 from strandspark.operators import quantised
+from strandspark.plans import queries
+from strandspark.sources import tables
 
 
 def test_units_made_side_by_side_are_those_made_alone(spark):
@@ -76,3 +78,12 @@ def test_integers_and_network_decide_compositions(spark):
     got = {tuple(r)[:3]: r["n"] for r in quantised.three_ways(windows, 40, 200).collect()}
     said = lambda k, name: sum(n for key, n in got.items() if key[k] == name)
     assert said(1, "zone") == quantised.decided(layers, x).sum() and said(2, "zone") == integers.decided(x).sum() and sum(got.values()) == len(x)
+
+
+def test_buckets_follow_from_the_size(spark, small, monkeypatch):
+    """A task that compares two prepared tables reads a bucket of each, as large as before where there is more text."""
+    monkeypatch.setattr(tables, "BUCKET", 1 << 12)
+    sides = queries._sides(spark, small)
+    assert sides[0].rdd.getNumPartitions() == sides[1].rdd.getNumPartitions() > 8
+    few = spark.createDataFrame([(1, "ab"), (2, None)], "k long, text string")
+    assert tables.buckets_for(few) == tables.buckets_for(few.where("false")) == 8
