@@ -12,6 +12,7 @@ it: > begins a header. A symbol belongs to the range in which it lies, a header
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,10 +21,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.symbols import header_fields
-from .folders import opened
+from .folders import opened, shared
 
 RANGE = 128 << 20
-BLOCK = 1 << 20
+#: Bytes read at once inside of a range, and first beyond its end.
+BLOCK, BEYOND = 1 << 20, 1 << 12
 PLACED = "file string, number int, first long, last long, header boolean, start long, rec long, in_rec long, next_start long"
 
 
@@ -32,22 +34,35 @@ def ranges(spark: SparkSession, path: str, size: int = RANGE) -> DataFrame:
     listed = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.col("length").alias("_size"))
     cut = listed.where("_size > 0").select("file", "_size", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_size") - 1) / size).cast("long"))).alias("_k"))
     each = cut.select("file", F.col("_k").cast("int").alias("number"), (F.col("_k") * size).alias("first"), F.least("_size", (F.col("_k") + 1) * size).alias("last"))
-    return each.repartition(max(1, each.count()), "file", "number")
+    return _dealt(each)
 
 
-def _runs(f, first: int, last: int, header: bool | None) -> Iterator[tuple[str, int, np.ndarray]]:
-    """(kind, place, bytes) of a file from ``first`` on, beyond ``last`` too, as long as more is asked for.
+def _dealt(each: DataFrame) -> DataFrame:
+    """Ranges (file, number, first, last, ...) dealt to tasks: as many as hold RANGE bytes each, or a few for each core where these are more.
+
+    Small ranges share a task, so that tasks grow in number with the bytes and not with the ranges. Ranges that follow each
+    other go to tasks that do.
+    """
+    many, held = each.agg(F.count("*"), F.coalesce(F.sum(F.col("last") - F.col("first")), F.lit(0))).first()
+    tasks = max(1, min(many, max(-(-held // RANGE), 4 * each.sparkSession.sparkContext.defaultParallelism)))
+    return each.repartitionById(tasks, F.pmod(F.xxhash64("file") + F.col("number"), F.lit(tasks)).cast("int"))
+
+
+def _runs(f, first: int, last: int, header: bool | None, beyond: bool = True) -> Iterator[tuple[str, int, np.ndarray]]:
+    """(kind, place, bytes) of a file from ``first`` on, ``beyond`` last too, as long as more is asked for: little at first.
 
     ``header`` says what the line is in which the range begins. Kinds are header (one begins), more (of it), line (symbols
     and line ends), lead (as line, where it isn't known what the line is). No run reaches over ``last``.
     """
     f.seek(max(0, first - 1))
     fresh = first == 0 or f.read(1) == b"\n"
-    at = first
-    while True:
-        raw = f.read(min(BLOCK, last - at) if at < last else BLOCK)
+    at, more = first, BEYOND
+    while at < last or beyond:
+        raw = f.read(min(BLOCK, last - at) if at < last else more)
         if not raw:
             return
+        if at >= last:
+            more = min(BLOCK, 4 * more)
         block = np.frombuffer(raw, np.uint8)
         ends = np.flatnonzero(block == 10)
         begin = np.append([0] if fresh else [], ends[ends + 1 < len(block)] + 1).astype(np.int64)
@@ -84,9 +99,7 @@ def _summed(batches):
             lead, body, headers, before_first, before_last, header = 0, 0, 0, None, None, None
             source, own = opened(file)
             with source.open_input_file(own) as f:
-                for kind, at, data in _runs(f, first, last, None):
-                    if at >= last:
-                        break
+                for kind, at, data in _runs(f, first, last, None, False):
                     if kind == "lead":
                         lead += len(_symbols(data))
                         if data[-1] == 10 and at + len(data) < last:
@@ -107,7 +120,7 @@ def placed(spark: SparkSession, path: str, size: int = RANGE) -> DataFrame:
 
     header: whether it lies inside a header; start: symbols of the file before it; rec: headers before it; in_rec: symbols of
     the record before it; next_start: where the record after this range's last one begins, at the file's end if there is none.
-    Reads all bytes once, when it is called; the result is one row a range.
+    Reads all bytes once, when it is called; the result is one row a range, written to the shared folder.
     """
     schema = "file string, number int, first long, last long, lead long, body long, headers long, before_first long, before_last long, ends_in boolean"
     rows = ranges(spark, path, size).mapInArrow(_summed, schema)
@@ -119,8 +132,9 @@ def placed(spark: SparkSession, path: str, size: int = RANGE) -> DataFrame:
     known = known.withColumn("_from", F.col("start") + F.col("_lead") + F.col("before_last")).withColumn("_next", F.col("start") + F.col("_lead") + F.col("before_first"))
     known = known.withColumn("in_rec", F.col("start") - F.coalesce(F.last("_from", ignorenulls=True).over(before), F.lit(0)))
     known = known.withColumn("next_start", F.coalesce(F.first("_next", ignorenulls=True).over(after), F.sum("_n").over(Window.partitionBy("file"))))
-    found = known.select(*(c.split()[0] for c in PLACED.split(", "))).toArrow()  # one row a range
-    return spark.createDataFrame(found, PLACED).repartition(max(1, found.num_rows), "file", "number")
+    known_at = f"{shared(spark)}/ranges-{uuid.uuid4().hex}"
+    known.select(*(c.split()[0] for c in PLACED.split(", "))).write.parquet(known_at)
+    return _dealt(spark.read.schema(PLACED).parquet(known_at))
 
 
 def _each(batches, columns: list[tuple[str, pa.DataType]], read, most: int = 1 << 22):
@@ -147,9 +161,7 @@ def _each(batches, columns: list[tuple[str, pa.DataType]], read, most: int = 1 <
 
 def _pieces(f, own):
     start, rec, in_rec = own["start"], own["rec"], own["in_rec"]
-    for kind, at, data in _runs(f, own["first"], own["last"], own["header"]):
-        if at >= own["last"]:
-            return
+    for kind, _, data in _runs(f, own["first"], own["last"], own["header"], False):
         if kind == "header":
             rec, in_rec = rec + 1, 0
         elif kind == "line":

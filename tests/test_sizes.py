@@ -10,6 +10,7 @@ from strandspark.operators import patterns
 from strandspark.operators import quantised
 from strandspark.plans import queries
 from strandspark.sources import tables
+from strandspark.sources import ranges
 
 
 def test_units_made_side_by_side_are_those_made_alone(spark):
@@ -84,6 +85,31 @@ def test_buckets_follow_from_the_size(spark, small, monkeypatch):
     """A task that compares two prepared tables reads a bucket of each, as large as before where there is more text."""
     monkeypatch.setattr(tables, "BUCKET", 1 << 12)
     sides = queries._sides(spark, small)
-    assert sides[0].rdd.getNumPartitions() == sides[1].rdd.getNumPartitions() > 8
+    assert all(8 < len({f.rsplit("_", 1)[1] for f in side.inputFiles()}) for side in sides)
     few = spark.createDataFrame([(1, "ab"), (2, None)], "k long, text string")
     assert tables.buckets_for(few) == tables.buckets_for(few.where("false")) == 8
+
+
+class Counted(io.BytesIO):
+    taken = 0
+
+    def read(self, n=-1):
+        out = super().read(n)
+        self.taken += len(out)
+        return out
+
+
+def test_ranges_share_tasks_and_are_read_once(spark, tmp_path):
+    """Small ranges beyond a few a core don't make more tasks, and no megabyte is read behind each."""
+    raw = b">a\n" + b"ACGT" * 100_000 + b"\n>b x\nAC\nGT\n"
+    (tmp_path / "in.fa").write_bytes(raw)
+    placed = ranges.placed(spark, str(tmp_path / "in.fa"), 1000)
+    assert placed.count() == 401 and placed.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    sizes = [len(x) for x in placed.rdd.glom().collect()]
+    assert max(sizes) - min(sizes) <= 1
+    assert b"".join(bytes(r["bases"]) for r in ranges.pieces(placed).orderBy("start").collect()) == b"ACGT" * 100_001
+    f = Counted(raw)
+    assert sum(len(x) for _, _, x in ranges._runs(f, 1000, 2000, None, False)) == 1000 and f.taken <= 1001
+    f = Counted(raw)
+    read = ranges._chunks(64)(f, {"file": "", "rec": 1, "in_rec": 997, "first": 1000, "last": 2000, "header": False})
+    assert sum(n for _, n in read) == 1024 - 64 + 64 and f.taken < 1001 + 2 * ranges.BEYOND
