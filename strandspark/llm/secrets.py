@@ -18,7 +18,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import parts, slices, spans, table, utf8, written
@@ -126,10 +126,11 @@ class Network:
         np.put_along_axis(on_hidden, top[:, None], np.take_along_axis(on_hidden, top[:, None], axis=1) + on_pooled[:, None, :filters], axis=1)
         on_hidden *= hidden > 0
         on_wide = (on_hidden @ kernel.T).reshape(len(x), hidden.shape[1], letters.shape[1], self.WIDTH)
-        on_letters = np.zeros_like(letters)
+        on_seen = np.zeros((*x.shape, letters.shape[1]))
         for k in range(self.WIDTH):
-            np.add.at(on_letters, x[:, k : k + hidden.shape[1]], on_wide[..., k])
-        return [on_letters, np.einsum("blw,blf->wf", wide, on_hidden), on_hidden.sum(axis=(0, 1)), change @ pooled]
+            on_seen[:, k : k + hidden.shape[1]] += on_wide[..., k]
+        on_letters = np.stack([np.bincount(x.ravel(), on_seen[..., d].ravel(), len(letters)) for d in range(letters.shape[1])], axis=1)
+        return [on_letters, wide.reshape(-1, wide.shape[2]).T @ on_hidden.reshape(-1, filters), on_hidden.sum(axis=(0, 1)), change @ pooled]
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         """Calibrated probabilities."""
@@ -239,6 +240,17 @@ def behind_paths(x: np.ndarray, others: np.ndarray, rng: np.random.Generator) ->
         x[k, BEFORE + INSIDE :] = 2 * _LETTERS + np.append(np.frombuffer((b" ", b"/", b".")[int(rng.integers(3))], np.uint8).astype(np.int16) - 31, np.zeros(AFTER - 1, np.int16))
 
 
+def threshold_of_counts(score: np.ndarray, secrets: np.ndarray, others: np.ndarray, recall: float, alarms: float) -> float:
+    """What ``threshold_of`` gives for so many secrets and others of each score, ascending ones."""
+    passing, alarm = np.cumsum(secrets[::-1])[::-1], np.cumsum(others[::-1])[::-1] / max(1, others.sum())
+    options = np.flatnonzero((secrets > 0) & (passing >= np.ceil(recall * secrets.sum() - 1e-9)))
+    if not len(options):
+        options = np.flatnonzero(secrets > 0)[-1:]
+    fits = alarm[options] <= alarms
+    errors = np.where(fits, secrets.sum() - passing[options] + alarm[options] * others.sum(), np.inf)
+    return float(score[options[int(np.argmin(errors))] if fits.any() else options[-1]])
+
+
 def threshold_of(score: np.ndarray, truth: np.ndarray, recall: float, alarms: float) -> float:
     """The highest threshold at which a share of ``recall`` of the secrets passes; lower where alarms stay under their bound and more secrets pass.
 
@@ -267,6 +279,20 @@ def train(x: np.ndarray, y: np.ndarray, recall: float = 0.9, alarms: float = 0.0
     net = Network(p, threshold=2.0)
     if len(y) < 20 or y.min() == y.max():
         return net
+    x, y = enriched(x, y, rng)
+    order = rng.permutation(len(y))
+    held, used = order[: len(y) // 5], order[len(y) // 5 :]
+    descend(net, x, y, used, rng, [0.01 * 0.05 ** (k / rounds) for k in range(rounds)])
+    logit, truth = net.forward(x[held])[0], y[held]
+    if truth.min() == truth.max():
+        return net
+    calibrate(net, logit, truth)
+    net.threshold = threshold_of(net.scores(x[held]), truth, recall, alarms)
+    return net
+
+
+def enriched(x: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """``x`` and ``y`` with secrets of other forms and harmless texts, half of the secrets without their context."""
     many = int((y == 1).sum())
     other, benign = redrawn(np.repeat(x[y == 1], max(1, min(4, 2000 // many)), axis=0), rng), harmless_windows(x[y == 0], rng, min(3000, max(500, 8 * many)))
     behind_paths(other[::3], x[y == 0], rng)
@@ -274,12 +300,15 @@ def train(x: np.ndarray, y: np.ndarray, recall: float = 0.9, alarms: float = 0.0
     blank = np.flatnonzero((rng.random(len(y)) < 0.5) & (y == 1))
     x[blank, :BEFORE] = 0
     x[blank, BEFORE + INSIDE :] = 2 * _LETTERS
-    order = rng.permutation(len(y))
-    held, used = order[: len(y) // 5], order[len(y) // 5 :]
+    return x, y
+
+
+def descend(net: Network, x: np.ndarray, y: np.ndarray, used: np.ndarray, rng: np.random.Generator, steps: list[float]) -> None:
+    """Changes the network by the rows ``used``, once for each of ``steps``, the size of a step then; both labels weigh the same."""
+    p = net.parameters
     m, v, turn = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p], 0
     balance = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
-    for k_round in range(rounds):
-        step = 0.01 * 0.05 ** (k_round / rounds)
+    for step in steps:
         rng.shuffle(used)
         for k in range(0, len(used), 128):
             rows = used[k : k + 128]
@@ -290,15 +319,15 @@ def train(x: np.ndarray, y: np.ndarray, recall: float = 0.9, alarms: float = 0.0
                 m[i] = 0.9 * m[i] + 0.1 * g
                 v[i] = 0.99 * v[i] + 0.01 * g * g
                 p[i] -= step * (m[i] / (1 - 0.9**turn)) / (np.sqrt(v[i] / (1 - 0.99**turn)) + 1e-8)
-    logit, truth = net.forward(x[held])[0], y[held]
-    if truth.min() == truth.max():
-        return net
-    for _ in range(200):  # Platt scaling
+
+
+def calibrate(net: Network, logit: np.ndarray, truth: np.ndarray, n: np.ndarray | None = None) -> None:
+    """Platt scaling of the network's outputs; ``n``: for how many each stands."""
+    share = np.full(len(logit), 1 / len(logit)) if n is None else n / n.sum()
+    for _ in range(200):
         q = 1 / (1 + np.exp(-np.clip(net.slope * logit + net.shift, -60, 60)))
-        net.slope = max(1e-3, net.slope - 0.1 * np.mean((q - truth) * logit) / (1 + np.mean(logit**2)) * 10)
-        net.shift -= 0.1 * np.mean(q - truth)
-    net.threshold = threshold_of(net.scores(x[held]), truth, recall, alarms)
-    return net
+        net.slope = max(1e-3, net.slope - 0.1 * ((q - truth) * logit * share).sum() / (1 + (logit**2 * share).sum()) * 10)
+        net.shift -= 0.1 * ((q - truth) * share).sum()
 
 
 def _examples(batches):
@@ -319,24 +348,108 @@ def _covered(rules, start: int, end: int) -> int:
     return int(any(s < end and start < e for _, s, e in rules))
 
 
-def learned(docs: DataFrame, sample: int = 20_000, most: int = 3_000) -> Network:
-    """A network from the candidates of about ``sample`` rows, ``most`` of each label. Rows are drawn one by one by a hash of doc_id
-    and place, those that share a doc_id or have none too.
+#: Candidates that one task learns from; outputs are counted in steps of a part of one; parameters add up in parts of one.
+SHARD, FINE, EXACT = 25_000, 256, 1 << 24
+
+
+def _flat(found, seed: int) -> tuple[np.ndarray, np.ndarray, np.random.Generator]:
+    """(windows, labels) of a shard's batches (shard, seen, label), and its random numbers, which its number gives."""
+    batches = [b for b in found if b.num_rows]
+    if not batches:
+        return np.zeros((0, BEFORE + INSIDE + AFTER), np.int16), np.zeros(0, np.int64), np.random.default_rng(seed)
+    x = np.concatenate([np.frombuffer(b"".join(b.column(1).to_pylist()), np.int16) for b in batches]).reshape(-1, BEFORE + INSIDE + AFTER)
+    y = np.concatenate([b.column(2).to_numpy().astype(np.int64) for b in batches])
+    return x, y, np.random.default_rng([seed, batches[0].column(0)[0].as_py()])
+
+
+def _held() -> Column:
+    """True for the fifth of all candidates that ``refined`` doesn't learn from."""
+    return F.pmod(F.shiftright(F.xxhash64("seen"), 32), F.lit(5)) == 0
+
+
+def refined(rows: DataFrame, net: Network, many: int, recall: float = 0.9, alarms: float = 0.001) -> Network:
+    """``net`` after it has learned from every one of ``many`` distinct candidates (seen, label), calibrated on those held out.
+
+    Candidates are dealt to shards of about SHARD by a hash of what is seen. Four fifths of a shard change a copy of ``net``,
+    and the shards' parameters are averaged by Spark. The outputs for the last fifth of all shards are counted by label, in
+    steps of 1 / FINE; calibration and threshold follow from these counts. Both passes add secrets of other forms and harmless
+    texts as ``train`` does. Results don't depend on how tasks are dealt: sums are of integers.
+    """
+    shards = max(1, -(-many // SHARD))
+    dealt = rows.select(F.pmod(F.xxhash64("seen"), F.lit(shards)).cast("int").alias("shard"), "seen", "label", _held().alias("held"))
+    dealt = dealt.repartitionById(shards, F.col("shard")).sortWithinPartitions("seen", "label")
+
+    def changed(batches):
+        x, y, rng = _flat(batches, 7)
+        if len(y) < 20 or y.min() == y.max():
+            return
+        own = Network([p.copy() for p in net.parameters])
+        x, y = enriched(x, y, rng)
+        descend(own, x, y, np.arange(len(y)), rng, [0.001])
+        flat = np.concatenate([p.ravel() for p in own.parameters])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(np.round(flat * EXACT).astype(np.int64))], ["place", "value"])
+
+    sums = dealt.where("not held").drop("held").mapInArrow(changed, "place long, value long").groupBy("place").agg(F.sum("value").alias("value"), F.count("*").alias("n")).orderBy("place").collect()
+    if sums:  # as many rows as the network has parameters
+        flat, at = np.array([r["value"] / (r["n"] * EXACT) for r in sums]), 0
+        shapes = [p.shape for p in net.parameters]
+        parameters = []
+        for shape in shapes:
+            size = int(np.prod(shape))
+            parameters.append(flat[at : at + size].reshape(shape))
+            at += size
+        net = Network(parameters, net.threshold)
+
+    def counted(batches):
+        x, y, rng = _flat(batches, 9)
+        if not len(y):
+            return
+        if 0 < y.sum() < len(y):
+            x, y = enriched(x, y, rng)
+        logit = np.concatenate([net.forward(x[k : k + 512])[0] for k in range(0, len(x), 512)])
+        step, n = np.unique(np.floor(np.clip(logit, -60, 60) * FINE).astype(np.int64) * 2 + y, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(step >> 1), pa.array(step & 1), pa.array(n)], ["step", "label", "n"])
+
+    counts = dealt.where("held").drop("held").mapInArrow(counted, "step long, label long, n long").groupBy("step", "label").agg(F.sum("n").alias("n")).orderBy("step", "label").collect()
+    truth, n = np.array([r["label"] for r in counts], np.int64), np.array([r["n"] for r in counts], np.int64)
+    if not len(n) or truth.min() == truth.max():
+        return net
+    logit = np.array([r["step"] for r in counts]) / FINE
+    calibrate(net, logit, truth, n)
+    own, which = np.unique(logit, return_inverse=True)
+    secret, other = (np.bincount(which, np.where(truth == k, n, 0)).astype(np.int64) for k in (1, 0))
+    score = 1 / (1 + np.exp(-np.clip(net.slope * own + net.shift, -60, 60)))
+    net.threshold = threshold_of_counts(score, secret, other, recall, alarms)
+    return net
+
+
+def learned(docs: DataFrame, most: int = 3_000) -> Network:
+    """A network from the candidates of all rows, those that share a doc_id or have none too.
 
-    Of label 0 as many without a digit come on top: words are so many that few others would be learned. These two numbers
-    bound the training sample; scanning itself covers every document. Null and empty texts have no candidates; repeated rows
-    count as often as they are there; with too few findings, or in an empty table, nothing is learned and rules alone find.
+    It begins with ``most`` candidates of each label, those with the smallest hashes (of label 0 as many without a digit on
+    top: words are so many that few others would be learned). Where there are more, ``refined`` goes over all distinct ones,
+    and parameters, calibration and threshold follow from all of them. Null and empty texts have no candidates; in the
+    beginning repeated ones count as often as they are there; with too few findings, or in an empty table, nothing is learned
+    and rules alone find.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    share = min(1.0, sample / max(1, texts.count()))
-    chosen = texts.where(F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(1 << 20)) < int(share * (1 << 20)))
-    # The sample is dealt to a few tasks and its candidates written, so that what comes to the driver doesn't grow with the input.
-    rows = written(chosen.repartition(16).mapInArrow(_examples, "seen binary, label int, digit boolean"), "candidates")
+    found = texts.mapInArrow(_examples, "seen binary, label int, digit boolean").groupBy("seen", "label", "digit").agg(F.count("*").alias("n"))
+    rows = written(found, "candidates")
     kinds = ("label = 0 and digit", "label = 0 and not digit", "label = 1")
-    chosen = [rows.where(k).orderBy(F.xxhash64("seen"), "seen").limit(most).collect() for k in kinds]
-    x = [np.frombuffer(r["seen"], np.int16) for part in chosen for r in part]
-    y = np.array([r["label"] for part in chosen for r in part], np.int64)
-    return train(np.array(x, np.int16).reshape(len(x), BEFORE + INSIDE + AFTER), y)
+    sizes = rows.agg(F.count("*"), *(F.coalesce(F.sum(F.when(F.expr(k), F.col("n"))), F.lit(0)) for k in kinds)).first()
+    more = max(sizes[1:]) > most
+    usable = rows.where(~_held()) if more else rows
+    x, y = [], []
+    for kind in kinds:
+        left = most
+        for r in usable.where(kind).orderBy(F.xxhash64("seen"), "seen").limit(most).collect():
+            n = min(left, r["n"])
+            x += [np.frombuffer(r["seen"], np.int16)] * n
+            y += [r["label"]] * n
+            left -= n
+    x, y = np.array(x, np.int16).reshape(len(x), BEFORE + INSIDE + AFTER), np.array(y, np.int64)
+    net = train(x, y)
+    return refined(rows, net, sizes[0]) if more and len(y) >= 20 and 0 < y.sum() < len(y) else net
 
 
 def candidate_scores(net: Network, part: np.ndarray, own: np.ndarray, rows: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int = 1 << 14) -> np.ndarray:
