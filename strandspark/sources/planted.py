@@ -15,8 +15,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.composition import nucleotide_count
-from ..operators.generators import PLANTED, PRIME, draws, sequences
+from ..operators.composition import COUNTED, symbol_counts
+from ..operators.arrays import rows_of_bytes
+from ..operators.generators import PART, PLANTED, draws, sequences, shifts, texts_of
 from ..operators.halos import chunk_pattern_counts
 from .folders import opened, qualified
 
@@ -49,28 +50,28 @@ def content(records: DataFrame, unit: int = UNIT, seed: int = 1234) -> DataFrame
 
     def run(batches):
         for batch in batches:
-            out = []
-            for k, start, bases in zip(*(batch.column(c).to_pylist() for c in (0, 2, 3)), strict=True):
-                codes = np.frombuffer(bases.encode(), np.uint8).copy()
-                odd = draws(np.arange(start, start + len(codes), dtype=np.int64) + k % PRIME * 1_000_003 % PRIME, seed, 6) % ODD
+            for row, end, raw, offsets in rows_of_bytes(batch.column(3), PART):
+                part, codes, size = batch.slice(row, end - row), raw.copy(), np.diff(offsets)
+                start = part.column(2).to_numpy()
+                place = np.arange(len(codes)) + np.repeat(start - offsets[:-1] + shifts(part.column(0).to_numpy()), size)
+                draw = draws(place, seed, 6).astype(np.uint32)
+                odd = draw - draw // np.uint32(ODD) * np.uint32(ODD)
                 codes[odd == 0], codes[odd == 1] = ord("R"), ord("*")
-                if start == 0:
-                    codes[: len(head)] = head[: len(codes)]
-                if len(codes) < unit:
-                    n = min(len(tail), len(codes))
-                    codes[len(codes) - n :] = tail[len(tail) - n :]
-                out.append(codes.tobytes().decode())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.string())], ["key", "chunk", "start", "bases"])
+                for k in np.flatnonzero(start == 0).tolist():
+                    codes[offsets[k] : offsets[k + 1]][: len(head)] = head[: size[k]]
+                for k in np.flatnonzero(size < unit).tolist():
+                    n = min(len(tail), size[k])
+                    codes[offsets[k + 1] - n : offsets[k + 1]] = tail[len(tail) - n :]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], texts_of(codes, offsets)], ["key", "chunk", "start", "bases"])
 
     return sequences(records, "key", "length", unit, seed).mapInArrow(run, "key long, chunk long, start long, bases string")
 
 
 def answers(chunks: DataFrame, key: str = "key", unit: int = UNIT) -> DataFrame:
     """(n_records, n_a, ..., n_invalid, planted): what a reader of these records (key, chunk, start, bases) must find, one row."""
-    counts = nucleotide_count(chunks, "bases").drop("n_bases")
+    counts = symbol_counts(chunks, "bases", ("chunk",)).agg(F.count_if(F.col("chunk") == 0).alias("n_records"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTED))
     found = chunk_pattern_counts(chunks, key, [PLANTED], unit).where("strand = '+'").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("planted"))
-    many = chunks.where("chunk = 0").agg(F.count("*").alias("n_records"))
-    return many.join(F.broadcast(counts)).join(F.broadcast(found))  # one row each
+    return counts.join(F.broadcast(found))  # one row each
 
 
 def _lines(width: int | None, end: bytes):

@@ -9,7 +9,7 @@ from strandspark.operators import generators
 from strandspark.operators import patterns
 from strandspark.operators import quantised
 from strandspark.plans import queries
-from strandspark.sources import tables
+from strandspark.sources import planted, tables
 from strandspark.sources import ranges
 
 
@@ -113,3 +113,18 @@ def test_ranges_share_tasks_and_are_read_once(spark, tmp_path):
     f = Counted(raw)
     read = ranges._chunks(64)(f, {"file": "", "rec": 1, "in_rec": 997, "first": 1000, "last": 2000, "header": False})
     assert sum(n for _, n in read) == 1024 - 64 + 64 and f.taken < 1001 + 2 * ranges.BEYOND
+
+
+def test_answers_read_chunks_three_times(spark, tmp_path):
+    """Counts and the number of records come from one pass, the pattern from two: its edges are shuffled."""
+    planted.content(planted.weighted(spark.createDataFrame([(1, 5000), (2, 30)], "k long, n long"), "k", "n")).write.parquet(str(tmp_path / "chunks"))
+    chunks = spark.read.parquet(str(tmp_path / "chunks"))
+    answer = planted.answers(chunks)
+    scans = answer._jdf.queryExecution().executedPlan().toString().count("FileScan parquet")
+    assert scans == 3 and answer.first()["n_records"] == 10
+
+
+def test_content_of_many_units_is_that_of_each(spark):
+    rows = [(k, n) for k, n in ((1, 3000), (2, 700), (9, 7))]
+    each = lambda some: sorted(planted.content(planted.weighted(spark.createDataFrame(some, "k long, n long").coalesce(1), "k", "n"), 256).collect())
+    assert each(rows) == sorted(r for row in rows for r in each([row]))
