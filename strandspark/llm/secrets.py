@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -391,14 +392,7 @@ def refined(rows: DataFrame, net: Network, many: int, recall: float = 0.9, alarm
 
     sums = dealt.where("not held").drop("held").mapInArrow(changed, "place long, value long").groupBy("place").agg(F.sum("value").alias("value"), F.count("*").alias("n")).orderBy("place").collect()
     if sums:  # as many rows as the network has parameters
-        flat, at = np.array([r["value"] / (r["n"] * EXACT) for r in sums]), 0
-        shapes = [p.shape for p in net.parameters]
-        parameters = []
-        for shape in shapes:
-            size = int(np.prod(shape))
-            parameters.append(flat[at : at + size].reshape(shape))
-            at += size
-        net = Network(parameters, net.threshold)
+        net = Network(_shaped(np.array([r["value"] / (r["n"] * EXACT) for r in sums])), net.threshold)
 
     def counted(batches):
         x, y, rng = _flat(batches, 9)
@@ -423,6 +417,33 @@ def refined(rows: DataFrame, net: Network, many: int, recall: float = 0.9, alarm
     return net
 
 
+def _shaped(flat: np.ndarray, dimension: int = 8, filters: int = 32) -> list[np.ndarray]:
+    """The parameters of a network of the sizes that ``train`` has, from all their values in a row."""
+    shapes = ((3 * _LETTERS, dimension), (dimension * Network.WIDTH, filters), (filters,), (2 * filters + 1,))
+    ends = np.cumsum([int(np.prod(shape)) for shape in shapes])
+    return [part.reshape(shape) for part, shape in zip(np.split(flat, ends[:-1]), shapes, strict=True)]
+
+
+def _begun(most: int):
+    """The network that rows (kind, seen, label, n) begin, as one row, at most ``most`` of each kind with repeated ones; whether both labels are there."""
+
+    def run(batches):
+        x, y, left = [], [], {}
+        for batch in batches:
+            for kind, seen, label, many in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                n = min(left.get(kind, most), many)
+                x += [np.frombuffer(seen, np.int16)] * n
+                y += [label] * n
+                left[kind] = left.get(kind, most) - n
+        x, y = np.array(x, np.int16).reshape(len(x), BEFORE + INSIDE + AFTER), np.array(y, np.int64)
+        net = train(x, y)
+        flat = np.concatenate([p.ravel() for p in net.parameters])
+        both = len(y) >= 20 and 0 < int(y.sum()) < len(y)
+        yield pa.RecordBatch.from_arrays([pa.array([flat], pa.list_(pa.float64())), *(pa.array([float(v)], pa.float64()) for v in (net.threshold, net.slope, net.shift)), pa.array([both], pa.bool_())], ["parameters", "threshold", "slope", "shift", "both"])
+
+    return run
+
+
 def learned(docs: DataFrame, most: int = 3_000) -> Network:
     """A network from the candidates of all rows, those that share a doc_id or have none too.
 
@@ -430,7 +451,7 @@ def learned(docs: DataFrame, most: int = 3_000) -> Network:
     top: words are so many that few others would be learned). Where there are more, ``refined`` goes over all distinct ones,
     and parameters, calibration and threshold follow from all of them. Null and empty texts have no candidates; in the
     beginning repeated ones count as often as they are there; with too few findings, or in an empty table, nothing is learned
-    and rules alone find.
+    and rules alone find. A task trains the beginning, so that the driver needs no memory for it.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = texts.mapInArrow(_examples, "seen binary, label int, digit boolean").groupBy("seen", "label", "digit").agg(F.count("*").alias("n"))
@@ -439,17 +460,14 @@ def learned(docs: DataFrame, most: int = 3_000) -> Network:
     sizes = rows.agg(F.count("*"), *(F.coalesce(F.sum(F.when(F.expr(k), F.col("n"))), F.lit(0)) for k in kinds)).first()
     more = max(sizes[1:]) > most
     usable = rows.where(~_held()) if more else rows
-    x, y = [], []
-    for kind in kinds:
-        left = most
-        for r in usable.where(kind).orderBy(F.xxhash64("seen"), "seen").limit(most).collect():
-            n = min(left, r["n"])
-            x += [np.frombuffer(r["seen"], np.int16)] * n
-            y += [r["label"]] * n
-            left -= n
-    x, y = np.array(x, np.int16).reshape(len(x), BEFORE + INSIDE + AFTER), np.array(y, np.int64)
-    net = train(x, y)
-    return refined(rows, net, sizes[0]) if more and len(y) >= 20 and 0 < y.sum() < len(y) else net
+    each = [usable.where(kind).orderBy(F.xxhash64("seen"), "seen").limit(most).select(F.lit(k).alias("kind"), "seen", F.col("label").cast("int").alias("label"), "n") for k, kind in enumerate(kinds)]
+    first = reduce(DataFrame.unionByName, each).coalesce(1).sortWithinPartitions("kind", F.xxhash64("seen"), "seen")
+    trained = first.mapInArrow(_begun(most), "parameters array<double>, threshold double, slope double, shift double, both boolean").collect()
+    if not trained:
+        return train(np.zeros((0, BEFORE + INSIDE + AFTER), np.int16), np.zeros(0, np.int64))
+    begun = trained[0]
+    net = Network(_shaped(np.array(begun["parameters"])), begun["threshold"], begun["slope"], begun["shift"])
+    return refined(rows, net, sizes[0]) if more and begun["both"] else net
 
 
 def candidate_scores(net: Network, part: np.ndarray, own: np.ndarray, rows: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int = 1 << 14) -> np.ndarray:

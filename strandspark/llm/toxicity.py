@@ -225,27 +225,44 @@ def train(texts: list[str], labels: list[int], dimension: int = 4, rounds: int =
     return Model(model.weights, bias + np.log(THRESHOLD / (1 - THRESHOLD)) - np.log(parted / (1 - parted)))
 
 
+def _chosen(labelled: DataFrame, most: int, longest: int = 1 << 15) -> DataFrame:
+    """(text, toxic): at most ``most`` rows of (doc_id, text, toxic), those with the smallest hashes of doc_id, in this order in one partition."""
+    short = labelled.where(F.coalesce(F.length("text"), F.lit(0)) <= longest)
+    return short.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select(F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic"))
+
+
 def bounded_sample(labelled: DataFrame, most: int, longest: int = 1 << 15) -> tuple[list[str], list[int]]:
     """At most ``most`` rows (doc_id, text, toxic), those with the smallest hashes of doc_id: the same at every partitioning.
 
     Texts of more than ``longest`` characters are no part of it, so rows and characters are bounded.
     """
-    short = labelled.where(F.coalesce(F.length("text"), F.lit(0)) <= longest)
-    rows = short.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("text", "toxic").collect()
-    return [r["text"] or "" for r in rows], [int(r["toxic"]) for r in rows]
+    rows = _chosen(labelled, most, longest).collect()
+    return [r["text"] for r in rows], [r["toxic"] for r in rows]
+
+
+def _fitted(batches):
+    """The model of (text, toxic) as one row: the bytes of its weights, and its bias."""
+    texts, labels = [], []
+    for batch in batches:
+        texts += batch.column(0).to_pylist()
+        labels += batch.column(1).to_pylist()
+    model = train(texts, labels)
+    yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.bias], pa.float64())], ["weights", "bias"])
 
 
 def learned(docs: DataFrame, labels: DataFrame, usable: Column, most: int = 4000) -> Model:
     """A model from at most ``most`` labelled rows (the documented bound of the training sample) for which ``usable`` holds.
 
     Labels other than 0 and 1 and null doc_ids don't count. Of a doc_id with several labels the largest counts. Without
-    labelled rows, or with one label alone, all texts score alike, on that label's side.
+    labelled rows, or with one label alone, all texts score alike, on that label's side. A task trains, so that neither texts
+    nor what training needs of memory come to the driver; the model's weights do.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & usable)
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * most)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return train(*bounded_sample(texts.join(F.broadcast(picked), "doc_id"), most))
+    models = _chosen(texts.join(F.broadcast(picked), "doc_id"), most).mapInArrow(_fitted, "weights binary, bias double").collect()
+    return Model(np.frombuffer(models[0]["weights"], np.float32), models[0]["bias"]) if models else train([], [])
 
 
 def rounded(model: Model, column: pa.Array) -> np.ndarray:
